@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, mixing
+from quire.llm import exact_dedup, mixing, packing, token_files
 from quire.llm.shared import documents
 
 
@@ -16,10 +16,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(documents(spark, sf_dir), with_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(documents(spark, sf_dir)).drop("ids")
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_mixing": op4_mixing,
+        "op5_packing": op5_packing,
+        "op6_token_files": op6_token_files,
     }
 
 
