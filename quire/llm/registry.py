@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, mixing, packing, token_files
+from quire.llm import exact_dedup, mixing, packing, quality, token_files
 from quire.llm.shared import documents
 
 
@@ -25,12 +25,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir)).drop("ids")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op6_token_files": op6_token_files,
+        "op7_quality": op7_quality,
     }
 
 
