@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, mixing, packing, quality, token_files
+from quire.llm import exact_dedup, langid, mixing, packing, quality, token_files, toxicity
 from quire.llm.shared import documents
 
 
@@ -30,6 +30,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.toxicity(documents(spark, sf_dir), labels).drop("passages")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -37,6 +46,8 @@ def queries() -> dict:
         "op5_packing": op5_packing,
         "op6_token_files": op6_token_files,
         "op7_quality": op7_quality,
+        "op9_toxicity": op9_toxicity,
+        "op10_language": op10_language,
     }
 
 
