@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, langid, mixing, packing, quality, token_files, toxicity
+from quire.llm import exact_dedup, langid, mixing, packing, pii, quality, token_files, toxicity
 from quire.llm.shared import documents
 
 
@@ -16,6 +16,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(documents(spark, sf_dir), with_ids=False)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -42,6 +46,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
         "op6_token_files": op6_token_files,
