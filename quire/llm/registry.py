@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, langid, mixing, packing, pii, quality, token_files, toxicity
+from quire.llm import exact_dedup, langid, mixing, packing, pii, quality, substring_dedup, token_files, toxicity
 from quire.llm.shared import documents
 
 
@@ -34,6 +34,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.toxicity(documents(spark, sf_dir), labels).drop("passages")
@@ -51,6 +55,7 @@ def queries() -> dict:
         "op5_packing": op5_packing,
         "op6_token_files": op6_token_files,
         "op7_quality": op7_quality,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_language": op10_language,
     }
