@@ -1,7 +1,8 @@
 """Operator 6: token ids in Arrow stream files of fixed-size lists.
 
 Documents are dealt to shards by ranges of doc_id. A shard is one stream file; each of its batches has
-`batch_rows` sequences of `seq_len` ids, with a mask that is false on the filling after the shard's last id.
+`batch_rows` sequences of `seq_len` ids, with a mask that is false on the filling after the shard's last id. Ids take 16 bits where
+the vocabulary fits.
 All batches but the last have one layout, so a reader maps the file and reaches any sequence without a copy.
 A task writes under a name of its own and reports it, so files of lost or repeated tasks are never read.
 """
@@ -30,9 +31,10 @@ _INDEX = "shard int, file string, place long, doc_id long, at long, n_tokens lon
 class ShardWriter:
     """Writes ids one text after another as (ids, mask) sequences."""
 
-    def __init__(self, path: str, seq_len: int = SEQ_LEN, batch_rows: int = BATCH_ROWS):
+    def __init__(self, path: str, seq_len: int = SEQ_LEN, batch_rows: int = BATCH_ROWS, n_vocab: int = 1 << 32):
+        self.kind = pa.uint16() if n_vocab <= 1 << 16 else pa.uint32()
         self.seq_len, self.full = seq_len, seq_len * batch_rows
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+        self.schema = pa.schema([("ids", pa.list_(self.kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
         fs, where = pafs.FileSystem.from_uri(path)
         fs.create_dir(where.rpartition("/")[0])
         self.sink = fs.open_output_stream(where)
@@ -53,7 +55,7 @@ class ShardWriter:
 
     def _batch(self, ids: np.ndarray, n: int) -> None:
         mask = pa.array(np.arange(len(ids)) < n)
-        lists = [pa.FixedSizeListArray.from_arrays(x, self.seq_len) for x in (pa.array(ids.astype(np.uint32, copy=False)), mask)]
+        lists = [pa.FixedSizeListArray.from_arrays(x, self.seq_len) for x in (pa.array(ids.astype(self.kind.to_pandas_dtype(), copy=False)), mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -104,7 +106,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = out or ShardWriter(file, seq_len, batch_rows)
+            out = out or ShardWriter(file, seq_len, batch_rows, encoder(path).lib.get_vocab_size())
             at, n = [], []
             for _, ids in encoder(path).column(batch.column(1)):
                 at.append(out.n)
