@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, langid, mixing, packing, pii, quality, substring_dedup, token_files, toxicity
+from quire.llm import exact_dedup, langid, mixing, ngram_join, packing, pii, quality, substring_dedup, token_files, toxicity
 from quire.llm.shared import documents
 
 
@@ -16,6 +17,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -50,6 +55,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_ngram_join": op2_ngram_join,
         "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
         "op5_packing": op5_packing,
@@ -58,6 +64,7 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_language": op10_language,
+        "pipeline": corpus_pipeline.run,
     }
 
 
