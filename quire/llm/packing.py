@@ -24,6 +24,7 @@ from quire.llm.shared import staged
 from quire.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
+BROADCAST_ROWS = 500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, place long"
 
 
@@ -148,7 +149,9 @@ def pack_pieces(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shared = spark.sparkContext.broadcast((keys, table))  # a few placements a length: bounded by the capacity
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    ranked = made.join(counts.hint("merge"), ["part", "length"]).withColumn("__rank", F.col("__before") + F.col("place")).drop("__before", "part", "place")
+    # A row for each task and length; beyond BROADCAST_ROWS the pieces shuffle instead.
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts.hint("merge")
+    ranked = made.join(counts, ["part", "length"]).withColumn("__rank", F.col("__before") + F.col("place")).drop("__before", "part", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, table = shared.value
