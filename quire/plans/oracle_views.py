@@ -37,6 +37,22 @@ VIEWS = {
         value / 5 AS llm_processing, CAST(0 AS DOUBLE) AS pdf_generation, (event_id % 100 + 1) * 100000 AS size_bytes FROM events""",
     "steps": """SELECT session_id, success, ended_at, u.k AS step, u.v AS secs FROM (SELECT *, unnest([{'k':'upload','v':upload},{'k':'validation','v':validation},{'k':'classification','v':classification},
         {'k':'content_extraction','v':content_extraction},{'k':'l1_chunking','v':l1_chunking},{'k':'l2_chunking','v':l2_chunking},{'k':'vector_storage','v':vector_storage},{'k':'llm_processing','v':llm_processing},{'k':'pdf_generation','v':pdf_generation}]) AS u FROM sessions)""",
+    "emails": """SELECT conv_id * 100 + turn AS email_id, conv_id, turn, ' User' || (conv_id % 50) || '@Example.COM ' AS sender, ['other@example.org', 'U' || (conv_id % 40) || '@in.example.com'] AS recipients,
+        CASE WHEN conv_id % 9 = 0 THEN 'm' || conv_id ELSE 'm' || conv_id || '-' || turn END AS message_id,
+        text || CASE turn % 4 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN chr(10) || '---------- Forwarded message ---------' || chr(10) || text ELSE chr(10) || 'BEGIN forwarded message:' || chr(10) || text END AS body,
+        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(conv_id * 37 + turn) AS received_at FROM conversations WHERE role = 'user'""",
+    "endpoints": "SELECT c_custkey AS user_id, 'u' || c_custkey || '@in.example.com' AS alias, c_custkey % 7 <> 0 AS is_active, CASE WHEN c_custkey % 11 <> 0 THEN 'agent-' || (c_custkey % 5) END AS default_agent FROM customer",
+    "senders": """SELECT c_custkey AS user_id, 'user' || (c_custkey % 50) || '@example.com' AS email, CASE WHEN c_custkey % 3 = 0 THEN 'pending' ELSE 'verified' END AS status, 'tok' || c_custkey AS token,
+        CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE TIMESTAMP '2001-07-01 00:00:00' + to_days(CAST(c_custkey % 60 AS INTEGER)) END AS expires_at FROM customer""",
+    "decisions": """SELECT e.email_id, e.received_at, CASE WHEN e.n > 1 THEN 'duplicate' WHEN p.user_id IS NULL THEN 'unknown_alias' WHEN p.default_agent IS NULL THEN 'invalid_endpoint' WHEN NOT p.is_active THEN 'inactive_alias'
+        WHEN s.user_id IS NULL THEN 'unverified_sender' WHEN p.user_id % 13 = 0 THEN 'credit_limited' WHEN length(e.body) < 40 THEN 'discarded' ELSE 'accepted' END AS decision
+        FROM (SELECT *, lower(trim(sender)) AS who, row_number() OVER (PARTITION BY message_id ORDER BY received_at, email_id) AS n FROM emails) e
+        LEFT JOIN endpoints p ON p.alias IN (lower(e.recipients[1]), lower(e.recipients[2])) LEFT JOIN senders s ON s.user_id = p.user_id AND s.email = e.who AND s.status = 'verified'""",
+    "users": "SELECT c_custkey AS user_id, CASE WHEN c_custkey % 19 = 0 THEN 'blocked' ELSE 'active' END AS status, c_name AS name FROM customer",
+    "orgs": "SELECT n_nationkey AS org_id, n_name AS name, CASE WHEN n_nationkey % 12 = 5 THEN 'blocked' ELSE 'active' END AS status FROM nation",
+    "members": "SELECT c_nationkey AS org_id, c_custkey AS user_id, CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'user' END AS role, CASE WHEN c_custkey % 23 = 0 THEN 'blocked' ELSE 'active' END AS status FROM customer WHERE c_custkey % 4 <> 0",
+    "logins": """SELECT c_custkey AS session_id, c_custkey AS user_id, CASE WHEN c_custkey % 5 = 0 THEN DATE '2001-07-15' END AS revoked_at, DATE '2001-06-01' + CAST(c_custkey % 120 AS INTEGER) AS expires_at FROM customer""",
+    "agents": "SELECT p_partkey AS agent_id, p_partkey % 3 <> 0 AS is_custom, p_partkey % 1500 AS owner_id, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 25 END AS org_id FROM part",
     "email_jobs": """SELECT o_orderkey AS job_id, o_custkey AS user_id, CAST(o_orderdate AS TIMESTAMP) AS created_at,
         CASE WHEN o_orderkey % 10 = 0 THEN 'discarded' WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderstatus = 'O' THEN 'processing' ELSE 'completed' END AS status FROM orders""",
 }
@@ -55,4 +71,8 @@ def with_views(sql: str) -> str:
                         need.append(v)
 
     add(sql)
-    return ("WITH RECURSIVE " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in need) + "\n" + sql) if need else sql
+    if need and sql.startswith("WITH RECURSIVE "):
+        sql, more = "", ", " + sql.removeprefix("WITH RECURSIVE ")
+    else:
+        more = ""
+    return ("WITH RECURSIVE " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in need) + more + "\n" + sql) if need else sql

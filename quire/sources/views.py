@@ -58,3 +58,47 @@ def email_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("o_orderkey"), F.col("o_orderstatus")
     status = F.when(k % 10 == 0, "discarded").when(s == "P", "pending").when(s == "O", "processing").otherwise("completed")
     return table(spark, sf_dir, "orders").select(k.alias("job_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"), status.alias("status"))
+
+
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, i, t = table(spark, sf_dir, "conversations").where("role = 'user'"), F.col("conv_id"), F.col("turn")
+    forward = F.when(t % 4 == 2, F.concat(F.lit("\n---------- Forwarded message ---------\n"), "text")).when(t % 4 == 3, F.concat(F.lit("\nBEGIN forwarded message:\n"), "text")).otherwise("")
+    mid = F.when(i % 9 == 0, F.concat(F.lit("m"), i)).otherwise(F.concat(F.lit("m"), i, F.lit("-"), t))
+    at = F.timestamp_micros((F.lit(1704067200) + (i * 37 + t) * 60) * 1_000_000).cast("timestamp_ntz")
+    to = F.array(F.lit("other@example.org"), F.concat(F.lit("U"), (i % 40).cast("string"), F.lit("@in.example.com")))
+    return c.select((i * 100 + t).alias("email_id"), "conv_id", "turn", F.concat(F.lit(" User"), (i % 50).cast("string"), F.lit("@Example.COM ")).alias("sender"), to.alias("recipients"), mid.alias("message_id"), F.concat("text", forward).alias("body"), at.alias("received_at"))
+
+
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("user_id"), F.concat(F.lit("u"), k, F.lit("@in.example.com")).alias("alias"), (k % 7 != 0).alias("is_active"), F.when(k % 11 != 0, F.concat(F.lit("agent-"), k % 5)).alias("default_agent"))
+
+
+def senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    expires = F.when(k % 6 != 0, F.date_add(F.lit("2001-07-01").cast("date"), (k % 60).cast("int")).cast("timestamp_ntz"))
+    return table(spark, sf_dir, "customer").select(k.alias("user_id"), F.concat(F.lit("user"), k % 50, F.lit("@example.com")).alias("email"), F.when(k % 3 == 0, "pending").otherwise("verified").alias("status"), F.concat(F.lit("tok"), k).alias("token"), expires.alias("expires_at"))
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("user_id"), F.when(k % 19 == 0, "blocked").otherwise("active").alias("status"), F.col("c_name").alias("name"))
+
+
+def orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("org_id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 12 == 5, "blocked").otherwise("active").alias("status"))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").where(k % 4 != 0).select(F.col("c_nationkey").alias("org_id"), k.alias("user_id"), F.when(k % 10 == 0, "admin").otherwise("user").alias("role"), F.when(k % 23 == 0, "blocked").otherwise("active").alias("status"))
+
+
+def logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("session_id"), k.alias("user_id"), F.when(k % 5 == 0, F.lit("2001-07-15").cast("date")).alias("revoked_at"), F.date_add(F.lit("2001-06-01").cast("date"), (k % 120).cast("int")).alias("expires_at"))
+
+
+def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(k.alias("agent_id"), (k % 3 != 0).alias("is_custom"), (k % 1500).alias("owner_id"), F.when(k % 5 != 0, k % 25).alias("org_id"))
