@@ -1 +1,146 @@
-"""Streaming queries (registered on import)."""
+"""Streams over the events table. Each query runs to the end of its input with an availableNow trigger and gives what the sink holds."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from quire.operators.intake import normalize_email
+from quire.operators.usage import DEFAULT_PRICE, PRICES
+from quire.plans.registry import query
+from quire.sources.views import endpoints, table
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-stream-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream. Its time has no zone, which watermarks refuse, so it becomes a timestamp."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    spark = stream.sparkSession
+    where = _folder(spark, name)
+    q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start(f"{where}/out")
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/out")
+
+
+def cost():
+    model = F.concat(F.lit("model-"), (F.col("event_id") % 5).cast("string"))
+    price = lambda i: F.coalesce(*[F.when(model == p[0], float(p[i])) for p in PRICES], F.lit(float(DEFAULT_PRICE[i - 1])))
+    return (F.floor(F.col("value") * 1000) * price(1) + F.floor(F.col("value") * 100) * price(2)) / 1_000_000
+
+
+@query("stream_usage")
+def stream_usage(spark, d):
+    """Cost per user and day; days close a day behind the latest event."""
+    rows = events(spark, d).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "user_id").agg(F.round(F.sum(cost()), 6).alias("cost"), F.count(F.lit(1)).alias("calls"))
+    return drained(rows.select(F.col("window.start").alias("day"), "user_id", "cost", "calls"), "stream-usage")
+
+
+@query("stream_rate_limit")
+def stream_rate_limit(spark, d):
+    """Calls of the trailing 24 hours, hour by hour."""
+    rows = events(spark, d).withWatermark("ts", "1 hour").groupBy(F.window("ts", "24 hours", "1 hour"), "user_id").agg(F.count_if(F.col("event_type") != "error").alias("n"))
+    return drained(rows.select(F.col("window.end").alias("until"), "user_id", "n", (F.col("n") < 20).alias("allowed")), "stream-rate")
+
+
+@query("stream_dedup")
+def stream_dedup(spark, d):
+    """Repeated message ids drop out while the watermark holds their state."""
+    rows = events(spark, d).withColumn("message_id", F.col("event_id") % 9000).withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["message_id"])
+    return drained(rows.select("message_id", "event_id", "ts"), "stream-dedup")
+
+
+@query("stream_intake")
+def stream_intake(spark, d):
+    """New messages meet the known aliases, and accepted ones are appended as jobs, batch by batch."""
+    known = endpoints(spark, d).select("alias", "user_id", "is_active")
+    where = _folder(spark, "stream-intake")
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("alias", normalize_email(F.concat(F.lit(" U"), F.col("user_id").cast("string"), F.lit("@in.example.com "))))
+        rows = rows.drop("user_id").join(known, "alias", "left")
+        decision = F.when(F.col("user_id").isNull(), "unknown_alias").when(~F.col("is_active"), "inactive_alias").otherwise("accepted")
+        out = rows.select("event_id", "user_id", decision.alias("decision"))
+        out.write.mode("overwrite").parquet(f"{where}/jobs/batch={number}")  # a batch that runs again replaces its own rows
+
+    q = events(spark, d).writeStream.foreachBatch(put).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{where}/jobs").drop("batch")
+
+
+def _month(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Month-to-date cost and level of one user; starts anew with each month."""
+    month, used = state.get if state.exists else ("", 0.0)
+    for pdf in pdfs:
+        out = []
+        for row in pdf.sort_values(["ts", "event_id"]).itertuples():
+            own = f"{row.ts:%Y-%m}"
+            used = row.cost + (used if own == month else 0.0)
+            month = own
+            share = used / 15 * 100
+            out.append((key[0], row.event_id, month, round(used, 6), 3 if share >= 100 else 2 if share >= 90 else 1 if share >= 70 else 0))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "month", "used", "level"])
+    state.update((month, used))
+
+
+@query("stream_quota_state")
+def stream_quota_state(spark, d):
+    rows = events(spark, d).select("user_id", "event_id", "ts", cost().alias("cost"))
+    out = rows.groupBy("user_id").applyInPandasWithState(_month, "user_id long, event_id long, month string, used double, level int", "month string, used double", "append", GroupStateTimeout.NoTimeout)
+    return drained(out, "stream-quota")
+
+
+def _bucket(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """100 credits an hour from first use; a refused call costs nothing."""
+    since, left = state.get if state.exists else (0, 100)
+    for pdf in pdfs:
+        out = []
+        for row in pdf.sort_values(["us", "event_id"]).itertuples():
+            if not since or row.us - since > 3_600_000_000:
+                since, left = row.us, 100
+            ok = left >= row.cost
+            left -= row.cost if ok else 0
+            out.append((key[0], row.event_id, bool(ok)))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "granted"])
+    state.update((int(since), int(left)))
+
+
+@query("stream_credit_bucket")
+def stream_credit_bucket(spark, d):
+    rows = events(spark, d).select("user_id", "event_id", F.unix_micros("ts").alias("us"), (F.col("event_id") % 60).alias("cost"))
+    out = rows.groupBy("user_id").applyInPandasWithState(_bucket, "user_id long, event_id long, granted boolean", "since long, left long", "append", GroupStateTimeout.NoTimeout)
+    return drained(out, "stream-bucket")
+
+
+def _ttl(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The last event of a key; after two hours of event time without a further one the key expires."""
+    if state.hasTimedOut:
+        last, n = state.get
+        state.remove()
+        yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="us"), n)], columns=["user_id", "last_seen", "n"])
+        return
+    last, n = state.get if state.exists else (0, 0)
+    for pdf in pdfs:
+        last, n = max(last, int(pdf.us.max())), n + len(pdf)
+    state.update((last, n))
+    state.setTimeoutTimestamp(max(last // 1000 + 7_200_000, state.getCurrentWatermarkMs() + 1))
+
+
+@query("stream_ttl")
+def stream_ttl(spark, d):
+    rows = events(spark, d).withWatermark("ts", "10 minutes").select("user_id", "ts", F.unix_micros("ts").alias("us"))
+    out = rows.groupBy("user_id").applyInPandasWithState(_ttl, "user_id long, last_seen timestamp, n long", "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return drained(out, "stream-ttl")
