@@ -36,23 +36,23 @@ def _is_set(bits: Column, slot: Column) -> Column:
     return F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
-def bloom_of_repeated(digests: DataFrame, n_rows: int, max_filter_mb: int) -> tuple[DataFrame, int] | None:
-    """Pass one over a column text_sha256: (blocks of bits set by two rows or more, number of bits)."""
+def bloom_of_repeated(digests: DataFrame, n_rows: int, max_filter_mb: int, name: str = "text_sha256") -> tuple[DataFrame, int] | None:
+    """Pass one over a column of digests: (blocks of bits set by two rows or more, number of bits)."""
     n_bits = max(BLOCK, 1 << math.ceil(math.log2(max(1, n_rows * BITS_PER_ROW))))
     if n_bits > max_filter_mb * 8_000_000:
         return None
-    slots = digests.select(F.explode(_slots(F.col("text_sha256"), n_bits)).alias("slot"))
+    slots = digests.select(F.explode(_slots(F.col(name), n_bits)).alias("slot"))
     twice = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     bits = F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     return staged(twice.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(bits), "bloom"), n_bits
 
 
-def with_maybe(rows: DataFrame, bloom: tuple[DataFrame, int] | None) -> DataFrame:
-    """Pass two: rows (with text_sha256) plus __maybe, false where the hash surely occurs once."""
+def with_maybe(rows: DataFrame, bloom: tuple[DataFrame, int] | None, name: str = "text_sha256") -> DataFrame:
+    """Pass two: rows (with digests) plus __maybe, false where the hash surely occurs once."""
     if bloom is None:
         return rows.withColumn("__maybe", F.lit(True))
     blocks, n_bits = bloom
-    out, maybe = rows.withColumn("__slots", _slots(F.col("text_sha256"), n_bits)), F.lit(True)
+    out, maybe = rows.withColumn("__slots", _slots(F.col(name), n_bits)), F.lit(True)
     for i in (0, 1):
         side = blocks.select(F.col("block").alias(f"__block{i}"), F.col("bits").alias(f"__bits{i}"))
         out = out.withColumn(f"__block{i}", F.bitmap_bucket_number(F.col("__slots")[i])).join(F.broadcast(side), f"__block{i}", "left")
@@ -86,14 +86,14 @@ def exact_dedup(docs: DataFrame, max_filter_mb: int = 64) -> DataFrame:
 
 def kept_documents(docs: DataFrame, max_filter_mb: int = 64) -> DataFrame:
     """The rows of docs that stay, with their own columns. Texts that surely occur once don't shuffle."""
-    marked = docs.withColumn("text_sha256", text_digest())
-    digests = staged(marked.select(F.col("doc_id").cast("long").alias("doc_id"), "text_sha256"), "hashes")
+    marked = docs.withColumn("__sha", text_digest())
+    digests = staged(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__sha").alias("text_sha256")), "hashes")
     bloom = bloom_of_repeated(digests, digests.count(), max_filter_mb)
     more = staged(with_maybe(digests, bloom).where("__maybe").drop("__maybe"), "maybe-repeated")
-    keep = _groups(more).select("text_sha256", F.col("keep_id").alias("__keep"))
-    marked = with_maybe(marked, bloom)
-    stays = marked.where("__maybe").join(keep, "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("__keep")))
-    return marked.where(~F.col("__maybe")).select(*docs.columns).unionByName(stays.dropDuplicates(["text_sha256"]).select(*docs.columns))
+    keep = _groups(more).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
+    marked = with_maybe(marked, bloom, "__sha")
+    stays = marked.where("__maybe").join(keep, "__sha").where(F.col("doc_id").eqNullSafe(F.col("__keep")))
+    return marked.where(~F.col("__maybe")).select(*docs.columns).unionByName(stays.dropDuplicates(["__sha"]).select(*docs.columns))
 
 
 ORACLE = """

@@ -86,11 +86,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0)
     plan = staged(plan, "plan")
     out = rows.alias("r").join(plan.alias("p").hint("merge"), same("r", "p"))
     copies = F.when(F.col("size") > 0, F.least(F.col("copies") + (F.col("h") < F.col("below")).cast("long"), F.lit(int(cap)).cast("long"))).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "h")
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "r.source")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken, with their own columns."""
-    taken = mix(docs, weights, cap).where("copies > 0").select(F.col("doc_id").alias("__id"), "copies").distinct()
-    out = docs.join(staged(taken, "taken").hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The rows of docs that the mix takes, each as often as it is taken, with their own columns.
+
+    A row is known by its doc_id and source, which fix how often it is taken if it has words.
+    """
+    taken = mix(docs, weights, cap).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & F.col("text").rlike(WORD)
+    out = docs.join(staged(taken, "taken").hint("merge"), same)
+    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -64,25 +64,35 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def _suffixes(rows: DataFrame) -> DataFrame:
-    """key, run, doc, at (start of the run, shifted by 16 bits, and its number of strings) of all anchors."""
+    """key, run, doc, at (start of the run, shifted by 16 bits, and its number of strings), known of all anchors.
+
+    Of the same runs that a task sees together, all but the first are known to be repeats: they meet no
+    others, and a key of their own deals them out evenly however common the run is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy()
             for i, data, off in texts(batch.column(1)):
                 text, first, last, _, key, run = anchors(data, off)
-                at = (first - off[text]) << 16 | (last - first + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), pa.array(doc[i + text]), pa.array(at)], names=["key", "run", "doc", "at"])
+                at, d = (first - off[text]) << 16 | (last - first + 1), doc[i + text]
+                both = mix64(key + mix64(run))
+                order = np.lexsort((at, d, both))
+                known = np.zeros(len(order), bool)
+                known[order[1:]] = both[order[1:]] == both[order[:-1]]
+                key = np.where(known, mix64(both + mix64(d.view(np.uint64)) + at.astype(np.uint64)), key)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(run.view(np.int64)), pa.array(d), pa.array(at), pa.array(known)], names=["key", "run", "doc", "at", "known"])
 
-    return rows.select("doc", "text").mapInArrow(run, "key long, run long, doc long, at long")
+    return rows.select("doc", "text").mapInArrow(run, "key long, run long, doc long, at long, known boolean")
 
 
 def repeated_suffixes(rows: DataFrame) -> DataFrame:
     """doc, at, first (the first suffix of its run; else it repeats one) of the suffixes whose gram repeats."""
-    key = W.partitionBy("key")
+    key = W.partitionBy("key", "known")
     order = key.orderBy("run", "doc", "at")
-    out = _suffixes(rows).withColumn("first", F.lag("run").over(order).isNull() | (F.lag("run").over(order) != F.col("run")))
-    out = out.withColumn("several", F.min("run").over(key) != F.max("run").over(key))
+    new = F.lag("run").over(order).isNull() | (F.lag("run").over(order) != F.col("run"))
+    out = _suffixes(rows).withColumn("first", ~F.col("known") & new)
+    out = out.withColumn("several", ~F.col("known") & (F.min("run").over(key) != F.max("run").over(key)))
     return staged(out.where(F.col("several") | ~F.col("first")).select("doc", "at", "first"), "suffixes")
 
 
