@@ -21,8 +21,9 @@ def instruction_text(body: Column, most: int = 2000) -> Column:
     """What stands before the first forward mark; the whole body if that is under 10 characters."""
     low = F.lower(body)
     at = F.least(*[F.nullif(F.instr(low, F.lit(m)), F.lit(0)) for m in FORWARD_MARKS])
-    head = F.trim(F.substring(body, F.lit(1), F.coalesce(at - 1, F.length(body))))
-    return F.substring(F.when(F.length(head) < 10, F.trim(body)).otherwise(head), 1, most)
+    trim = lambda x: F.regexp_replace(x, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    head = trim(F.substring(body, F.lit(1), F.coalesce(at - 1, F.length(body))))
+    return F.substring(F.when(F.length(head) < 10, trim(body)).otherwise(head), 1, most)
 
 
 def match_endpoint(mails: DataFrame, known: DataFrame) -> DataFrame:
@@ -62,10 +63,11 @@ def q_normalize_email(spark, d):
     return emails(spark, d).select("email_id", normalize_email(F.col("sender")).alias("sender"))
 
 
+_WS = "' ' || chr(9) || chr(10) || chr(13)"
 _MARKS = ", ".join(f"nullif(instr(lower(body), '{m}'), 0)" for m in FORWARD_MARKS)
 
 
-@query("instruction_text", f"SELECT email_id, substr(CASE WHEN length(head) < 10 THEN trim(body) ELSE head END, 1, 2000) AS instruction FROM (SELECT email_id, body, trim(substr(body, 1, coalesce(least({_MARKS}) - 1, length(body)))) AS head FROM emails)")
+@query("instruction_text", f"SELECT email_id, substr(CASE WHEN length(head) < 10 THEN trim(body, {_WS}) ELSE head END, 1, 2000) AS instruction FROM (SELECT email_id, body, trim(substr(body, 1, coalesce(least({_MARKS}) - 1, length(body))), {_WS}) AS head FROM emails)")
 def q_instruction_text(spark, d):
     return emails(spark, d).select("email_id", instruction_text(F.col("body")).alias("instruction"))
 

@@ -23,9 +23,12 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream. Its time has no zone, which watermarks refuse, so it becomes a timestamp."""
+    """The events table as a stream. Its time has no zone, which watermarks refuse, so it becomes a timestamp.
+
+    The path is a pattern since a plain one must be a folder.
+    """
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
