@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators.audit import change_span, reports
+from quire.operators.audit import _P, _REPORTS, _S, change_span, reports
 from quire.operators.metrics import LIMITS, last_sessions
-from quire.operators.quotes import normalize_tokens, quote_match_exact, token_similarity, word_boxes
-from quire.operators.text import paginate
+from quire.operators.quotes import _BOXES, normalize_tokens, quote_match_exact, token_similarity, word_boxes
+from quire.operators.text import blocks, paginate, table_line
 from quire.plans.registry import query
-from quire.sources.views import doc_lines, sessions, table
+from quire.sources.views import doc_lines, files, sessions, table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -139,7 +141,9 @@ def fuzzy_page_scan(spark, d):
     return rows.groupBy("doc_id").agg(F.max(ratio).alias("ratio"))
 
 
-@query("audit_segments")
+@query("audit_segments", f"""SELECT conv_id, turn, (i - 1)::INTEGER AS seq, parts[i].k AS kind, parts[i].t AS text FROM (SELECT conv_id, turn, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT conv_id, turn,
+    list_filter([{{'k': 'same', 't': substr(current, 1, p)}}, {{'k': 'deleted', 't': substr(baseline, p + 1, length(baseline) - p - s)}}, {{'k': 'inserted', 't': substr(current, p + 1, length(current) - p - s)}}, {{'k': 'same', 't': substr(current, length(current) - s + 1)}}], lambda x: x.t <> '') AS parts
+    FROM (SELECT *, {_S} AS s FROM (SELECT *, {_P} AS p FROM {_REPORTS}))))""")
 def audit_segments(spark, d):
     """Each changed answer as ordered segments: what stays before, what went, what came, what stays after."""
     start, gone, new = change_span(F.col("baseline"), F.col("current"))
@@ -176,7 +180,8 @@ def scan_pdf_content(spark, d):
     return table(spark, d, "pages").select("page_id", body.startswith("%PDF-").alias("header"), F.right(body, F.lit(1024)).contains("%%EOF").alias("end_mark"), keys.alias("dangerous"))
 
 
-@query("ocr_pages")
+@query("ocr_pages", f"""SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY line_index) AS markdown, greatest(1, length(string_agg(line, chr(10) ORDER BY line_index)) // 4) AS token_count
+    FROM (SELECT doc_id, page_no, line_index, string_agg(text, ' ' ORDER BY word_index) AS line FROM {_BOXES} GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def ocr_pages(spark, d):
     """Words to page records: lines in order, their text and its tokens."""
     words = word_boxes(doc_lines(spark, d))
@@ -209,3 +214,71 @@ def parse_quotes_batch(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.from_json(response, "map<string,string>").alias("m"))
     items = docs.select("doc_id", "m", F.explode(F.array(*[F.lit(f"p{i}") for i in range(3)])).alias("item"))
     return items.select("doc_id", "item", F.trim(F.coalesce(F.try_element_at("m", F.col("item")), F.lit(""))).alias("quote"))
+
+
+def table_reformat(content: Column) -> Column:
+    """A table block with its rows padded to the widest row; a line without a bar becomes a row of dashes."""
+    lines = F.split(content, "\n")
+    width = F.coalesce(F.array_max(F.transform(F.filter(lines, lambda x: x.contains("|")), lambda x: F.length(x))), F.lit(0))
+    return F.array_join(F.transform(lines, lambda x: F.when(x.contains("|"), F.rpad(x, width, F.lit(" "))).otherwise(F.rpad(F.lit(""), width, F.lit("-")))), "\n")
+
+
+@query("table_reformat", """SELECT doc_id, page_no, start_line, array_to_string(list_transform(string_split(content, chr(10)), lambda x: CASE WHEN contains(x, '|') THEN rpad(x, w, ' ') ELSE repeat('-', w) END), chr(10)) AS content FROM (
+    SELECT *, coalesce(list_max(list_transform(list_filter(string_split(content, chr(10)), lambda x: contains(x, '|')), lambda x: length(x))), 0)::INTEGER AS w FROM (SELECT doc_id, page_no, min(line_no) AS start_line, string_agg(line, chr(10) ORDER BY line_no) AS content FROM (
+    SELECT *, sum(CASE WHEN inside THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS run FROM (SELECT *, line_no // 5 + 1 AS page_no, contains(line, '|') OR regexp_full_match(trim(line), '-+') AS inside FROM doc_lines)) WHERE inside GROUP BY doc_id, page_no, run))""")
+def q_table_reformat(spark, d):
+    return blocks(doc_lines(spark, d), table_line(F.col("line"))).select("doc_id", "page_no", "start_line", table_reformat(F.col("content")).alias("content"))
+
+
+#: Elements and attributes that a template may keep.
+SAFE_TAGS = "a|b|body|br|div|em|h[1-6]|head|html|i|img|li|ol|p|span|strong|table|tbody|td|th|thead|title|tr|u|ul"
+SAFE_ATTRIBUTES = "class|colspan|href|id|rowspan|src|style|title"
+
+
+def sanitize_html(html: Column) -> Column:
+    """Active elements go with their content, other elements and attributes unless allowed; comments go but for page breaks."""
+    out = F.regexp_replace(html, r"(?is)<(script|iframe|object|embed|form|svg)\b[^>]*>.*?</\1\s*>", "")
+    out = F.regexp_replace(out, r"(?is)<!--(?!\s*pagebreak\s*-->).*?-->", "")
+    out = F.regexp_replace(out, rf"(?i)</?(?!(?:{SAFE_TAGS})\b)[a-z][^>]*>", "")
+    out = F.regexp_replace(out, rf"(?i)\s(?!(?:{SAFE_ATTRIBUTES})\b)[a-z-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')(?=[^<]*>)", "")
+    return F.regexp_replace(out, r"(?i)javascript:", "")
+
+
+@query("template_sanitize_html")
+def template_sanitize_html(spark, d, most: int = 2_000_000):
+    rows = table(spark, d, "pages").select("page_id", sanitize_html(F.col("html")).alias("html"), F.length("html").between(1, most).alias("valid"))
+    left = F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(r"<([a-z][a-z0-9]*)"), F.lit(1)))
+    return rows.withColumn("tags", F.array_sort(left))
+
+
+def _text_pages(content: str) -> list[str]:
+    lines = content.split("\n")
+    return ["\n".join(lines[i : i + 40]) for i in range(0, len(lines), 40)]
+
+
+PROCESSORS: dict[str, Callable[[str], list[str]]] = {"txt": _text_pages, "doc": _text_pages}
+
+
+def process_files(rows: DataFrame, processors: dict[str, Callable[[str], list[str]]] = PROCESSORS) -> DataFrame:
+    """file_id, page_no, page, error: each file by the processor of its extension; a failure or an unknown extension is a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for file_id, ext, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    if ext not in processors:
+                        raise ValueError(f"no processor for {ext}")
+                    out += [(file_id, i, page, None) for i, page in enumerate(processors[ext](content), 1)]
+                except Exception as e:  # a plug-in may fail in any way
+                    out.append((file_id, 0, None, str(e)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["file_id", "page_no", "page", "error"])
+
+    return rows.mapInArrow(run, "file_id long, page_no int, page string, error string")
+
+
+@query("udtf_processor")
+def udtf_processor(spark, d):
+    ext = F.lower(F.element_at(F.split("name", r"\."), -1))
+    return process_files(files(spark, d).select("file_id", ext.alias("ext"), "content"))
