@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytetext import U, mix64, texts
-from quire.llm.shared import staged
+from quire.llm.shared import in_small_batches, staged
 
 BITS = 16
 SCALE = 100.0
@@ -172,7 +172,7 @@ def language(docs: DataFrame, per_lang: int = 800, shards: int = 3, epochs: int
     judged each for itself.
     """
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     learn = rows.where("lang is not null and doc_id is not null").where(~held_out() & lettered)
     langs = sorted(r[0] for r in learn.select("lang").distinct().collect())
     weights, t, idf = np.zeros((1 << BITS, 1), np.float32), 1.0, np.ones(1 << BITS, np.float32)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 from quire.llm.bytetext import LOWER, U, mix64, prefix_hash, span_hash, texts, words
 from quire.llm.components import components
-from quire.llm.shared import staged
+from quire.llm.shared import in_small_batches, staged
 
 SKETCH_BITS, CHUNK_BITS = 22, 16
 BROADCAST_ROWS = 2_000_000
@@ -49,22 +49,35 @@ def shingles(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """A number for each set: equal sets have equal numbers."""
+    total = np.array([int(mix64(s * U(3)).sum(dtype=np.uint64)) for s in sets], np.uint64)
+    return mix64(total + np.fromiter(map(len, sets), np.uint64, len(sets))).view(np.int64)
+
+
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     """Rows of two kinds: per text its class (node) and set size; per task and chunk its counts of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch, waiting, size_waiting = np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
+
+        def count() -> None:
+            np.add.at(sketch, np.concatenate(waiting), np.uint32(1))
+            waiting.clear()
+
         for batch in batches:
             for i, data, off in texts(batch.column(2)):
                 sets = shingles(data, off, n)
-                if sets:
-                    every = np.concatenate(sets)
-                    sketch += np.bincount((every >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                waiting.append((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int32))
+                size_waiting += len(waiting[-1])
+                if size_waiting > 1 << 20:
+                    count()
+                    size_waiting = 0
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
-                node = np.array([int(mix64(s * U(3)).sum(dtype=np.uint64)) for s in sets], np.uint64)
-                node = mix64(node + size.astype(np.uint64)).view(np.int64)
                 own = batch.slice(i, len(sets))
-                yield _first(own.column(0), own.column(1), pa.array(size), pa.array(node), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()))
+                yield _first(own.column(0), own.column(1), pa.array(size), pa.array(_names(sets)), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary()))
+        if waiting:
+            count()
         step = 1 << CHUNK_BITS
         for c in range(len(sketch) // step):
             part = sketch[c * step : (c + 1) * step]
@@ -110,9 +123,10 @@ def _prefixes(rows: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            for i, data, off in texts(batch.column(1)):
+            for _, data, off in texts(batch.column(0)):
                 token, node, size, pos = [], [], [], []
-                for s, name in zip(shingles(data, off, n), batch.column(0).slice(i, len(off) - 1).to_numpy().tolist(), strict=True):
+                sets = shingles(data, off, n)
+                for s, name in zip(sets, _names(sets).tolist(), strict=True):
                     if not len(s):
                         continue
                     rare = counts[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
@@ -125,7 +139,7 @@ def _prefixes(rows: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
                 if token:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in token], node, size, pos)], names=["token", "node", "size", "pos"])
 
-    return rows.select("node", "text").mapInArrow(run, "token long, node long, size long, pos long")
+    return rows.select("text").mapInArrow(run, "token long, node long, size long, pos long")
 
 
 def _passes(percent: int, s1: str, p1: str, s2: str, p2: str) -> Column:
@@ -176,7 +190,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     other. Rows that repeat a doc_id are texts like others. A null doc_id is never a component_id unless no
     other reaches it. No rows give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     first = _first_pass(rows, n)
     sets = first.where("chunk is null").drop("chunk", "counts")
     full = sets.where("n_shingles > 0")
@@ -199,15 +213,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def _node_of(standing: DataFrame, n: int) -> DataFrame:
-    """node, text of standing rows."""
+    """node, text of standing rows. Nothing in Python follows in the same stage, which would double its workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, data, off in texts(batch.column(0)):
                 sets = shingles(data, off, n)
-                node = np.array([int(mix64(s * U(3)).sum(dtype=np.uint64)) for s in sets], np.uint64)
-                node = mix64(node + np.fromiter(map(len, sets), np.uint64, len(sets))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).slice(i, len(sets))], names=["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(_names(sets)), batch.column(0).slice(i, len(sets))], names=["node", "text"])
 
     return standing.select("text").mapInArrow(run, "node long, text string")
 
@@ -215,7 +227,7 @@ def _node_of(standing: DataFrame, n: int) -> DataFrame:
 def _links(standing: DataFrame, sketch: np.ndarray, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(links, labels): links that were found, and the component of each node that has one."""
     noded = _node_of(standing, n)
-    prefixes = _prefixes(noded, sketch, n, percent)
+    prefixes = _prefixes(standing, sketch, n, percent)
     group = W.partitionBy("token")
     central = F.first(F.struct("node", "size", "pos")).over(group.orderBy("pos", "node").rowsBetween(W.unboundedPreceding, 0))
     live = prefixes.withColumn("c", central).withColumn("more", (F.lag("node").over(group.orderBy("pos", "node")).isNotNull()) | (F.lead("node").over(group.orderBy("pos", "node")).isNotNull()))

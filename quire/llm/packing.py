@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.shared import staged
+from quire.llm.shared import in_small_batches, staged
 from quire.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -172,5 +172,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     Null and empty texts are one piece that holds the end id only. Rows that repeat a doc_id are packed each
     for itself. No rows give no rows. Every piece lies in one sequence, and offsets leave no gap from 0.
     """
-    made = staged(pieces(docs, capacity, tokenizer), "pieces")
+    made = staged(pieces(in_small_batches(docs), capacity, tokenizer), "pieces")
     return pack_pieces(made if with_ids else made.drop("ids"), capacity)

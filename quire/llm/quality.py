@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytetext import U, mix64, prefix_hash, span_hash, texts, words
-from quire.llm.shared import new_folder, staged
+from quire.llm.shared import in_small_batches, new_folder, staged
 
 ORDER = 5
 SHARD_ROWS = 4_000_000
@@ -61,10 +61,10 @@ def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 keys.append(k)
                 counts.append(n)
                 size += len(k)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     k, n = summed()
                     keys, counts, size = [k], [n], len(k)
-                    if size > 2_000_000:  # hand over what would not stay small
+                    if size > 1_000_000:  # hand over what would not stay small
                         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
                         keys, counts, size = [], [], 0
         if keys:
@@ -216,7 +216,7 @@ _SCORED = "doc_id long, lang string, row_hash long, n_words long, word_chars lon
 
 def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """The rules' counts and log_ppl (log2 of the perplexity a byte; null below `order` bytes) per row of docs."""
-    grams = count_grams(docs, order)
+    grams = count_grams(in_small_batches(docs), order)
     files = store(kneser_ney(grams, order), new_folder(docs.sparkSession, "model"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

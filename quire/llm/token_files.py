@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.shared import n_parts, new_folder, staged
+from quire.llm.shared import in_small_batches, n_parts, new_folder, staged
 from quire.llm.tokens import encoder, tokenizer_path
 
 SEQ_LEN, BATCH_ROWS = 2048, 256
@@ -118,7 +118,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_
         if out:
             out.close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(n_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(rows.mapInArrow(run, _INDEX), "token-index")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from quire.llm.bytetext import prefix_hash, span_hash, texts
 
 END_ID = 0
-CACHE = 2_000_000  # pieces; about 30 bytes each
+CACHE = 1_000_000  # pieces; about 30 bytes each
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 _LETTER = np.zeros(256, bool)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytetext import LOWER, U, mix64, prefix_hash, span_hash, texts
-from quire.llm.shared import staged
+from quire.llm.shared import in_small_batches, staged
 
 PREFIXES = (6, 5, 4)
 _LETTER = np.zeros(256, bool)
@@ -173,7 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 40_000, thresh
     texts, and texts without scoring words, score near 0. A doc_id with several labels counts as toxic if one is.
     Without labels of both classes no score passes the threshold. Rows that repeat a doc_id are scored each for itself.
     """
-    train = staged(training_rows(docs, labels, per_class), "training")
+    train = staged(training_rows(in_small_batches(docs), labels, per_class), "training")
     table = token_scores(train.where("fold > 0"))
     k, lam = tail(train.where("fold = 0"), table)
     table = token_scores(train)
