@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.llm.bytetext import U, mix64, prefix_hash, span_hash, texts, window_hash
-from quire.llm.shared import global_row_number, n_parts, staged
+from quire.llm.shared import global_row_number, in_small_batches, n_parts, staged
 
 LENGTH, GRAM, LEAD = 100, 50, 16
 BROADCAST_ROWS = 2_000_000
@@ -196,16 +196,16 @@ def _bucket_repeats(opened: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, "doc long, start long, end long")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """doc (a number that orders documents), doc_id, text, hash. doc is the doc_id unless it repeats."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc, doc_id, text; whether doc repeats). doc is a number that orders documents: the doc_id unless that repeats."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if rows.groupBy("doc").count().where("count > 1").isEmpty():
-        return rows
+        return rows, False
     hashed = rows.withColumn("__h", F.xxhash64("text"))
     distinct = hashed.select("doc", "__h").distinct().withColumn("__k", F.struct("doc", "__h"))
     number = staged(global_row_number(distinct, "__k", "__n", "numbers").select(F.col("doc").alias("__d"), F.col("__h").alias("__t"), "__n"), "numbers")
     both = hashed.join(number.hint("merge"), (F.col("doc") == F.col("__d")) & (F.col("__h") == F.col("__t")))
-    return staged(both.select(F.col("__n").cast("long").alias("doc"), "doc_id", "text"), "numbered")
+    return staged(both.select(F.col("__n").cast("long").alias("doc"), "doc_id", "text"), "numbered"), True
 
 
 def _copies(rows: DataFrame) -> DataFrame:
@@ -222,10 +222,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     a doc_id with its text are one document, and each gets its result. A null doc_id comes before all others.
     No rows give no rows.
     """
-    rows = _numbered(docs)
+    rows, repeat = _numbered(in_small_batches(docs))
     copies = _copies(rows)
     copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies.hint("merge")
     fresh = rows.join(copies, "doc", "left_anti")
+    fresh = fresh.dropDuplicates(["doc"]) if repeat else fresh
     suffixes = repeated_suffixes(fresh)
     found = _bucket_repeats(_open_runs(fresh, suffixes))
     start = F.shiftright("at", 16)
