@@ -4,7 +4,8 @@ Each source's target is its share of all words, capped at three times the source
 taken floor(ratio) times, and once more if its hash lies below the source's threshold. The threshold
 comes from a histogram: words summed by source and hash bucket, the buckets that fit the budget whole,
 and a finer histogram of the one boundary bucket, LEVELS times. Nothing is sorted; thresholds of
-smaller budgets lie below those of larger ones, so mixes nest.
+smaller budgets lie below those of larger ones, so mixes nest but for one document a source, which closes
+the gap that the last whole document leaves.
 """
 
 from __future__ import annotations
@@ -82,10 +83,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0)
     edge = rows.alias("r").join(plan.alias("p").hint("merge"), same("r", "p")).where(F.shiftright("h", width) == F.shiftright("low", width))
     edge = edge.groupBy("p.source").agg(F.sum("size").alias("words"))
     more = F.coalesce(F.col("words") <= 2 * (F.col("want") - F.col("have")), F.lit(False))
-    plan = plan.alias("p").join(edge.alias("e"), same("p", "e"), "left").select("p.source", "source_size", "target", "copies", F.when(more, F.col("low") + (1 << width)).otherwise(F.col("low")).alias("below"))
-    plan = staged(plan, "plan")
+    plan = plan.alias("p").join(edge.alias("e"), same("p", "e"), "left").select(
+        "p.source", "source_size", "target", "copies", F.when(more, F.col("low") + (1 << width)).otherwise(F.col("low")).alias("below"),
+        (F.col("want") - F.col("have") - F.when(more, F.col("words")).otherwise(0)).alias("gap"),
+    )
+    plan = staged(plan, "thresholds")
+    # One document above the threshold closes what is left of the gap, the one whose size comes nearest.
+    off = F.abs(F.col("size") - F.col("gap"))
+    rest = rows.alias("r").join(plan.alias("p").hint("merge"), same("r", "p")).where((F.col("h") >= F.col("below")) & (F.col("size") > 0) & (off < F.abs("gap")))
+    nearest = rest.groupBy("p.source").agg(F.min_by("h", F.struct(off.alias("off"), "h")).alias("also"))
+    plan = staged(plan.alias("p").join(nearest.alias("n"), same("p", "n"), "left").select("p.*", "also"), "plan")
     out = rows.alias("r").join(plan.alias("p").hint("merge"), same("r", "p"))
-    copies = F.when(F.col("size") > 0, F.least(F.col("copies") + (F.col("h") < F.col("below")).cast("long"), F.lit(int(cap)).cast("long"))).otherwise(0)
+    once_more = (F.col("h") < F.col("below")) | F.coalesce(F.col("h") == F.col("also"), F.lit(False))
+    copies = F.when(F.col("size") > 0, F.least(F.col("copies") + once_more.cast("long"), F.lit(int(cap)).cast("long"))).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "r.source")
 
 
