@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from quire.llm.shared import WORD, global_row_number, staged
 
+BROADCAST_ROWS = 100_000  # sources whose plan is sent to all tasks; with more, rows and plan are merged
 BITS, LEVELS = 12, 4  # bits of the hash that one histogram looks at; histograms
 
 
@@ -59,12 +60,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0)
     # have: words taken below the boundary bucket; want: words of the once-more part; low: hash where the bucket begins.
     plan = plan.withColumn("want", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("have", F.lit(0).cast("long")).withColumn("low", F.lit(0).cast("long"))
     plan = staged(plan, "plan-0")
+    few = plan.count() <= BROADCAST_ROWS
+    side = lambda x: (F.broadcast(x) if few else x.hint("merge")).alias("p")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     inside = rows.select("source", "h", "size")
     for level in range(LEVELS):
         if level:
             width = 60 - BITS * level
-            inside = rows.alias("r").join(plan.alias("p").hint("merge"), same("r", "p")).where(F.shiftright("h", width) == F.shiftright("low", width)).select("r.source", "h", "size")
+            inside = rows.alias("r").join(side(plan), same("r", "p")).where(F.shiftright("h", width) == F.shiftright("low", width)).select("r.source", "h", "size")
         sums = inside.groupBy("source", _bucket(level).alias("b")).agg(F.sum("size").alias("words"))
         order = W.partitionBy("source").orderBy("b")
         sums = sums.withColumn("upto", F.sum("words").over(order)).alias("s")
@@ -80,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0)
         plan = staged(plan, f"plan-{level + 1}")
     # The last boundary bucket holds one document, or a few of one hash: take it if that comes nearer.
     width = 60 - BITS * LEVELS
-    edge = rows.alias("r").join(plan.alias("p").hint("merge"), same("r", "p")).where(F.shiftright("h", width) == F.shiftright("low", width))
+    edge = rows.alias("r").join(side(plan), same("r", "p")).where(F.shiftright("h", width) == F.shiftright("low", width))
     edge = edge.groupBy("p.source").agg(F.sum("size").alias("words"))
     more = F.coalesce(F.col("words") <= 2 * (F.col("want") - F.col("have")), F.lit(False))
     plan = plan.alias("p").join(edge.alias("e"), same("p", "e"), "left").select(
@@ -90,10 +93,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0)
     plan = staged(plan, "thresholds")
     # One document above the threshold closes what is left of the gap, the one whose size comes nearest.
     off = F.abs(F.col("size") - F.col("gap"))
-    rest = rows.alias("r").join(plan.alias("p").hint("merge"), same("r", "p")).where((F.col("h") >= F.col("below")) & (F.col("size") > 0) & (off < F.abs("gap")))
+    rest = rows.alias("r").join(side(plan), same("r", "p")).where((F.col("h") >= F.col("below")) & (F.col("size") > 0) & (off < F.abs("gap")))
     nearest = rest.groupBy("p.source").agg(F.min_by("h", F.struct(off.alias("off"), "h")).alias("also"))
     plan = staged(plan.alias("p").join(nearest.alias("n"), same("p", "n"), "left").select("p.*", "also"), "plan")
-    out = rows.alias("r").join(plan.alias("p").hint("merge"), same("r", "p"))
+    out = rows.alias("r").join(side(plan), same("r", "p"))
     once_more = (F.col("h") < F.col("below")) | F.coalesce(F.col("h") == F.col("also"), F.lit(False))
     copies = F.when(F.col("size") > 0, F.least(F.col("copies") + once_more.cast("long"), F.lit(int(cap)).cast("long"))).otherwise(0)
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "r.source")
