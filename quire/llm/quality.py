@@ -6,17 +6,22 @@ Each order is stored in the shared folder as sorted arrays of n-gram keys (a byt
 key, so keys never collide) beside log-probabilities; tasks map these files. A text is scored by its mean
 log-probability a byte. Bands are set per language, `fence` interquartile ranges below the first and above
 the third quartile of log-perplexity; texts outside are rejected.
+
+Five bytes see neither made-up words of usual syllables nor marks put after each word, so a second
+perplexity, a word, has a band of its own. Words are keyed by a 63-bit hash of their bytes and the half of
+the corpus that they stand in; a text is scored by the counts of the other half, so that it doesn't make its
+own words likely. Halves follow a hash of the text: equal texts are in one.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytetext import U, mix64, prefix_hash, span_hash, texts, words
@@ -45,35 +50,78 @@ def _grams(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return key[at], at
 
 
-def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, n) over all texts."""
+def _counted(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> DataFrame:
+    """(key, n) over all that keys() gives for the batches of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, size = [], [], 0
+        made, counts, size = [], [], 0
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
-            k, back = np.unique(np.concatenate(keys), return_inverse=True)
+            k, back = np.unique(np.concatenate(made), return_inverse=True)
             return k, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
         for batch in batches:
-            for _, data, off in texts(batch.column(0)):
-                k, n = np.unique(_grams(data, off, order)[0], return_counts=True)
-                keys.append(k)
+            for key in keys(batch):
+                k, n = np.unique(key, return_counts=True)
+                made.append(k)
                 counts.append(n)
                 size += len(k)
                 if size > 1_500_000:
                     k, n = summed()
-                    keys, counts, size = [k], [n], len(k)
+                    made, counts, size = [k], [n], len(k)
                     if size > 1_000_000:  # hand over what would not stay small
                         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
-                        keys, counts, size = [], [], 0
-        if keys:
+                        made, counts, size = [], [], 0
+        if made:
             k, n = summed()
             for i in range(0, len(k), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 18)]), pa.array(n[i : i + (1 << 18)])], names=["key", "n"])
 
-    made = docs.select("text").mapInArrow(run, "key long, n long")
-    return staged(made.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, n) over all texts."""
+    made = _counted(docs.select("text"), lambda batch: (_grams(data, off, order)[0] for _, data, off in texts(batch.column(0))))
+    return staged(made, "grams")
+
+
+def _half() -> Column:
+    return F.pmod(F.xxhash64("text"), F.lit(2)).cast("long")
+
+
+def _word_keys(data: np.ndarray, off: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words in their texts' halves (the last bit), and the number of words before each text."""
+    starts, ends, at = words(data, off)
+    key = span_hash(prefix_hash(data), starts, ends) & ~U(1) | np.repeat(half, np.diff(at)).astype(np.uint64)
+    return key.view(np.int64), at
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(key, n) over the words of all texts."""
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        half = batch.column(1).to_numpy()
+        for i, data, off in texts(batch.column(0)):
+            yield _word_keys(data, off, half[i : i + len(off) - 1])[0]
+
+    return staged(_counted(docs.select("text", _half().alias("half")), keys), "words")
+
+
+def word_model(counts: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(key, p, back) with discounted counts of each half, and log2 of a new word's share in each (NaN where a half has no words)."""
+    half = F.col("key").bitwiseAND(F.lit(1))
+    size = counts.select(F.shiftright("key", 1).alias("w")).distinct().count()
+    p, new = F.lit(None).cast("double"), [float("nan")] * 2
+    for h in (0, 1):
+        own = counts.where(half == h)
+        disc = F.element_at(F.array(*map(F.lit, _discounts(own))), F.least("n", F.lit(3)).cast("int"))
+        row = own.agg(F.sum("n").alias("total"), F.sum(disc).alias("held")).first()
+        if row["total"]:
+            rest = row["held"] / row["total"] / size
+            new[h] = float(np.log2(rest))
+            p = F.when(half == h, (F.col("n") - disc) / row["total"] + rest).otherwise(p)
+    return counts.select("key", p.alias("p"), F.lit(None).cast("double").alias("back")), new
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -160,6 +208,10 @@ class Model:
                 out[a:b] = np.where(arr[0][at] == keys[a:b], arr[what][at], np.nan)
         return out
 
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Of distinct ascending keys, by the first order alone; NaN where absent."""
+        return self._find(0, keys, 1) if len(self.levels[0][0]) else np.full(len(keys), np.nan, np.float32)
+
     def log2p(self, keys: np.ndarray) -> np.ndarray:
         """Of distinct ascending keys of the highest order: by the longest gram that the model has."""
         out, todo, weight = np.zeros(len(keys), np.float32), np.arange(len(keys)), np.zeros(len(keys), np.float32)
@@ -211,19 +263,24 @@ def _rules(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     return [np.diff(at), np.diff(word_chars[at]), np.diff(symbols[off]), lines, np.diff(upto(repeat[:-1])[at])]
 
 
-_SCORED = "doc_id long, lang string, row_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+_SCORED = "doc_id long, lang string, row_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double, log_ppl_word double"
 
 
 def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """The rules' counts and log_ppl (log2 of the perplexity a byte; null below `order` bytes) per row of docs."""
+    """The rules' counts, log_ppl (log2 of the perplexity a byte; null below `order` bytes) and log_ppl_word per row of docs.
+
+    log_ppl_word is null where a text, or the half that it isn't in, has no words.
+    """
     grams = count_grams(in_small_batches(docs), order)
     files = store(kneser_ney(grams, order), new_folder(docs.sparkSession, "model"))
+    level, new = word_model(count_words(docs))
+    word_files = store([level], new_folder(docs.sparkSession, "words"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if str(files) not in _models:
             _models.clear()
-            _models[str(files)] = Model(files)
-        model = _models[str(files)]
+            _models[str(files)] = Model(files), Model(word_files)
+        model, by_word = _models[str(files)]
         for batch in batches:
             for i, data, off in texts(batch.column(3)):
                 n = len(off) - 1
@@ -233,30 +290,41 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 cut = np.searchsorted(at, off)
                 size = np.diff(cut)
                 ppl = np.where(size > 0, -np.diff(upto[cut]) / np.maximum(size, 1), np.nan)
+                half = batch.column(4).slice(i, n).to_numpy()
+                uniq, back = np.unique((word := _word_keys(data, off, 1 - half))[0], return_inverse=True)
+                got = by_word.find(uniq)[back]
+                got = np.where(np.isnan(got), np.array(new)[uniq & 1][back], got)
+                n_words = np.diff(word[1])
+                upto = np.concatenate([[0.0], np.cumsum(np.nan_to_num(got), dtype=np.float64)])
+                none = (n_words == 0) | np.isnan(np.array(new))[1 - half]
+                word_ppl = np.where(none, np.nan, -np.diff(upto[word[1]]) / np.maximum(n_words, 1))
                 own = batch.slice(i, n)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), *(pa.array(x, pa.int64()) for x in _rules(data, off)), pa.array(ppl, mask=size == 0)], names=[x.split()[0] for x in _SCORED.split(", ")])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), *(pa.array(x, pa.int64()) for x in _rules(data, off)), pa.array(ppl, mask=size == 0), pa.array(word_ppl, mask=none)], names=[x.split()[0] for x in _SCORED.split(", ")])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text", "lang").alias("row_hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64("text", "lang").alias("row_hash"), "text", _half().alias("half"))
     return staged(rows.mapInArrow(run, _SCORED), "scored")
 
 
-def quality(docs: DataFrame, order: int = ORDER, fence: float = 3.0, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
-    """One row per row of docs: doc_id, lang, the rules' counts, base_failed, kept, log_ppl, low, high.
+def quality(docs: DataFrame, order: int = ORDER, fence: float = 3.0, min_words: int = 50, max_repeat: float = 0.5, word_fence: float = 2.0) -> DataFrame:
+    """One row per row of docs: doc_id, lang, the rules' counts, base_failed, kept, log_ppl, log_ppl_word, low, high, low_word, high_word.
 
     Null text has no words. base_failed: fewer than min_words words, or more than max_repeat of them in
-    repeated 3-word windows. The others are kept if log_ppl lies in their language's band, which is set by
-    the documents of that language that pass the base rules; a null lang is a language of its own. Rows that
-    repeat a doc_id are judged each for itself. No rows give no rows.
+    repeated 3-word windows. The others are kept if log_ppl and log_ppl_word (unless null) lie in their
+    language's bands, which are set by the documents of that language that pass the base rules; a null lang is
+    a language of its own. Rows that repeat a doc_id are judged each for itself. No rows give no rows.
     """
     rows = scored(docs, order)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    cut = F.percentile_approx("log_ppl", [0.25, 0.75], 1000)
-    bands = rows.where(~F.col("base_failed")).groupBy("lang").agg(cut.alias("q"))
-    wide = F.col("q")[1] - F.col("q")[0]
-    bands = staged(bands.select(F.col("lang").alias("__lang"), (F.col("q")[0] - fence * wide).alias("low"), (F.col("q")[1] + fence * wide).alias("high")), "bands")
+    cut = lambda c: F.percentile_approx(c, [0.25, 0.75], 1000)
+    bands = rows.where(~F.col("base_failed")).groupBy("lang").agg(cut("log_ppl").alias("q"), cut("log_ppl_word").alias("w"))
+    end = lambda q, i, fence: F.col(q)[i] + (2 * i - 1) * fence * (F.col(q)[1] - F.col(q)[0])
+    ends = [end(*x).alias(name) for x, name in ((("q", 0, fence), "low"), (("q", 1, fence), "high"), (("w", 0, word_fence), "low_word"), (("w", 1, word_fence), "high_word"))]
+    bands = staged(bands.select(F.col("lang").alias("__lang"), *ends), "bands")
     out = rows.join(bands.hint("merge"), F.col("lang").eqNullSafe(F.col("__lang")), "left").drop("__lang")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False)))
+    usual = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False))
+    usual &= F.col("log_ppl_word").isNull() | F.col("log_ppl_word").between(F.col("low_word"), F.col("high_word"))
+    return out.withColumn("kept", ~F.col("base_failed") & usual)
 
 
 def good_documents(docs: DataFrame) -> DataFrame:

@@ -126,6 +126,25 @@ def test_perplexity_rejects_noise(spark):
     assert not got[1000] and sum(got.values()) >= 297
 
 
+def test_word_perplexity_rejects_symbols_and_made_up_words(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 120), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(w + rng.choice([" ###", " $$$", ""]) for w in prose(rng, 120).split()), "en") for i in range(8)]
+    parts = [w[i : i + 3] for w in WORDS for i in range(0, len(w), 3)]
+    rows += [(2000 + i, " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(120)), "en") for i in range(8)]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fence=1e9).collect()
+    assert not any(g.kept for g in got if g.doc_id >= 1000) and sum(g.kept for g in got) >= 297
+    counts = quality.count_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert counts.agg(F.sum("n")).first()[0] == sum(len(W.findall(r[1])) for r in rows)
+    p, new = quality.word_model(counts)
+    size = counts.select(F.shiftright("key", 1)).distinct().count()
+    for h in (0, 1):  # known words and new ones share 1
+        row = p.where(F.col("key").bitwiseAND(F.lit(1)) == h).agg(F.sum("p"), F.count("p")).first()
+        assert abs(row[0] + (size - row[1]) * 2 ** new[h] - 1) < 1e-9
+    one = quality.quality(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string")).first()
+    assert one.kept and one.log_ppl_word is None
+
+
 def brute_removed(rows):
     """Per (doc_id, text): removed byte flags, over distinct documents in order."""
     out, seen = {}, set()
