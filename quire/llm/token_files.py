@@ -106,9 +106,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = out or ShardWriter(file, seq_len, batch_rows, encoder(path).lib.get_vocab_size())
+            out = out or ShardWriter(file, seq_len, batch_rows, encoder(path, literal=False).lib.get_vocab_size())
             at, n = [], []
-            for _, ids in encoder(path).column(batch.column(1)):
+            for _, ids in encoder(path, literal=False).column(batch.column(1)):
                 at.append(out.n)
                 n.append(len(ids))
                 out.add(ids)

@@ -3,7 +3,8 @@
 A byte-level BPE splits a text into pretokens first, and never merges across their borders. Two kinds of
 border can be seen in the bytes: before a single blank or line end between two non-blank characters, and
 before a mark [.,;:!?] after a Latin letter. Pieces between such borders are looked up by a 64-bit hash;
-those not seen before go through the library, plain Latin words through its BPE model alone.
+those not seen before go through the library, plain Latin words through its BPE model alone. A text that
+holds the literal of an added token goes through the library as a whole, with its defaults.
 """
 
 from __future__ import annotations
@@ -70,12 +71,15 @@ def _borders(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """literal: added tokens that stand in a text are spelt out as other text is; else they get their own ids."""
+
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.added = [] if literal else [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.model, self.chars = self.lib.model, _byte_chars()
         self._clear()
 
@@ -126,16 +130,27 @@ class Encoder:
         ids = self.ids[np.repeat(self.at[where][back] - upto[:-1], n) + np.arange(upto[-1])]
         return ids, upto[np.searchsorted(starts, off)]
 
+    def _whole(self, text: bytes) -> np.ndarray:
+        self.lib.encode_special_tokens = False
+        ids = self.lib.encode(text.decode(), add_special_tokens=False).ids
+        self.lib.encode_special_tokens = True
+        return np.array(ids, np.uint32)
+
     def column(self, column: pa.Array):
         """Yields (index of the text, its ids with END_ID after them) for a column of texts."""
         for i, data, off in texts(column):
             ids, at = self.encode(data, off)
+            raw = data.tobytes() if self.added else b""
+            added = [x for x in self.added if x in raw]
             for j in range(len(off) - 1):
-                yield i + j, np.append(ids[at[j] : at[j + 1]], np.uint32(END_ID)).astype("<u4", copy=False)
+                own = ids[at[j] : at[j + 1]]
+                if added and any(x in raw[off[j] : off[j + 1]] for x in added):
+                    own = self._whole(raw[off[j] : off[j + 1]])
+                yield i + j, np.append(own, np.uint32(END_ID)).astype("<u4", copy=False)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool = True) -> Encoder:
     """One for each Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, literal) not in _encoders:
+        _encoders[path, literal] = Encoder(path, literal)
+    return _encoders[path, literal]

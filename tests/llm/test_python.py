@@ -40,6 +40,20 @@ def test_tokens(library):
     assert all((got[i] == ids_of(library, t)).all() for i, t in enumerate(texts) if len(got[i]) == len(ids_of(library, t))) and all(len(got[i]) == len(ids_of(library, t)) for i, t in enumerate(texts))
 
 
+def test_added_tokens_as_the_library_loads_them(spark, tmp_path):
+    as_loaded = Tokenizer.from_file(tokens.tokenizer_path())
+    rows = [(0, "a <|endoftext|> b"), (1, "no such token"), (2, "<|endoftext|>"), (3, "x<|endoftext|>\n<|endoftext|>y <|endoftext"), (4, None)]
+    want = {i: ids_of(as_loaded, t) for i, t in rows}
+    assert want[0].tolist() == [64, 220, 50256, 275, 0]
+    got = dict(tokens.encoder(tokens.tokenizer_path(), literal=False).column(pa.array([t for _, t in rows], pa.string())))
+    assert {i: x.tolist() for i, x in got.items()} == {i: x.tolist() for i, x in want.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    packed = packing.pack(docs, capacity=256).collect()
+    assert {g.doc_id: bytes(g.ids) for g in packed} == {i: x.tobytes() for i, x in want.items()}
+    files = token_files.read_files(token_files.write_files(docs, f"file://{tmp_path}/t")).collect()
+    assert {g.doc_id: bytes(g.ids) for g in files} == {i: x.tobytes() for i, x in want.items()}
+
+
 def test_packing(docs, rows, empty, library):
     got = packing.pack(docs, capacity=256).collect()
     want = Counter()
