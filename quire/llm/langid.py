@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytetext import U, mix64, texts
-from quire.llm.shared import in_small_batches, staged
+from quire.llm.shared import staged
 
 BITS = 16
 SCALE = 100.0
@@ -120,7 +120,7 @@ def train(rows: DataFrame, idf: np.ndarray, langs: list[str], per_lang: int, sha
     """(weights, temperature) from at most about per_lang rows a language; rows: doc_id, text, lang."""
     spark = rows.sparkSession
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counts = staged(counts, "languages").hint("merge")
+    counts = F.broadcast(staged(counts, "languages"))  # a row for each of at most max_langs
     h = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30))
     picked = rows.select("doc_id", "lang").withColumn("h", h).join(counts, "lang").where(F.col("h") < F.lit(per_lang * float(1 << 30)) / F.col("n"))
     picked = staged(picked.select(F.col("doc_id").alias("__id"), F.pmod("h", F.lit(shards + 1)).alias("shard")).distinct(), "sample")
@@ -163,18 +163,23 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
 
 
-def language(docs: DataFrame, per_lang: int = 800, shards: int = 3, epochs: int = 4) -> DataFrame:
+def language(docs: DataFrame, per_lang: int = 800, shards: int = 3, epochs: int = 4, max_langs: int = 256) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
     Learns from at most about per_lang documents a language, none of them held out and none without a lang or
     a letter; document frequencies come from all such documents. Texts that are null or have no letter are
     `und` with score 0, and so is every text if there is nothing to learn from. Rows that repeat a doc_id are
-    judged each for itself.
+    judged each for itself; of languages that score alike the first in code point order is taken. No rows give
+    no rows. Whole texts are read; a text takes about 60 bytes of a task's memory for each of its own. Other
+    columns of docs are not read. The model has 2^BITS numbers a language, 64 MB for max_langs of 256; more
+    distinct values of lang are an error.
     """
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     learn = rows.where("lang is not null and doc_id is not null").where(~held_out() & lettered)
-    langs = sorted(r[0] for r in learn.select("lang").distinct().collect())
+    langs = sorted(r[0] for r in learn.select("lang").distinct().limit(max_langs + 1).collect())
+    if len(langs) > max_langs:
+        raise ValueError(f"more than {max_langs} languages to learn: the model would outgrow a broadcast")
     weights, t, idf = np.zeros((1 << BITS, 1), np.float32), 1.0, np.ones(1 << BITS, np.float32)
     if langs:
         idf = document_frequencies(learn)
@@ -203,4 +208,4 @@ def language(docs: DataFrame, per_lang: int = 800, shards: int = 3, epochs: int
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(pred), pa.array(np.where(known, p.max(0), 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
 
     out = rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), lettered.alias("lettered"), "text")
-    return out.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return staged(out.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double"), "languages")

@@ -10,11 +10,11 @@ the gap that the last whole document leaves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.shared import WORD, global_row_number, staged
+from quire.llm.shared import WORD, global_row_number, sent, staged
 
 BROADCAST_ROWS = 100_000  # sources whose plan is sent to all tasks; with more, rows and plan are merged
 BITS, LEVELS = 12, 4  # bits of the hash that one histogram looks at; histograms
@@ -44,23 +44,28 @@ def _bucket(level: int):
     return F.shiftright(F.col("h"), 60 - BITS * (level + 1)).bitwiseAND((1 << BITS) - 1)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken and copies (how often it is taken).
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
-    Null texts and texts without words have size 0 and take 0 words. A null source is a source like others.
-    Rows that repeat a doc_id share its hash and are taken alike. No rows give no rows. Reruns agree, since
-    the hash depends on doc_id alone.
+
+def _hash() -> Column:
+    """Of doc_id; rows without one are told apart by their texts."""
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), key).bitwiseAND((1 << 60) - 1)
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], cap: float, broadcast_rows: int) -> DataFrame:
+    """source, source_size, target, copies, below, also: a row a source. rows: source, size, h.
+
+    A row is taken copies times, once more if its h is less than below or equals also.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    h = F.xxhash64(F.lit("mix"), "doc_id").bitwiseAND((1 << 60) - 1)
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), h.alias("h")), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = source_targets(sizes, weights, cap).withColumn("copies", F.least(F.floor(ratio + 1e-12), F.lit(int(cap))).cast("long"))
     # have: words taken below the boundary bucket; want: words of the once-more part; low: hash where the bucket begins.
     plan = plan.withColumn("want", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("have", F.lit(0).cast("long")).withColumn("low", F.lit(0).cast("long"))
     plan = staged(plan, "plan-0")
-    few = plan.count() <= BROADCAST_ROWS
+    few = plan.count() <= broadcast_rows
     side = lambda x: (F.broadcast(x) if few else x.hint("merge")).alias("p")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     inside = rows.select("source", "h", "size")
@@ -95,19 +100,39 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0)
     off = F.abs(F.col("size") - F.col("gap"))
     rest = rows.alias("r").join(side(plan), same("r", "p")).where((F.col("h") >= F.col("below")) & (F.col("size") > 0) & (off < F.abs("gap")))
     nearest = rest.groupBy("p.source").agg(F.min_by("h", F.struct(off.alias("off"), "h")).alias("also"))
-    plan = staged(plan.alias("p").join(nearest.alias("n"), same("p", "n"), "left").select("p.*", "also"), "plan")
-    out = rows.alias("r").join(side(plan), same("r", "p"))
-    once_more = (F.col("h") < F.col("below")) | F.coalesce(F.col("h") == F.col("also"), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.least(F.col("copies") + once_more.cast("long"), F.lit(int(cap)).cast("long"))).otherwise(0)
+    return staged(plan.alias("p").join(nearest.alias("n"), same("p", "n"), "left").select("p.*", "also"), "plan")
+
+
+def _copies(plan: str, h: Column, size: Column, cap: float) -> Column:
+    once_more = (h < F.col(f"{plan}.below")) | F.coalesce(h == F.col(f"{plan}.also"), F.lit(False))
+    return F.when(size > 0, F.least(F.col(f"{plan}.copies") + once_more.cast("long"), F.lit(int(cap)).cast("long"))).otherwise(0)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, copies (how often it is taken) and source.
+
+    Null texts and texts without words have size 0 and take 0 words. A null source is a source like others.
+    Rows that repeat a doc_id share its hash and are taken alike; rows with a null doc_id are told apart by
+    their texts. No rows give no rows. Reruns agree, since the hash depends on doc_id and text alone. Other
+    columns of docs are not read. Texts of any length are counted whole. The plan of up to broadcast_rows
+    sources goes to all tasks; with more, rows (without texts) and plan are merged by source.
+    """
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size"), _hash().alias("h")), "sizes")
+    out = rows.alias("r").join(sent(_plan(rows, weights, cap, broadcast_rows), broadcast_rows).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")))
+    copies = _copies("p", F.col("h"), F.col("size"), cap)
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "r.source")
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken, with their own columns.
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken, with their own columns, whatever their names.
 
-    A row is known by its doc_id and source, which fix how often it is taken if it has words.
+    Hash and size are computed on docs again, so texts are filtered where they are read: nothing sorts or shuffles
+    them unless there are more than broadcast_rows sources.
     """
-    taken = mix(docs, weights, cap).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & F.col("text").rlike(WORD)
-    out = docs.join(staged(taken, "taken").hint("merge"), same)
-    return out.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    rows = staged(docs.select("source", _size().alias("size"), _hash().alias("h")), "sizes")
+    plan = sent(_plan(rows, weights, cap, broadcast_rows), broadcast_rows).alias("p")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("source").alias("source"), _size().alias("size"), _hash().alias("h"))
+    out = own.alias("r").join(plan, F.col("r.source").eqNullSafe(F.col("p.source")))
+    times = _copies("p", F.col("h"), F.col("size"), cap).cast("int")
+    out = out.where(times > 0).select("own", F.explode(F.array_repeat(F.lit(1), times)).alias("i"))
+    return out.select(*[F.col("own")[c].alias(c) for c in docs.columns])

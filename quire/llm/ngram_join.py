@@ -9,24 +9,28 @@ against the group's most central one (that with the fewest rarer shingles before
 whose sets are then all in one component are done. What is left over are pairs of different components, and
 all of those that pass the length and positional filters are verified too, so no link is lost. A pair is
 verified once: suffix filter, then the exact intersection of both texts' sets.
+
+That second join takes less than the prefix of the smaller set: at least 2t / (1 + t) of it must be common, so
+the first common shingle is among its first |y| - ceil(2t |y| / (1 + t)) + 1. Pairs meet by shingle and
+band of sizes, a band being as wide as the length filter. Sets of one template whose own shingles keep them
+apart hold the template's outside that shorter prefix, so they don't meet.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quire.llm.bytetext import LOWER, U, mix64, prefix_hash, span_hash, texts, words
 from quire.llm.components import components
-from quire.llm.shared import in_small_batches, staged
+from quire.llm.shared import BROADCAST_ROWS, sent, staged
 
 SKETCH_BITS, CHUNK_BITS = 22, 16
-BROADCAST_ROWS = 2_000_000
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -111,11 +115,6 @@ def _sketch(first: DataFrame) -> np.ndarray:
     return out
 
 
-def _only(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """rows semi- or anti-joined with keys: broadcast up to BROADCAST_ROWS keys, merged beyond."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("merge"), on, how)
-
-
 def _prefixes(rows: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
     """token, node, size, pos of the prefix shingles of each text of rows (one a class)."""
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
@@ -181,16 +180,18 @@ def _verified(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
     return staged(both.mapInArrow(run, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, text_hash.
 
     Two texts link if 100 * |intersection| >= percent * |union| of their sets of n-word shingles (words in
     lower case A-Z); shorter texts have their whole sequence as one shingle. component_id is the least doc_id
     that links reach. Null texts and texts without words have no set and link with nothing, not even each
     other. Rows that repeat a doc_id are texts like others. A null doc_id is never a component_id unless no
-    other reaches it. No rows give no rows.
+    other reaches it. No rows give no rows. Whole texts are read; a text takes about 60 bytes of a task's memory
+    for each of its own. Other columns of docs are not read. Up to broadcast_rows keys are sent to all tasks in
+    joins that only filter; beyond, both sides are merged.
     """
-    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     first = _first_pass(rows, n)
     sets = first.where("chunk is null").drop("chunk", "counts")
     full = sets.where("n_shingles > 0")
@@ -201,10 +202,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     others = others.where((F.coalesce("doc_id", F.lit((1 << 63) - 1)) != F.col("__id")) | (F.col("hash") != F.col("__hash")))
     others = staged(others.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "hash").distinct(), "others")
     keyed = rows.withColumn("id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    standing = _only(keyed, others, ["id", "hash"], "left_anti")
+    standing = keyed.join(sent(others, broadcast_rows), ["id", "hash"], "left_anti")
     sketch = _sketch(first)
-    links, labels = _links(standing, sketch, n, percent)
-    del links
+    labels = _labels(standing, sketch, n, percent, broadcast_rows)
     named = full.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = staged(named.select("doc_id", "hash", "n_shingles", "label"), "named")
     least = staged(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
@@ -224,46 +224,58 @@ def _node_of(standing: DataFrame, n: int) -> DataFrame:
     return standing.select("text").mapInArrow(run, "node long, text string")
 
 
-def _links(standing: DataFrame, sketch: np.ndarray, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, labels): links that were found, and the component of each node that has one."""
+def _labels(standing: DataFrame, sketch: np.ndarray, n: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """node, label: the component of each node that has a link."""
     noded = _node_of(standing, n)
-    prefixes = _prefixes(standing, sketch, n, percent)
-    group = W.partitionBy("token")
-    central = F.first(F.struct("node", "size", "pos")).over(group.orderBy("pos", "node").rowsBetween(W.unboundedPreceding, 0))
-    live = prefixes.withColumn("c", central).withColumn("more", (F.lag("node").over(group.orderBy("pos", "node")).isNotNull()) | (F.lead("node").over(group.orderBy("pos", "node")).isNotNull()))
-    live = live.where("more").select("token", "node", "size", "pos", F.col("c.node").alias("node2"), F.col("c.size").alias("size2"), F.col("c.pos").alias("pos2"))
-    live = staged(live, "live")
+    prefixes = staged(_prefixes(standing, sketch, n, percent), "prefixes")
+    # The most central set of each group, by an aggregate: a common shingle is summed within tasks first.
+    central = F.min(F.struct(F.col("pos").alias("pos2"), F.col("node").alias("node2"), F.col("size").alias("size2")))
+    groups = prefixes.groupBy("token").agg(central.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "c.*")
+    live = staged(prefixes.join(sent(staged(groups, "groups"), broadcast_rows), "token"), "live")
     pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
     tried = live.where("node <> node2").where(_passes(percent, "size", "pos", "size2", "pos2")).select(*pair).distinct()
     tried = staged(tried, "pairs-1")
-    links = _verified(tried, _bodies(noded, tried), n, percent)
+    links = _verified(tried, _bodies(noded, tried, broadcast_rows), n, percent)
     labels = components(links)
-    # Groups that are not in one component yet: all pairs of different components.
+    # Groups that are not in one component yet: pairs of different components.
     own = live.select("token", "node", "size", "pos").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = staged(own, "labelled")
     mixed = own.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    own = staged(own.join(staged(mixed, "mixed").hint("merge"), "token"), "open")
-    other = own.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "label")])
-    rest = own.join(other.hint("merge"), "token").where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2"))).where(_passes(percent, "size", "pos", "size2", "pos2"))
-    rest = staged(rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct(), "pairs-2")
+    own = staged(own.join(sent(staged(mixed, "mixed"), broadcast_rows), "token"), "open")
+    rest = _open_pairs(own, percent)
     rest = staged(rest.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs-2")
-    more = _verified(rest, _bodies(noded, rest), n, percent)
-    links = links.unionByName(more)
-    return links, labels if more.isEmpty() else components(links)
+    more = _verified(rest, _bodies(noded, rest, broadcast_rows), n, percent)
+    return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+def _open_pairs(own: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different labels that share a shingle of own (token, node, size, pos, label) and pass the filters."""
+    width = max(math.log(100 / percent), 1e-3) * 1.001  # a little more than the length filter allows
+    own = own.withColumn("band", F.floor(F.log("size") / width))
+    small = own.where(F.col("pos") <= F.col("size") + F.floor(-2 * percent * F.col("size") / (100 + percent)))
+    small = small.select("token", "band", *[F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "label")])
+    large = own.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    order = (F.col("size2") < F.col("size")) | ((F.col("size2") == F.col("size")) & (F.col("node2") < F.col("node")))
+    both = large.join(small.hint("merge"), ["token", "band"]).where(order & (F.col("label") != F.col("label2"))).where(_passes(percent, "size", "pos", "size2", "pos2"))
+    return staged(both.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "pairs-open")
 
 
-def _bodies(noded: DataFrame, pairs: DataFrame) -> DataFrame:
+def _bodies(noded: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
     """node, text of the nodes in pairs; one a node."""
     nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    return staged(_only(noded, nodes, ["node"], "left_semi"), "bodies")
+    return staged(noded.join(sent(nodes, broadcast_rows), "node", "left_semi"), "bodies")
 
 
-def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the least doc_id. A repeated row stays once."""
-    found = near_duplicates(docs, n, percent)
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the least doc_id. A repeated row stays as often as it is there.
+
+    Columns of docs may have any names but __id and __hash. Rows that go are told by id and hash of the text, sent to
+    all tasks up to broadcast_rows of them; beyond, texts shuffle to meet them.
+    """
+    if {"__id", "__hash"} & set(docs.columns):
+        raise ValueError("columns named __id or __hash clash with this operator's own")
+    found = near_duplicates(docs, n, percent, broadcast_rows)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     gone = staged(gone, "gone")
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__hash", F.xxhash64("text"))
-    return _only(keyed, gone, ["__id", "__hash"], "left_anti").select(*docs.columns)
-
-
+    return keyed.join(sent(gone, broadcast_rows), ["__id", "__hash"], "left_anti").select(*docs.columns)

@@ -15,16 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.shared import in_small_batches, staged
+from quire.llm.shared import n_parts, new_folder, staged
 from quire.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
-BROADCAST_ROWS = 500_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, place long"
 
 
@@ -39,7 +40,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path, literal=False)
+        part, seen, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path)
         for batch in batches:
             rows, size = [], 0
             doc_ids = batch.column(0)
@@ -147,30 +148,44 @@ def pack_pieces(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = np.array(sorted(placements), np.int64).reshape(-1, 6)
     keys = table[:, 0] << 44 | table[:, 1]
     shared = spark.sparkContext.broadcast((keys, table))  # a few placements a length: bounded by the capacity
+    # How many pieces of a length the tasks before have: a table that tasks read for their own rows, so no piece shuffles.
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    # A row for each task and length; beyond BROADCAST_ROWS the pieces shuffle instead.
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts.hint("merge")
-    ranked = made.join(counts, ["part", "length"]).withColumn("__rank", F.col("__before") + F.col("place")).drop("__before", "part", "place")
+    bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    folder = new_folder(spark, "bases")
+    bases.repartitionByRange(n_parts(spark), "part").sortWithinPartitions("part", "length").write.parquet(folder)
+
+    def bases_of(part: int) -> np.ndarray:
+        fs, where = pafs.FileSystem.from_uri(folder)
+        own = ds.dataset(where, format="parquet", filesystem=fs).to_table(columns=["length", "before"], filter=ds.field("part") == part)
+        out = np.zeros(capacity + 1, np.int64)
+        out[own.column(0).to_numpy()] = own.column(1).to_numpy()
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, table = shared.value
+        last, base = None, None
         for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "__rank"))
+            get = lambda c: b.column(b.schema.get_field_index(c)).to_numpy()  # noqa: B023, E731
+            length, part, rank = get("length"), get("part"), get("place").copy()
+            for x in np.unique(part).tolist():  # one or two: the tasks whose rows this one reads
+                if x != last:
+                    last, base = x, bases_of(x)
+                rank[part == x] += base[length[part == x]]
             _, first, _, at, per, offset = table[np.searchsorted(keys, length << 44 | rank, "right") - 1].T
             bin_no, place = np.divmod(rank - first, np.maximum(per, 1))
-            own = [x for x in b.schema.names if x != "__rank"]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(x)) for x in own), pa.array(at + bin_no), pa.array(offset + place * length)], names=[*own, "sequence_id", "offset"])
 
-    fields = [f"`{n}` {t}" for n, t in ranked.dtypes if n != "__rank"]
-    return ranked.mapInArrow(run, ", ".join([*fields, "sequence_id long", "offset long"]))
+    own = [n for n in made.columns if n not in ("part", "place")]
+    fields = [f"`{n}` {t}" for n, t in made.dtypes if n in own]
+    return made.mapInArrow(run, ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids (if wanted), sequence_id, offset.
 
     Null and empty texts are one piece that holds the end id only. Rows that repeat a doc_id are packed each
-    for itself. No rows give no rows. Every piece lies in one sequence, and offsets leave no gap from 0.
+    for itself. No rows give no rows. Every piece lies in one sequence, and offsets leave no gap from 0. Whole texts of
+    any length are encoded. Other columns of docs are not read.
     """
-    made = staged(pieces(in_small_batches(docs), capacity, tokenizer), "pieces")
+    made = staged(pieces(docs, capacity, tokenizer), "pieces")
     return pack_pieces(made if with_ids else made.drop("ids"), capacity)

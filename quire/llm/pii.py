@@ -1,13 +1,15 @@
 """Operator 3: personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Seeds are the base spans: email, ip, card and phone numbers. Words that hold a digit are instances; an
-instance that overlaps a seed counts as personal. The words beside an instance, and what stands before `=`
-or `:` inside it, are lexical patterns. Pattern and instance scores are computed in turns over that graph:
-a pattern's score is the mean score of its instances, damped for few; an instance's is that of its best
-pattern of sufficient support. Instances beside high-confidence patterns become spans of kind `id`.
+Instances are words that hold a digit, and words one blank after a label (a word that ends in `=` or `:`).
+An instance that overlaps a base span (email, ip, card, phone) is a seed; so is one with the form of a key:
+20 or more letters, digits and `+/_=-`, among them 6 digits and 4 letters. Seeds induce lexical patterns: the
+word on either side, the two words before, and a label within the word. Pattern and instance scores are
+computed in turns over that graph until the patterns of high confidence stay the same: a pattern's score is the
+mean score of its instances, damped for few; an instance's is that of its best pattern with `support`
+instances that are seeds or were discovered. Instances beside high-confidence patterns become spans of kind `id`.
 
 Patterns start only where a run of their characters starts and repeat groups possessively, so that Java's
-matcher neither recurses nor scans a run twice.
+matcher neither recurses nor scans a run twice. Context words over 100 characters stand as their SHA-256.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.shared import staged
+from quire.llm.shared import sent, staged
 
 KINDS = ("email", "ip", "card", "phone", "id")
 _LOCAL, _LABEL, _BLANK = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]", r"\x20\x09-\x0D"
@@ -25,20 +27,25 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "id": rf"(?<![^{_BLANK}])[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+",
+    "id": rf"(?<![^{_BLANK}])(?:[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+|(?<=[=:][{_BLANK}])[^{_BLANK}]++)",
 }
 #: Texts without these can't match.
 _NEEDS = {"email": "@", "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_MARK = r"\p{P}\p{S}&&[^#@_$]"
+BROADCAST_ROWS = 100_000  # patterns, with their words, that are sent to all tasks
 
 
 def _found(kind: str) -> Column:
-    """Per match: (kind, place, characters since the match before, match, the text around it)."""
+    """Per match: (kind, place, characters since the match before, match, the last two words before it, the first after)."""
     p, text = PATTERNS[kind], F.col("text")
-    gate = text.contains(_NEEDS[kind]) if kind in _NEEDS else text.rlike("[0-9]")
+    gate = text.contains(_NEEDS[kind]) if kind in _NEEDS else text.rlike(rf"[0-9]|[=:][{_BLANK}]" if kind == "id" else "[0-9]")
     gaps, matches = F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    near = (lambda x: F.right(x, F.lit(60))) if kind == "id" else (lambda x: F.lit(None).cast("string"))
-    far = (lambda x: F.left(x, F.lit(60))) if kind == "id" else near
+    if kind == "id":
+        last_two = lambda x: (lambda w: F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)))(F.filter(F.split(x, rf"[{_BLANK}]+"), lambda y: y != ""))
+        near, far = lambda x: F.transform(last_two(x), _norm), lambda x: _norm(F.regexp_extract(x, rf"^[{_BLANK}]*+([^{_BLANK}]++)", 1))
+    else:
+        near, far = lambda x: F.lit(None).cast("array<string>"), lambda x: F.lit(None).cast("string")
     rows = F.transform(
         F.arrays_zip(gaps.alias("gap"), matches.alias("match"), F.slice(gaps, 2, F.size(gaps)).alias("next")),
         lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.length(x["gap"]).cast("long").alias("gap"), x["match"].alias("match"), near(x["gap"]).alias("left"), far(x["next"]).alias("right")),
@@ -46,6 +53,12 @@ def _found(kind: str) -> Column:
     return F.when(gate, F.filter(rows, lambda x: x["match"].isNotNull()))
 
 
+def _norm(word: Column) -> Column:
+    """A context word: in lower case, every digit as 0."""
+    low = F.regexp_replace(F.lower(word), "[0-9]", "0")
+    return F.when(F.length(low) > 100, F.sha2(low, 256)).otherwise(low)
+
+
 def _luhn(digits: Column) -> Column:
     each = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(F.pmod(i, F.lit(2)) == 0, c.cast("int")).otherwise(F.get(F.array(*[F.lit(x) for x in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), c.cast("int"))))
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10)) == 0
@@ -65,70 +78,82 @@ def _holds() -> Column:
 def matches(docs: DataFrame) -> DataFrame:
     """row (a number), doc_id, kind, start, end, match, left, right; one row without a kind for a text that has none.
 
-    kind `id` stands for words that hold a digit; other kinds only for matches that hold.
+    kind `id` stands for instances; other kinds only for matches that hold. left: up to two words, right: one,
+    for instances only; an instance beside another has that one as its neighbour.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    none = F.array().cast("array<struct<kind:string,place:int,gap:bigint,match:string,left:string,right:string>>")
+    none = F.array().cast("array<struct<kind:string,place:int,gap:bigint,match:string,left:array<string>,right:string>>")
     found = F.flatten(F.array(*[F.coalesce(_found(k), none) for k in KINDS]))
     out = staged(rows.select("row", "doc_id", F.explode_outer(found).alias("x")).select("row", "doc_id", "x.*"), "matches")
-    upto = F.sum(F.col("gap") + F.length("match")).over(W.partitionBy("row", "kind").orderBy("place"))
-    out = out.withColumn("end", upto).withColumn("start", F.col("end") - F.length("match"))
+    order = W.partitionBy("row", "kind").orderBy("place")
+    upto = F.sum(F.col("gap") + F.length("match")).over(order)
+    before, after = (F.when(F.col("kind") == "id", _norm(f("match").over(order))) for f in (F.lag, F.lead))
+    left = F.concat(F.when(before.isNotNull(), F.array(before)).otherwise(F.array().cast("array<string>")), "left")
+    out = out.withColumns({"end": upto, "left": left, "right": F.when(F.col("right") != "", F.col("right")).otherwise(after)})
+    out = out.withColumn("start", F.col("end") - F.length("match"))
     holds = F.col("kind").isNull() | _holds()
     out = out.withColumn("kind", F.when(holds, F.col("kind")))
     return staged(out.select("row", "doc_id", "kind", "start", "end", "match", "left", "right"), "spans")
 
 
 def _instances(spans: DataFrame) -> DataFrame:
-    """Words that hold a digit: row, doc_id, start, end, value, seed (overlaps a base span), patterns."""
+    """row, doc_id, start, end, value, base (overlaps a base span), seed, patterns of all instances."""
     order = W.partitionBy("row").orderBy("start", "end")
-    base = F.col("kind") != "id"
-    seen = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1)) > F.col("start")
-    next_ = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, W.unboundedFollowing)) < F.col("end")
-    out = spans.where("kind is not null").withColumn("seed", F.coalesce(seen, F.lit(False)) | F.coalesce(next_, F.lit(False))).where(~base)
-    # A word's own marks at its ends don't belong to the identifier.
-    head = F.length(F.regexp_extract("match", r"^[\p{P}\p{S}&&[^+#@_$]]*", 0))
-    tail = F.length(F.regexp_extract("match", r"[\p{P}\p{S}&&[^#@_$]]{1,20}$", 0))
-    word = lambda x, p: F.regexp_replace(F.lower(F.regexp_extract(x, p, 1)), "[0-9]", "0")
-    left = word("left", rf"([^{_BLANK}]{{1,40}})[{_BLANK}]*$")
-    right = word("right", rf"^[{_BLANK}]*([^{_BLANK}]{{1,40}})")
-    lead = F.lower(F.regexp_extract("match", r"^([\p{L}_]{2,30}[=:])", 1))
-    patterns = F.filter(F.array(F.when(left != "", F.concat(F.lit("left "), left)), F.when(right != "", F.concat(F.lit("right "), right)), F.when(lead != "", F.concat(F.lit("lead "), lead))), lambda x: x.isNotNull())
-    lead_n = F.length(lead)
-    start = F.col("start") + F.greatest(head, lead_n)
-    end = F.greatest(F.col("end") - tail, start + 1)
-    return out.select("row", start.alias("start"), F.least(end, F.col("end")).alias("end"), F.xxhash64(F.lower("match")).alias("value"), "seed", patterns.alias("patterns"))
-
-
-def bootstrap(instances: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.7) -> DataFrame:
-    """Patterns of high confidence: pattern, score."""
+    is_base = F.col("kind") != "id"
+    seen = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1)) > F.col("start")
+    next_ = F.min(F.when(is_base, F.col("start"))).over(order.rowsBetween(1, W.unboundedFollowing)) < F.col("end")
+    out = spans.where("kind is not null").withColumn("base", F.coalesce(seen, F.lit(False)) | F.coalesce(next_, F.lit(False))).where(~is_base)
+    # A label within the word, and the word's own marks at its ends, don't belong to the identifier.
+    label = F.lower(F.regexp_extract("match", r"^([\p{L}_]++[=:])", 1))
+    head = F.length(label) + F.length(F.regexp_extract(F.substring(F.col("match"), F.length(label) + 1, F.length("match")), rf"^[{_MARK}&&[^+]]*+", 0))
+    tail = F.length(F.regexp_extract("match", rf"(?<![{_MARK}])[{_MARK}]++$", 0))
+    out = out.withColumns({"label": label, "head": F.least(head, F.length("match") - 1), "tail": tail})
+    size = F.greatest(F.length("match") - F.col("head") - F.col("tail"), F.lit(1))
+    out = out.withColumn("core", F.substring(F.col("match"), F.col("head") + 1, size))
+    key = F.col("core").rlike(r"^[0-9A-Za-z+/_=-]{20,}$") & (F.regexp_count("core", F.lit("[0-9]")) >= 6) & (F.regexp_count("core", F.lit("[A-Za-z]")) >= 4)
+    left = F.try_element_at("left", F.lit(-1))
+    two = F.when(F.size("left") > 1, F.array_join(F.slice("left", -2, 2), " "))
+    named = [("left", left), ("left2", two), ("right", F.col("right")), ("label", F.when(F.col("label") != "", _norm(F.col("label"))))]
+    patterns = F.filter(F.array(*[F.concat(F.lit(f"{k} "), x) for k, x in named]), lambda x: x.isNotNull())
+    start = F.col("start") + F.col("head")
+    return out.select("row", start.alias("start"), (start + F.length("core")).alias("end"), F.xxhash64(F.lower("core")).alias("value"), "base", (F.col("base") | key).alias("seed"), patterns.alias("patterns"))
+
+
+def bootstrap(instances: DataFrame, rounds: int = 10, support: int = 3, confidence: float = 0.7, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Patterns of high confidence: pattern, score. Turns end when they stay the same, or after `rounds`."""
     edges = instances.select("value", F.col("seed").cast("int").alias("seed"), F.explode("patterns").alias("pattern"))
-    edges = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
-    # Only patterns that a few different seeds share can ever matter.
-    seeded = edges.groupBy("pattern").agg(F.sum("seed").alias("seeds")).where(F.col("seeds") >= support).select("pattern")
-    edges = staged(edges.join(staged(seeded, "seeded").hint("merge"), "pattern"), "edges")
-    scores = None
+    edges = staged(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "all-edges")
+    # Only patterns that a few different instances share can ever matter.
+    common = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("pattern")
+    edges = staged(edges.join(sent(staged(common, "common"), broadcast_rows), "pattern"), "edges")
+    known, last, good = edges.withColumn("s", F.col("seed").cast("double")), None, None
     for i in range(rounds):
-        known = edges.withColumn("s", F.col("seed").cast("double"))
-        if scores is not None:
-            known = edges.join(scores.hint("merge"), "value", "left").withColumn("s", F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0))))
-        good = known.groupBy("pattern").agg((F.sum("s") / (F.count(F.lit(1)) + 1)).alias("conf")).where(F.col("conf") >= confidence)
-        good = staged(good, f"patterns-{i}")
-        scores = staged(edges.join(good.hint("merge"), "pattern").groupBy("value").agg(F.max("conf").alias("score")), f"instances-{i}")
-    return good.withColumnRenamed("conf", "score")
-
-
-def personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.7) -> DataFrame:
+        score = F.sum("s") / (F.count(F.lit(1)) + 1)
+        good = known.groupBy("pattern").agg(score.alias("score"), F.count_if(F.col("s") >= confidence).alias("n")).where((F.col("score") >= confidence) & (F.col("n") >= support))
+        good = staged(good.select("pattern", "score"), f"patterns-{i}")
+        now = good.agg(F.count(F.lit(1)), F.sum(F.xxhash64("pattern").cast("decimal(20,0)"))).first()
+        if now == last:
+            break
+        last = now
+        values = edges.join(sent(good, broadcast_rows), "pattern").groupBy("value").agg(F.max("score").alias("score"))
+        values = staged(values, f"instances-{i}")
+        known = edges.join(sent(values), "value", "left").withColumn("s", F.greatest(F.col("seed").cast("double"), F.coalesce("score", F.lit(0.0))))
+    return good
+
+
+def personal_data(docs: DataFrame, rounds: int = 10, support: int = 3, confidence: float = 0.7, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, n_id, base_sha256, spans.
 
     spans: kind:start:end in code points, by start and then kind, comma-joined; counts of the base kinds
     are of base spans, n_id of those that patterns add. Null and empty texts have none, and the hash of an
-    empty string. Rows that repeat a doc_id are searched each for itself. No rows give no rows.
+    empty string. Rows that repeat a doc_id are searched each for itself. No rows give no rows. Whole texts of any
+    length are searched; a text's spans meet in one row. Other columns of docs are not read.
     """
     spans = matches(docs)
     instances = staged(_instances(spans), "instances")
-    good = bootstrap(instances, rounds, support, confidence)
-    unseen = instances.where(~F.col("seed")).select("row", "start", "end", F.explode("patterns").alias("pattern"))
-    added = unseen.join(good.hint("merge"), "pattern").select("row", F.lit("id").alias("kind"), "start", "end").distinct()
+    good = bootstrap(instances, rounds, support, confidence, broadcast_rows)
+    unseen = instances.where(~F.col("base")).select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    added = unseen.join(sent(good, broadcast_rows), "pattern").select("row", F.lit("id").alias("kind"), "start", "end").distinct()
     rows = spans.select("row", "doc_id", F.when(F.col("kind") != "id", F.col("kind")).alias("kind"), "start", "end").unionByName(added.withColumn("doc_id", F.lit(None).cast("long")))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     one = F.when(F.col("kind").isNotNull(), F.struct("start", rank.alias("rank"), "end", F.concat_ws(":", "kind", "start", "end").alias("span")))

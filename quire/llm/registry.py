@@ -40,7 +40,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(documents(spark, sf_dir)).drop("kept")
+    return substring_dedup.substring_dedup(documents(spark, sf_dir), with_kept=False)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,35 +2,83 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20  # of an Arrow batch that goes to Python, whichever comes first
+BROADCAST_ROWS = 2_000_000  # narrow rows (two numbers or so) that are sent to all tasks
 WORD = r"[^\x20\x09-\x0D]+"
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session takes one of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quire-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A folder of this application in the shared one; what is still there goes when the driver ends."""
+    top = f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
+    fs, p = _path(spark, top)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    path = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders made inside go at the end, but for those taken off the list."""
+    token = _made.set([])
+    try:
+        yield _made.get()
+    finally:
+        for path in _made.get():
+            fs, p = _path(spark, path)
+            fs.delete(p, True)
+        _made.reset(token)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows or BATCH_BYTES bytes at most, since texts can be long; the session's own setting comes back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and Spark knows the size."""
+    """Write df to the shared folder and read it back: lineage is cut, and Spark knows the size. Python in it gets small batches."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -38,14 +86,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df; from now on Arrow batches of its session hold at most BATCH_ROWS rows, since texts can be long."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df
-
-
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,6 +94,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def sent(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """side, hinted for its join: broadcast up to `most` rows, which are counted, else merged."""
+    return F.broadcast(side) if side.count() <= most else side.hint("merge")
+
+
 def global_row_number(df: DataFrame, key: str, out: str, name: str) -> DataFrame:
     """Number rows from 0 in ascending key order (null last) by range partitions; no task sees all rows.
 

@@ -10,6 +10,8 @@ are those at anchors, one for about 26 bytes; each stands for the run of strings
 2. Those are range-partitioned by their leading bytes with sampled splitters. Buckets sort the strings of
    their runs by multikey quicksort, eight bytes a character, and all but the first of equal strings go.
    Equal leading bytes always fall into one bucket, so strings on two sides of a border differ in them.
+   Leads of more than HOT_RUNS runs are dealt out further: their strings themselves, whole, are range-partitioned
+   by sampled splitters and sorted, and each is compared with the one before it, so no lead has to fit in memory.
 3. The intervals found are merged per document and cut out.
 
 Whole copies of an earlier document are told by their hash beforehand and take no part in 1 and 2.
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.llm.bytetext import U, mix64, prefix_hash, span_hash, texts, window_hash
-from quire.llm.shared import global_row_number, in_small_batches, n_parts, staged
+from quire.llm.shared import BROADCAST_ROWS, global_row_number, n_parts, sent, staged
 
 LENGTH, GRAM, LEAD = 100, 50, 16
-BROADCAST_ROWS = 2_000_000
+HOT_RUNS = 20_000  # of one lead that a task sorts at once, about 2.5 KB each
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -196,6 +198,41 @@ def _bucket_repeats(opened: DataFrame) -> DataFrame:
     return ranged.mapInArrow(run, "doc long, start long, end long")
 
 
+def _hot_repeats(opened: DataFrame) -> DataFrame:
+    """doc, start, end: as _bucket_repeats, string by string and without holding any."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """key, doc, start, known of all strings. Of equal ones that a task sees together, all but the first are known to be repeats and have a short key of their own."""
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                own = batch.slice(k, 256)
+                seen: dict[bytes, int] = {}
+                key, doc, start, known = [], [], [], []
+                rows = sorted(zip(own.column(1).to_pylist(), own.column(2).to_pylist(), own.column(3).to_pylist(), strict=True))
+                for d, s, body in rows:
+                    for i in range(len(body) - LENGTH + 1):
+                        x = body[i : i + LENGTH]
+                        known.append(x in seen)
+                        seen[x] = 1
+                        key.append(hashlib.blake2b(f"{d}:{s + i}".encode(), digest_size=8).digest() if known[-1] else x)
+                        doc.append(d)
+                        start.append(s + i)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(known)], names=["key", "doc", "start", "known"])
+
+    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            key = batch.column(0).to_pylist()
+            again = np.array([k or x == y for k, x, y in zip(batch.column(3).to_pylist(), key, [last, *key[:-1]], strict=True)], bool)
+            last = key[-1] if key else last
+            start = batch.column(2).to_numpy()[again]
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(again)), pa.array(start), pa.array(start + LENGTH)], names=["doc", "start", "end"])
+
+    rows = opened.mapInArrow(strings, "key binary, doc long, start long, known boolean")
+    ranged = rows.repartitionByRange(n_parts(opened.sparkSession), "key").sortWithinPartitions("key", "doc", "start")
+    return ranged.mapInArrow(repeats, "doc long, start long, end long")
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     """(doc, doc_id, text; whether doc repeats). doc is a number that orders documents: the doc_id unless that repeats."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -215,20 +252,28 @@ def _copies(rows: DataFrame) -> DataFrame:
     return staged(digests.join(first.hint("merge"), "h").where("doc > first").select("doc").distinct(), "copies")
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def substring_dedup(docs: DataFrame, with_kept: bool = True, hot_runs: int = HOT_RUNS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) if wanted.
 
     Null text is empty. Documents that share a doc_id are ordered by a hash of their texts; rows that repeat
     a doc_id with its text are one document, and each gets its result. A null doc_id comes before all others.
-    No rows give no rows.
+    No rows give no rows. Whole texts are read; a text takes about 60 bytes of a task's memory for each of its own.
+    Other columns of docs are not read. Copies of whole documents are sent to all tasks up to broadcast_rows of
+    them; beyond, they are merged.
     """
-    rows, repeat = _numbered(in_small_batches(docs))
+    rows, repeat = _numbered(docs)
     copies = _copies(rows)
-    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies.hint("merge")
+    copies = sent(copies, broadcast_rows)
     fresh = rows.join(copies, "doc", "left_anti")
     fresh = fresh.dropDuplicates(["doc"]) if repeat else fresh
     suffixes = repeated_suffixes(fresh)
-    found = _bucket_repeats(_open_runs(fresh, suffixes))
+    opened = staged(_open_runs(fresh, suffixes), "runs")
+    hot = staged(opened.groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_runs).select("lead"), "hot-leads")
+    if hot.isEmpty():
+        found = _bucket_repeats(opened)
+    else:  # at most one lead in hot_runs runs
+        hot = sent(hot, broadcast_rows)
+        found = _bucket_repeats(opened.join(hot, "lead", "left_anti")).unionByName(_hot_repeats(opened.join(hot, "lead", "left_semi")))
     start = F.shiftright("at", 16)
     again = suffixes.where(~F.col("first")).select("doc", start.alias("start"), (start + F.col("at").bitwiseAND(0xFFFF) + LENGTH - 1).alias("end"))
     spans = again.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # no longer than the document
@@ -252,10 +297,13 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                     for x, v in zip(out, (len(own), len(own) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                         x.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            n = len(names) - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out[:n], kinds[:n], strict=True))], names=names)
 
+    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    names = [x.split()[0] for x in kind.split(", ")]
     both = rows.join(spans.hint("merge"), "doc", "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return staged(both.mapInArrow(run, kind), "cut-texts")
 
 
 def merged(spans: pa.Array, n: int) -> list[tuple[int, int]]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.shared import in_small_batches, n_parts, new_folder, staged
+from quire.llm.shared import n_parts, new_folder, staged
 from quire.llm.tokens import encoder, tokenizer_path
 
 SEQ_LEN, BATCH_ROWS = 2048, 256
@@ -67,36 +67,48 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Views of a shard; a local file is mapped, others are read into one buffer."""
+    """Views of a shard. All batches but the last have one layout, so each is read from its own place: mapped where the file is local."""
 
     def __init__(self, path: str):
         fs, where = pafs.FileSystem.from_uri(path)
-        self.source = pa.memory_map(where) if isinstance(fs, pafs.LocalFileSystem) else pa.BufferReader(fs.open_input_stream(where).read())
-        self.batches = list(pa.ipc.open_stream(self.source))
-        self.flat = [b.column(0).flatten().to_numpy() for b in self.batches]
-        self.seq_len = self.batches[0].schema.field(0).type.list_size if self.batches else SEQ_LEN
-        self.step = len(self.flat[0]) if self.flat else 1
+        self.file = pa.memory_map(where) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(where)
+        self.schema = pa.ipc.open_stream(self.file).schema
+        self.first = self.file.tell()
+        self.seq_len = self.schema.field(0).type.list_size
+        self.last = (-1, None)
+        self.n_bytes = self.step = 0
+        self.step = len(self._batch(0).column(0).flatten())
+        self.n_bytes = self.file.tell() - self.first
+
+    def _batch(self, i: int) -> pa.RecordBatch:
+        if self.last[0] != i:
+            self.file.seek(self.first + i * self.n_bytes)
+            self.last = i, pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
+        return self.last[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, pa.Array]:
         """(ids, mask) of a sequence."""
         b, row = divmod(i * self.seq_len, self.step)
-        return self.flat[b][row : row + self.seq_len], self.batches[b].column(1)[row // self.seq_len].values
+        own = self._batch(b)
+        return own.column(0).flatten().to_numpy()[row : row + self.seq_len], own.column(1)[row // self.seq_len].values
 
     def ids(self, at: int, n: int) -> np.ndarray:
         """n ids from place `at` of the shard on."""
         out = []
         while n:
             b, i = divmod(at, self.step)
-            out.append(self.flat[b][i : i + n])
+            out.append(self._batch(b).column(0).flatten().to_numpy()[i : i + n])
             at, n = at + len(out[-1]), n - len(out[-1])
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_len: int = SEQ_LEN, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_len: int = SEQ_LEN, batch_rows: int = BATCH_ROWS, shard_mb: int = 256) -> DataFrame:
     """Write the shards and give their index: shard, file, place, doc_id, at (ids before it in the shard), n_tokens.
 
     Null text counts as empty; each document ends with id 0. Rows with a null doc_id come first. Rows that
-    repeat a doc_id are written each for itself, in the order of their texts. No rows give no files.
+    repeat a doc_id are written each for itself, in the order of a hash of their texts, so that they may fill several
+    shards. No rows give no files. Whole texts of any length are encoded. Other columns of docs are not read. Shards
+    hold about shard_mb of text or less; there are as many as shuffle partitions at least.
     """
     path = tokenizer or tokenizer_path()
 
@@ -106,9 +118,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out = out or ShardWriter(file, seq_len, batch_rows, encoder(path, literal=False).lib.get_vocab_size())
+            out = out or ShardWriter(file, seq_len, batch_rows, encoder(path).lib.get_vocab_size())
             at, n = [], []
-            for _, ids in encoder(path, literal=False).column(batch.column(1)):
+            for _, ids in encoder(path).column(batch.column(1)):
                 at.append(out.n)
                 n.append(len(ids))
                 out.add(ids)
@@ -118,8 +130,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, seq_
         if out:
             out.close()
 
-    rows = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(n_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(n_parts(docs.sparkSession), -(-n_bytes // (shard_mb << 20)))
+    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return staged(rows.mapInArrow(run, _INDEX), "token-index")
 
 

@@ -71,15 +71,12 @@ def _borders(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """literal: added tokens that stand in a text are spelt out as other text is; else they get their own ids."""
-
-    def __init__(self, path: str, literal: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
-        self.added = [] if literal else [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.model, self.chars = self.lib.model, _byte_chars()
         self._clear()
 
@@ -130,12 +127,6 @@ class Encoder:
         ids = self.ids[np.repeat(self.at[where][back] - upto[:-1], n) + np.arange(upto[-1])]
         return ids, upto[np.searchsorted(starts, off)]
 
-    def _whole(self, text: bytes) -> np.ndarray:
-        self.lib.encode_special_tokens = False
-        ids = self.lib.encode(text.decode(), add_special_tokens=False).ids
-        self.lib.encode_special_tokens = True
-        return np.array(ids, np.uint32)
-
     def column(self, column: pa.Array):
         """Yields (index of the text, its ids with END_ID after them) for a column of texts."""
         for i, data, off in texts(column):
@@ -145,12 +136,12 @@ class Encoder:
             for j in range(len(off) - 1):
                 own = ids[at[j] : at[j + 1]]
                 if added and any(x in raw[off[j] : off[j + 1]] for x in added):
-                    own = self._whole(raw[off[j] : off[j + 1]])
+                    own = np.array(self.lib.encode(raw[off[j] : off[j + 1]].decode(), add_special_tokens=False).ids, np.uint32)
                 yield i + j, np.append(own, np.uint32(END_ID)).astype("<u4", copy=False)
 
 
-def encoder(path: str, literal: bool = True) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One for each Python worker and file."""
-    if (path, literal) not in _encoders:
-        _encoders[path, literal] = Encoder(path, literal)
-    return _encoders[path, literal]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

@@ -5,8 +5,9 @@ proportion to the token's share of all labelled text), less `z` standard errors;
 below `least` share one pooled score. A token is a lower-case word; a word without a score of its own takes that of its
 prefix of 6, 5 or 4 letters. A linear scan finds all maximal scoring segments (Ruzzo and Tompa). The tail of
 segment scores in clean text, of documents kept out of the token counts, gives the extreme-value law
-E = K * words * exp(-lambda * score), and a document's score is
-1 / (1 + E / chance) for its best segment: one half where clean text has `chance` such segments by chance.
+E = K * words * exp(-lambda * score). Passages are the segments with E of `most_e` or less. A document's E
+is that of the best r of them by the sum statistics of Karlin and Altschul, and its score is
+1 / (1 + E / chance): one half where clean text has `chance` such documents' worth of segments by chance.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytetext import LOWER, U, mix64, prefix_hash, span_hash, texts
-from quire.llm.shared import in_small_batches, staged
+from quire.llm.shared import staged
 
 PREFIXES = (6, 5, 4)
 _LETTER = np.zeros(256, bool)
@@ -54,7 +55,11 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last + 1, score) of a sequence, in linear time."""
+    """All maximal scoring segments (first, last + 1, score) of a sequence, in linear time.
+
+    A segment that no held one starts lower than makes all held ones final: they leave the list that is searched.
+    """
+    out: list[tuple[int, int, float]] = []
     held: list[tuple[int, int, float, float]] = []  # first, last + 1, sum before, sum at its end
     total = 0.0
     for i, s in enumerate(scores.tolist()):
@@ -66,12 +71,16 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
             j = len(held) - 1
             while j >= 0 and held[j][2] >= new[2]:
                 j -= 1
-            if j < 0 or held[j][3] >= new[3]:
+            if j < 0:
+                out += [(a, b, r - x) for a, b, x, r in held]
+                held = []
+                break
+            if held[j][3] >= new[3]:
                 break
             new = (held[j][0], new[1], held[j][2], new[3])
             del held[j:]
         held.append(new)
-    return [(a, b, r - x) for a, b, x, r in held]
+    return out + [(a, b, r - x) for a, b, x, r in held]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
@@ -89,8 +98,12 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
 
 
-def token_scores(train: DataFrame, prior: float = 0.01, z: float = 1.0, least: float = 2.0, max_tokens: int = 200_000) -> tuple[np.ndarray, np.ndarray, float]:
-    """(sorted hashes, their scores, the score of all other tokens)."""
+def token_scores(train: DataFrame, prior: float = 0.01, z: float = 1.0, least: float = 2.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(sorted hashes, their scores, the score of all other tokens).
+
+    Every token that stands in 3 training documents and scores above least is kept: the table is bounded by the
+    bounded sample, not by the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,10 +129,10 @@ def token_scores(train: DataFrame, prior: float = 0.01, z: float = 1.0, least: f
     delta = logit(F.col("y1"), n1) - logit(F.col("y0"), n0)
     se = F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))
     found = counted.where("y0 + y1 >= 3").withColumn("s", F.signum(delta) * F.greatest(F.abs(delta) - z * se, F.lit(0.0))).where(F.col("s") > least)
-    found = staged(found.orderBy(F.abs("s").desc(), "f").limit(max_tokens).select("kind", "f", "s", "y0", "y1"), "token-scores")
+    found = staged(found.select("kind", "f", "s", "y0", "y1"), "token-scores")
     rest = found.where("kind = 0").agg(F.coalesce(F.sum("y0"), F.lit(0)), F.coalesce(F.sum("y1"), F.lit(0))).first()
     other = math.log(max(n1 - rest[1], 1) / n1) - math.log(max(n0 - rest[0], 1) / n0)
-    table = found.select("f", "s").toArrow()  # at most max_tokens rows
+    table = found.select("f", "s").toArrow()  # of the sample's tokens
     f, s = table.column(0).to_numpy(), table.column(1).to_numpy()
     order = np.argsort(f)
     return f[order], s[order], min(other, -0.01)
@@ -166,14 +179,31 @@ def tail(train: DataFrame, table: tuple[np.ndarray, np.ndarray, float], floor: f
     return (n + 5) / max(words, 100_000) * math.exp(lam * floor), lam
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 40_000, threshold: float = 0.7, chance: float = 0.02) -> DataFrame:
+def document_e(scores: np.ndarray, words: int, k: float, lam: float) -> float:
+    """E-value of a document from its segments' scores: the least over r of that of its r best, doubled for each after the first.
+
+    The r best have, by their normalised sum t, P = exp(-t) t^(r-1) / (r! (r-1)!).
+    """
+    x = lam * np.sort(np.append(scores, 0.0))[::-1] - math.log(k * (words + 100))
+    e, t = math.exp(-x[0]), x[0]
+    for r, more in enumerate(x[1:], 2):
+        if more <= 0 or t <= 0:
+            break
+        t += more
+        e = min(e, math.exp((r - 1) * math.log(2 * t) - t - math.lgamma(r + 1) - math.lgamma(r)))
+    return e
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 40_000, threshold: float = 0.7, chance: float = 0.02, most_e: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, passages (start, end in bytes, score).
 
     Learns from at most about per_class labelled documents a class, none of them held out. Null and empty
     texts, and texts without scoring words, score near 0. A doc_id with several labels counts as toxic if one is.
-    Without labels of both classes no score passes the threshold. Rows that repeat a doc_id are scored each for itself.
+    Without labels of both classes no score passes the threshold. Rows that repeat a doc_id are scored each for
+    itself, equal texts alike. No rows give no rows. Whole texts are read; a text takes about 60 bytes of a task's
+    memory for each of its own. Other columns of docs and labels are not read.
     """
-    train = staged(training_rows(in_small_batches(docs), labels, per_class), "training")
+    train = staged(training_rows(docs, labels, per_class), "training")
     table = token_scores(train.where("fold > 0"))
     k, lam = tail(train.where("fold = 0"), table)
     table = token_scores(train)
@@ -184,12 +214,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 40_000, thresh
         for batch in batches:
             out, spans = [], []
             for _, words, found in passages(batch.column(2), keys, scores, other):
-                best = max((v for _, _, v in found), default=0.0)
-                out.append(1 / (1 + k * (words + 100) * math.exp(-lam * best) / chance))
-                spans.append([{"start": a, "end": b, "score": v} for a, b, v in found])
+                out.append(1 / (1 + document_e(np.array([v for _, _, v in found]), words, k, lam) / chance))
+                spans.append([{"start": a, "end": b, "score": v} for a, b, v in found if k * (words + 100) * math.exp(-lam * v) <= most_e])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             predicted = [int(x >= threshold) for x in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(predicted, pa.int32()), pa.array(spans, kind)], names=["doc_id", "held_out", "score", "predicted", "passages"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<start: long, end: long, score: double>>")
+    kind = "doc_id long, held_out boolean, score double, predicted int, passages array<struct<start: long, end: long, score: double>>"
+    return staged(rows.mapInArrow(run, kind), "toxicity")

@@ -1,13 +1,18 @@
 """Exact dedup, personal data and mixing: edge cases and brute force."""
 
 import hashlib
+import random
 import re
+import unicodedata
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import exact_dedup, mixing, pii
 
+from .conftest import prose
+
 
 @pytest.mark.parametrize("mb", [64, 0])
 def test_exact_dedup(docs, rows, mb):
@@ -21,14 +26,35 @@ def test_exact_dedup(docs, rows, mb):
     assert sum(g.kept for g in got) == len(groups)
 
 
-def test_exact_dedup_keeps_rows(docs, rows, empty):
-    kept = exact_dedup.kept_documents(docs)
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_exact_dedup_keeps_rows(docs, rows, empty, broadcast_rows):
+    kept = exact_dedup.kept_documents(docs, broadcast_rows=broadcast_rows)
     assert kept.columns == docs.columns
     got = [r["text"] or "" for r in kept.collect()]
     assert sorted(got) == sorted({r[1] or "" for r in rows})
+    best = {}
+    for r in rows:
+        best[r[1] or ""] = max(best.get(r[1] or "", -1), -1 if r[0] is None else r[0])
+    assert all(best[r.text or ""] == (-1 if r.doc_id is None else r.doc_id) for r in kept.collect())
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.kept_documents(empty).count() == 0
 
 
+def test_exact_dedup_in_slices(spark):
+    """More rows than one filter of the least size holds: each slice of hashes has a filter of its own."""
+    docs = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, F.lit("the same")).otherwise(F.floor(F.col("id") / 7 * 5).cast("string")).alias("text"), F.col("id").alias("doc_id"))
+    got = sorted(map(tuple, exact_dedup.exact_dedup(docs, 0).collect()))
+    assert got == sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()))
+    groups = defaultdict(list)
+    for r in docs.collect():
+        groups[r.text].append(r.doc_id)
+    assert {(g[0], g[1], g[2]) for g in got} == {(i, max(ids), len(ids)) for ids in groups.values() for i in ids}
+    kept = {r.doc_id for r in exact_dedup.kept_documents(docs, 0, 0).collect()}
+    assert kept == {max(ids) for ids in groups.values()}
+    once, more = exact_dedup._both(docs, 0)
+    alone = sum(len(ids) == 1 for ids in groups.values())
+    assert once.count() >= 0.9 * alone and once.count() + more.count() == 9000
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
@@ -57,11 +83,70 @@ def test_personal_data(spark, docs, rows, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+BLANK = " \t\n\x0b\x0c\r"
+MARK = lambda c: unicodedata.category(c)[0] in "PS" and c not in "#@_$"
+
+
+def brute_spans(texts, rounds=10, support=3, confidence=0.7):
+    """Added spans of each text, by plain loops."""
+    instances = []
+    for row, text in enumerate(texts):
+        base = [(m.start(), m.end()) for _, p, ok in BASE for m in re.finditer(p, text) if ok(m.group())]
+        words = [(m.start(), m.group()) for m in re.finditer(rf"[^{BLANK}]+", text)]
+        norm = lambda w: re.sub("[0-9]", "0", w.lower())
+        for i, (at, w) in enumerate(words):
+            labelled = i and words[i - 1][1][-1] in "=:" and at == words[i - 1][0] + len(words[i - 1][1]) + 1
+            if not re.search("[0-9]", w) and not labelled:
+                continue
+            m = re.match(r"[^\W\d]+[=:]", w)
+            label = m.group().lower() if m else ""
+            head = len(label)
+            while head < len(w) and MARK(w[head]) and w[head] != "+":
+                head += 1
+            head, tail = min(head, len(w) - 1), len(w)
+            while tail and MARK(w[tail - 1]):
+                tail -= 1
+            core = w[head : max(tail, head + 1)]
+            seed = any(a < at + len(w) and b > at for a, b in base)
+            key = bool(re.fullmatch(r"[0-9A-Za-z+/_=-]{20,}", core)) and len(re.findall("[0-9]", core)) >= 6 and len(re.findall("[A-Za-z]", core)) >= 4
+            p = [f"left {norm(words[i - 1][1])}"] if i else []
+            p += [f"left2 {norm(words[i - 2][1])} {norm(words[i - 1][1])}"] if i > 1 else []
+            p += [f"right {norm(words[i + 1][1])}"] if i + 1 < len(words) else []
+            p += [f"label {label}"] if label else []
+            instances.append((row, at + head, at + head + len(core), core.lower(), seed, seed or key, p))
+    edges = defaultdict(dict)
+    for *_, value, _, seed, patterns in instances:
+        for p in patterns:
+            edges[p][value] = max(edges[p].get(value, 0), int(seed))
+    score, good = {}, None
+    for _ in range(rounds):
+        s = {p: [max(float(seed), score.get(v, 0.0)) for v, seed in own.items()] for p, own in edges.items() if len(own) >= support}
+        now = {p: sum(x) / (len(x) + 1) for p, x in s.items() if sum(x) / (len(x) + 1) >= confidence and sum(y >= confidence for y in x) >= support}
+        if good is not None and set(now) == set(good):
+            good = now
+            break
+        good, score = now, {}
+        for p, x in good.items():
+            for v in edges[p]:
+                score[v] = max(score.get(v, 0), x)
+    return {(row, a, b) for row, a, b, _, base, _, p in instances if not base and set(p) & set(good)}, good
+
+
 def test_patterns_discover_identifiers(spark):
-    texts = [f"text before mail: user{i}@example.com text after" for i in range(30)] + ["some mail: user99(at)example words", "room 1234 is free", "see room 77"]
-    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[30].n_id == 1 and texts[30][slice(*map(int, got[30].spans.split(":")[1:]))] == "user99(at)example"
-    assert got[31].n_id == got[32].n_id == 0 and all(got[i].n_email == 1 and got[i].n_id == 0 for i in range(30))
+    rng = random.Random(31)
+    texts = [f"{prose(rng, 3)} mail: user{i}@example.com text after" for i in range(30)]
+    texts += ["some mail: user99(at)example words", "mail: jane(at)example", "room 1234 is free", "see room 77", "", "mail:"]
+    texts += [f'{prose(rng, 3)} token = "{rng.randrange(16 ** 40):040x}" {prose(rng, 2)}' for _ in range(12)] + ['a token = "s3cret" b', "token = plain", "other = plain"]
+    texts += [f"{prose(rng, 2)} id=10.0.0.{i} 12 {prose(rng, 2)}" for i in range(6)] + ["id=abc7 x", "the 5 the 6 the\t7 +1 (555) 123-456 a=b c: d"]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    want, good = brute_spans(texts)
+    added = {(i, *map(int, x.split(":")[1:])) for i, r in got.items() for x in r.spans.split(",") if x.startswith("id:")}
+    assert added == want
+    named = {texts[i][a:b] for i, a, b in added}
+    assert {"user99(at)example", "jane(at)example", "s3cret", "plain", "abc7"} <= named and {"left mail:", "left2 token =", "label id="} <= set(good)
+    assert got[32].n_id == got[33].n_id == 0 and all(got[i].n_email == 1 and got[i].n_id == 0 for i in range(30)) and (texts.index("other = plain"), 8, 13) in added
+    far = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), broadcast_rows=0)
+    assert {r.doc_id: r.spans for r in far.collect()} == {i: r.spans for i, r in got.items()}
 
 
 def test_mixing(docs, rows, empty):
@@ -92,4 +177,7 @@ def test_mixing(docs, rows, empty):
     assert mixed.columns == docs.columns
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in mixed.collect())
     assert words == sum(taken.values())
+    few = [x.drop("copies") for x in (mixing.mix(docs, broadcast_rows=0), mixing.mix(docs))]
+    assert few[0].exceptAll(few[1]).isEmpty() and few[1].exceptAll(few[0]).isEmpty()
+    assert sorted(map(str, mixing.mixed_documents(docs, broadcast_rows=0).collect())) == sorted(map(str, mixed.collect()))
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0

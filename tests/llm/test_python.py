@@ -1,8 +1,11 @@
 """The operators that run Python in tasks: edge cases, brute force, exact round trips, held-out accuracy."""
 
 import hashlib
+import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import langid, ngram_join, packing, quality, substring_dedup, token_files, tokens, toxicity
+from quire.llm import langid, mixing, ngram_join, packing, quality, shared, substring_dedup, token_files, tokens, toxicity
 from quire.llm.components import components
 
 from .conftest import WORDS, prose
@@ -23,9 +26,7 @@ key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.tokenizer_path())
 
 
 def ids_of(library, text):
@@ -40,18 +41,14 @@ def test_tokens(library):
     assert all((got[i] == ids_of(library, t)).all() for i, t in enumerate(texts) if len(got[i]) == len(ids_of(library, t))) and all(len(got[i]) == len(ids_of(library, t)) for i, t in enumerate(texts))
 
 
-def test_added_tokens_as_the_library_loads_them(spark, tmp_path):
-    as_loaded = Tokenizer.from_file(tokens.tokenizer_path())
+def test_added_tokens(spark, library, tmp_path):
     rows = [(0, "a <|endoftext|> b"), (1, "no such token"), (2, "<|endoftext|>"), (3, "x<|endoftext|>\n<|endoftext|>y <|endoftext"), (4, None)]
-    want = {i: ids_of(as_loaded, t) for i, t in rows}
-    assert want[0].tolist() == [64, 220, 50256, 275, 0]
-    got = dict(tokens.encoder(tokens.tokenizer_path(), literal=False).column(pa.array([t for _, t in rows], pa.string())))
-    assert {i: x.tolist() for i, x in got.items()} == {i: x.tolist() for i, x in want.items()}
+    want = {i: ids_of(library, t).tobytes() for i, t in rows}
+    assert np.frombuffer(want[0], "<u4").tolist() == [64, 220, 50256, 275, 0]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    packed = packing.pack(docs, capacity=256).collect()
-    assert {g.doc_id: bytes(g.ids) for g in packed} == {i: x.tobytes() for i, x in want.items()}
+    assert {g.doc_id: bytes(g.ids) for g in packing.pack(docs, capacity=256).collect()} == want
     files = token_files.read_files(token_files.write_files(docs, f"file://{tmp_path}/t")).collect()
-    assert {g.doc_id: bytes(g.ids) for g in files} == {i: x.tobytes() for i, x in want.items()}
+    assert {g.doc_id: bytes(g.ids) for g in files} == want
 
 
 def test_packing(docs, rows, empty, library):
@@ -93,18 +90,19 @@ def test_plan_is_tight():
 
 
 def test_token_files(spark, docs, rows, empty, library, tmp_path):
-    index = token_files.write_files(docs, f"file://{tmp_path}/t")
+    index = token_files.write_files(docs, f"file://{tmp_path}/t", seq_len=64, batch_rows=8)
     got = sorted(token_files.read_files(index).collect(), key=lambda r: r.start)
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
     start = 0
-    for g, r in zip(got, sorted(rows, key=key), strict=True):
+    for g, r in zip(got, sorted(hashed, key=lambda r: (r[0] is not None, r[0] or 0, r[2])), strict=True):
         ids = ids_of(library, r[1])
         assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (r[0], start, len(ids), zlib.crc32(ids.tobytes())) and bytes(g.ids) == ids.tobytes()
         start += len(ids)
     file = index.select("file").first()[0]
     shard = token_files.ShardReader(file)
     n = index.where(F.col("file") == file).agg(F.sum("n_tokens")).first()[0]
-    assert sum(shard.sequence(i)[1].true_count for i in range(-(-n // shard.seq_len))) == n
-    assert (shard.sequence(0)[0][: min(n, 50)] == shard.ids(0, min(n, 50))).all()
+    assert sum(shard.sequence(i)[1].true_count for i in range(-(-n // shard.seq_len))) == n and n > 3 * 64 * 8
+    assert (np.concatenate([shard.sequence(i)[0] for i in range(-(-n // shard.seq_len))])[:n] == shard.ids(0, n)).all()
     assert token_files.token_files(empty).count() == 0
 
 
@@ -125,12 +123,64 @@ def test_quality(docs, rows, empty):
     assert quality.quality(empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one(spark, docs):
-    levels = quality.kneser_ney(quality.count_grams(docs.where("doc_id < 20")))
-    sums = levels[-1].groupBy(F.shiftright("key", 8)).agg(F.sum("p").alias("s")).agg(F.max("s")).first()
-    assert sums[0] <= 1 + 1e-9
-    p1 = levels[0].agg(F.sum("p")).first()[0]
-    assert 0.5 < p1 <= 1 + 1e-9
+def brute_kneser_ney(texts, order):
+    """p(gram) and back-off weights of a modified Kneser-Ney model of one language, by their definitions."""
+    counts = {order: Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    p, gamma = {b"": 1 / 256}, {}
+    for k in range(1, order + 1):
+        n = [0, *(sum(1 for c in counts[k].values() if c == i) for i in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i, 0.05), i - 0.05) for i in (1, 2, 3)]
+        total, held = Counter(), Counter()
+        for g, c in counts[k].items():
+            total[g[:-1]] += c
+            held[g[:-1]] += d[min(c, 3) - 1]
+        for c in total:
+            gamma[c] = held[c] / total[c]
+        for g, c in counts[k].items():
+            p[g] = (c - d[min(c, 3) - 1]) / total[g[:-1]] + gamma[g[:-1]] * p[g[1:]]
+
+    def prob(g):
+        return p[g] if g in p else gamma.get(g[:-1], 1.0) * prob(g[1:])
+
+    return prob
+
+
+def test_kneser_ney(spark):
+    rng = random.Random(21)
+    rows = [(i, "".join(rng.choice("abcde ") for _ in range(rng.randint(0, 60))), "xy"[i % 2]) for i in range(120)] + [(900, "zq", "x"), (901, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    files = quality.store(quality.kneser_ney(quality.count_grams(docs)), quality.new_folder(spark, "model"))
+    model = quality.Model(files)
+    hashes = {r.lang: r.h for r in docs.select("lang", quality._lang().alias("h")).distinct().collect()}
+    for lang in "xy":
+        prob = brute_kneser_ney([r[1].encode() for r in rows if r[2] == lang], 5)
+        for text in [r[1].encode() for r in rows[:40]] + [b"unseen bytes \xff"]:
+            data, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+            key, at = quality._grams(data, off, 5, np.array([hashes[lang]]))
+            uniq, back = np.unique(key, return_inverse=True)
+            assert np.allclose(model.log2p(uniq)[back], [np.log2(prob(text[i : i + 5])) for i in at], atol=1e-4)
+        for context in (b"abcd", b"ab a", b"zzzz", b"\x00\x01\x02\x03"):  # next bytes share 1
+            key = np.array([(hashes[lang] << 32 | int.from_bytes(context, "big")) << 8 | b for b in range(256)])
+            assert abs(np.exp2(model.log2p(key).astype(float)).sum() - 1) < 1e-4
+
+
+def test_bands_are_exact_and_agree(spark):
+    rng = random.Random(22)
+    rows = [(i, prose(rng, 90), rng.choice(["a", "a", "b", None])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.quality(docs).collect()
+    for lang in ("a", "b", None):
+        own = [g for g in got if g.lang == lang]
+        for c, fence, low, high in (("log_ppl", 6.0, "low", "high"), ("log_ppl_word", 3.0, "low_word", "high_word")):
+            bins = sorted(int(g[c] * 4096 // 1) for g in own)
+            q1, q3 = (bins[-(-len(bins) * q // 4) - 1] / 4096 for q in (1, 3))
+            width = q3 - q1 + 1 / 4096
+            assert all(abs(g[low] - (q1 - fence * width)) < 1e-9 and abs(g[high] - (q3 + fence * width + 1 / 4096)) < 1e-9 for g in own)
+        assert all(g.kept == (g.low <= g.log_ppl <= g.high and g.low_word <= g.log_ppl_word <= g.high_word) for g in own)
+    assert sorted(map(str, got)) == sorted(map(str, quality.quality(docs, broadcast_rows=0).collect()))
 
 
 def test_perplexity_rejects_noise(spark):
@@ -146,7 +196,7 @@ def test_word_perplexity_rejects_symbols_and_made_up_words(spark):
     rows += [(1000 + i, " ".join(w + rng.choice([" ###", " $$$", ""]) for w in prose(rng, 120).split()), "en") for i in range(8)]
     parts = [w[i : i + 3] for w in WORDS for i in range(0, len(w), 3)]
     rows += [(2000 + i, " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(120)), "en") for i in range(8)]
-    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fence=1e9).collect()
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fence=1e9, word_fence=2.0).collect()
     assert not any(g.kept for g in got if g.doc_id >= 1000) and sum(g.kept for g in got) >= 297
     counts = quality.count_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert counts.agg(F.sum("n")).first()[0] == sum(len(W.findall(r[1])) for r in rows)
@@ -201,6 +251,18 @@ def test_repeats_inside_a_text(spark):
     assert {g.doc_id: g.n_removed for g in got} == {r[0]: sum(want[r]) for r in rows}
 
 
+def test_a_passage_in_many_documents(spark):
+    """Its first bytes follow other text in each document, so one lead has a run of its own for each."""
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    rows = [(i, prose(rng, 12) + rng.choice([" ", " x ", " yy "]) + passage + rng.choice([" ", "."]) + prose(rng, 12)) for i in range(400)]
+    want = {k[0]: sum(v) for k, v in brute_removed(rows).items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot_runs, broadcast_rows in ((10, 2_000_000), (10, 0), (20_000, 0)):
+        got = substring_dedup.substring_dedup(docs, hot_runs=hot_runs, broadcast_rows=broadcast_rows).collect()
+        assert {g.doc_id: g.n_removed for g in got} == want
+
+
 def brute_components(rows, n, percent):
     lower = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = []
@@ -237,14 +299,40 @@ def test_ngram_join_loses_no_link_in_a_cluster(spark, empty):
         rows.append((i, " ".join(words)))
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
     assert sorted((True, g.doc_id, g.n_shingles, g.component_id) for g in got) == brute_components(rows, 4, 85)
+    far = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, broadcast_rows=0).collect()
+    assert sorted(map(str, far)) == sorted(map(str, got))
     assert ngram_join.near_duplicates(empty).count() == 0 and ngram_join.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize(("own", "linked"), [(14, False), (3, True)])
+def test_ngram_join_of_one_template(spark, own, linked, monkeypatch):
+    """5,000 documents of one template of 120 words with words of their own at its end: no pair of them may be formed needlessly."""
+    rng = random.Random(15)
+    template = prose(rng, 120)
+    rows = [(i, template + " " + " ".join(f"w{i}x{j}" for j in range(own))) for i in range(5000)]
+    made = []
+    monkeypatch.setattr(ngram_join, "_open_pairs", lambda *a, f=ngram_join._open_pairs: made.append(f(*a)) or made[-1])
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
+    assert all(g.component_id == (0 if linked else g.doc_id) for g in got) and made[0].count() == 0
+
+
+def test_open_pairs_keep_all_links(spark):
+    """Against all pairs of sets whose overlap suffices, over groups in which every set has a label of its own."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(2, 45))) for _ in range(150)] + [np.arange(20), np.arange(1, 21), np.arange(40), np.arange(34)]
+    for percent in (60, 80, 85, 100):
+        rows = [(int(t), i, len(s), k, i) for i, s in enumerate(sets) for k, t in enumerate(s[: len(s) + percent * len(s) // -100 + 1])]
+        got = {(r.a, r.b) for r in ngram_join._open_pairs(spark.createDataFrame(rows, "token long, node long, size long, pos long, label long"), percent).collect()}
+        links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+        assert links <= got
+
+
 def test_one_of_each(docs):
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert 1 in ids and 60 not in ids  # a copy of text 1
+    assert sorted(map(str, ngram_join.one_of_each(docs, broadcast_rows=0).collect())) == sorted(map(str, kept.collect()))
 
 
 def test_suffix_filter_is_a_lower_bound():
@@ -279,6 +367,27 @@ def test_segments():
         assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
 
 
+def test_segments_are_linear():
+    for pattern in ([1.0, -2.0], [1.0, -0.5], [-1.0, 1.5, -1.0], [2.0, -1.0, -1.5]):
+        s = np.array(pattern * 16_000)
+        began = time.perf_counter()
+        toxicity.segments(s)
+        assert time.perf_counter() - began < 0.5
+
+
+def test_document_e():
+    k, lam = 1e-4, 0.7
+    for scores, words in (([9.0], 200), ([8.0, 7.5, 7.0], 500), ([], 50), ([1.0, 0.5], 900)):
+        x = sorted((lam * v - math.log(k * (words + 100)) for v in [*scores, 0.0]), reverse=True)
+        want = [math.exp(-x[0])]
+        for r in range(2, len(x) + 1):
+            t = sum(x[:r])
+            if x[r - 1] <= 0 or sum(x[: r - 1]) <= 0:
+                break
+            want.append(2 ** (r - 1) * math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)))
+        assert math.isclose(toxicity.document_e(np.array(scores), words, k, lam), min(want), rel_tol=1e-9)
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(9)
     bad = ["idiot", "moron", "scumbag", "trashy"]
@@ -314,16 +423,75 @@ def test_language(spark, docs, rows, empty):
     assert langid.language(docs).count() == len(rows)
     assert {g.lang_pred for g in langid.language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.language(empty).count() == 0
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.language(spark.createDataFrame(data, "doc_id long, text string, lang string"), max_langs=2)
+
+
+def test_ftrl():
+    """One weight at a time, by the update's definition."""
+    xs, ys = [(np.array([3]), np.array([2.0], np.float32))] * 3, np.array([0, 1, 0])
+    z, g2, w = [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]
+    weight = lambda z, n: 0.0 if abs(z) <= 0.05 else -(z - math.copysign(0.05, z)) / ((1 + math.sqrt(n)) / 0.5 + 0.01)
+    for i in np.random.default_rng(1).permutation(3):
+        w = [weight(*x) for x in zip(z, g2, strict=True)]
+        e = [math.exp(2 * v) for v in w]
+        for c in range(2):
+            g = 2 * (e[c] / sum(e) - (ys[i] == c))
+            z[c] += g - (math.sqrt(g2[c] + g * g) - math.sqrt(g2[c])) / 0.5 * w[c]
+            g2[c] += g * g
+    got = langid.ftrl(xs, ys, 2, 1)
+    assert np.allclose(got[3], [weight(*x) for x in zip(z, g2, strict=True)], atol=1e-6) and np.count_nonzero(got) <= 2
 
 
 def test_pipeline(spark, rows, docs, empty, tmp_path):
+    """Each stage by a brute-force version over what its predecessor kept."""
     import corpus_pipeline
 
     path = f"{tmp_path}/sf"
     docs.write.parquet(f"{path}/documents.parquet")
-    out = corpus_pipeline.run(spark, path)
-    texts = {r[0]: r[1] for r in rows}
-    ids = {g.doc_id for g in out.collect()}
-    assert ids and ids <= set(texts)
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    plain = lambda df: sorted(map(tuple, df.collect()), key=str)
+    good = stages[0](spark, docs, path)
+    judged = {(g.doc_id, g.row_hash): g.kept for g in quality.quality(docs).collect()}  # held against brute force above
+    hashes = docs.withColumn("h", F.xxhash64("text", "lang")).collect()
+    assert plain(good) == sorted((tuple(r)[:-1] for r in hashes if judged[r.doc_id, r.h]), key=str) and good.columns == docs.columns
+    some = docs.where("text is null or length(text) < 3000")  # the stages after it also by rows that it would reject
+    once = stages[1](spark, some, path)
+    own = [tuple(r) for r in some.collect()]
+    best = {}
+    for r in own:
+        best[r[1] or ""] = max(best.get(r[1] or "", (False, 0)), (r[0] is not None, r[0] or 0))
+    want = {r for r in own if best[r[1] or ""] == (r[0] is not None, r[0] or 0)}
+    assert len(plain(once)) == len(best) and set(plain(once)) <= want and once.columns == docs.columns
+    apart = stages[2](spark, once, path)
+    left = plain(once)
+    least = brute_components(left, 5, 80)
+    keep = {(d[1] if d[0] else None) for d in least if d[3] in (-1, d[1]) or d[2] == 0}
+    assert {r[0] for r in plain(apart)} == keep and set(plain(apart)) <= set(left)
+    mixed = stages[3](spark, apart, path)
+    taken = Counter()
+    for r in mixing.mix(apart).collect():  # held against brute force in test_native
+        taken[r.doc_id] += r.copies
+    assert Counter(r[0] for r in plain(mixed)) == +taken and set(plain(mixed)) <= set(plain(apart))
+    pieces = stages[4](spark, mixed, path).collect()
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    want = Counter()
+    for r in mixed.collect():
+        ids = ids_of(library, r.text)
+        want.update((r.doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(packing.cut(len(ids), 2048)))
+    assert Counter((g.doc_id, g.piece, g.start, g.length, g.ids_crc32) for g in pieces) == want
+    ids = {g.doc_id for g in corpus_pipeline.run(spark, path).collect()}
+    assert ids and ids <= {r[0] for r in rows}
     empty.write.parquet(f"{tmp_path}/none/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_scratch_removes_its_folders(spark):
+    with shared.scratch(spark) as made:
+        df = shared.staged(spark.range(5), "kept")
+        shared.staged(spark.range(5), "gone")
+        gone = made.pop()
+        made.remove(kept := made[0])
+        made.append(gone)
+    assert df.count() == 5 and not os.path.exists(gone.removeprefix("file:")) and os.path.exists(kept.removeprefix("file:"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
