@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact_dedup, mixing, ngram_join, packing, quality
-from quire.llm.shared import documents, staged
+from quire.llm.shared import documents, scratch, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +45,18 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't express the language model, so run() is tested against brute-force versions of the stages.
+#: SQL can't express the language model: tests/llm holds each stage against a brute-force version of its own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as stages:  # a stage's rows go with the run, but for those that its result reads
+        for name, stage in STAGES[:-1]:
+            with scratch(spark) as made:
+                docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+                stages.append(made.pop())
+        with scratch(spark) as made:
+            out = STAGES[-1][1](spark, docs, sf_dir)
+            made.clear()
+    return out
