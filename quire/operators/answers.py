@@ -117,14 +117,18 @@ def batch_answers(spark, d):
     names = F.array(*[F.lit(f"q{n}") for n in range(7)])
     asked = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", F.explode(names).alias("name"))
     got = _responses(spark, d).select(F.floor(F.col("id") / 10).cast("long").alias("conv_id"), "name", parse_answer(F.col("response"), F.col("name")).alias("a")).groupBy("conv_id", "name").agg(F.min("a").alias("a"))
-    return asked.join(got, ["conv_id", "name"], "left").select("conv_id", "name", F.coalesce("a", F.lit("Not processed")).alias("answer"))
+    return asked.join(got.hint("merge"), ["conv_id", "name"], "left").select("conv_id", "name", F.coalesce("a", F.lit("Not processed")).alias("answer"))
 
 
-@query("quotable_values", "SELECT doc_id, line_no AS index, line AS value FROM doc_lines WHERE trim(line) <> '' AND doc_id % 3 = 0")
+@query("quotable_values", """SELECT doc_id AS id, 'list' AS kind, line_no AS index, NULL AS field, line AS value FROM doc_lines WHERE trim(line) <> ''
+    UNION ALL SELECT conv_id, 'table', turn, f, v FROM (SELECT conv_id, turn, unnest(['role', 'text']) AS f, unnest([role, text]) AS v FROM conversations) WHERE trim(v) <> ''""")
 def quotable_values(spark, d):
-    """Leaf values of list answers that are not blank, with their place."""
-    lists = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
-    return lists.select("doc_id", F.posexplode("l").alias("index", "value")).where(F.trim("value") != "").withColumn("index", F.col("index").cast("long"))
+    """Leaf values of list and table answers that are not blank, with their place: the item, or the row and its column."""
+    lists = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    leaves = lists.select(F.col("doc_id").alias("id"), F.lit("list").alias("kind"), F.posexplode("l").alias("index", "value")).select("id", "kind", F.col("index").cast("long").alias("index"), F.lit(None).cast("string").alias("field"), "value")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("role", "text")])).alias("x")
+    tables = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.lit("table").alias("kind"), F.col("turn").alias("index"), cells).select("id", "kind", "index", "x.*")
+    return leaves.unionByName(tables).where(F.trim("value") != "")
 
 
 @query("model_map")
@@ -133,16 +137,53 @@ def q_model_map(spark, d):
     return model_map(table(spark, d, "conversations").select((F.col("conv_id") * 10 + F.col("turn")).alias("id"), F.col("text").alias("prompt"), schema.alias("schema")))
 
 
-@query("build_prompts")
+#: Columns of the table questions.
+COLUMNS = ("name", "value")
+
+
+def _by_type(string: str, items: str, rows: str) -> Column:
+    return F.when(F.col("answer_type") == "string", string).when(F.col("answer_type") == "list", items).otherwise(rows)
+
+
+def answer_format(columns: tuple[str, ...] = COLUMNS) -> Column:
+    """How a question wants its answer, by answer_type."""
+    return _by_type("Answer with plain text.", "Answer with a JSON array of strings.", f"Answer with a JSON array of objects with the keys {', '.join(columns)}.")
+
+
+def schema_hint(placeholder: Column, columns: tuple[str, ...] = COLUMNS) -> Column:
+    """What the JSON of an answer looks like."""
+    row = ", ".join(f'"{c}": "..."' for c in columns)
+    return F.concat(F.lit('{"'), placeholder, F.lit('": '), _by_type('"..."', '["...", "..."]', f"[{{{row}}}]"), F.lit("}"))
+
+
+def response_schema(placeholder: Column, columns: tuple[str, ...] = COLUMNS) -> Column:
+    """The JSON schema of an answer: a string, an array of strings, or an array of objects with all columns."""
+    fields, names = ",".join(f'"{c}":{{"type":"string"}}' for c in columns), ",".join(f'"{c}"' for c in columns)
+    kind = _by_type('{"type":"string"}', '{"type":"array","items":{"type":"string"}}', f'{{"type":"array","items":{{"type":"object","properties":{{{fields}}},"required":[{names}]}}}}')
+    return F.concat(F.lit('{"type":"object","properties":{"'), placeholder, F.lit('":'), kind, F.lit('},"required":["'), placeholder, F.lit('"]}'))
+
+
+def _questions(spark, d):
+    i = F.col("item_id")
+    kind = F.when(i % 3 == 0, "string").when(i % 3 == 1, "list").otherwise("table")
+    return table(spark, d, "benchmark").select("item_id", F.concat(F.lit("q"), i.cast("string")).alias("placeholder"), F.col("text").alias("question"), kind.alias("answer_type"))
+
+
+@query("build_prompts", """SELECT item_id, concat_ws(chr(10), 'Question q' || item_id || ': ' || b.text, CASE item_id % 3 WHEN 0 THEN 'Answer with plain text.' WHEN 1 THEN 'Answer with a JSON array of strings.' ELSE 'Answer with a JSON array of objects with the keys name, value.' END,
+    'Context: ' || coalesce(nullif(d.text, ''), 'no relevant context'), '{"q' || item_id || '": ' || CASE item_id % 3 WHEN 0 THEN '"..."' WHEN 1 THEN '["...", "..."]' ELSE '[{"name": "...", "value": "..."}]' END || '}') AS prompt FROM benchmark b LEFT JOIN documents d ON d.doc_id = item_id * 5""")
 def build_prompts(spark, d):
-    rule = F.when(F.col("item_id") % 3 == 0, "Answer with one string.").when(F.col("item_id") % 3 == 1, "Answer with a list.").otherwise("Answer with a table.")
-    return table(spark, d, "benchmark").select("item_id", F.concat_ws("\n", rule, F.concat(F.lit("Question: "), "text"), F.to_json(F.struct(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("placeholder")))).alias("prompt"))
+    """One prompt a question: the question, the form of its answer, its context, and what the JSON looks like."""
+    context = table(spark, d, "documents").where("doc_id % 5 = 0").select((F.col("doc_id") / 5).cast("long").alias("item_id"), "text")  # the document that a question is about
+    rows = _questions(spark, d).join(context.hint("merge"), "item_id", "left")
+    known = F.coalesce(F.nullif("text", F.lit("")), F.lit("no relevant context"))
+    prompt = F.concat_ws("\n", F.concat(F.lit("Question "), "placeholder", F.lit(": "), "question"), answer_format(), F.concat(F.lit("Context: "), known), schema_hint(F.col("placeholder")))
+    return rows.select("item_id", prompt.alias("prompt"))
 
 
-@query("answer_schema")
+@query("answer_schema", """SELECT item_id, '{"type":"object","properties":{"q' || item_id || '":' || CASE item_id % 3 WHEN 0 THEN '{"type":"string"}' WHEN 1 THEN '{"type":"array","items":{"type":"string"}}'
+    ELSE '{"type":"array","items":{"type":"object","properties":{"name":{"type":"string"},"value":{"type":"string"}},"required":["name","value"]}}' END || '},"required":["q' || item_id || '"]}' AS schema FROM benchmark""")
 def answer_schema(spark, d):
-    kind = F.when(F.col("item_id") % 3 == 0, "string").otherwise("array")
-    return table(spark, d, "benchmark").select("item_id", F.to_json(F.struct(F.lit("object").alias("type"), F.create_map(F.concat(F.lit("q"), F.col("item_id").cast("string")), F.struct(kind.alias("type"))).alias("properties"))).alias("schema"))
+    return _questions(spark, d).select("item_id", response_schema(F.col("placeholder")).alias("schema"))
 
 
 @query("udf_model")

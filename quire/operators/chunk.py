@@ -77,13 +77,20 @@ def chunk_statistics(spark, d):
     return both.groupingSets([[F.col("doc_id"), F.col("level")], [F.col("level")]], "doc_id", "level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("t"), 6).alias("avg_tokens"), F.min("t").alias("min_tokens"), F.max("t").alias("max_tokens"), F.sum("t").alias("total_tokens"))
 
 
-@query("table_integrity", """SELECT doc_id, chunk::BIGINT AS chunk, contains(list_aggregate(text_lines[greatest(1, len(text_lines) - 3):], 'string_agg', chr(10)), '|') AS table_at_end
-    FROM (SELECT doc_id, chunk, string_split(text, chr(10)) AS text_lines FROM l1_chunks)""")
+_TABLE_LINE = "(contains({0}, '|') OR (trim({0}) <> '' AND replace(trim({0}), '-', '') = ''))"
+
+
+@query("table_integrity", f"""SELECT doc_id, chunk, window_index, len(t) > 0 AS table_at_end, len(t) > 0 AND NOT (len(list_filter(t[:2], lambda x: length(x) - length(replace(x, '|', '')) >= 2)) > 0 AND len(list_filter(t, lambda x: trim(x) <> '' AND replace(replace(replace(x, '-', ''), '|', ''), ' ', '') = '')) > 0) AS incomplete
+    FROM (SELECT doc_id, chunk, window_index, l[greatest(0, len(l) - 4) + 1 + coalesce(list_max(list_filter(range(1, 5), lambda i: i <= least(4, len(l)) AND NOT {_TABLE_LINE.format('l[greatest(0, len(l) - 4) + i]')})), 0):] AS t FROM (SELECT doc_id, chunk::BIGINT AS chunk, window_index, string_split(text, chr(10)) AS l FROM l2_chunks))""")
 def table_integrity(spark, d):
-    """Whether the last up to four lines of a section hold a table row."""
-    lines = F.split("text", "\n")
-    rows = _l1(spark, d).withColumn("l", lines)
-    return rows.select("doc_id", "chunk", F.exists(F.slice("l", F.greatest(F.lit(1), F.size("l") - 3), F.lit(4)), lambda x: x.contains("|")).alias("table_at_end"))
+    """Whether a window's last lines, four at most, are a table, and whether it lacks a header or a separator there."""
+    line = lambda x: x.contains("|") | ((F.trim(x) != "") & (F.replace(F.trim(x), F.lit("-"), F.lit("")) == ""))
+    last = F.slice("l", F.greatest(F.lit(1), F.size("l") - 3), F.lit(4))
+    tail = F.aggregate(last, F.array().cast("array<string>"), lambda t, x: F.when(line(x), F.concat(t, F.array(x))).otherwise(F.array().cast("array<string>")))
+    rows = chunk_l2(_l1(spark, d)).select("doc_id", "chunk", "window_index", F.split("text", "\n").alias("l")).withColumn("t", tail)
+    header = F.exists(F.slice("t", 1, 2), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2)
+    separator = F.exists("t", lambda x: (F.trim(x) != "") & x.rlike("^[-| ]*$"))
+    return rows.select("doc_id", "chunk", "window_index", (F.size("t") > 0).alias("table_at_end"), ((F.size("t") > 0) & ~(header & separator)).alias("incomplete"))
 
 
 @query("store_chunks", """SELECT c.doc_id, c.chunk::BIGINT AS chunk, c.window_index, p.token_count AS parent_tokens, p.start_page, p.end_page, contains(p.text, '|') AS has_tables
@@ -91,7 +98,7 @@ def table_integrity(spark, d):
 def store_chunks(spark, d):
     l1 = _l1(spark, d)
     parents = l1.select("doc_id", "chunk", F.col("token_count").alias("parent_tokens"), "start_page", "end_page", F.col("text").contains("|").alias("has_tables"))
-    return chunk_l2(l1).select("doc_id", "chunk", "window_index").join(parents, ["doc_id", "chunk"], "left")
+    return chunk_l2(l1).select("doc_id", "chunk", "window_index").join(parents.hint("merge"), ["doc_id", "chunk"], "left")
 
 
 @query("chunk_neighbors", """SELECT a.doc_id, a.chunk::BIGINT AS chunk, a.window_index, b.window_index AS neighbor FROM l2_chunks a JOIN l2_chunks b
@@ -103,10 +110,10 @@ def chunk_neighbors(spark, d):
     return rows.withColumn("window_index", F.explode("all")).select("doc_id", "chunk", "window_index", F.explode(near).alias("neighbor"))
 
 
-@query("parent_context", "SELECT c.doc_id, c.chunk::BIGINT AS chunk, c.window_index, md5(p.text) AS parent_md5 FROM l2_chunks c JOIN l1_chunks p ON p.doc_id = c.doc_id AND p.chunk = c.chunk WHERE c.window_index = 0")
+@query("parent_context", "SELECT c.doc_id, c.chunk::BIGINT AS chunk, c.window_index, md5(p.text) AS parent_md5 FROM l2_chunks c JOIN l1_chunks p ON p.doc_id = c.doc_id AND p.chunk = c.chunk")
 def parent_context(spark, d):
     l1 = _l1(spark, d)
-    return chunk_l2(l1).where("window_index = 0").select("doc_id", "chunk", "window_index").join(l1.select("doc_id", "chunk", F.md5("text").alias("parent_md5")), ["doc_id", "chunk"])
+    return chunk_l2(l1).select("doc_id", "chunk", "window_index").hint("merge").join(l1.select("doc_id", "chunk", F.md5("text").alias("parent_md5")), ["doc_id", "chunk"])
 
 
 @query("collection_statistics", """SELECT doc_id % 20 AS user_id, count(*) AS total_chunks, count(DISTINCT doc_id) AS documents, round(avg(length(text) // 4), 6) AS avg_tokens, sum(length(text) // 4)::BIGINT AS total_tokens, min(start_page) AS min_page, max(end_page) AS max_page
@@ -121,7 +128,7 @@ def reprocess_document(spark, d):
     """Chunks of the documents that are processed again give way to new ones."""
     old = _l1(spark, d).select("doc_id", "chunk")
     new = old.where("doc_id % 10 = 0")
-    kept = old.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+    kept = old.join(new.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
     return kept.withColumn("version", F.lit("old")).unionByName(new.withColumn("version", F.lit("new")))
 
 

@@ -29,9 +29,12 @@ def collection_name(user: Column) -> Column:
 
 
 def sanitize_filename(name: Column) -> Column:
+    """The last part of a path without dangerous marks, and without dots and blanks around it; 255 characters at most, the extension kept."""
     base = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r'[<>:"|?*\\]', "_")
     base = F.regexp_replace(base, r"^[. ]+|[. ]+$", "")
-    return F.when(base == "", "unnamed_file").otherwise(F.substring(base, 1, 255))
+    ext = F.regexp_extract(base, r"[^.](\.[^.]*)$", 1)
+    short = F.concat(F.substring(base, F.lit(1), F.greatest(255 - F.length(ext), F.lit(0))), ext)
+    return F.when(F.coalesce(name, F.lit("")) == "", "unnamed_file").when(base == "", "sanitized_file").when(F.length(base) > 255, short).otherwise(base)
 
 
 def messages(*checks: tuple[Column, str]) -> Column:
@@ -148,13 +151,14 @@ def validate_ocr_document(spark, d):
     return files(spark, d).select("file_id", messages((F.octet_length("content") > 62914560, "too large"), (p > 30, "too many pages")).alias("errors"), messages((p > 20, "slow")).alias("warnings"))
 
 
-_ODD = "CASE file_id % 4 WHEN 0 THEN name WHEN 1 THEN 'up/load: ' || name WHEN 2 THEN ' ..' || name || '. ' ELSE '...' END"
+_ODD = "CASE file_id % 6 WHEN 0 THEN name WHEN 1 THEN 'up/load: ' || name WHEN 2 THEN ' ..' || name || '. ' WHEN 3 THEN '...' WHEN 4 THEN repeat('n', 300) || name ELSE '' END"
 
 
-@query("sanitize_filename", rf"""SELECT file_id, CASE WHEN b = '' THEN 'unnamed_file' ELSE substr(b, 1, 255) END AS safe FROM (SELECT file_id, regexp_replace(regexp_replace(string_split({_ODD}, '/')[-1], '[<>:"|?*\\]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS b FROM files)""")
+@query("sanitize_filename", rf"""SELECT file_id, CASE WHEN raw = '' THEN 'unnamed_file' WHEN b = '' THEN 'sanitized_file' WHEN length(b) > 255 THEN substr(b, 1, 255 - length(regexp_extract(b, '[^.](\.[^.]*)$', 1))) || regexp_extract(b, '[^.](\.[^.]*)$', 1) ELSE b END AS safe
+    FROM (SELECT file_id, raw, regexp_replace(regexp_replace(string_split(raw, '/')[-1], '[<>:"|?*\\]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS b FROM (SELECT file_id, {_ODD} AS raw FROM files))""")
 def q_sanitize_filename(spark, d):
-    i, n = F.col("file_id") % 4, F.col("name")
-    odd = F.when(i == 0, n).when(i == 1, F.concat(F.lit("up/load: "), n)).when(i == 2, F.concat(F.lit(" .."), n, F.lit(". "))).otherwise("...")
+    i, n = F.col("file_id") % 6, F.col("name")
+    odd = F.when(i == 0, n).when(i == 1, F.concat(F.lit("up/load: "), n)).when(i == 2, F.concat(F.lit(" .."), n, F.lit(". "))).when(i == 3, "...").when(i == 4, F.concat(F.lit("n" * 300), n)).otherwise("")
     return files(spark, d).select("file_id", sanitize_filename(odd).alias("safe"))
 
 

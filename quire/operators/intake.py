@@ -29,17 +29,17 @@ def instruction_text(body: Column, most: int = 2000) -> Column:
 def match_endpoint(mails: DataFrame, known: DataFrame) -> DataFrame:
     """email_id, alias of the first recipient that is a known alias. The smaller alias table meets exploded recipients."""
     to = mails.select("email_id", F.posexplode("recipients").alias("pos", "r")).withColumn("alias", normalize_email(F.col("r")))
-    hits = to.join(known.select("alias"), "alias")
+    hits = to.join(known.select("alias").hint("merge"), "alias")
     return hits.groupBy("email_id").agg(F.min_by("alias", "pos").alias("alias"))
 
 
 def decide(mails: DataFrame, known: DataFrame, verified: DataFrame) -> DataFrame:
     """email_id, received_at, decision: the first rule of the cascade that holds."""
     seen = F.row_number().over(W.partitionBy("message_id").orderBy("received_at", "email_id")) > 1
-    rows = mails.withColumn("again", seen).withColumn("who", normalize_email(F.col("sender"))).join(match_endpoint(mails, known), "email_id", "left")
-    rows = rows.join(known, "alias", "left")
+    rows = mails.withColumn("again", seen).withColumn("who", normalize_email(F.col("sender"))).join(match_endpoint(mails, known).hint("merge"), "email_id", "left")
+    rows = rows.join(known.hint("merge"), "alias", "left")
     ok = verified.where("status = 'verified'").select("user_id", F.col("email").alias("who"), F.lit(True).alias("known_sender"))
-    rows = rows.join(ok, ["user_id", "who"], "left")
+    rows = rows.join(ok.hint("merge"), ["user_id", "who"], "left")
     cascade = (
         F.when(F.col("again"), "duplicate").when(F.col("user_id").isNull(), "unknown_alias").when(F.col("default_agent").isNull(), "invalid_endpoint").when(~F.col("is_active"), "inactive_alias")
         .when(F.col("known_sender").isNull(), "unverified_sender").when(F.col("user_id") % 13 == 0, "credit_limited").when(F.length("body") < 40, "discarded").otherwise("accepted")
@@ -47,15 +47,21 @@ def decide(mails: DataFrame, known: DataFrame, verified: DataFrame) -> DataFrame
     return rows.select("email_id", "received_at", cascade.alias("decision"))
 
 
-def select_attachments(files: Column, total_limit: int = 52428800, each_limit: int = 26214400, most: int = 10) -> Column:
-    """Indexes kept of an array of sizes: of the first ten, those that are not empty, not too large, and still fit the total."""
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("kept"))
+def attachment_reasons(files: Column, total_limit: int = 52428800, each_limit: int = 26214400, most: int = 10) -> Column:
+    """For each of the first ten of an array of sizes: why it is skipped, or a blank text if it is kept."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, size: Column) -> Column:
-        ok = (s["i"] < most) & (size > 0) & (size <= each_limit) & (s["total"] + size <= total_limit)
-        return F.struct((s["total"] + F.when(ok, size).otherwise(0)).alias("total"), (s["i"] + 1).alias("i"), F.when(ok, F.concat(s["kept"], F.array(s["i"]))).otherwise(s["kept"]).alias("kept"))
+        reason = F.when(size > each_limit, "too large").when(s["total"] + size > total_limit, "total size exceeded").when(size == 0, "empty").otherwise("")
+        return F.struct((s["total"] + F.when(reason == "", size).otherwise(0)).alias("total"), F.concat(s["out"], F.array(reason)).alias("out"))
+
+    return F.aggregate(F.slice(files, 1, most), start, step, lambda s: s["out"])
+
 
-    return F.aggregate(files, start, step, lambda s: s["kept"])
+def select_attachments(files: Column, total_limit: int = 52428800, each_limit: int = 26214400, most: int = 10) -> Column:
+    """Indexes kept of an array of sizes: of the first ten, those that are not empty, not too large, and still fit the total."""
+    reasons = F.transform(attachment_reasons(files, total_limit, each_limit, most), lambda r, i: F.when(r == "", i))
+    return F.filter(reasons, lambda i: i.isNotNull())
 
 
 @query("normalize_email", "SELECT email_id, lower(trim(coalesce(sender, ''))) AS sender FROM emails")
@@ -92,14 +98,19 @@ def poll_summary(spark, d):
 _SIZE = "CASE WHEN (email_id + i) % 7 = 0 THEN 0 ELSE ((email_id * 31 + i * 17) % 30) * 1048576 END"
 
 
+_WHY = "CASE WHEN a.size > 26214400 THEN 'too large' WHEN f.total + a.size > 52428800 THEN 'total size exceeded' WHEN a.size = 0 THEN 'empty' ELSE '' END"
+
+
 @query("select_attachments", f"""WITH RECURSIVE a AS (SELECT email_id, i, {_SIZE} AS size FROM (SELECT email_id, unnest(range(12)) AS i FROM emails)),
-    f AS (SELECT email_id, i, size > 0 AND size <= 26214400 AS kept, CASE WHEN size > 0 AND size <= 26214400 THEN size ELSE 0 END AS total FROM a WHERE i = 0
-    UNION ALL SELECT a.email_id, a.i, a.i < 10 AND a.size > 0 AND a.size <= 26214400 AND f.total + a.size <= 52428800, f.total + CASE WHEN a.i < 10 AND a.size > 0 AND a.size <= 26214400 AND f.total + a.size <= 52428800 THEN a.size ELSE 0 END FROM f JOIN a ON a.email_id = f.email_id AND a.i = f.i + 1)
-    SELECT email_id, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (kept), '') AS kept FROM f GROUP BY 1""")
+    f AS (SELECT email_id, -1::BIGINT AS i, '' AS why, 0::BIGINT AS total FROM emails
+    UNION ALL SELECT a.email_id, a.i, {_WHY}, f.total + CASE WHEN {_WHY} = '' THEN a.size ELSE 0 END FROM f JOIN a ON a.email_id = f.email_id AND a.i = f.i + 1 WHERE a.i < 10)
+    SELECT email_id, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (why = ''), '') AS kept, coalesce(string_agg(i || ' ' || why, ',' ORDER BY i) FILTER (why <> ''), '') AS skipped FROM f WHERE i >= 0 GROUP BY 1""")
 def q_select_attachments(spark, d):
+    """What is kept of each message's attachments, and why the others are skipped."""
     e, i = F.col("email_id"), F.sequence(F.lit(0), F.lit(11))
     size = F.transform(i, lambda x: F.when((e + x) % 7 == 0, F.lit(0).cast("long")).otherwise((e * 31 + x * 17) % 30 * 1048576))
-    return emails(spark, d).select("email_id", F.array_join(select_attachments(size), ",").alias("kept"))
+    why = F.transform(attachment_reasons(size), lambda r, n: F.when(r != "", F.concat(n.cast("string"), F.lit(" "), r)))
+    return emails(spark, d).select("email_id", F.array_join(select_attachments(size), ",").alias("kept"), F.array_join(F.array_compact(why), ",").alias("skipped"))
 
 
 @query("ingest_summary", """SELECT u.user_id, p.is_active IS NOT NULL AND p.is_active AS enabled, p.alias, p.default_agent, coalesce(s.n, 0) AS verified, coalesce(j.pending, 0) AS pending, coalesce(j.completed, 0) AS completed FROM users u LEFT JOIN endpoints p USING (user_id)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,17 +11,14 @@ from pyspark.sql import types as T
 
 from quire.operators.audit import _P, _REPORTS, _S, change_span, reports
 from quire.operators.metrics import LIMITS, last_sessions
-from quire.operators.quotes import _BOXES, normalize_tokens, quote_match_exact, token_similarity, word_boxes
+from quire.operators.fold import folded
+from quire.operators.quotes import _BOXES, MAX_QUOTE, normalize_tokens, token_similarity, word_boxes
 from quire.operators.text import blocks, paginate, table_line
 from quire.plans.registry import query
+from quire.session import new_folder
 from quire.sources.views import doc_lines, files, sessions, table
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-sink-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
-
-
 AGENT = T.StructType([T.StructField("slug", T.StringType()), T.StructField("name", T.StringType()), T.StructField("template", T.StringType()), T.StructField("questions", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("placeholder", T.StringType()), T.StructField("prompt", T.StringType()), T.StructField("answer_type", T.StringType())])))])
 
 
@@ -40,39 +35,57 @@ def agent_faults(questions: DataFrame) -> DataFrame:
     return twice.unionByName(bare)
 
 
-def prune_near_duplicates(segments: Column, within: float = 0.4, overlap: float = 0.9) -> Column:
-    """Of segments (y, lo, hi) in order, those that the segment kept last doesn't cover: a fold, since it depends on what was kept."""
-    start = F.array().cast(T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("y", "lo", "hi")])))
+def prune_near_duplicates(segments: DataFrame, key: str, within: float = 0.4, overlap: float = 0.9) -> DataFrame:
+    """segments (key, y, n, lo, hi) plus kept: false where the segment kept last covers it. One pass a key, by y and n."""
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        common = F.least(last["hi"], s["hi"]) - F.greatest(last["lo"], s["lo"])
-        same = (F.abs(last["y"] - s["y"]) <= within) & (common > overlap * (s["hi"] - s["lo"]))
-        return F.when(F.coalesce(same, F.lit(False)), kept).otherwise(F.concat(kept, F.array(s)))
+    def step(last: tuple | None, key: int, y: float, n: int, lo: float, hi: float) -> tuple:
+        covered = last is not None and abs(last[0] - y) <= within and min(last[2], hi) - max(last[1], lo) > overlap * (hi - lo)
+        return (last if covered else (y, lo, hi)), not covered
 
-    return F.aggregate(segments, start, step)
+    return folded(segments, key, ["y", "n"], lambda: None, step, "kept", T.BooleanType())
 
 
 def quote_match_fuzzy(quotes: DataFrame, pages: DataFrame, least: float = 0.85) -> DataFrame:
-    """quote_id, doc_id, page_no, start, score of the best window of tokens on the quote's own page, at least 0.85.
+    """quote_id, doc_id, page_no, start, score of the best run of tokens, the first of equal ones, if it scores `least`.
 
-    quotes: quote_id, doc_id, page_no, text; pages: doc_id, page_no, markdown. Only the pages asked for are scanned.
+    quotes: quote_id, doc_id, page_no, text; pages: doc_id, page_no, markdown. A quote is looked for on its own
+    page, or, if page_no is null, in all pages of its document in order; start counts tokens from there. A run as
+    long as the quote scores the mean similarity of its tokens.
     """
     q = quotes.select("quote_id", "doc_id", "page_no", normalize_tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
-    both = q.join(pages.select("doc_id", "page_no", normalize_tokens(F.col("markdown")).alias("t")), ["doc_id", "page_no"]).where(F.size("t") >= F.size("q"))
-    rows = both.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("t") - F.size("q"))))
-    scores = F.zip_with(F.slice("t", F.col("start") + 1, F.size("q")), F.col("q"), lambda a, b: token_similarity(a, b))
-    rows = rows.withColumn("score", F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.size("q")).where(F.col("score") >= least)
-    best = F.max_by(F.struct("start", "score"), F.struct("score", (-F.col("start")).alias("s")))
-    return rows.groupBy("quote_id", "doc_id", "page_no").agg(best.alias("b")).select("quote_id", "doc_id", "page_no", F.col("b.start").cast("long").alias("start"), F.round("b.score", 6).alias("score"))
+    one = pages.select("doc_id", "page_no", normalize_tokens(F.col("markdown")).alias("t"))
+    whole = one.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "t"))), lambda x: x["t"])).alias("t"))  # no longer than the document
+    both = q.where("page_no is not null").join(one.hint("merge"), ["doc_id", "page_no"]).select("quote_id", "doc_id", "page_no", "q", "t")
+    both = both.unionByName(q.where("page_no is null").join(whole.hint("merge"), "doc_id").select("quote_id", "doc_id", "page_no", "q", "t"))
+    both = both.where(F.size("t") >= F.size("q"))
+    mean = lambda i: F.aggregate(F.zip_with(F.slice("t", i + 1, F.size("q")), F.col("q"), lambda a, b: token_similarity(a, b)), F.lit(0.0), lambda s, x: s + x) / F.size("q")
+    runs = F.transform(F.sequence(F.lit(0), F.size("t") - F.size("q")), lambda i: F.struct(F.round(mean(i), 9).alias("score"), (-i).alias("i")))
+    best = both.select("quote_id", "doc_id", "page_no", F.array_max(runs).alias("b")).where(F.col("b.score") >= least)
+    return best.select("quote_id", "doc_id", "page_no", (-F.col("b.i")).cast("long").alias("start"), F.round("b.score", 6).alias("score"))
+
 
+def fuzzy_scan(hay: Column, needle: Column) -> Column:
+    """(ratio, start) of the best window of the needle's length (12 at least): a sixth of it apart, then one apart around the best.
 
-@query("scan_agents_json")
+    Ratios are 1 - distance / longer length. A scan stops at a ratio of 0.97, and the first of equal ones counts.
+    """
+    n = F.greatest(F.length(needle), F.lit(12))
+    step = F.greatest(F.lit(5), F.floor(n / 6).cast("int"))
+    ratio = lambda i: (lambda w: 1 - F.levenshtein(w, needle) / F.greatest(F.length(w), F.length(needle)))(F.substring(hay, i + 1, n))
+    none = F.struct(F.lit(0.0).alias("ratio"), F.lit(0).alias("start"))
+    better = lambda s, i: (lambda r: F.when(r > s["ratio"], F.struct(r.alias("ratio"), i.alias("start"))).otherwise(s))(ratio(i))
+    coarse = F.aggregate(F.sequence(F.lit(0), F.length(hay) - n, step), none, lambda s, i: F.when(s["ratio"] >= 0.97, s).otherwise(better(s, i)))
+    around = lambda c: F.sequence(F.greatest(F.lit(0), c["start"] - 2 * step), F.least(F.length(hay) - 1, c["start"] + 2 * step))
+    fine = F.transform(F.array(coarse), lambda c: F.aggregate(around(c), c, better))
+    return F.when((n <= F.length(hay)) & (F.length(needle) > 0), fine[0])
+
+
+@query("scan_agents_json", "SELECT 'agent-' || item_id % 4 AS slug, 'Agent-' || item_id % 4 AS name, item_id AS id, 'q' || item_id AS placeholder, text AS prompt, CASE item_id % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'list' ELSE 'table' END AS answer_type FROM benchmark")
 def q_scan_agents_json(spark, d):
     i = F.col("item_id")
     question = F.struct(i.alias("id"), F.concat(F.lit("q"), i.cast("string")).alias("placeholder"), F.col("text").alias("prompt"), F.when(i % 3 == 0, "string").when(i % 3 == 1, "list").otherwise("table").alias("answer_type"))
     seeds = table(spark, d, "benchmark").groupBy(F.concat(F.lit("agent-"), (i % 4).cast("string")).alias("slug")).agg(F.collect_list(question).alias("questions"))
-    path = _folder(spark, "agents")
+    path = new_folder(spark, "agents")
     seeds.select("slug", F.initcap("slug").alias("name"), F.lit("<p>{{q0}}</p>").alias("template"), "questions").write.json(path)
     return scan_agents_json(spark, path)
 
@@ -90,7 +103,7 @@ def sink_report_json(spark, d):
     """Reports as nested records, partitioned by user, written and read back."""
     answer = F.struct("turn", F.col("text").alias("answer"))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(answer)).alias("answers")).withColumn("user_id", F.col("conv_id") % 20)
-    path = _folder(spark, "reports")
+    path = new_folder(spark, "reports")
     rows.write.partitionBy("user_id").json(path)
     return spark.read.schema(rows.schema).json(path)
 
@@ -101,44 +114,48 @@ def sink_metrics_export(spark, d, n: int = 100):
     last = last_sessions(sessions(spark, d), n)
     limits = F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv])
     one = last.agg(F.count(F.lit(1)).alias("files"), F.count_if("success").alias("successful"), F.sort_array(F.collect_list(F.struct("session_id", "success", "size_bytes"))).alias("sessions"), F.max(F.to_json(limits)).alias("limits"))
-    path = _folder(spark, "metrics")
+    path = new_folder(spark, "metrics")
     one.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     return spark.read.text(path)
 
 
-@query("prune_near_duplicates", """WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i, value AS y, CAST(event_id % 5 AS DOUBLE) AS lo, CAST(event_id % 5 + 10 AS DOUBLE) AS hi FROM events WHERE event_id % 4 = 0),
+@query("prune_near_duplicates", """WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i, value AS y, CAST(event_id % 5 AS DOUBLE) AS lo, CAST(event_id % 5 + 10 AS DOUBLE) AS hi FROM events),
     f AS (SELECT user_id, i, y, lo, hi, true AS kept FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.i,
       CASE WHEN abs(f.y - s.y) <= 0.4 AND least(f.hi, s.hi) - greatest(f.lo, s.lo) > 0.9 * (s.hi - s.lo) THEN f.y ELSE s.y END, CASE WHEN abs(f.y - s.y) <= 0.4 AND least(f.hi, s.hi) - greatest(f.lo, s.lo) > 0.9 * (s.hi - s.lo) THEN f.lo ELSE s.lo END,
       CASE WHEN abs(f.y - s.y) <= 0.4 AND least(f.hi, s.hi) - greatest(f.lo, s.lo) > 0.9 * (s.hi - s.lo) THEN f.hi ELSE s.hi END, NOT (abs(f.y - s.y) <= 0.4 AND least(f.hi, s.hi) - greatest(f.lo, s.lo) > 0.9 * (s.hi - s.lo)) FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)
     SELECT user_id, count(*) FILTER (kept) AS n, round(sum(y) FILTER (kept), 4) AS total FROM f GROUP BY 1""")
 def q_prune_near_duplicates(spark, d):
-    e = table(spark, d, "events").where("event_id % 4 = 0")
-    one = F.struct(F.col("value").alias("y"), "event_id", (F.col("event_id") % 5).cast("double").alias("lo"), (F.col("event_id") % 5 + 10).cast("double").alias("hi"))
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("s"))
-    kept = prune_near_duplicates(F.transform("s", lambda x: F.struct(x["y"].alias("y"), x["lo"].alias("lo"), x["hi"].alias("hi"))))
-    return rows.select("user_id", kept.alias("k")).select("user_id", F.size("k").cast("long").alias("n"), F.round(F.aggregate("k", F.lit(0.0), lambda a, x: a + x["y"]), 4).alias("total"))
+    i = F.col("event_id")
+    rows = table(spark, d, "events").select("user_id", F.col("value").alias("y"), i.alias("n"), (i % 5).cast("double").alias("lo"), (i % 5 + 10).cast("double").alias("hi"))
+    total = F.round(F.sum(F.when(F.col("kept"), F.col("y"))), 4)
+    return prune_near_duplicates(rows, "user_id").groupBy("user_id").agg(F.count_if("kept").alias("n"), total.alias("total"))
+
+
+def _altered(text: Column) -> Column:
+    return F.regexp_replace(text, "(?<=[a-z]{6})[a-z](?=[a-z]{3})", "x")
 
 
 @query("quote_match_fuzzy")
 def q_quote_match_fuzzy(spark, d):
-    """Page openings with some letters replaced, looked for on their own pages; only those without an exact hit."""
-    pages = paginate(doc_lines(spark, d)).where("page_no = 1")
-    quotes = pages.where("doc_id % 10 = 0").select(F.col("doc_id").alias("quote_id"), "doc_id", "page_no", F.regexp_replace(F.substring("markdown", 1, 120), "(?<=[a-z]{6})[a-z](?=[a-z]{3})", "x").alias("text"))
-    exact = quote_match_exact(pages.select("doc_id", F.col("markdown").alias("text")), quotes.select("quote_id", "text")).join(quotes.select("quote_id", "doc_id"), ["quote_id", "doc_id"], "left_semi")
-    return quote_match_fuzzy(quotes.join(exact.select("quote_id"), "quote_id", "left_anti"), pages)
+    """Each page's second line, at most as long as a quote may be and with some letters replaced, looked for on its own page or in all of its document; only those without an exact hit there."""
+    pages = paginate(doc_lines(spark, d))
+    line = F.trim(F.get(F.split("markdown", "\n"), F.lit(1)))
+    quotes = pages.select((F.col("doc_id") * 1000 + F.col("page_no")).alias("quote_id"), "doc_id", F.when(F.col("page_no") % 2 == 1, F.col("page_no")).alias("page_no"), "markdown", F.substring(_altered(line), 1, MAX_QUOTE).alias("text"))
+    quotes = quotes.where(F.length("text") > 3).where(F.array_join(normalize_tokens(F.col("markdown")), " ").contains(F.array_join(normalize_tokens(F.col("text")), " ")) == F.lit(False))
+    return quote_match_fuzzy(quotes.drop("markdown"), pages)
 
 
-@query("fuzzy_page_scan", """SELECT doc_id, max(ratio) AS ratio FROM (SELECT doc_id, round(1 - levenshtein(q, substr(t, pos + 1, length(q))) / greatest(length(q), length(substr(t, pos + 1, length(q)))), 6) AS ratio FROM
-    (SELECT doc_id, t, q, unnest(range(0, greatest(length(t) - length(q), 0) + 1, greatest(5, length(q) // 6))) AS pos FROM (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 400) AS t, replace(substr(regexp_replace(text, '[^ -~]', '', 'g'), 41, 60), 'e', 'o') AS q FROM documents) WHERE length(q) >= 12)) GROUP BY 1""")
+@query("fuzzy_page_scan")
 def fuzzy_page_scan(spark, d):
-    """The best ratio of a quote against windows of its own length, a sixth of it apart."""
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    rows = table(spark, d, "documents").select("doc_id", F.substring(plain, 1, 400).alias("t"), F.replace(F.substring(plain, 41, 60), F.lit("e"), F.lit("o")).alias("q")).where(F.length("q") >= 12)
-    n = F.length("q")
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.length("t") - n, F.lit(0)), F.greatest(F.lit(5), F.floor(n / 6).cast("int")))))
-    window = F.substring(F.col("t"), F.col("at") + 1, n)
-    ratio = F.round(1 - F.levenshtein("q", window) / F.greatest(n, F.length(window)), 6)
-    return rows.groupBy("doc_id").agg(F.max(ratio).alias("ratio"))
+    """Each page's longest run of letters and blanks with some letters replaced, at most as long as a quote may be, looked for on the page and its two neighbours; the best page, the earliest of equal ones."""
+    plain = F.lower(F.trim(F.regexp_replace(F.col("markdown"), r"\s+", " ")))
+    pages = paginate(doc_lines(spark, d)).select("doc_id", "page_no", plain.alias("hay"))
+    needle = F.substring(_altered(F.get(F.split("hay", "[.|]"), F.lit(1))), 1, MAX_QUOTE)
+    asked = pages.select("doc_id", F.col("page_no").alias("asked"), F.trim(needle).alias("needle")).where(F.length("needle") > 3)
+    near = asked.withColumn("page_no", F.explode(F.array(*[F.col("asked") + i for i in (-1, 0, 1)])))
+    scored = near.join(pages.hint("merge"), ["doc_id", "page_no"]).withColumn("b", fuzzy_scan(F.col("hay"), F.col("needle"))).where("b is not null")
+    best = F.max_by(F.struct("page_no", "b"), F.struct("b.ratio", (-F.col("page_no")).alias("p")))
+    return scored.groupBy("doc_id", "asked").agg(best.alias("x")).select("doc_id", "asked", F.col("x.page_no").alias("page_no"), F.round("x.b.ratio", 6).alias("ratio"), F.col("x.b.start").alias("start"))
 
 
 @query("audit_segments", f"""SELECT conv_id, turn, (i - 1)::INTEGER AS seq, parts[i].k AS kind, parts[i].t AS text FROM (SELECT conv_id, turn, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT conv_id, turn,
@@ -172,12 +189,13 @@ def bbox_document(spark, d):
     return pages.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sort_array(F.collect_list(F.struct("page_no", "n_words", "lines"))).alias("pages"))
 
 
-@query("scan_pdf_content")
+@query("scan_pdf_content", """SELECT page_id, starts_with(body, '%PDF-') AS header, contains(right(body, 1024), '%%EOF') AS end_mark, array_to_string(list_filter(['/JavaScript', '/JS', '/Launch', '/EmbeddedFile'], lambda k: contains(body, k)), ',') AS dangerous
+    FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '%PDF-1.4' || chr(10) ELSE '' END || html || CASE WHEN page_id % 2 = 0 THEN chr(10) || '/JavaScript' ELSE '' END || chr(10) || '%%EOF' AS body FROM pages)""")
 def scan_pdf_content(spark, d):
     """Header, end mark in the last kilobyte, and dangerous keys of pdf contents."""
     body = F.concat(F.when(F.col("page_id") % 3 == 0, "%PDF-1.4\n").otherwise(""), "html", F.when(F.col("page_id") % 2 == 0, "\n/JavaScript").otherwise(""), F.lit("\n%%EOF"))
     keys = F.filter(F.array(*[F.lit(k) for k in ("/JavaScript", "/JS", "/Launch", "/EmbeddedFile")]), lambda k: F.contains(body, k))
-    return table(spark, d, "pages").select("page_id", body.startswith("%PDF-").alias("header"), F.right(body, F.lit(1024)).contains("%%EOF").alias("end_mark"), keys.alias("dangerous"))
+    return table(spark, d, "pages").select("page_id", body.startswith("%PDF-").alias("header"), F.right(body, F.lit(1024)).contains("%%EOF").alias("end_mark"), F.array_join(keys, ",").alias("dangerous"))
 
 
 @query("ocr_pages", f"""SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY line_index) AS markdown, greatest(1, length(string_agg(line, chr(10) ORDER BY line_index)) // 4) AS token_count
@@ -190,26 +208,27 @@ def ocr_pages(spark, d):
     return pages.withColumn("token_count", F.greatest(F.lit(1), F.floor(F.length("markdown") / 4)).cast("long"))
 
 
-@query("group_rows_by_y")
+@query("group_rows_by_y", """WITH RECURSIVE s AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i FROM events),
+    f AS (SELECT user_id, event_id, i, v AS y, 1 AS row FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.event_id, s.i, CASE WHEN abs(s.v - f.y) <= 1.0 THEN (f.y + s.v) / 2 ELSE s.v END,
+    CASE WHEN abs(s.v - f.y) <= 1.0 THEN f.row ELSE f.row + 1 END FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1) SELECT user_id, event_id, row FROM f""")
 def group_rows_by_y(spark, d):
     """Words of a page to visual rows: a word joins a row if it lies within 1.0 of the row's y, which moves half way to it."""
-    e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("value").alias("y"), "event_id"))).alias("w"))
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        same = F.coalesce(F.abs(x["y"] - s["y"]) <= 1.0, F.lit(False))
-        row = s["row"] + (~same).cast("int")
-        return F.struct(F.when(same, (s["y"] + x["y"]) / 2).otherwise(x["y"]).alias("y"), row.alias("row"), F.concat(s["out"], F.array(row)).alias("out"))
+    def step(state: tuple, key: int, event_id: int, y: float) -> tuple:
+        mean, row = state
+        if mean is not None and abs(y - mean) <= 1.0:
+            return ((mean + y) / 2, row), row
+        return (y, row + 1), row + 1
 
-    numbers = F.aggregate("w", start, step, lambda s: s["out"])
-    return e.select("user_id", F.explode(F.arrays_zip(F.col("w").alias("w"), numbers.alias("r"))).alias("x")).select("user_id", F.col("x.w.event_id").alias("event_id"), F.col("x.r").alias("row"))
+    words = table(spark, d, "events").select("user_id", "event_id", F.col("value").alias("y"))
+    return folded(words, "user_id", ["y", "event_id"], lambda: (None, 0), step, "row", T.IntegerType()).select("user_id", "event_id", "row")
 
 
-@query("parse_quotes_batch", "SELECT doc_id, 'p' || n AS item, CASE WHEN n < 2 THEN trim(substr(t, 1, 60)) ELSE '' END AS quote FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\"\\\\\\n\\r\\t]', ' ', 'g') AS t FROM documents), range(3) r(n)")
+@query("parse_quotes_batch", "SELECT doc_id, 'p' || n AS item, CASE WHEN n < 2 THEN trim(t) ELSE '' END AS quote FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\"\\\\\\n\\r\\t]', ' ', 'g') AS t FROM documents), range(3) r(n)")
 def parse_quotes_batch(spark, d):
     """Quotes keyed by item; unknown items drop out, and every asked item stays."""
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r'["\\\n\r\t]', " ")
-    body = lambda k: F.concat(F.lit(f'"{k}": "'), F.substring(plain, 1, 60), F.lit('"'))
+    body = lambda k: F.concat(F.lit(f'"{k}": "'), plain, F.lit('"'))
     response = F.concat(F.lit("{"), body("p0"), F.lit(", "), body("p1"), F.lit(", "), body("zz"), F.lit("}"))
     docs = table(spark, d, "documents").select("doc_id", F.from_json(response, "map<string,string>").alias("m"))
     items = docs.select("doc_id", "m", F.explode(F.array(*[F.lit(f"p{i}") for i in range(3)])).alias("item"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.plans.registry import query
@@ -25,20 +26,42 @@ def quote_match_exact(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     """quote_id, doc_id, start: the first place where a document's tokens hold the quote's.
 
     Only the quote's rarest token is joined, then the run around it is compared: no product of quotes and places.
-    quotes is a stated set; documents explode to (token, place) and keep what meets a rare token.
+    quotes is a stated set; documents explode to (token, place) and keep what meets a rare token. docs may hold
+    pages instead: rows with the same doc_id are then told apart by page_no, which goes along.
     """
+    own = [c for c in ("doc_id", "page_no") if c in docs.columns]
     q = quotes.select("quote_id", normalize_tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
-    d = docs.select("doc_id", normalize_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    d = docs.select(*own, normalize_tokens(F.coalesce("text", F.lit(""))).alias("t"))
     words = q.select("quote_id", "q", F.posexplode("q").alias("k", "token"))
-    places = d.select("doc_id", F.posexplode("t").alias("pos", "token"))
     known = words.select("token").distinct()
-    df = places.join(known, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rare = words.join(df, "token").groupBy("quote_id", "q").agg(F.min_by(F.struct("token", "k"), F.struct("n", "k")).alias("r")).select("quote_id", "q", "r.token", "r.k")
-    hits = places.join(rare, "token").withColumn("start", F.col("pos") - F.col("k")).where("start >= 0").select("doc_id", "quote_id", "q", "start")
-    per_doc = hits.groupBy("doc_id").agg(F.collect_list(F.struct("quote_id", "q", "start")).alias("h"))
-    both = d.join(per_doc, "doc_id").select("doc_id", "t", F.explode("h").alias("h")).select("doc_id", "t", "h.*")
+    places = d.select(*own, F.posexplode("t").alias("pos", "token"))
+    df = sent(known, places, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rare = words.join(df.hint("merge"), "token").groupBy("quote_id", "q").agg(F.min_by(F.struct("token", "k"), F.struct("n", "k")).alias("r")).select("quote_id", "q", "r.token", "r.k")
+    hits = sent(rare, places, "token").withColumn("start", F.col("pos") - F.col("k")).where("start >= 0").select(*own, "quote_id", "q", "start")
+    per_doc = hits.groupBy(*own).agg(F.collect_list(F.struct("quote_id", "q", "start")).alias("h"))
+    both = d.join(per_doc.hint("merge"), own).select(*own, "t", F.explode("h").alias("h")).select(*own, "t", "h.*")
     same = F.slice("t", F.col("start") + 1, F.size("q")) == F.col("q")
-    return both.where(same).groupBy("quote_id", "doc_id").agg(F.min("start").cast("long").alias("start"))
+    return both.where(same).groupBy("quote_id", *own).agg(F.min("start").cast("long").alias("start"))
+
+
+def sent(small: DataFrame, large: DataFrame, on: str, most: int = 100_000) -> DataFrame:
+    """large joined with small, which is broadcast up to `most` rows and merged beyond."""
+    return large.join(F.broadcast(small) if small.count() <= most else small.hint("merge"), on)
+
+
+def word_spans(hits: DataFrame, words: DataFrame, scope: list[str]) -> DataFrame:
+    """hits (quote_id, the scope's columns, start, n: tokens) plus spans: the boxes of the words that the run covers, in order.
+
+    words: rows of word_boxes. Tokens are counted within the scope, as in the search that gave the hits; a word
+    with several tokens of the run counts once.
+    """
+    n = F.size(normalize_tokens(F.col("text")))
+    order = W.partitionBy(*scope).orderBy("page_no", "line_index", "word_index")
+    places = words.withColumn("n_tokens", n).where("n_tokens > 0").withColumn("upto", F.sum("n_tokens").over(order))
+    own = hits.select("quote_id", *scope, F.col("start").alias("first"), F.col("n").alias("length"))
+    both = places.join(own.hint("merge"), scope).where((F.col("upto") - F.col("n_tokens") < F.col("first") + F.col("length")) & (F.col("upto") > F.col("first")))
+    word = F.struct("page_no", "line_index", "word_index", "text", "x0", "y0", "x1", "y1")
+    return both.groupBy("quote_id", *scope).agg(F.array_sort(F.collect_list(word)).alias("spans"))  # as many as the quote has words
 
 
 def token_similarity(a: Column, b: Column) -> Column:
@@ -99,31 +122,59 @@ def q_quote_match_exact(spark, d):
     return quote_match_exact(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text"))
 
 
-@query("enhance_quotes", f"""SELECT item_id AS quote_id, coalesce(n, 0) > 0 AS has_bounding_boxes, coalesce(n, 0) AS documents FROM benchmark LEFT JOIN (SELECT quote_id, count(*) AS n FROM
-    (SELECT item_id AS quote_id, ' ' || array_to_string({_normal('text')}, ' ') || ' ' AS q FROM benchmark), (SELECT doc_id, ' ' || array_to_string({_normal("coalesce(text, '')")}, ' ') || ' ' AS t FROM documents) WHERE contains(t, q) GROUP BY 1) ON quote_id = item_id""")
-def enhance_quotes(spark, d):
-    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
-    hits = quote_match_exact(table(spark, d, "documents"), quotes).groupBy("quote_id").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return quotes.select("quote_id").join(hits, "quote_id", "left").select("quote_id", (n > 0).alias("has_bounding_boxes"), n.alias("documents"))
+_HITS = f"""(SELECT quote_id, doc_id, n, CASE WHEN pl = 1 THEN 0 ELSE len(string_split(substr(t, 2, pl - 2), ' ')) END AS start FROM (SELECT quote_id, doc_id, t, n, instr(t, q) AS pl FROM
+    (SELECT item_id AS quote_id, ' ' || array_to_string({_normal('text')}, ' ') || ' ' AS q, len({_normal('text')}) AS n FROM benchmark), (SELECT doc_id, ' ' || array_to_string({_normal("coalesce(text, '')")}, ' ') || ' ' AS t FROM documents) WHERE contains(t, q)))"""
 
 
-_PAIRS = "(SELECT doc_id, lower(substr(text, 1, 12)) AS a, lower(substr(text, 4, 12)) AS b FROM documents)"
+@query("enhance_quotes", f"""SELECT b.item_id AS quote_id, h.doc_id IS NOT NULL AS has_bounding_boxes, coalesce(h.documents, 0) AS documents, h.doc_id, coalesce(w.spans, '') AS spans, round(count(h.doc_id) OVER () / count(*) OVER (), 6) AS match_rate
+    FROM benchmark b LEFT JOIN (SELECT quote_id, count(*) AS documents, min(doc_id) AS doc_id FROM {_HITS} GROUP BY 1) h ON h.quote_id = b.item_id
+    LEFT JOIN (SELECT h.quote_id, h.doc_id, string_agg(page_no || ':' || line_index || ':' || word_index, ',' ORDER BY page_no, line_index, word_index) AS spans FROM {_HITS} h JOIN
+      (SELECT *, sum(nt) OVER (PARTITION BY doc_id ORDER BY page_no, line_index, word_index ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT *, len({_normal('text')}) AS nt FROM {_BOXES}) WHERE nt > 0) p
+      ON p.doc_id = h.doc_id AND p.upto - p.nt < h.start + h.n AND p.upto > h.start GROUP BY 1, 2) w ON w.quote_id = h.quote_id AND w.doc_id = h.doc_id""")
+def enhance_quotes(spark, d):
+    """Each quote with the words of its first document that hold it, the number of documents that do, and the share of quotes found."""
+    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
+    hits = quote_match_exact(table(spark, d, "documents"), quotes)
+    first = hits.groupBy("quote_id").agg(F.count(F.lit(1)).alias("documents"), F.min_by(F.struct("doc_id", "start"), "doc_id").alias("h")).select("quote_id", "documents", "h.*")
+    first = first.join(quotes.select("quote_id", F.size(normalize_tokens(F.col("text"))).alias("n")), "quote_id")
+    words = word_boxes(doc_lines(spark, d))
+    words = sent(first.select("doc_id").distinct(), words, "doc_id")
+    place = lambda w: F.concat_ws(":", *[w[c].cast("string") for c in ("page_no", "line_index", "word_index")])
+    spans = word_spans(first, words, ["doc_id"]).select("quote_id", F.array_join(F.transform("spans", place), ",").alias("spans"))
+    out = quotes.select("quote_id").join(first.select("quote_id", "documents", "doc_id").hint("merge"), "quote_id", "left").join(spans.hint("merge"), "quote_id", "left")
+    rate = out.agg(F.round(F.count("doc_id") / F.count(F.lit(1)), 6).alias("match_rate"))  # one row
+    out = out.select("quote_id", F.col("doc_id").isNotNull().alias("has_bounding_boxes"), F.coalesce("documents", F.lit(0)).alias("documents"), "doc_id", F.coalesce("spans", F.lit("")).alias("spans"))
+    return out.withColumn("one", F.lit(1)).join(F.broadcast(rate.withColumn("one", F.lit(1))), "one").drop("one")
+
+
+_TOKEN_PAIRS = f"(SELECT doc_id, unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM (SELECT doc_id, {_normal('coalesce(text, chr(32))')} AS t FROM documents))"
 _EQ = "len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i] = b[i]))"
 _CH = "list_distinct(string_split({}, ''))"
 
 
-@query("token_similarity", f"SELECT doc_id, round(CASE WHEN a = b THEN 1.0 WHEN a = '' OR b = '' THEN 0.0 ELSE 0.7 * {_EQ} / greatest(length(a), length(b)) + 0.3 * len(list_intersect({_CH.format('a')}, {_CH.format('b')})) / greatest(len({_CH.format('a')}), len({_CH.format('b')})) END, 6) AS score FROM {_PAIRS}")
+@query("token_similarity", f"""SELECT doc_id, count(*) AS pairs, sum(round(1000000 * CASE WHEN a = b THEN 1.0::DOUBLE WHEN a = '' OR b = '' THEN 0.0 ELSE 0.7::DOUBLE * {_EQ} / greatest(length(a), length(b)) + 0.3::DOUBLE * len(list_intersect({_CH.format('a')}, {_CH.format('b')})) / greatest(len({_CH.format('a')}), len({_CH.format('b')})) END))::BIGINT AS millionths
+    FROM {_TOKEN_PAIRS} WHERE b IS NOT NULL GROUP BY 1""")
 def q_token_similarity(spark, d):
-    a, b = F.lower(F.substring("text", 1, 12)), F.lower(F.substring("text", 4, 12))
-    return table(spark, d, "documents").select("doc_id", F.round(token_similarity(a, b), 6).alias("score"))
+    """Of each token and the one after it, over all tokens of a document."""
+    t = table(spark, d, "documents").select("doc_id", normalize_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    score = F.round(1_000_000 * token_similarity(F.col("p.a"), F.col("p.b"))).cast("long")
+    pairs = t.where(F.size("t") > 1).select("doc_id", F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"), F.slice("t", 2, F.size("t") - 1).alias("b"))).alias("p"))
+    return pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(score).alias("millionths"))
+
+
+_ASCII = "regexp_replace({}, '[^ -~]', '', 'g')"
 
 
-@query("levenshtein_ratio", "SELECT doc_id, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS ratio FROM (SELECT doc_id, regexp_replace(substr(text, 1, 40), '[^ -~]', '', 'g') AS a, regexp_replace(substr(text, 3, 45), '[^ -~]', '', 'g') AS b FROM documents)")
+@query("levenshtein_ratio", f"""SELECT doc_id, line_no, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS ratio FROM (SELECT x.doc_id, x.line_no, {_ASCII.format('x.line')} AS a, {_ASCII.format('y.line')} AS b FROM doc_lines x JOIN doc_lines y ON x.doc_id = y.doc_id AND y.line_no = x.line_no + 1)""")
 def levenshtein_ratio(spark, d):
-    a, b = F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", ""), F.regexp_replace(F.substring("text", 3, 45), "[^ -~]", "")
+    """Of each line and the one after it, over all lines of a document."""
+    plain = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, "[^ -~]", ""))
+    lines = table(spark, d, "documents").select("doc_id", plain.alias("l")).where(F.size("l") > 1)
+    zipped = F.arrays_zip(F.slice("l", 1, F.size("l") - 1).alias("a"), F.slice("l", 2, F.size("l") - 1).alias("b"))
+    a, b = F.col("p.a"), F.col("p.b")
     most = F.greatest(F.length(a), F.length(b))
-    return table(spark, d, "documents").select("doc_id", F.round(F.when(most == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(a, b), most)), 6).alias("ratio"))
+    rows = lines.select("doc_id", F.posexplode(zipped).alias("line_no", "p"))
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round(F.when(most == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(a, b), most)), 6).alias("ratio"))
 
 
 @query("collapse_whitespace", "SELECT doc_id, trim(regexp_replace(replace(coalesce(text, ''), chr(173), ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM documents")
@@ -168,10 +219,11 @@ def ocr_quality(spark, d):
     return word_boxes(doc_lines(spark, d)).groupBy("doc_id").agg(F.round(mean, 6).alias("mean_confidence"), F.round(share, 6).alias("coverage"), ((mean >= 0.55) & (share >= 0.65)).alias("meets"))
 
 
-@query("ocr_timeout", "SELECT doc_id, least(180 + (length(coalesce(text, '')) // 50) * 180, 900) AS seconds FROM documents")
+@query("ocr_timeout", "SELECT doc_id, least(180 + (count(*) // 50) * 180, 900) AS seconds FROM doc_pages GROUP BY 1")
 def ocr_timeout(spark, d):
-    pages = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    return table(spark, d, "documents").select("doc_id", F.least(F.lit(180) + F.floor(pages / 50) * 180, F.lit(900)).cast("long").alias("seconds"))
+    """Three minutes, and three more for each 50 pages, up to fifteen."""
+    pages = doc_lines(spark, d).groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / 5).alias("n"))
+    return pages.select("doc_id", F.least(F.lit(180) + F.floor(F.col("n") / 50) * 180, F.lit(900)).cast("long").alias("seconds"))
 
 
 @query("parse_quotes", """SELECT doc_id, 1 + doc_id % 7 AS chunk_number, CASE WHEN length(t) > 300 THEN trim(substr(t, 1, 300) || '...') ELSE trim(t) END AS quote FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '["\\\\\\n\\r\\t]', ' ', 'g') AS t FROM documents) WHERE 1 + doc_id % 7 <= 5""")

@@ -30,7 +30,12 @@ def render_string(answer: Column) -> Column:
 
 def render_list(items: Column) -> Column:
     lis = F.transform(items, lambda x: F.concat(F.lit("<li>"), escape_html(x), F.lit("</li>")))
-    return F.when(F.size(items) == 0, "<li>No items found</li>").otherwise(F.array_join(lis, "\n    "))
+    return F.when(F.coalesce(F.size(items), F.lit(0)) < 1, "<li>No items found</li>").otherwise(F.array_join(lis, "\n    "))
+
+
+def list_items(answer: Column) -> Column:
+    """The items of a list answer that came as text: those of a JSON array, else the text as one item."""
+    return F.coalesce(F.when(F.ltrim(answer).startswith("["), F.from_json(answer, "array<string>")), F.array(answer))
 
 
 def render_table(rows: Column, keys: list[str]) -> Column:
@@ -57,8 +62,20 @@ def unique_names(rows: DataFrame) -> DataFrame:
 
 
 def populate(template: Column, answers: Column) -> Column:
-    """template with each {{name}} replaced, one after the other; answers: array of structs (name, html)."""
-    return F.aggregate(answers, template, lambda t, a: F.replace(t, F.concat(F.lit("{{"), a["name"], F.lit("}}")), a["html"]))
+    """template with each {{name}} replaced, one after the other; answers: array of structs (name, html, is_string, n_quotes).
+
+    A text answer with quotes has their running numbers after it, [1] [2]; other answers count theirs without showing them.
+    """
+    start = F.struct(template.alias("html"), F.lit(1).alias("next"))
+
+    def step(s: Column, a: Column) -> Column:
+        mark = F.concat(F.lit("{{"), a["name"], F.lit("}}"))
+        there = F.contains(s["html"], mark)
+        numbers = F.transform(F.sequence(s["next"], s["next"] + a["n_quotes"] - 1), lambda i: F.concat(F.lit("["), i.cast("string"), F.lit("]")))
+        refs = F.when(a["is_string"] & (a["n_quotes"] > 0) & (a["html"] != ""), F.concat(F.lit(" "), F.array_join(numbers, " "))).otherwise("")
+        return F.struct(F.replace(s["html"], mark, F.concat(a["html"], refs)).alias("html"), (s["next"] + F.when(there, a["n_quotes"]).otherwise(0)).alias("next"))
+
+    return F.aggregate(answers, start, step, lambda s: s["html"])
 
 
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -79,7 +96,7 @@ def template_placeholders(spark, d):
 def template_coverage(spark, d):
     t = _templates(spark, d).select("page_id", F.explode(placeholders(F.col("html"))).alias("placeholder"), F.lit(True).alias("t"))
     q = table(spark, d, "pages").select("page_id", F.explode(F.array(F.lit("q0"), F.lit("q1"), F.lit("q2"))).alias("placeholder"), F.lit(True).alias("q"))
-    return t.join(q, ["page_id", "placeholder"], "full").select("page_id", "placeholder", F.col("q").isNull().alias("no_question"), F.col("t").isNull().alias("no_placeholder"))
+    return t.join(q.hint("merge"), ["page_id", "placeholder"], "full").select("page_id", "placeholder", F.col("q").isNull().alias("no_question"), F.col("t").isNull().alias("no_placeholder"))
 
 
 _NAME = rf"""(SELECT item_id, item_id % 4 AS agent, substr(regexp_replace(array_to_string(list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(q, '^(?i:{LEADS})\s+', ''), '\b(?i:{SMALL})\b', ' ', 'g'), '[?!.,;:]', '', 'g'), '\s+'), lambda w: length(w) > 2), lambda w: upper(w[1]) || lower(w[2:])), ''), '^[^a-zA-Z]', 'Field'), 1, 30) AS name
@@ -107,9 +124,12 @@ def q_render_string(spark, d):
     return table(spark, d, "pages").select("page_id", render_string(F.col("html")).alias("html"))
 
 
-@query("render_list", f"SELECT doc_id, CASE WHEN len(l) = 0 THEN '<li>No items found</li>' ELSE array_to_string(list_transform(l, lambda x: '<li>' || {_ESC.format('x')} || '</li>'), chr(10) || '    ') END AS html FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN [] ELSE string_split(coalesce(text, ''), chr(10)) END AS l FROM documents)")
+@query("render_list", f"SELECT doc_id, CASE WHEN len(l) = 0 THEN '<li>No items found</li>' ELSE array_to_string(list_transform(l, lambda x: '<li>' || {_ESC.format('x')} || '</li>'), chr(10) || '    ') END AS html FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN [] WHEN doc_id % 9 = 2 THEN ['answer: ' || coalesce(text, '')] ELSE string_split(coalesce(text, ''), chr(10)) END AS l FROM documents)")
 def q_render_list(spark, d):
-    items = F.when(F.col("doc_id") % 9 == 0, F.array().cast("array<string>")).otherwise(F.split(F.coalesce("text", F.lit("")), "\n"))
+    """Lists: most as arrays, some as the JSON text of one, some as plain text, some empty."""
+    i, text = F.col("doc_id") % 9, F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n")
+    items = F.when(i == 0, F.array().cast("array<string>")).when(i == 1, list_items(F.to_json(lines))).when(i == 2, list_items(F.concat(F.lit("answer: "), text))).otherwise(lines)
     return table(spark, d, "documents").select("doc_id", render_list(items).alias("html"))
 
 
@@ -120,11 +140,21 @@ def q_render_table(spark, d):
     return rows.select("conv_id", render_table(maps, ["role", "text"]).alias("html"))
 
 
-@query("populate_template", f"SELECT conv_id, 'A: ' || coalesce(max(replace({_ESC.format('text')}, chr(10), '<br>')) FILTER (turn = 0), '{{{{q0}}}}') || ' B: ' || coalesce(max(replace({_ESC.format('text')}, chr(10), '<br>')) FILTER (turn = 1), '{{{{q1}}}}') || ' A: ' || coalesce(max(replace({_ESC.format('text')}, chr(10), '<br>')) FILTER (turn = 0), '{{{{q0}}}}') AS html FROM (SELECT conv_id, turn, replace(text, '{{{{', '') AS text FROM conversations) GROUP BY 1")
+_SAFE = f"replace({_ESC.format('text')}, chr(10), '<br>')"
+
+
+@query("populate_template", f"""SELECT conv_id, 'A: ' || coalesce(a, '{{{{q0}}}}') || ' B: ' || coalesce(b, '{{{{q1}}}}') || ' A: ' || coalesce(a, '{{{{q0}}}}') || ' C: ' || coalesce(c, '{{{{q2}}}}') AS html FROM (SELECT conv_id,
+    max({_SAFE} || CASE WHEN {_SAFE} <> '' AND conv_id % 3 > 0 THEN array_to_string(list_transform(range(1, 1 + conv_id % 3), lambda i: ' [' || i || ']'), '') ELSE '' END) FILTER (turn = 0) AS a, max('<li>' || {_ESC.format('text')} || '</li>') FILTER (turn = 1) AS b,
+    max({_SAFE} || CASE WHEN {_SAFE} <> '' THEN ' [' || (1 + p0 * (conv_id % 3) + p1 * 2) || ']' ELSE '' END) FILTER (turn = 2) AS c
+    FROM (SELECT conv_id, turn, replace(text, '{{{{', '') AS text, count(*) FILTER (turn = 0) OVER w AS p0, count(*) FILTER (turn = 1) OVER w AS p1 FROM conversations WINDOW w AS (PARTITION BY conv_id)) GROUP BY 1)""")
 def populate_template(spark, d):
-    answer = F.struct("turn", F.concat(F.lit("q"), F.col("turn").cast("string")).alias("name"), render_string(F.replace("text", F.lit("{{"), F.lit(""))).alias("html"))
+    """Turn 0 and 2 as texts with numbered quotes (conv_id % 3, and one), turn 1 as a list with two."""
+    text, turn = F.replace("text", F.lit("{{"), F.lit("")), F.col("turn")
+    html = F.when(turn == 1, render_list(F.array(text))).otherwise(render_string(text))
+    quotes = F.when(turn == 0, F.col("conv_id") % 3).when(turn == 1, 2).otherwise(1).cast("int")
+    answer = F.struct("turn", F.concat(F.lit("q"), turn.cast("string")).alias("name"), html.alias("html"), (turn != 1).alias("is_string"), quotes.alias("n_quotes"))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(answer)).alias("a"))
-    return rows.select("conv_id", populate(F.lit("A: {{q0}} B: {{q1}} A: {{q0}}"), F.col("a")).alias("html"))
+    return rows.select("conv_id", populate(F.lit("A: {{q0}} B: {{q1}} A: {{q0}} C: {{q2}}"), F.col("a")).alias("html"))
 
 
 @query("reference_section", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, coalesce(d.source, 'Unknown Document') AS document, 1 + turn % 4 AS page, substr(c.text, 1, 200) AS quote FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id * 13")
@@ -146,6 +176,6 @@ def report_answers(spark, d, questions: int = 8):
     """Every question once; quote numbers run over the whole report."""
     c = table(spark, d, "conversations")
     asked = c.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(questions - 1).cast("long"))).alias("question_no"))
-    rows = asked.join(c.select("conv_id", F.col("turn").alias("question_no"), "text"), ["conv_id", "question_no"], "left")
+    rows = asked.hint("merge").join(c.select("conv_id", F.col("turn").alias("question_no"), "text"), ["conv_id", "question_no"], "left")
     quotes = F.sum(F.col("text").isNotNull().cast("long")).over(W.partitionBy("conv_id").orderBy("question_no"))
     return rows.select("conv_id", "question_no", F.coalesce("text", F.lit("[No answer generated]")).alias("answer"), quotes.alias("last_quote"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans.registry import query
@@ -19,17 +20,23 @@ def child_rows(spark, d, user: int = 7):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(own, "l_orderkey", "left_semi")
 
 
-@query("visible_agents", """SELECT agent_id, user_id FROM agents JOIN users ON user_id % 100 = 1 LEFT JOIN (SELECT user_id, org_id AS own_org FROM members) m USING (user_id)
-    WHERE NOT is_custom OR owner_id = user_id OR (org_id IS NOT NULL AND org_id = own_org)""")
+@query("visible_agents", """SELECT agent_id, 'everyone' AS audience, NULL::BIGINT AS audience_id FROM agents WHERE NOT is_custom UNION ALL SELECT agent_id, 'user', owner_id FROM agents WHERE is_custom UNION ALL SELECT agent_id, 'organisation', org_id FROM agents WHERE is_custom AND org_id IS NOT NULL""")
 def visible_agents(spark, d):
-    """Agents that users 1, 101, ... see: prebuilt ones, their own, and those of their organisation. Disjoint branches, each an equi join."""
-    some = users(spark, d).where("user_id % 100 = 1").select("user_id").join(members(spark, d).select("user_id", F.col("org_id").alias("own_org")), "user_id", "left")
-    all_ = agents(spark, d)
-    prebuilt = all_.where(~F.col("is_custom")).select("agent_id").join(F.broadcast(some.select("user_id")), F.lit(True))  # every user sees these
-    custom = all_.where("is_custom")
-    own = custom.join(some, custom["owner_id"] == some["user_id"]).select("agent_id", "user_id")
-    same = custom.join(some, (custom["org_id"] == some["own_org"]) & (custom["owner_id"] != some["user_id"])).select("agent_id", "user_id")
-    return prebuilt.unionByName(own).unionByName(same)
+    """Who sees each agent, as classes of users: everyone sees prebuilt ones, others their owner and the members of their organisation.
+
+    With the table of members this says all pairs without forming them; see seen_by().
+    """
+    a = agents(spark, d)
+    who = lambda rows, kind, who: rows.select("agent_id", F.lit(kind).alias("audience"), who.cast("long").alias("audience_id"))
+    custom = a.where("is_custom")
+    return who(a.where(~F.col("is_custom")), "everyone", F.lit(None)).unionByName(who(custom, "user", F.col("owner_id"))).unionByName(who(custom.where("org_id is not null"), "organisation", F.col("org_id")))
+
+
+def seen_by(visible: DataFrame, member: DataFrame, user: int) -> DataFrame:
+    """agent_id of all agents that one user sees."""
+    org = [r[0] for r in member.where(F.col("user_id") == user).select("org_id").collect()]  # the organisations of one user
+    own = (F.col("audience") == "everyone") | ((F.col("audience") == "user") & (F.col("audience_id") == user)) | ((F.col("audience") == "organisation") & F.col("audience_id").isin(org))
+    return visible.where(own).select("agent_id").distinct()
 
 
 def active_access(rows, member, org):
@@ -61,11 +68,13 @@ def session_state(spark, d, asof: str = ORDERS_ASOF):
     return rows.select("request_id", state.alias("state"))
 
 
-@query("block_cascade", """SELECT m.org_id, m.user_id, 'blocked' AS status, count(s.session_id) FILTER (s.revoked_at IS NULL) AS revoked_sessions FROM members m LEFT JOIN logins s USING (user_id) WHERE m.user_id % 23 = 0 GROUP BY 1, 2""")
+@query("block_cascade", """SELECT m.org_id, m.user_id, 'blocked' AS status, count(s.session_id) FILTER (s.revoked_at IS NULL) AS revoked_sessions, 'member blocked' AS event, count(s.session_id) FILTER (s.revoked_at IS NULL) || ' sessions revoked' AS detail FROM members m LEFT JOIN logins s USING (user_id) WHERE m.user_id % 23 = 0 GROUP BY 1, 2""")
 def block_cascade(spark, d):
-    """Blocked members, with the number of open sessions that the block revokes."""
+    """Blocked members, with the number of open sessions that the block revokes and the audit event that records both."""
     blocked = members(spark, d).where("user_id % 23 = 0").select("org_id", "user_id")
-    return blocked.join(logins(spark, d), "user_id", "left").groupBy("org_id", "user_id").agg(F.lit("blocked").alias("status"), F.count_if(F.col("session_id").isNotNull() & F.col("revoked_at").isNull()).alias("revoked_sessions"))
+    n = F.count_if(F.col("session_id").isNotNull() & F.col("revoked_at").isNull())
+    rows = blocked.join(logins(spark, d), "user_id", "left").groupBy("org_id", "user_id").agg(F.lit("blocked").alias("status"), n.alias("revoked_sessions"))
+    return rows.withColumns({"event": F.lit("member blocked"), "detail": F.concat(F.col("revoked_sessions").cast("string"), F.lit(" sessions revoked"))})
 
 
 _LOGIN_FEED = "SELECT o_orderkey AS login_id, 'iss|' || (o_custkey * 2) AS subject, 'obj|' || CASE WHEN o_orderkey % 20 = 0 THEN o_custkey * 2 + 2 ELSE o_custkey * 2 END AS object FROM orders"

@@ -127,7 +127,7 @@ def doc_statistics(spark, d):
     lines = doc_lines(spark, d)
     pages = paginate(lines).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(token_count(F.col("markdown"))).alias("tokens"))
     count = lambda flag, name: blocks(lines, flag).groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-    out = pages.join(count(table_line(F.col("line")), "tables"), "doc_id", "left").join(count(F.trim("line") != "", "paragraphs"), "doc_id", "left")
+    out = pages.join(count(table_line(F.col("line")), "tables").hint("merge"), "doc_id", "left").join(count(F.trim("line") != "", "paragraphs").hint("merge"), "doc_id", "left")
     return out.fillna(0, ["tables", "paragraphs"])
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
+from quire.operators.fold import folded
 from quire.plans.registry import query
 from quire.sources.views import EVENTS_ASOF, quotas, usage_logs
 
@@ -48,20 +50,18 @@ def charges(costs: DataFrame, limits: DataFrame) -> DataFrame:
 def hourly_bucket(logs: DataFrame, cost: Column, size: int = 100, seconds: int = 3600) -> DataFrame:
     """Per call: granted or refused against a bucket that refills when the first use lies over an hour back.
 
-    A fold over one user's calls in order; a refused call costs nothing.
+    One pass over a user's calls in order; a refused call costs nothing.
     """
-    call = F.struct("ts", "event_id", cost.cast("long").alias("cost"))
-    rows = logs.groupBy("user_id").agg(F.array_sort(F.collect_list(call)).alias("calls"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("since"), F.lit(size).cast("long").alias("left"), F.array().cast("array<boolean>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = F.coalesce(F.unix_micros(x["ts"]) - F.unix_micros(s["since"]) > seconds * 1_000_000, F.lit(True))
-        left = F.when(fresh, F.lit(size).cast("long")).otherwise(s["left"])
-        ok = left >= x["cost"]
-        return F.struct(F.when(fresh, x["ts"]).otherwise(s["since"]).alias("since"), F.when(ok, left - x["cost"]).otherwise(left).alias("left"), F.concat(s["out"], F.array(ok)).alias("out"))
+    def step(state: tuple, user_id: int, event_id: int, us: int, cost: int) -> tuple:
+        since, left = state
+        if since is None or us - since > seconds * 1_000_000:
+            since, left = us, size
+        ok = left >= cost
+        return (since, left - cost if ok else left), ok
 
-    out = rows.select("user_id", F.explode(F.arrays_zip(F.col("calls").alias("c"), F.aggregate("calls", start, step, lambda s: s["out"]).alias("ok"))).alias("x"))
-    return out.select("user_id", F.col("x.c.event_id").alias("event_id"), F.col("x.ok").alias("granted"))
+    calls = logs.select("user_id", "event_id", F.unix_micros("ts").alias("us"), cost.cast("long").alias("cost"))
+    return folded(calls, "user_id", ["us", "event_id"], lambda: (None, size), step, "granted", T.BooleanType()).select("user_id", "event_id", "granted")
 
 
 def _costs(spark, d):
@@ -135,12 +135,15 @@ def token_usage(spark, d):
     return usage_logs(spark, d).groupBy(F.col("user_id").alias("run")).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"))
 
 
-@query("hourly_credit_bucket", """, calls AS (SELECT user_id, event_id, ts, event_id % 60 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+HOURLY_BUCKET = """WITH RECURSIVE calls AS (SELECT user_id, event_id, ts, event_id % 60 AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     bucket AS (SELECT user_id, i, event_id, ts AS since, CASE WHEN 100 >= cost THEN 100 - cost ELSE 100 END AS left_over, 100 >= cost AS granted FROM calls WHERE i = 1
     UNION ALL SELECT c.user_id, c.i, c.event_id, CASE WHEN epoch_us(c.ts) - epoch_us(b.since) > 3600000000 THEN c.ts ELSE b.since END,
     CASE WHEN (CASE WHEN epoch_us(c.ts) - epoch_us(b.since) > 3600000000 THEN 100 ELSE b.left_over END) >= c.cost THEN (CASE WHEN epoch_us(c.ts) - epoch_us(b.since) > 3600000000 THEN 100 ELSE b.left_over END) - c.cost ELSE b.left_over END,
     (CASE WHEN epoch_us(c.ts) - epoch_us(b.since) > 3600000000 THEN 100 ELSE b.left_over END) >= c.cost FROM bucket b JOIN calls c ON c.user_id = b.user_id AND c.i = b.i + 1)
-    SELECT user_id, event_id, granted FROM bucket""".replace(", calls AS", "WITH RECURSIVE calls AS", 1))
+    SELECT user_id, event_id, granted FROM bucket"""
+
+
+@query("hourly_credit_bucket", HOURLY_BUCKET)
 def hourly_credit_bucket(spark, d):
     return hourly_bucket(usage_logs(spark, d), F.col("event_id") % 60)
 

@@ -15,32 +15,43 @@ from quire.plans.registry import query
 from quire.sources.views import table
 
 BLOCK = 1000  # queries that one pass holds
+MOST = 100  # hits of a query
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+    """The rows of a column of equally long lists."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, vec_id, distance (squared L2), rank of the k nearest vectors of each query; ties by vec_id.
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, document_ids: list | None = None, block: int = BLOCK) -> DataFrame:
+    """query_id, vec_id, distance (squared L2, to 9 places), rank of the k nearest vectors of each query; ties by vec_id.
 
-    Queries are taken in blocks of BLOCK; a task reduces each Arrow batch to its k nearest before anything shuffles.
+    k is at most MOST. document_ids: only vectors of these documents (vectors has document_id then). Queries are a
+    stated set; they are taken in blocks of about `block`, each of which passes over the vectors once, and a task hands
+    on only its own k nearest.
     """
-    asked = queries.select("query_id", "embedding").orderBy("query_id").toArrow()  # a stated query set, not the corpus
-    out = None
-    for i in range(0, max(asked.num_rows, 1), BLOCK):
-        part = asked.slice(i, BLOCK)
-        ids, q = part.column(0).to_numpy(), _matrix(part.column(1))
+    k = min(k, MOST)
+    if document_ids is not None:
+        vectors = vectors.where(F.col("document_id").isin(document_ids))
+    n_blocks, out = max(1, -(-queries.count() // block)), None
+    for i in range(n_blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).select("query_id", "embedding").toArrow().combine_chunks()  # about `block` rows
+        ids = part.column(0).to_numpy()
+        q = _matrix(part.column(1).combine_chunks()) if len(ids) else np.zeros((0, 1))
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+            best, name = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
             for b in batches:
                 if not b.num_rows or not len(ids):
                     continue
-                name, x = b.column(0).to_numpy(), _matrix(b.column(1))
-                dist = np.stack([((x - row) ** 2).sum(1) for row in q])
-                near = np.lexsort((np.broadcast_to(name, dist.shape), dist))[:, :k]
-                rows = np.arange(len(ids))[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, near.shape[1])), pa.array(name[near].ravel()), pa.array(dist[rows, near].ravel())], names=["query_id", "vec_id", "distance"])
+                x = _matrix(b.column(1))
+                own = np.round((x * x).sum(1) - 2 * q @ x.T + (q * q).sum(1)[:, None], 9)
+                best = np.concatenate([best, np.maximum(own, 0.0)], 1)
+                name = np.concatenate([name, np.broadcast_to(b.column(0).to_numpy(), own.shape)], 1)
+                near = np.lexsort((name, best))[:, :k]
+                best, name = np.take_along_axis(best, near, 1), np.take_along_axis(name, near, 1)
+            if best.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(name.ravel()), pa.array(best.ravel())], names=["query_id", "vec_id", "distance"])
 
         found = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, distance double")
         out = found if out is None else out.unionByName(found)
@@ -77,30 +88,35 @@ def _vectors(spark, d):
 
 
 def _queries(spark, d):
-    return _vectors(spark, d).where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-_DIST = "list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: power(CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE), 2)))"
-_TOP = f"(SELECT q.vec_id AS query_id, v.vec_id, v.label, {_DIST} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DIST}, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id < 5)"
+_DIST = "round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: power(CAST(v.embedding[i] AS DOUBLE) - CAST(q.embedding[i] AS DOUBLE), 2))), 9)"
+_TOP = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, v.label, {_DIST} AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0))"
+_FILTERED = _TOP.replace("q.vec_id % 50 = 0", "q.vec_id % 50 = 0 AND v.label IN (1, 3, 5)")
 
 
-@query("vector_topk", f"SELECT query_id, vec_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM {_TOP} WHERE rank <= 10")
+@query("vector_topk", f"SELECT 'all' AS searched, query_id, vec_id, round(distance, 6) AS distance, rank::INTEGER AS rank FROM {_TOP} WHERE rank <= 10 UNION ALL SELECT 'some', query_id, vec_id, round(distance, 6), rank::INTEGER FROM {_FILTERED} WHERE rank <= 100")
 def q_vector_topk(spark, d):
-    return vector_topk(_vectors(spark, d), _queries(spark, d)).withColumn("distance", F.round("distance", 6))
+    """The ten nearest vectors, and the hundred nearest (of 200 asked for) of three documents."""
+    vectors = _vectors(spark, d).withColumn("document_id", F.col("label"))
+    whole = vector_topk(vectors, _queries(spark, d)).withColumn("searched", F.lit("all"))
+    some = vector_topk(vectors, _queries(spark, d), 200, [1, 3, 5]).withColumn("searched", F.lit("some"))
+    return whole.unionByName(some).withColumn("distance", F.round("distance", 6))
 
 
-@query("gather_question_chunks", f"SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS chunks FROM {_TOP} WHERE rank <= 10 GROUP BY 1 UNION ALL SELECT 5, ''")
+@query("gather_question_chunks", f"SELECT query_id, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY rank) AS chunks FROM {_TOP} WHERE rank <= 10 GROUP BY 1 UNION ALL SELECT DISTINCT -1 - label, '' FROM embeddings")
 def gather_question_chunks(spark, d):
-    """The nearest chunks of each question; a question without hits (here number 5) stays."""
+    """The nearest chunks of each question; questions without hits stay (here one for each label, asked without a vector)."""
     hits = vector_topk(_vectors(spark, d), _queries(spark, d))
-    asked = spark.range(6).select(F.col("id").alias("query_id")).join(_vectors(spark, d).agg(F.max("vec_id").alias("m")), F.lit(True)).drop("m")
-    own = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l"))
-    return asked.join(own, "query_id", "left").select("query_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["vec_id"].cast("string")), ","), F.lit("")).alias("chunks"))
+    asked = _queries(spark, d).select("query_id").unionByName(_vectors(spark, d).select((-1 - F.col("label")).cast("long").alias("query_id")).distinct())
+    own = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l"))  # k a question
+    return asked.join(own.hint("merge"), "query_id", "left").select("query_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["vec_id"].cast("string")), ","), F.lit("")).alias("chunks"))
 
 
 @query("document_context", f"SELECT label AS document_id, count(*) AS chunk_count, string_agg(DISTINCT CAST(vec_id % 10 AS VARCHAR), ',' ORDER BY CAST(vec_id % 10 AS VARCHAR)) AS pages FROM {_TOP} WHERE rank <= 10 GROUP BY 1")
 def document_context(spark, d):
-    hits = vector_topk(_vectors(spark, d), _queries(spark, d)).join(_vectors(spark, d).select("vec_id", "label"), "vec_id")
+    hits = vector_topk(_vectors(spark, d), _queries(spark, d)).hint("merge").join(_vectors(spark, d).select("vec_id", "label"), "vec_id")
     return hits.groupBy(F.col("label").alias("document_id")).agg(F.count(F.lit(1)).alias("chunk_count"), F.array_join(F.array_sort(F.collect_set((F.col("vec_id") % 10).cast("string"))), ",").alias("pages"))
 
 
@@ -114,15 +130,27 @@ def udf_embedder(spark, d):
     return embed_batches(table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text")), lambda ts: [[float(len(t))] for t in ts])
 
 
-@query("vector_topk_ann")
-def vector_topk_ann(spark, d, k: int = 10):
-    """Candidates by random projections; recall is measured against vector_topk in the tests."""
+def vector_topk_ann(vectors: DataFrame, queries: DataFrame, k: int = 10, within: float = 2.0) -> DataFrame:
+    """query_id, vec_id, distance (squared L2), rank: candidates by random projections, nearer than `within`.
+
+    A query with fewer than k candidates goes to the exact search.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = _vectors(spark, d).select("vec_id", array_to_vector("embedding").alias("v"))
+    rows = vectors.select("vec_id", array_to_vector("embedding").alias("v"))
+    asked = queries.select("query_id", array_to_vector("embedding").alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=2.0, numHashTables=8, seed=7).fit(rows)
-    pairs = model.approxSimilarityJoin(rows.where("vec_id < 5"), rows, 2.0, "distance")
+    pairs = model.approxSimilarityJoin(asked, rows, within, "d")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))
-    out = pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), "distance")
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    out = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round(F.col("d") * F.col("d"), 9).alias("distance"))
+    out = out.withColumn("rank", rank).where(F.col("rank") <= k)
+    full = out.where(F.col("rank") == k).select("query_id")
+    rest = vector_topk(vectors, queries.join(full.hint("merge"), "query_id", "left_anti"), k)
+    return out.join(full.hint("merge"), "query_id", "left_semi").unionByName(rest)
+
+
+@query("vector_topk_ann")
+def q_vector_topk_ann(spark, d):
+    """Recall against vector_topk over all queries is measured in the tests."""
+    return vector_topk_ann(_vectors(spark, d), _queries(spark, d))

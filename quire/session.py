@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,14 @@ def local_session(app: str = "quire", cpus: str | int = "*") -> SparkSession:
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder for what a query writes: in spark.checkpoint.dir, which driver and executors share; where that is unset, a local session takes one of its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-"))
+        top = spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,16 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.intake import normalize_email
-from quire.operators.usage import DEFAULT_PRICE, PRICES
+from quire.operators.usage import DEFAULT_PRICE, HOURLY_BUCKET, PRICES
 from quire.plans.registry import query
+from quire.session import new_folder
 from quire.sources.views import endpoints, table
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quire-stream-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream. Its time has no zone, which watermarks refuse, so it becomes a timestamp.
 
@@ -33,7 +27,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
-    where = _folder(spark, name)
+    where = new_folder(spark, name)
     q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start(f"{where}/out")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
@@ -45,11 +39,16 @@ def cost():
     return (F.floor(F.col("value") * 1000) * price(1) + F.floor(F.col("value") * 100) * price(2)) / 1_000_000
 
 
-@query("stream_usage")
+_COST = "(floor(value * 1000) * p1 + floor(value * 100) * p2) / 1000000"
+_PRICED = f"(SELECT *, {_COST} AS cost FROM (SELECT *, " + ", ".join(f"CASE 'model-' || event_id % 5 {' '.join(f'WHEN {chr(39)}{p[0]}{chr(39)} THEN CAST({p[i]} AS DOUBLE)' for p in PRICES)} ELSE CAST({DEFAULT_PRICE[i - 1]} AS DOUBLE) END AS p{i}" for i in (1, 2)) + " FROM events))"
+
+
+@query("stream_usage", f"""SELECT CAST(ts AS DATE) AS day, user_id, round(sum(cost), 9) AS cost, count(*) AS calls FROM {_PRICED}
+    GROUP BY 1, 2 HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_usage(spark, d):
     """Cost per user and day; days close a day behind the latest event."""
-    rows = events(spark, d).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "user_id").agg(F.round(F.sum(cost()), 6).alias("cost"), F.count(F.lit(1)).alias("calls"))
-    return drained(rows.select(F.col("window.start").alias("day"), "user_id", "cost", "calls"), "stream-usage")
+    rows = events(spark, d).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "user_id").agg(F.round(F.sum(cost()), 9).alias("cost"), F.count(F.lit(1)).alias("calls"))
+    return drained(rows.select(F.col("window.start").cast("date").alias("day"), "user_id", "cost", "calls"), "stream-usage")
 
 
 @query("stream_rate_limit")
@@ -66,11 +65,11 @@ def stream_dedup(spark, d):
     return drained(rows.select("message_id", "event_id", "ts"), "stream-dedup")
 
 
-@query("stream_intake")
+@query("stream_intake", "SELECT e.event_id, p.user_id, CASE WHEN p.user_id IS NULL THEN 'unknown_alias' WHEN NOT p.is_active THEN 'inactive_alias' ELSE 'accepted' END AS decision FROM events e LEFT JOIN endpoints p ON p.alias = 'u' || e.user_id || '@in.example.com'")
 def stream_intake(spark, d):
     """New messages meet the known aliases, and accepted ones are appended as jobs, batch by batch."""
     known = endpoints(spark, d).select("alias", "user_id", "is_active")
-    where = _folder(spark, "stream-intake")
+    where = new_folder(spark, "stream-intake")
 
     def put(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("alias", normalize_email(F.concat(F.lit(" U"), F.col("user_id").cast("string"), F.lit("@in.example.com "))))
@@ -84,22 +83,27 @@ def stream_intake(spark, d):
     return spark.read.parquet(f"{where}/jobs").drop("batch")
 
 
+def _in_order(pdfs: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+    """A key's rows of one trigger, sorted: they come in several chunks in any order. The source's rate bounds a trigger."""
+    return pd.concat(pdfs).sort_values([by, "event_id"])
+
+
 def _month(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Month-to-date cost and level of one user; starts anew with each month."""
     month, used = state.get if state.exists else ("", 0.0)
-    for pdf in pdfs:
-        out = []
-        for row in pdf.sort_values(["ts", "event_id"]).itertuples():
-            own = f"{row.ts:%Y-%m}"
-            used = row.cost + (used if own == month else 0.0)
-            month = own
-            share = used / 15 * 100
-            out.append((key[0], row.event_id, month, round(used, 6), 3 if share >= 100 else 2 if share >= 90 else 1 if share >= 70 else 0))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "month", "used", "level"])
+    out = []
+    for row in _in_order(pdfs, "ts").itertuples():
+        own = f"{row.ts:%Y-%m}"
+        used = row.cost + (used if own == month else 0.0)
+        month = own
+        share = used / 15 * 100
+        out.append((key[0], row.event_id, month, round(used, 9), 3 if share >= 100 else 2 if share >= 90 else 1 if share >= 70 else 0))
     state.update((month, used))
+    yield pd.DataFrame(out, columns=["user_id", "event_id", "month", "used", "level"])
 
 
-@query("stream_quota_state")
+@query("stream_quota_state", f"""SELECT user_id, event_id, month, round(used, 9) AS used, (CASE WHEN used / 15 * 100 >= 100 THEN 3 WHEN used / 15 * 100 >= 90 THEN 2 WHEN used / 15 * 100 >= 70 THEN 1 ELSE 0 END)::INTEGER AS level
+    FROM (SELECT user_id, event_id, strftime(ts, '%Y-%m') AS month, sum(cost) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM {_PRICED})""")
 def stream_quota_state(spark, d):
     rows = events(spark, d).select("user_id", "event_id", "ts", cost().alias("cost"))
     out = rows.groupBy("user_id").applyInPandasWithState(_month, "user_id long, event_id long, month string, used double, level int", "month string, used double", "append", GroupStateTimeout.NoTimeout)
@@ -109,19 +113,18 @@ def stream_quota_state(spark, d):
 def _bucket(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """100 credits an hour from first use; a refused call costs nothing."""
     since, left = state.get if state.exists else (0, 100)
-    for pdf in pdfs:
-        out = []
-        for row in pdf.sort_values(["us", "event_id"]).itertuples():
-            if not since or row.us - since > 3_600_000_000:
-                since, left = row.us, 100
-            ok = left >= row.cost
-            left -= row.cost if ok else 0
-            out.append((key[0], row.event_id, bool(ok)))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "granted"])
+    out = []
+    for row in _in_order(pdfs, "us").itertuples():
+        if not since or row.us - since > 3_600_000_000:
+            since, left = row.us, 100
+        ok = left >= row.cost
+        left -= row.cost if ok else 0
+        out.append((key[0], row.event_id, bool(ok)))
     state.update((int(since), int(left)))
+    yield pd.DataFrame(out, columns=["user_id", "event_id", "granted"])
 
 
-@query("stream_credit_bucket")
+@query("stream_credit_bucket", HOURLY_BUCKET)
 def stream_credit_bucket(spark, d):
     rows = events(spark, d).select("user_id", "event_id", F.unix_micros("ts").alias("us"), (F.col("event_id") % 60).alias("cost"))
     out = rows.groupBy("user_id").applyInPandasWithState(_bucket, "user_id long, event_id long, granted boolean", "since long, left long", "append", GroupStateTimeout.NoTimeout)
