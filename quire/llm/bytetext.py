@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
-STEP = 1 << 20  # bytes that are looked at together, unless one text is longer
+STEP = 1 << 18  # bytes that are looked at together, unless one text is longer
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _powers: dict[int, np.ndarray] = {}

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import sent, staged
+from quire.llm.shared import scratch, sent, staged
 
 BITS_PER_ROW = 16
 BLOCK = 32_768  # bits of one bitmap of bitmap_construct_agg
@@ -37,7 +37,7 @@ def _slots(n_bits: int) -> Column:
     return F.array(F.pmod("h", F.lit(n_bits)), F.pmod(_part(F.col("text_sha256"), 17), F.lit(n_bits)))
 
 
-def _is_set(bits: Column, slot: Column) -> Column:
+def is_set(bits: Column, slot: Column) -> Column:
     at = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
@@ -57,7 +57,7 @@ def with_maybe(rows: DataFrame, blocks: DataFrame, n_bits: int) -> DataFrame:
     for i in (0, 1):
         side = blocks.select(F.col("block").alias(f"block{i}"), F.col("bits").alias(f"bits{i}"))
         out = out.withColumn(f"block{i}", F.bitmap_bucket_number(F.col("slots")[i])).join(F.broadcast(side), f"block{i}", "left")
-        maybe = maybe & _is_set(F.col(f"bits{i}"), F.col("slots")[i])
+        maybe = maybe & is_set(F.col(f"bits{i}"), F.col("slots")[i])
     return out.withColumn("maybe", maybe).select(*rows.columns, "maybe")
 
 
@@ -110,12 +110,14 @@ def kept_documents(docs: DataFrame, max_filter_mb: float = 64, broadcast_rows: i
     """
     if {"__id", "__sha"} & set(docs.columns):
         raise ValueError("columns named __id or __sha clash with this operator's own")
-    _, more = _both(docs, max_filter_mb)
-    groups = _groups(more).where("group_size > 1")
-    # gone: rows of groups whose id isn't the one that stays; twice: ids that stay on several rows
-    ids = more.join(groups.hint("merge"), "text_sha256")
-    ids = ids.groupBy("text_sha256", "doc_id", "keep_id").agg(F.count(F.lit(1)).alias("n"))
-    ids = staged(ids.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")) | (F.col("n") > 1)).select(F.col("text_sha256").alias("__sha"), F.col("doc_id").alias("__id"), (F.col("n") > 1).alias("twice"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")), "not-plain")
+    with scratch(docs.sparkSession) as made:
+        _, more = _both(docs, max_filter_mb)
+        groups = _groups(more).where("group_size > 1")
+        # gone: rows of groups whose id isn't the one that stays; twice: ids that stay on several rows
+        ids = more.join(groups.hint("merge"), "text_sha256")
+        ids = ids.groupBy("text_sha256", "doc_id", "keep_id").agg(F.count(F.lit(1)).alias("n"))
+        ids = staged(ids.where(~F.col("doc_id").eqNullSafe(F.col("keep_id")) | (F.col("n") > 1)).select(F.col("text_sha256").alias("__sha"), F.col("doc_id").alias("__id"), (F.col("n") > 1).alias("twice"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")), "not-plain")
+        made.keep(ids)
     marked = docs.withColumn("__sha", text_digest()).withColumn("__id", F.col("doc_id").cast("long"))
     named = ids.select(F.col("__sha").alias("sha"), F.col("__id").alias("id"))
     same = (F.col("__sha") == F.col("sha")) & F.col("__id").eqNullSafe(F.col("id"))

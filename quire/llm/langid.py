@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytetext import U, mix64, texts
-from quire.llm.shared import staged
+from quire.llm.shared import scratch, staged
 
 BITS = 16
 SCALE = 100.0
@@ -174,6 +174,13 @@ def language(docs: DataFrame, per_lang: int = 800, shards: int = 3, epochs: int
     columns of docs are not read. The model has 2^BITS numbers a language, 64 MB for max_langs of 256; more
     distinct values of lang are an error.
     """
+    with scratch(docs.sparkSession) as made:
+        out = _scored(docs, per_lang, shards, epochs, max_langs)
+        made.keep(out)
+    return out
+
+
+def _scored(docs: DataFrame, per_lang: int, shards: int, epochs: int, max_langs: int) -> DataFrame:
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     learn = rows.where("lang is not null and doc_id is not null").where(~held_out() & lettered)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.shared import WORD, global_row_number, sent, staged
+from quire.llm.shared import WORD, global_row_number, scratch, sent, staged
 
 BROADCAST_ROWS = 100_000  # sources whose plan is sent to all tasks; with more, rows and plan are merged
 BITS, LEVELS = 12, 4  # bits of the hash that one histogram looks at; histograms
@@ -129,8 +129,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     Hash and size are computed on docs again, so texts are filtered where they are read: nothing sorts or shuffles
     them unless there are more than broadcast_rows sources.
     """
-    rows = staged(docs.select("source", _size().alias("size"), _hash().alias("h")), "sizes")
-    plan = sent(_plan(rows, weights, cap, broadcast_rows), broadcast_rows).alias("p")
+    with scratch(docs.sparkSession) as made:
+        plan = _plan(staged(docs.select("source", _size().alias("size"), _hash().alias("h")), "sizes"), weights, cap, broadcast_rows)
+        made.keep(plan)
+    plan = sent(plan, broadcast_rows).alias("p")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("source").alias("source"), _size().alias("size"), _hash().alias("h"))
     out = own.alias("r").join(plan, F.col("r.source").eqNullSafe(F.col("p.source")))
     times = _copies("p", F.col("h"), F.col("size"), cap).cast("int")

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.bytetext import LOWER, U, mix64, prefix_hash, span_hash, texts, words
 from quire.llm.components import components
-from quire.llm.shared import BROADCAST_ROWS, sent, staged
+from quire.llm.exact_dedup import BLOCK, is_set
+from quire.llm.shared import BROADCAST_ROWS, removed, scratch, sent, staged
 
 SKETCH_BITS, CHUNK_BITS = 22, 16
 
@@ -74,7 +75,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
                 sets = shingles(data, off, n)
                 waiting.append((np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int32))
                 size_waiting += len(waiting[-1])
-                if size_waiting > 1 << 20:
+                if size_waiting > 1 << 18:
                     count()
                     size_waiting = 0
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -191,6 +192,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_ro
     for each of its own. Other columns of docs are not read. Up to broadcast_rows keys are sent to all tasks in
     joins that only filter; beyond, both sides are merged.
     """
+    with scratch(docs.sparkSession) as made:
+        named, least = _named(docs, n, percent, broadcast_rows)
+        made.keep(named, least)
+    out = named.where("label is not null").join(least.hint("merge"), "label").select("doc_id", "n_shingles", "component_id", F.col("hash").alias("text_hash"))
+    return out.unionByName(named.where("label is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("hash").alias("text_hash")))
+
+
+def _named(docs: DataFrame, n: int, percent: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hash, n_shingles, label) of each row, label null where it has no set; (label, component_id)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     first = _first_pass(rows, n)
     sets = first.where("chunk is null").drop("chunk", "counts")
@@ -206,10 +216,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_ro
     sketch = _sketch(first)
     labels = _labels(standing, sketch, n, percent, broadcast_rows)
     named = full.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = staged(named.select("doc_id", "hash", "n_shingles", "label"), "named")
-    least = staged(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
-    out = named.join(least.hint("merge"), "label").select("doc_id", "n_shingles", "component_id", F.col("hash").alias("text_hash"))
-    return out.unionByName(sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("hash").alias("text_hash")))
+    none = sets.where("n_shingles = 0").withColumn("label", F.lit(None).cast("long"))
+    named = staged(named.unionByName(none).select("doc_id", "hash", "n_shingles", "label"), "named")
+    return named, staged(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
 
 
 def _node_of(standing: DataFrame, n: int) -> DataFrame:
@@ -228,10 +237,12 @@ def _labels(standing: DataFrame, sketch: np.ndarray, n: int, percent: int, broad
     """node, label: the component of each node that has a link."""
     noded = _node_of(standing, n)
     prefixes = staged(_prefixes(standing, sketch, n, percent), "prefixes")
+    shared = staged(_sharing(prefixes), "sharing")
+    removed(standing.sparkSession, prefixes.folder)  # the largest of what is written here
     # The most central set of each group, by an aggregate: a common shingle is summed within tasks first.
     central = F.min(F.struct(F.col("pos").alias("pos2"), F.col("node").alias("node2"), F.col("size").alias("size2")))
-    groups = prefixes.groupBy("token").agg(central.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "c.*")
-    live = staged(prefixes.join(sent(staged(groups, "groups"), broadcast_rows), "token"), "live")
+    groups = staged(shared.groupBy("token").agg(central.alias("c")).select("token", "c.*"), "groups")
+    live = staged(shared.join(sent(groups, broadcast_rows), "token"), "live")
     pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
     tried = live.where("node <> node2").where(_passes(percent, "size", "pos", "size2", "pos2")).select(*pair).distinct()
     tried = staged(tried, "pairs-1")
@@ -248,6 +259,21 @@ def _labels(standing: DataFrame, sketch: np.ndarray, n: int, percent: int, broad
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
+def _sharing(prefixes: DataFrame, max_filter_mb: int = 64) -> DataFrame:
+    """The rows of prefixes whose token stands in several.
+
+    A bitmap of the shared tokens is broadcast first, of max_filter_mb at most, so that few of the others shuffle; a
+    fuller one only lets more of them pass to the join that decides.
+    """
+    counts = prefixes.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    twice = staged(counts.where("n > 1").select("token"), "shared-tokens")
+    n_bits = max(BLOCK, min(16 * twice.count(), max_filter_mb * 8_000_000) // BLOCK * BLOCK)
+    slot = F.pmod("token", F.lit(n_bits))
+    bits = twice.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    maybe = prefixes.withColumn("block", F.bitmap_bucket_number(slot)).join(F.broadcast(staged(bits, "token-bits")), "block").where(is_set(F.col("bits"), slot))
+    return maybe.select(*prefixes.columns).join(twice.hint("merge"), "token")
+
+
 def _open_pairs(own: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different labels that share a shingle of own (token, node, size, pos, label) and pass the filters."""
     width = max(math.log(100 / percent), 1e-3) * 1.001  # a little more than the length filter allows
@@ -274,8 +300,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_rows:
     """
     if {"__id", "__hash"} & set(docs.columns):
         raise ValueError("columns named __id or __hash clash with this operator's own")
-    found = near_duplicates(docs, n, percent, broadcast_rows)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    gone = staged(gone, "gone")
+    with scratch(docs.sparkSession) as made:
+        found = near_duplicates(docs, n, percent, broadcast_rows)
+        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+        gone = staged(gone, "gone")
+        made.keep(gone)
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("__hash", F.xxhash64("text"))
     return keyed.join(sent(gone, broadcast_rows), ["__id", "__hash"], "left_anti").select(*docs.columns)

@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.bytetext import U, mix64, prefix_hash, span_hash, texts, words
-from quire.llm.shared import new_folder, sent, staged
+from quire.llm.shared import new_folder, scratch, sent, staged
 
 ORDER, LANG_BITS = 5, 23
-SHARD_ROWS = 4_000_000
+SHARD_ROWS = 400_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -77,10 +77,10 @@ def _counted(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarr
                 made.append(k)
                 counts.append(n)
                 size += len(k)
-                if size > 1_500_000:
+                if size > 700_000:
                     k, n = summed()
                     made, counts, size = [k], [n], len(k)
-                    if size > 1_000_000:  # hand over what would not stay small
+                    if size > 400_000:  # hand over what would not stay small
                         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "n"])
                         made, counts, size = [], [], 0
         if made:
@@ -293,11 +293,17 @@ def scored(docs: DataFrame, order: int = ORDER, carry: bool = False) -> DataFram
     log_ppl_word is null where a text, or the half that it isn't in, has no words. carry: text and the struct
     own, of the other columns of docs, go along.
     """
-    grams = count_grams(docs, order)
-    files = store(kneser_ney(grams, order), new_folder(docs.sparkSession, "model"))
-    level, new = word_model(count_words(docs))
-    word_files = store([level], new_folder(docs.sparkSession, "words"))
+    spark = docs.sparkSession
+    with scratch(spark) as made:  # models and what they are made of go when the scores are written
+        files = store(kneser_ney(count_grams(docs, order), order), new_folder(spark, "model"))
+        level, new = word_model(count_words(docs))
+        word_files = store([level], new_folder(spark, "words"))
+        out = staged(_with_scores(docs, order, carry, files, word_files, new), "scored")
+        made.keep(out)
+    return out
+
 
+def _with_scores(docs: DataFrame, order: int, carry: bool, files: list, word_files: list, new: list[float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if str(files) not in _models:
             _models.clear()
@@ -333,7 +339,7 @@ def scored(docs: DataFrame, order: int = ORDER, carry: bool = False) -> DataFram
     kind = T.StructType.fromDDL(_SCORED)
     if carry:
         kind = T.StructType([*kind.fields, rows.schema["text"], rows.schema["own"]])
-    return staged(rows.mapInArrow(run, kind), "scored")
+    return rows.mapInArrow(run, kind)
 
 
 def _quartiles(rows: DataFrame, columns: list[str], bins: int = 4096) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20  # of an Arrow batch that goes to Python, whichever comes first
-BROADCAST_ROWS = 2_000_000  # narrow rows (two numbers or so) that are sent to all tasks
+BROADCAST_ROWS = 200_000  # narrow rows (two numbers or so) that are sent to all tasks
 WORD = r"[^\x20\x09-\x0D]+"
 _made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
@@ -46,17 +46,37 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        fs, p = _path(spark, path)
+        fs.delete(p, True)
+        if path in (_made.get() or []):
+            _made.get().remove(path)
+
+
+class Scratch(list):
+    """Folders to remove."""
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Those of staged frames stay; they are the surrounding scratch's, if there is one."""
+        for df in frames:
+            self.remove(df.folder)
+            self.kept.append(df.folder)
+
+
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[list[str]]:
-    """Folders made inside go at the end, but for those taken off the list."""
-    token = _made.set([])
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Folders made inside go at the end, but for those kept. All that reads them must have been written by then."""
+    made, outer = Scratch(), _made.get()
+    made.kept = []
+    token = _made.set(made)
     try:
-        yield _made.get()
+        yield made
     finally:
-        for path in _made.get():
-            fs, p = _path(spark, path)
-            fs.delete(p, True)
+        removed(spark, *made[:])
         _made.reset(token)
+        if outer is not None:
+            outer += made.kept
 
 
 @contextlib.contextmanager
@@ -79,7 +99,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(spark, name)
     with small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.llm.bytetext import U, mix64, prefix_hash, span_hash, texts, window_hash
-from quire.llm.shared import BROADCAST_ROWS, global_row_number, n_parts, sent, staged
+from quire.llm.shared import BROADCAST_ROWS, global_row_number, n_parts, scratch, sent, staged
 
 LENGTH, GRAM, LEAD = 100, 50, 16
 HOT_RUNS = 20_000  # of one lead that a task sorts at once, about 2.5 KB each
@@ -75,7 +75,7 @@ def _suffixes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy()
-            for i, data, off in texts(batch.column(1)):
+            for i, data, off in texts(batch.column(1), 1 << 20):  # the more at once, the more repeats are known before the shuffle
                 text, first, last, _, key, run = anchors(data, off)
                 at, d = (first - off[text]) << 16 | (last - first + 1), doc[i + text]
                 both = mix64(key + mix64(run))
@@ -261,9 +261,15 @@ def substring_dedup(docs: DataFrame, with_kept: bool = True, hot_runs: int = HOT
     Other columns of docs are not read. Copies of whole documents are sent to all tasks up to broadcast_rows of
     them; beyond, they are merged.
     """
+    with scratch(docs.sparkSession) as made:
+        out = _cut(docs, with_kept, hot_runs, broadcast_rows)
+        made.keep(out)
+    return out
+
+
+def _cut(docs: DataFrame, with_kept: bool, hot_runs: int, broadcast_rows: int) -> DataFrame:
     rows, repeat = _numbered(docs)
-    copies = _copies(rows)
-    copies = sent(copies, broadcast_rows)
+    copies = sent(_copies(rows), broadcast_rows)
     fresh = rows.join(copies, "doc", "left_anti")
     fresh = fresh.dropDuplicates(["doc"]) if repeat else fresh
     suffixes = repeated_suffixes(fresh)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bytetext import LOWER, U, mix64, prefix_hash, span_hash, texts
-from quire.llm.shared import staged
+from quire.llm.shared import scratch, staged
 
 PREFIXES = (6, 5, 4)
 _LETTER = np.zeros(256, bool)
@@ -203,6 +203,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 40_000, thresh
     itself, equal texts alike. No rows give no rows. Whole texts are read; a text takes about 60 bytes of a task's
     memory for each of its own. Other columns of docs and labels are not read.
     """
+    with scratch(docs.sparkSession) as made:
+        out = _scored(docs, labels, per_class, threshold, chance, most_e)
+        made.keep(out)
+    return out
+
+
+def _scored(docs: DataFrame, labels: DataFrame, per_class: int, threshold: float, chance: float, most_e: float) -> DataFrame:
     train = staged(training_rows(docs, labels, per_class), "training")
     table = token_scores(train.where("fold > 0"))
     k, lam = tail(train.where("fold = 0"), table)

@@ -310,10 +310,16 @@ def test_ngram_join_of_one_template(spark, own, linked, monkeypatch):
     rng = random.Random(15)
     template = prose(rng, 120)
     rows = [(i, template + " " + " ".join(f"w{i}x{j}" for j in range(own))) for i in range(5000)]
-    made = []
-    monkeypatch.setattr(ngram_join, "_open_pairs", lambda *a, f=ngram_join._open_pairs: made.append(f(*a)) or made[-1])
+    made, real = [], ngram_join._open_pairs
+
+    def counted(*args):
+        out = real(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_open_pairs", counted)
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()
-    assert all(g.component_id == (0 if linked else g.doc_id) for g in got) and made[0].count() == 0
+    assert all(g.component_id == (0 if linked else g.doc_id) for g in got) and made == [0]
 
 
 def test_open_pairs_keep_all_links(spark):
@@ -487,11 +493,10 @@ def test_pipeline(spark, rows, docs, empty, tmp_path):
 
 
 def test_scratch_removes_its_folders(spark):
-    with shared.scratch(spark) as made:
-        df = shared.staged(spark.range(5), "kept")
-        shared.staged(spark.range(5), "gone")
-        gone = made.pop()
-        made.remove(kept := made[0])
-        made.append(gone)
-    assert df.count() == 5 and not os.path.exists(gone.removeprefix("file:")) and os.path.exists(kept.removeprefix("file:"))
+    with shared.scratch(spark):
+        with shared.scratch(spark) as made:
+            df, gone = shared.staged(spark.range(5), "kept"), shared.staged(spark.range(5), "gone").folder
+            made.keep(df)
+        assert df.count() == 5 and not os.path.exists(gone.removeprefix("file:")) and os.path.exists(df.folder.removeprefix("file:"))
+    assert not os.path.exists(df.folder.removeprefix("file:"))
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
