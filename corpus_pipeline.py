@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact_dedup, mixing, ngram_join, packing, quality
-from quire.llm.shared import documents, scratch, staged
+from quire.llm.shared import documents, removed, scratch, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    with scratch(spark) as stages:  # a stage's rows go with the run, but for those that its result reads
+    with scratch(spark) as made:  # what a stage wrote goes when the next one is written
         for name, stage in STAGES[:-1]:
-            with scratch(spark) as made:
+            with scratch(spark) as own:
                 docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-                stages.append(made.pop())
-        with scratch(spark) as made:
+                own.keep(docs)
+            removed(spark, *[path for path in made if path != docs.folder])
+        with scratch(spark) as own:
             out = STAGES[-1][1](spark, docs, sf_dir)
-            made.clear()
+            own.clear()  # the result reads them
     return out
