@@ -130,26 +130,26 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def word_model(counts: DataFrame) -> tuple[DataFrame, list[float]]:
     """(key, p, back) with discounted counts of each half, and log2 of a new word's share in each (NaN where a half has no words)."""
-    half = F.col("key").bitwiseAND(F.lit(1))
+    half = F.col("key").bitwiseAND(F.lit(1)).alias("half")
     size = counts.select(F.shiftright("key", 1).alias("w")).distinct().count()
+    n = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)]
+    sums = _discounts(counts, half, more=[F.sum("n").alias("total"), F.count(F.lit(1)).alias("words"), *n]).collect()  # a row for each half
     p, new = F.lit(None).cast("double"), [float("nan")] * 2
-    for h in (0, 1):
-        own = counts.where(half == h)
-        disc = F.element_at(F.array(*map(F.lit, _discounts(own).first()["disc"])), F.least("n", F.lit(3)).cast("int"))
-        row = own.agg(F.sum("n").alias("total"), F.sum(disc).alias("held")).first()
-        if row["total"]:
-            rest = row["held"] / row["total"] / size
-            new[h] = float(np.log2(rest))
-            p = F.when(half == h, (F.col("n") - disc) / row["total"] + rest).otherwise(p)
+    for row in sums:
+        disc = F.element_at(F.array(*map(F.lit, row["disc"])), F.least("n", F.lit(3)).cast("int"))
+        d1, d2, d3 = row["disc"]
+        rest = (d1 * row["n1"] + d2 * row["n2"] + d3 * (row["words"] - row["n1"] - row["n2"])) / row["total"] / size
+        new[row["half"]] = float(np.log2(rest))
+        p = F.when(F.col("key").bitwiseAND(F.lit(1)) == row["half"], (F.col("n") - disc) / row["total"] + rest).otherwise(p)
     return counts.select("key", p.alias("p"), F.lit(None).cast("double").alias("back")), new
 
 
-def _discounts(counts: DataFrame, *by: Column) -> DataFrame:
-    """disc: the three discounts of modified Kneser-Ney, from the counts of counts."""
+def _discounts(counts: DataFrame, *by: Column, more: tuple | list = ()) -> DataFrame:
+    """disc: the three discounts of modified Kneser-Ney, from the counts of counts; and more aggregates."""
     n = [F.count_if(F.col("n") == i).cast("double") for i in (1, 2, 3, 4)]
     y = F.when(n[0] > 0, n[0] / (n[0] + 2 * n[1])).otherwise(0.5)
     of = lambda i: F.when(n[i - 1] > 0, i - (i + 1) * y * n[i] / n[i - 1]).otherwise(0.5 * i)
-    return counts.groupBy(*by).agg(F.array(*[F.least(F.greatest(of(i), F.lit(0.05)), F.lit(i - 0.05)) for i in (1, 2, 3)]).alias("disc"))
+    return counts.groupBy(*by).agg(F.array(*[F.least(F.greatest(of(i), F.lit(0.05)), F.lit(i - 0.05)) for i in (1, 2, 3)]).alias("disc"), *more)
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
