@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quire.llm.bytetext import LOWER, U, mix64, prefix_hash, span_hash, texts, words
 from quire.llm.components import components
 from quire.llm.exact_dedup import BLOCK, is_set
-from quire.llm.shared import BROADCAST_ROWS, removed, scratch, sent, staged
+from quire.llm.shared import BROADCAST_ROWS, handing_back, removed, scratch, sent, staged
 
 SKETCH_BITS, CHUNK_BITS = 22, 16
 
@@ -94,7 +94,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "hash", "n_shingles", "node", "chunk", "counts"])
 
     rows = docs.select("doc_id", "hash", "text")
-    return staged(rows.mapInArrow(run, "doc_id long, hash long, n_shingles long, node long, chunk int, counts binary"), "sets")
+    return staged(rows.mapInArrow(handing_back(run), "doc_id long, hash long, n_shingles long, node long, chunk int, counts binary"), "sets")
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
@@ -111,7 +111,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
 
     rows = first.where("chunk is not null").select("chunk", "counts").repartition(1 << (SKETCH_BITS - CHUNK_BITS), "chunk")
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for r in rows.mapInArrow(run, "chunk int, counts binary").toLocalIterator():
+    for r in rows.mapInArrow(handing_back(run), "chunk int, counts binary").toLocalIterator():
         out[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(r["counts"], "<u4")
     return out
 
@@ -139,7 +139,7 @@ def _prefixes(rows: DataFrame, sketch: np.ndarray, n: int, percent: int) -> Data
                 if token:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([t.view(np.int64) for t in token], node, size, pos)], names=["token", "node", "size", "pos"])
 
-    return rows.select("text").mapInArrow(run, "token long, node long, size long, pos long")
+    return rows.select("text").mapInArrow(handing_back(run), "token long, node long, size long, pos long")
 
 
 def _passes(percent: int, s1: str, p1: str, s2: str, p2: str) -> Column:
@@ -178,7 +178,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
                     ok.append(suffix_filter(x, y, total - 2 * need) <= total - 2 * need and len(np.intersect1d(x, y, assume_unique=True)) >= need)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    return staged(both.mapInArrow(run, "a long, b long"), "links")
+    return staged(both.mapInArrow(handing_back(run), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -230,7 +230,7 @@ def _node_of(standing: DataFrame, n: int) -> DataFrame:
                 sets = shingles(data, off, n)
                 yield pa.RecordBatch.from_arrays([pa.array(_names(sets)), batch.column(0).slice(i, len(sets))], names=["node", "text"])
 
-    return standing.select("text").mapInArrow(run, "node long, text string")
+    return standing.select("text").mapInArrow(handing_back(run), "node long, text string")
 
 
 def _labels(standing: DataFrame, sketch: np.ndarray, n: int, percent: int, broadcast_rows: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quire.llm.shared import n_parts, new_folder, staged
+from quire.llm.shared import handing_back, n_parts, new_folder, staged
 from quire.llm.tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
             if rows:
                 yield _batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(handing_back(run), _PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -177,7 +177,7 @@ def pack_pieces(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     own = [n for n in made.columns if n not in ("part", "place")]
     fields = [f"`{n}` {t}" for n, t in made.dtypes if n in own]
-    return made.mapInArrow(run, ", ".join([*fields, "sequence_id long", "offset long"]))
+    return made.mapInArrow(handing_back(run), ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:

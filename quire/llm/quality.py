@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.bytetext import U, mix64, prefix_hash, span_hash, texts, words
-from quire.llm.shared import new_folder, scratch, sent, staged
+from quire.llm.shared import handing_back, new_folder, scratch, sent, staged
 
 ORDER, LANG_BITS = 5, 23
 SHARD_ROWS = 400_000
@@ -88,7 +88,7 @@ def _counted(rows: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarr
             for i in range(0, len(k), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 18)]), pa.array(n[i : i + (1 << 18)])], names=["key", "n"])
 
-    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(handing_back(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _lang() -> Column:
@@ -199,7 +199,7 @@ def store(levels: list[DataFrame], folder: str) -> list[list[tuple[int, str, int
     for level in levels:
         n = level.count()
         sorted_rows = level.select("key", "p", "back").repartitionByRange(1 + n // SHARD_ROWS, "key").sortWithinPartitions("key")
-        rows = staged(sorted_rows.mapInArrow(run, "first long, file string, n long"), "model-files")
+        rows = staged(sorted_rows.mapInArrow(handing_back(run), "first long, file string, n long"), "model-files")
         out.append(sorted((r["first"], r["file"], r["n"]) for r in rows.collect()))
     return out
 
@@ -339,7 +339,7 @@ def _with_scores(docs: DataFrame, order: int, carry: bool, files: list, word_fil
     kind = T.StructType.fromDDL(_SCORED)
     if carry:
         kind = T.StructType([*kind.fields, rows.schema["text"], rows.schema["own"]])
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(handing_back(run), kind)
 
 
 def _quartiles(rows: DataFrame, columns: list[str], bins: int = 4096) -> DataFrame:
