@@ -17,7 +17,7 @@ import pyarrow as pa
 from quire.llm.bytetext import prefix_hash, span_hash, texts
 
 END_ID = 0
-CACHE = 1_000_000  # pieces; about 30 bytes each
+CACHE = 300_000  # pieces; about 40 bytes each, twice that while new ones go in
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
 _LETTER = np.zeros(256, bool)
