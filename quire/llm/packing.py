@@ -15,8 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as ds
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,12 +153,17 @@ def pack_pieces(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     folder = new_folder(spark, "bases")
     bases.repartitionByRange(n_parts(spark), "part").sortWithinPartitions("part", "length").write.parquet(folder)
+    # A part's rows lie in one file; which one is told by its first part, so that tasks open no others.
+    files = spark.read.schema("part int").parquet(folder).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("part").alias("first"))
+    files = sorted((r["first"], r["file"]) for r in files.collect())  # a row a shuffle partition
 
     def bases_of(part: int) -> np.ndarray:
-        fs, where = pafs.FileSystem.from_uri(folder)
-        own = ds.dataset(where, format="parquet", filesystem=fs).to_table(columns=["length", "before"], filter=ds.field("part") == part)
+        fs, where = pafs.FileSystem.from_uri(files[bisect.bisect_right(files, part, key=lambda x: x[0]) - 1][1])
+        with fs.open_input_file(where) as f:
+            own = pq.ParquetFile(f).read(["part", "length", "before"])
+        mine = own.column(0).to_numpy() == part
         out = np.zeros(capacity + 1, np.int64)
-        out[own.column(0).to_numpy()] = own.column(1).to_numpy()
+        out[own.column(1).to_numpy()[mine]] = own.column(2).to_numpy()[mine]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

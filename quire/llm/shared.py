@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20  # of an Arrow batch that goes to Python, whichever comes first
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20  # of an Arrow batch that goes to Python, whichever comes first
 BROADCAST_ROWS = 200_000  # narrow rows (two numbers or so) that are sent to all tasks
 WORD = r"[^\x20\x09-\x0D]+"
 _made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
