@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, langid, mixing, ngram_join, packing, pii, quality, substring_dedup, token_files, toxicity
+from quire.llm import exact_dedup, langid, mixing, ngram_join, packing, pii, quality, substring_dedup, token_files, toxicity, whitening
 from quire.llm.shared import documents
 
 
@@ -52,6 +53,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(documents(spark, sf_dir))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -64,6 +70,7 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_language": op10_language,
+        "op12_whitening": op12_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
