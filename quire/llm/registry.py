@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, langid, mixing, ngram_join, packing, pii, quality, substring_dedup, token_files, toxicity, whitening
+from quire.llm import exact_dedup, html_text, langid, mixing, ngram_join, packing, pii, quality, substring_dedup, token_files, toxicity, whitening
 from quire.llm.shared import documents
 
 
@@ -58,6 +58,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op9_toxicity": op9_toxicity,
         "op10_language": op10_language,
         "op12_whitening": op12_whitening,
+        "op13_html_text": op13_html_text,
         "pipeline": corpus_pipeline.run,
     }
 
