@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, html_text, langid, mixing, ngram_join, packing, pii, quality, substring_dedup, token_files, toxicity, whitening
+from quire.llm import exact_dedup, hard_negatives, html_text, langid, mixing, ngram_join, packing, pii, quality, substring_dedup, token_files, toxicity, whitening
 from quire.llm.shared import documents
 
 
@@ -53,6 +53,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))
@@ -74,6 +78,7 @@ def queries() -> dict:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_language": op10_language,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_whitening": op12_whitening,
         "op13_html_text": op13_html_text,
         "pipeline": corpus_pipeline.run,
@@ -83,4 +88,5 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op11_hard_negatives": hard_negatives.ORACLE,
     }
