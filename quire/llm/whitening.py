@@ -71,7 +71,7 @@ def whiten(rows: DataFrame, id_col: str, col: str, k: int = 8, block_rows: int =
     """A row for each row of `rows` that takes part and each component up to k: id, component, n, deviation, whitened, explained, identity_error.
 
     col holds whole numbers (array<bigint>, of at most 2^53). All rows are the fit list. deviation is exact: the sum over dimensions of
-    (n*x - S)^2, null where it is over 38 digits (16 digits of a double wouldn't do). Rows of other than the commonest length take no part. With fewer than k
+    (n*x - S)^2, null where a summand is over 38 digits. Rows of other than the commonest length take no part. With fewer than k
     dimensions there are as many components as dimensions. A component whose eigenvalue is at most `flat` of the trace
     (constant dimensions, fewer rows than dimensions, a single row) has no scale: whitened is null there, and the
     identity error is that of the other components, null if there are none. Repeated rows and ids count each for
@@ -79,14 +79,17 @@ def whiten(rows: DataFrame, id_col: str, col: str, k: int = 8, block_rows: int =
     """
     spark = rows.sparkSession
     kept = rows.select(F.col(id_col).alias("__id"), F.col(col).cast("array<bigint>").alias("__x"))
-    n, sums = by_dimension(kept, "__x", s=F.sum(F.col("v").cast(EXACT)))
+    n, sums = by_dimension(kept, "__x", s=F.sum(F.col("v").cast(EXACT)), most=F.max(F.abs(F.col("v").cast(EXACT))))
     d = len(sums)
+    wide = n * max((int(r["most"]) for r in sums), default=0) >= 1 << 61  # n * x - S needs more than 64 bits
     with scratch(spark) as made:
         kept = numbered(kept.where(F.size("__x") == d), "fit")
-        total = F.array(*[F.lit(int(r["s"])).cast("bigint") for r in sums]) if d else F.array().cast("array<bigint>")
-        centred = F.zip_with("__x", total, lambda x, s: (x * F.lit(n) - s) / F.lit(n))
-        square = lambda x, s: (lambda y: y * y)((x * F.lit(n) - s).cast("decimal(19,0)"))
-        deviation = F.aggregate(F.zip_with("__x", total, square), F.lit(0).cast(EXACT), lambda a, y: (a + y).cast(EXACT))
+        kind = EXACT if wide else "bigint"
+        total = F.array(*[F.lit(str(r["s"])).cast(kind) for r in sums])
+        times_n = lambda x, s: (x.cast("decimal(20,0)") * F.lit(n).cast("decimal(17,0)")).cast(EXACT) - s if wide else x * F.lit(n) - s
+        centred = F.zip_with("__x", total, lambda x, s: times_n(x, s).cast("double") / F.lit(float(n)))
+        square = lambda x, s: (lambda y: F.try_multiply(y, y).cast(EXACT))(times_n(x, s).try_cast("decimal(19,0)"))
+        deviation = F.aggregate(F.zip_with("__x", total, square), F.lit(0).cast(EXACT), lambda a, y: F.try_add(a, y).try_cast(EXACT))
         if not d:
             ids = kept.select(F.col("__id").alias(id_col), F.lit(0).alias("component"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast(EXACT).alias("deviation"))
             return ids.select("*", *[F.lit(None).cast("double").alias(c) for c in ("whitened", "explained", "identity_error")]).where(F.lit(False))
@@ -121,7 +124,7 @@ def whiten(rows: DataFrame, id_col: str, col: str, k: int = 8, block_rows: int =
 
 
 def embedding_components(embeddings: DataFrame, k: int = 8) -> DataFrame:
-    """whiten() of embeddings (vec_id, embedding): rows whose vector is null, empty or holds null or non-finite entries are left out; entry c becomes floor(1024 * c) + 100000."""
+    """whiten() of embeddings (vec_id, embedding): rows whose vector is null, empty or holds null or non-finite entries are left out; entry c becomes floor(1024 * c) + 100000, with 1024 * c held within 2^53 either way."""
     rows = finite(embeddings.select("vec_id", "embedding"), "embedding")
-    whole = F.transform("embedding", lambda c: F.floor(c * 1024) + F.lit(100000))
+    whole = F.transform("embedding", lambda c: F.floor(F.greatest(F.least(c * 1024, F.lit(2.0**53)), F.lit(-(2.0**53)))) + F.lit(100000))
     return whiten(rows.select("vec_id", whole.alias("x")), "vec_id", "x", k)
