@@ -45,41 +45,6 @@ def prune_near_duplicates(segments: DataFrame, key: str, within: float = 0.4, ov
     return folded(segments, key, ["y", "n"], lambda: None, step, "kept", T.BooleanType())
 
 
-def quote_match_fuzzy(quotes: DataFrame, pages: DataFrame, least: float = 0.85) -> DataFrame:
-    """quote_id, doc_id, page_no, start, score of the best run of tokens, the first of equal ones, if it scores `least`.
-
-    quotes: quote_id, doc_id, page_no, text; pages: doc_id, page_no, markdown. A quote is looked for on its own
-    page, or, if page_no is null, in all pages of its document in order; start counts tokens from there. A run as
-    long as the quote scores the mean similarity of its tokens.
-    """
-    q = quotes.select("quote_id", "doc_id", "page_no", normalize_tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
-    one = pages.select("doc_id", "page_no", normalize_tokens(F.col("markdown")).alias("t"))
-    whole = one.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "t"))), lambda x: x["t"])).alias("t"))  # no longer than the document
-    both = q.where("page_no is not null").join(one.hint("merge"), ["doc_id", "page_no"]).select("quote_id", "doc_id", "page_no", "q", "t")
-    both = both.unionByName(q.where("page_no is null").join(whole.hint("merge"), "doc_id").select("quote_id", "doc_id", "page_no", "q", "t"))
-    both = both.where(F.size("t") >= F.size("q"))
-    mean = lambda i: F.aggregate(F.zip_with(F.slice("t", i + 1, F.size("q")), F.col("q"), lambda a, b: token_similarity(a, b)), F.lit(0.0), lambda s, x: s + x) / F.size("q")
-    runs = F.transform(F.sequence(F.lit(0), F.size("t") - F.size("q")), lambda i: F.struct(F.round(mean(i), 9).alias("score"), (-i).alias("i")))
-    best = both.select("quote_id", "doc_id", "page_no", F.array_max(runs).alias("b")).where(F.col("b.score") >= least)
-    return best.select("quote_id", "doc_id", "page_no", (-F.col("b.i")).cast("long").alias("start"), F.round("b.score", 6).alias("score"))
-
-
-def fuzzy_scan(hay: Column, needle: Column) -> Column:
-    """(ratio, start) of the best window of the needle's length (12 at least): a sixth of it apart, then one apart around the best.
-
-    Ratios are 1 - distance / longer length. A scan stops at a ratio of 0.97, and the first of equal ones counts.
-    """
-    n = F.greatest(F.length(needle), F.lit(12))
-    step = F.greatest(F.lit(5), F.floor(n / 6).cast("int"))
-    ratio = lambda i: (lambda w: 1 - F.levenshtein(w, needle) / F.greatest(F.length(w), F.length(needle)))(F.substring(hay, i + 1, n))
-    none = F.struct(F.lit(0.0).alias("ratio"), F.lit(0).alias("start"))
-    better = lambda s, i: (lambda r: F.when(r > s["ratio"], F.struct(r.alias("ratio"), i.alias("start"))).otherwise(s))(ratio(i))
-    coarse = F.aggregate(F.sequence(F.lit(0), F.length(hay) - n, step), none, lambda s, i: F.when(s["ratio"] >= 0.97, s).otherwise(better(s, i)))
-    around = lambda c: F.sequence(F.greatest(F.lit(0), c["start"] - 2 * step), F.least(F.length(hay) - 1, c["start"] + 2 * step))
-    fine = F.transform(F.array(coarse), lambda c: F.aggregate(around(c), c, better))
-    return F.when((n <= F.length(hay)) & (F.length(needle) > 0), fine[0])
-
-
 @query("scan_agents_json", "SELECT 'agent-' || item_id % 4 AS slug, 'Agent-' || item_id % 4 AS name, item_id AS id, 'q' || item_id AS placeholder, text AS prompt, CASE item_id % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'list' ELSE 'table' END AS answer_type FROM benchmark")
 def q_scan_agents_json(spark, d):
     i = F.col("item_id")
@@ -131,33 +96,6 @@ def q_prune_near_duplicates(spark, d):
     return prune_near_duplicates(rows, "user_id").groupBy("user_id").agg(F.count_if("kept").alias("n"), total.alias("total"))
 
 
-def _altered(text: Column) -> Column:
-    return F.regexp_replace(text, "(?<=[a-z]{6})[a-z](?=[a-z]{3})", "x")
-
-
-@query("quote_match_fuzzy")
-def q_quote_match_fuzzy(spark, d):
-    """Each page's second line, at most as long as a quote may be and with some letters replaced, looked for on its own page or in all of its document; only those without an exact hit there."""
-    pages = paginate(doc_lines(spark, d))
-    line = F.trim(F.get(F.split("markdown", "\n"), F.lit(1)))
-    quotes = pages.select((F.col("doc_id") * 1000 + F.col("page_no")).alias("quote_id"), "doc_id", F.when(F.col("page_no") % 2 == 1, F.col("page_no")).alias("page_no"), "markdown", F.substring(_altered(line), 1, MAX_QUOTE).alias("text"))
-    quotes = quotes.where(F.length("text") > 3).where(F.array_join(normalize_tokens(F.col("markdown")), " ").contains(F.array_join(normalize_tokens(F.col("text")), " ")) == F.lit(False))
-    return quote_match_fuzzy(quotes.drop("markdown"), pages)
-
-
-@query("fuzzy_page_scan")
-def fuzzy_page_scan(spark, d):
-    """Each page's longest run of letters and blanks with some letters replaced, at most as long as a quote may be, looked for on the page and its two neighbours; the best page, the earliest of equal ones."""
-    plain = F.lower(F.trim(F.regexp_replace(F.col("markdown"), r"\s+", " ")))
-    pages = paginate(doc_lines(spark, d)).select("doc_id", "page_no", plain.alias("hay"))
-    needle = F.substring(_altered(F.get(F.split("hay", "[.|]"), F.lit(1))), 1, MAX_QUOTE)
-    asked = pages.select("doc_id", F.col("page_no").alias("asked"), F.trim(needle).alias("needle")).where(F.length("needle") > 3)
-    near = asked.withColumn("page_no", F.explode(F.array(*[F.col("asked") + i for i in (-1, 0, 1)])))
-    scored = near.join(pages.hint("merge"), ["doc_id", "page_no"]).withColumn("b", fuzzy_scan(F.col("hay"), F.col("needle"))).where("b is not null")
-    best = F.max_by(F.struct("page_no", "b"), F.struct("b.ratio", (-F.col("page_no")).alias("p")))
-    return scored.groupBy("doc_id", "asked").agg(best.alias("x")).select("doc_id", "asked", F.col("x.page_no").alias("page_no"), F.round("x.b.ratio", 6).alias("ratio"), F.col("x.b.start").alias("start"))
-
-
 @query("audit_segments", f"""SELECT conv_id, turn, (i - 1)::INTEGER AS seq, parts[i].k AS kind, parts[i].t AS text FROM (SELECT conv_id, turn, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT conv_id, turn,
     list_filter([{{'k': 'same', 't': substr(current, 1, p)}}, {{'k': 'deleted', 't': substr(baseline, p + 1, length(baseline) - p - s)}}, {{'k': 'inserted', 't': substr(current, p + 1, length(current) - p - s)}}, {{'k': 'same', 't': substr(current, length(current) - s + 1)}}], lambda x: x.t <> '') AS parts
     FROM (SELECT *, {_S} AS s FROM (SELECT *, {_P} AS p FROM {_REPORTS}))))""")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.plans.registry import query
+from quire.session import staged
 from quire.sources.views import doc_lines, table
 
 #: Typographic ligatures and the letters they stand for.
@@ -27,24 +28,26 @@ def quote_match_exact(docs: DataFrame, quotes: DataFrame) -> DataFrame:
 
     Only the quote's rarest token is joined, then the run around it is compared: no product of quotes and places.
     quotes is a stated set; documents explode to (token, place) and keep what meets a rare token. docs may hold
-    pages instead: rows with the same doc_id are then told apart by page_no, which goes along.
+    pages instead: rows with the same doc_id are then told apart by page_no, which goes along. Tokens, rare tokens
+    and hits are each written once.
     """
     own = [c for c in ("doc_id", "page_no") if c in docs.columns]
     q = quotes.select("quote_id", normalize_tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
-    d = docs.select(*own, normalize_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    words = q.select("quote_id", "q", F.posexplode("q").alias("k", "token"))
-    known = words.select("token").distinct()
+    d = staged(docs.select(*own, normalize_tokens(F.coalesce("text", F.lit(""))).alias("t")), "tokens")
+    words = staged(q.select("quote_id", "q", F.posexplode("q").alias("k", "token")), "quote-tokens")
     places = d.select(*own, F.posexplode("t").alias("pos", "token"))
-    df = sent(known, places, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rare = words.join(df.hint("merge"), "token").groupBy("quote_id", "q").agg(F.min_by(F.struct("token", "k"), F.struct("n", "k")).alias("r")).select("quote_id", "q", "r.token", "r.k")
-    hits = sent(rare, places, "token").withColumn("start", F.col("pos") - F.col("k")).where("start >= 0").select(*own, "quote_id", "q", "start")
+    df = sent(words.select("token").distinct(), places, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min_by(F.struct("token", "k"), F.struct("n", "k")).alias("r")
+    rare = words.join(df.hint("merge"), "token").groupBy("quote_id", "q").agg(first)
+    rare = staged(rare.select("quote_id", "q", "r.token", "r.k"), "rare")
+    hits = sent(rare, places, "token").withColumn("start", F.col("pos") - F.col("k")).where("start >= 0")
     per_doc = hits.groupBy(*own).agg(F.collect_list(F.struct("quote_id", "q", "start")).alias("h"))
-    both = d.join(per_doc.hint("merge"), own).select(*own, "t", F.explode("h").alias("h")).select(*own, "t", "h.*")
+    both = sent(staged(per_doc, "hits"), d, own).select(*own, "t", F.explode("h").alias("h")).select(*own, "t", "h.*")
     same = F.slice("t", F.col("start") + 1, F.size("q")) == F.col("q")
     return both.where(same).groupBy("quote_id", *own).agg(F.min("start").cast("long").alias("start"))
 
 
-def sent(small: DataFrame, large: DataFrame, on: str, most: int = 100_000) -> DataFrame:
+def sent(small: DataFrame, large: DataFrame, on: str | list[str], most: int = 100_000) -> DataFrame:
     """large joined with small, which is broadcast up to `most` rows and merged beyond."""
     return large.join(F.broadcast(small) if small.count() <= most else small.hint("merge"), on)
 
@@ -122,31 +125,6 @@ def q_quote_match_exact(spark, d):
     return quote_match_exact(table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text"))
 
 
-_HITS = f"""(SELECT quote_id, doc_id, n, CASE WHEN pl = 1 THEN 0 ELSE len(string_split(substr(t, 2, pl - 2), ' ')) END AS start FROM (SELECT quote_id, doc_id, t, n, instr(t, q) AS pl FROM
-    (SELECT item_id AS quote_id, ' ' || array_to_string({_normal('text')}, ' ') || ' ' AS q, len({_normal('text')}) AS n FROM benchmark), (SELECT doc_id, ' ' || array_to_string({_normal("coalesce(text, '')")}, ' ') || ' ' AS t FROM documents) WHERE contains(t, q)))"""
-
-
-@query("enhance_quotes", f"""SELECT b.item_id AS quote_id, h.doc_id IS NOT NULL AS has_bounding_boxes, coalesce(h.documents, 0) AS documents, h.doc_id, coalesce(w.spans, '') AS spans, round(count(h.doc_id) OVER () / count(*) OVER (), 6) AS match_rate
-    FROM benchmark b LEFT JOIN (SELECT quote_id, count(*) AS documents, min(doc_id) AS doc_id FROM {_HITS} GROUP BY 1) h ON h.quote_id = b.item_id
-    LEFT JOIN (SELECT h.quote_id, h.doc_id, string_agg(page_no || ':' || line_index || ':' || word_index, ',' ORDER BY page_no, line_index, word_index) AS spans FROM {_HITS} h JOIN
-      (SELECT *, sum(nt) OVER (PARTITION BY doc_id ORDER BY page_no, line_index, word_index ROWS UNBOUNDED PRECEDING) AS upto FROM (SELECT *, len({_normal('text')}) AS nt FROM {_BOXES}) WHERE nt > 0) p
-      ON p.doc_id = h.doc_id AND p.upto - p.nt < h.start + h.n AND p.upto > h.start GROUP BY 1, 2) w ON w.quote_id = h.quote_id AND w.doc_id = h.doc_id""")
-def enhance_quotes(spark, d):
-    """Each quote with the words of its first document that hold it, the number of documents that do, and the share of quotes found."""
-    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
-    hits = quote_match_exact(table(spark, d, "documents"), quotes)
-    first = hits.groupBy("quote_id").agg(F.count(F.lit(1)).alias("documents"), F.min_by(F.struct("doc_id", "start"), "doc_id").alias("h")).select("quote_id", "documents", "h.*")
-    first = first.join(quotes.select("quote_id", F.size(normalize_tokens(F.col("text"))).alias("n")), "quote_id")
-    words = word_boxes(doc_lines(spark, d))
-    words = sent(first.select("doc_id").distinct(), words, "doc_id")
-    place = lambda w: F.concat_ws(":", *[w[c].cast("string") for c in ("page_no", "line_index", "word_index")])
-    spans = word_spans(first, words, ["doc_id"]).select("quote_id", F.array_join(F.transform("spans", place), ",").alias("spans"))
-    out = quotes.select("quote_id").join(first.select("quote_id", "documents", "doc_id").hint("merge"), "quote_id", "left").join(spans.hint("merge"), "quote_id", "left")
-    rate = out.agg(F.round(F.count("doc_id") / F.count(F.lit(1)), 6).alias("match_rate"))  # one row
-    out = out.select("quote_id", F.col("doc_id").isNotNull().alias("has_bounding_boxes"), F.coalesce("documents", F.lit(0)).alias("documents"), "doc_id", F.coalesce("spans", F.lit("")).alias("spans"))
-    return out.withColumn("one", F.lit(1)).join(F.broadcast(rate.withColumn("one", F.lit(1))), "one").drop("one")
-
-
 _TOKEN_PAIRS = f"(SELECT doc_id, unnest(t[:-2]) AS a, unnest(t[2:]) AS b FROM (SELECT doc_id, {_normal('coalesce(text, chr(32))')} AS t FROM documents))"
 _EQ = "len(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[i] = b[i]))"
 _CH = "list_distinct(string_split({}, ''))"
@@ -162,19 +140,23 @@ def q_token_similarity(spark, d):
     return pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(score).alias("millionths"))
 
 
-_ASCII = "regexp_replace({}, '[^ -~]', '', 'g')"
+#: DuckDB's levenshtein counts bytes, so each different character of two lines becomes a byte of its own; two lines have 90 of them at most.
+_LEV = """CASE WHEN a = b THEN 0 WHEN len(u) > 90 THEN NULL ELSE levenshtein(
+    array_to_string(list_transform(string_split(a, ''), lambda c: chr(CAST(34 + list_position(u, c) AS INTEGER))), ''),
+    array_to_string(list_transform(string_split(b, ''), lambda c: chr(CAST(34 + list_position(u, c) AS INTEGER))), '')) END"""
 
 
-@query("levenshtein_ratio", f"""SELECT doc_id, line_no, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS ratio FROM (SELECT x.doc_id, x.line_no, {_ASCII.format('x.line')} AS a, {_ASCII.format('y.line')} AS b FROM doc_lines x JOIN doc_lines y ON x.doc_id = y.doc_id AND y.line_no = x.line_no + 1)""")
+@query("levenshtein_ratio", f"""SELECT doc_id, line_no, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - {_LEV} / greatest(length(a), length(b)) END, 6) AS ratio
+    FROM (SELECT x.doc_id, x.line_no, x.line AS a, y.line AS b, list_distinct(string_split(x.line || y.line, '')) AS u FROM doc_lines x JOIN doc_lines y ON x.doc_id = y.doc_id AND y.line_no = x.line_no + 1)""")
 def levenshtein_ratio(spark, d):
     """Of each line and the one after it, over all lines of a document."""
-    plain = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(x, "[^ -~]", ""))
-    lines = table(spark, d, "documents").select("doc_id", plain.alias("l")).where(F.size("l") > 1)
+    lines = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l")).where(F.size("l") > 1)
     zipped = F.arrays_zip(F.slice("l", 1, F.size("l") - 1).alias("a"), F.slice("l", 2, F.size("l") - 1).alias("b"))
     a, b = F.col("p.a"), F.col("p.b")
     most = F.greatest(F.length(a), F.length(b))
+    ratio = F.when(most == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(a, b), most))
     rows = lines.select("doc_id", F.posexplode(zipped).alias("line_no", "p"))
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round(F.when(most == 0, 1.0).otherwise(1 - F.try_divide(F.levenshtein(a, b), most)), 6).alias("ratio"))
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.round(ratio, 6).alias("ratio"))
 
 
 @query("collapse_whitespace", "SELECT doc_id, trim(regexp_replace(replace(coalesce(text, ''), chr(173), ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS text FROM documents")

@@ -71,8 +71,7 @@ def with_views(sql: str) -> str:
                         need.append(v)
 
     add(sql)
-    if need and sql.startswith("WITH RECURSIVE "):
-        sql, more = "", ", " + sql.removeprefix("WITH RECURSIVE ")
-    else:
-        more = ""
+    more = ""
+    if need and sql.startswith("WITH "):
+        sql, more = "", ", " + sql.removeprefix("WITH ").removeprefix("RECURSIVE ")
     return ("WITH RECURSIVE " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in need) + more + "\n" + sql) if need else sql

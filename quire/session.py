@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "quire", cpus: str | int = "*") -> SparkSession:
@@ -28,11 +28,26 @@ def local_session(app: str = "quire", cpus: str | int = "*") -> SparkSession:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder for what a query writes: in spark.checkpoint.dir, which driver and executors share; where that is unset, a local session takes one of its own."""
+    """A folder for what a query writes; it goes when the driver ends. It lies in spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a local session takes one of its own and any other gets an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-"))
         top = spark.sparkContext.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+    own = f"{top.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a new folder and read back: it is computed once, and Spark knows its size."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

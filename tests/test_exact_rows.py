@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import answers, fold, more, quotes, tenancy, usage, vectors
+from quire.operators import answers, fold, more, quote_search, quotes, tenancy, usage, vectors
 from quire.plans.registry import queries
 from quire.sources.views import doc_lines, table
 from quire.streaming import queries as streams
@@ -34,7 +34,7 @@ def test_quote_match_fuzzy(spark):
         words[0] = words[0][:-1] + "z"
         asked.append((i, d, p if i % 2 else None, " ".join(words)))
     asked += [(99, 0, 1, ""), (98, 0, None, "zzzzzz zzzzz")]
-    got = {r.quote_id: (r.start, r.score) for r in more.quote_match_fuzzy(spark.createDataFrame(asked, "quote_id long, doc_id long, page_no int, text string"), spark.createDataFrame(pages, "doc_id long, page_no int, markdown string")).collect()}
+    got = {r.quote_id: (r.start, r.score) for r in quote_search.quote_match_fuzzy(spark.createDataFrame(asked, "quote_id long, doc_id long, page_no int, text string"), spark.createDataFrame(pages, "doc_id long, page_no int, markdown string")).collect()}
     want = {}
     for i, d, p, text in asked:
         q, t = text.split(), [w for a, b, x in pages if a == d and p in (None, b) for w in x.split()]
@@ -62,7 +62,7 @@ def test_fuzzy_scan(spark):
         needle = "".join(c if rng.random() > 0.15 else "z" for c in hay[at : at + rng.randint(3, 30)])
         rows.append((i, hay, needle))
     rows += [(100, "short", "a needle that is longer"), (101, "some text of some length", "")]
-    got = {r.i: r.b and (r.b.ratio, r.b.start) for r in spark.createDataFrame(rows, "i long, hay string, needle string").select("i", more.fuzzy_scan(F.col("hay"), F.col("needle")).alias("b")).collect()}
+    got = {r.i: r.b and (r.b.ratio, r.b.start) for r in spark.createDataFrame(rows, "i long, hay string, needle string").select("i", quote_search.fuzzy_scan(F.col("hay"), F.col("needle")).alias("b")).collect()}
     for i, hay, needle in rows:
         n = max(len(needle), 12)
         if n > len(hay) or not needle:
@@ -79,6 +79,58 @@ def test_fuzzy_scan(spark):
         assert got[i] == best
 
 
+def test_neighbour_pages(spark):
+    """Pages beside the asked one count where they are better, or as good and earlier; pruned or not, the rows are those of all three scans."""
+    rng = random.Random(9)
+    pages = [(d, p, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(8, 90)))) for d in range(25) for p in (1, 2, 3, 4)]
+    pages += [(90, 1, "one and the same words"), (90, 2, "one and the same words"), (91, 1, "tiny"), (91, 2, "tiny")]
+    text = {(d, p): t for d, p, t in pages}
+    wanted = [(d, p, text[d, min(4, max(1, p + rng.choice((-1, 0, 1))))][3:40].replace("a", "z")) for d in range(25) for p in (1, 2, 3, 4)]
+    wanted = [w for w in wanted if w[2]] + [(90, 2, "one and the same words"), (91, 1, "much longer than both pages")]
+    df = spark.createDataFrame(pages, "doc_id long, page_no int, hay string")
+    asked = spark.createDataFrame(wanted, "doc_id long, asked int, needle string")
+    got = {(r.doc_id, r.asked): (r.page_no, r.ratio, r.start) for r in quote_search.scanned(asked, df).collect()}
+    near = asked.join(df, "doc_id").where(F.abs(F.col("asked") - F.col("page_no")) <= 1)
+    all_ = near.select("doc_id", "asked", "page_no", quote_search.fuzzy_scan(F.col("hay"), F.col("needle")).alias("b")).where("b is not null")
+    want = {}
+    for r in all_.orderBy(F.desc("b.ratio"), "page_no").collect():
+        want.setdefault((r.doc_id, r.asked), (r.page_no, r.b.ratio, r.b.start))
+    assert got == want and got[90, 2][0] == 1 and (91, 1) not in got
+    assert near.where(quote_search.best_ratio(F.col("hay"), F.col("needle")) < F.coalesce(quote_search.fuzzy_scan(F.col("hay"), F.col("needle"))["ratio"], F.lit(0.0))).isEmpty()
+
+
+def test_seeds_find_all_similar_tokens(spark):
+    """Tokens that score the bound share a key, at any length; keys stay in proportion to it."""
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(4000):
+        a = "".join(rng.choice("abcde") for _ in range(rng.randint(1, 40)))
+        b = "".join(c if rng.random() > 0.2 else rng.choice("abcde") for c in a)
+        pairs.append((a, b[: rng.randint(max(1, len(b) - 4), len(b))] if rng.random() < 0.5 else b + "a" * rng.randint(0, 5)))
+    df = spark.createDataFrame(pairs, "a string, b string").where("a <> b")
+    for least in (0.8, 0.7, 0.95):
+        keys = quote_search.Seeds(least).keys
+        far = df.where(quotes.token_similarity(F.col("a"), F.col("b")) >= least).where(~F.arrays_overlap(keys(F.col("a")), keys(F.col("b"))))
+        assert far.isEmpty()
+    long = spark.range(1).select(F.size(quote_search.Seeds(0.8).keys(F.repeat(F.lit("ab"), 5000))).alias("n")).first().n
+    assert long <= 5000
+
+
+def test_located(spark):
+    """Exact before fuzzy, the page before the document, boxes in order, and a rate over all quotes."""
+    lines = [(1, i, t) for i, t in enumerate(["So wrote", "Dr. P.N. Cundall, in nineteen", "and then", "", "", "Dr. P.N. Cundalt, in nineteen"])]
+    df = spark.createDataFrame(lines, "doc_id long, line_no int, line string")
+    from quire.operators.text import paginate
+
+    quote = "Dr. P.N. Cundall, in"
+    asked = [(1, 1, None, quote), (2, 1, 2, quote), (3, 1, 1, "nothing of the kind here"), (4, None, None, quote), (5, 7, None, quote), (6, 1, 2, ""), (7, 1, 1, "so wrote")]
+    q = spark.createDataFrame(asked, "quote_id long, doc_id long, page_no int, text string")
+    out = {r.quote_id: r for r in quote_search.enhanced(q, quotes.word_boxes(df), paginate(df)).collect()}
+    assert {k: (r.has_bounding_boxes, r.page_no, r.kind) for k, r in out.items()} == {1: (True, 1, "exact"), 2: (True, 2, "fuzzy"), 3: (False, None, None), 4: (False, None, None), 5: (False, None, None), 6: (False, None, None), 7: (True, 1, "exact")}
+    assert [w.text for w in out[2].spans] == ["Dr.", "P.N.", "Cundalt,", "in"] and [w.word_index for w in out[7].spans] == [0, 1]
+    assert out[1].match_rate == round(3 / 7, 6) and 0.95 < out[2].score < 1
+
+
 def test_word_spans(spark):
     """A title with initials: three words, one of which has two tokens."""
     lines = spark.createDataFrame([(1, 0, "So wrote"), (1, 1, "Dr. P.N. Cundall, in 1971"), (1, 2, "Dr. P.N. Cundall")], "doc_id long, line_no int, line string")
