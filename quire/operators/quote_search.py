@@ -70,20 +70,16 @@ class Seeds:
 
     def keys(self, token: Column) -> Column:
         n = F.length(token)
-        longest = F.floor(n / self.p + 1e-9).cast("int")  # of a token that this one can be like
-
-        def segments(size: Column) -> Column:
-            m = self.differing(size)
-            cut = lambda k: F.floor(k * size / (m + 1)).cast("int")
-            key = lambda k: F.when(cut(k + 1) <= n, F.concat_ws(" ", size, k, F.substring(token, cut(k) + 1, cut(k + 1) - cut(k))))
-            return F.transform(F.sequence(F.lit(0), m), key)
-
-        sizes = F.filter(F.sequence(n, F.least(longest, F.lit(self.far - 1))), lambda size: self.differing(size) > 0)  # without any, tokens are equal
-        near = F.when(n < self.far, F.flatten(F.transform(sizes, segments)))
+        longest = F.floor(n / self.p + 1e-9)  # of a token that this one can be like
+        near = []
+        for size in range(2, self.far):
+            m = size - math.ceil(size * self.p - 1e-9)
+            cuts = [k * size // (m + 1) for k in range(m + 2)] if m else []  # without a place that differs, tokens are equal
+            for k, (begin, end) in enumerate(zip(cuts, cuts[1:])):  # noqa: B905
+                near.append(F.when((n >= end) & (n <= size) & (longest >= size), F.concat(F.lit(f"{size} {k} "), F.substring(token, begin + 1, end - begin))))
         block = lambda k: F.concat_ws(" ", F.lit("far"), k, F.substring(token, k * self.width + 1, F.lit(self.width)))
         far = F.when((longest >= self.far) & (n >= self.width), F.transform(F.sequence(F.lit(0), F.floor(n / self.width).cast("int") - 1), block))
-        none = F.array().cast("array<string>")
-        return F.array_compact(F.concat(F.coalesce(near, none), F.coalesce(far, none)))
+        return F.concat(F.array_compact(F.array(*near)), F.coalesce(far, F.array().cast("array<string>")))
 
 
 def similar_tokens(quote_tokens: DataFrame, places: DataFrame, least: float) -> DataFrame:
