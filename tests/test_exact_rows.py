@@ -149,15 +149,33 @@ def test_vector_search(spark):
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, document_id int").repartition(5)
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = {r[0]: r[1] for r in v.select("vec_id", "embedding").collect()}
-    for ids, block in ((None, 1000), ([1], 1000), (None, 2)):
+    index = vectors.VectorIndex(v)
+    found = {(None, 0): index.search(q, 200), ((1,), 0): index.search(q, 200, [1]), ((1,), 1): vectors.vector_topk(v, q, 200, [1]), (None, 3): index.search(q, 3), ((7,), 0): index.search(q, 5, [7])}
+    for (ids, _), rows_ in found.items():
         got = defaultdict(list)
-        for r in vectors.vector_topk(v, q, 200, ids, block).orderBy("query_id", "rank").collect():
+        for r in rows_.orderBy("query_id", "rank").collect():
             got[r.query_id].append(r.vec_id)
+        assert len(got) == (0 if ids == (7,) else q.count())
         for k, near in got.items():
             dist = lambda i: round(sum((x - y) ** 2 for x, y in zip(exact[i], exact[k], strict=True)), 9)  # noqa: B023, E731
-            assert near == sorted((i for i in exact if ids is None or dict((r[0], r[2]) for r in rows)[i] in ids), key=lambda i: (dist(i), i))[:100]
-    ann = vectors.vector_topk_ann(v, q, 10, 0.01)  # hardly any candidates: the exact search answers
+            assert near == sorted((i for i in exact if ids is None or dict((r[0], r[2]) for r in rows)[i] in ids), key=lambda i: (dist(i), i))[: len(near)]
+            assert len(near) == (3 if _ == 3 else 100)
+    ann = vectors.vector_topk_ann(v, q, 10, 0.01)  # hardly any cells: still k rows for each
     assert ann.groupBy("query_id").count().where("count <> 10").isEmpty()
+    nothing = vectors.VectorIndex(v.where("vec_id < 0"))
+    assert nothing.search(q).collect() == [] and index.search(q.where("query_id < 0")).collect() == []
+
+
+def test_index_reads_few_cells(spark):
+    """Clustered vectors: a search's second turn reads a few of the cells, and a cell larger than a block is cut."""
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(10 * (i % 20 == k), 0.1) for k in range(20)], i) for i in range(3000)] + [(9000 + i, [0.0] * 20, i) for i in range(1500)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, document_id int")
+    index = vectors.VectorIndex(v)
+    assert index.blocks.selectExpr("max(size(ids)) AS n").first().n <= vectors.ROWS and index.blocks.selectExpr("sum(size(ids)) AS n").first().n == 4500
+    asked = v.where("vec_id % 50 = 0 and vec_id < 3000").selectExpr("vec_id AS query_id", "cast(embedding AS array<double>) AS embedding", "cast(1.0 AS double) AS reach")
+    read = index._probes(asked, 10, 1.0).selectExpr("sum(size(query_ids)) AS n").first().n
+    assert read < 0.3 * asked.count() * len(index.centres)
 
 
 def test_folds_are_linear_and_ordered(spark):
