@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -30,3 +31,54 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable, step: C
     arrow = {"boolean": pa.bool_(), "integer": pa.int32()}[kind.typeName()]
     dealt = rows.repartition(key).sortWithinPartitions(key, *order)
     return dealt.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, kind)]))
+
+
+def carried(rows: DataFrame, key: str, order: list[str], run: Callable, out: str, kind: T.DataType) -> DataFrame:
+    """rows plus out. run(state, part) gives (values, state) of a run of one key's rows, a pyarrow table; state is None before a key's first row.
+
+    Rows are dealt out by key and sorted; a task goes through them once, a batch's runs as arrays, and carries the state from batch to batch.
+    """
+    at = rows.columns.index(key)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(at).to_pandas()
+            codes = keys.factorize(use_na_sentinel=False)[0]
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1), b.num_rows]
+            values = []
+            for i, j in zip(cuts, cuts[1:]):  # noqa: B905
+                own = (b.column(at)[i].as_py(),)
+                state = state if own == last else None
+                last = own
+                part, state = run(state, pa.table(b.slice(i, j - i)))
+                values.append(part)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(values))], names=[*b.schema.names, out])
+
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+    return dealt.mapInArrow(task, T.StructType([*rows.schema.fields, T.StructField(out, kind)]))
+
+
+def grants(us: np.ndarray, cost: np.ndarray, state: tuple[int, int] | None, size: int, span: int) -> tuple[np.ndarray, tuple[int, int] | None]:
+    """(which calls are granted, state after them) of calls in order; state: (begin, credits left) of the last bucket.
+
+    A bucket of `size` credits holds for `span` from its first call, refused calls cost nothing. The work is one step a bucket, and one for
+    each time that credits don't last: a call is found by bisection in the running sum, not met one by one.
+    """
+    out, upto = np.zeros(len(us), bool), np.concatenate([[0], np.cumsum(cost)])
+    at = 0
+    since, left = state or (None, size)
+    while at < len(us):
+        if since is None or us[at] - since > span:
+            since, left = us[at], size
+        end = int(np.searchsorted(us, since + span, "right"))
+        end = max(end, at + 1)
+        while at < end:
+            stop = min(int(np.searchsorted(upto, upto[at] + left, "right")) - 1, end)
+            out[at:stop] = True
+            left -= upto[stop] - upto[at]
+            more = np.flatnonzero(cost[stop:end] <= left)  # what comes next that the rest still pays for
+            at = stop + int(more[0]) if len(more) else end
+    return out, (since, left) if since is not None else None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from quire.operators.fold import folded
+from quire.operators.fold import carried, grants
 from quire.plans.registry import query
 from quire.sources.views import EVENTS_ASOF, quotas, usage_logs
 
@@ -53,15 +53,9 @@ def hourly_bucket(logs: DataFrame, cost: Column, size: int = 100, seconds: int =
     One pass over a user's calls in order; a refused call costs nothing.
     """
 
-    def step(state: tuple, user_id: int, event_id: int, us: int, cost: int) -> tuple:
-        since, left = state
-        if since is None or us - since > seconds * 1_000_000:
-            since, left = us, size
-        ok = left >= cost
-        return (since, left - cost if ok else left), ok
-
     calls = logs.select("user_id", "event_id", F.unix_micros("ts").alias("us"), cost.cast("long").alias("cost"))
-    return folded(calls, "user_id", ["us", "event_id"], lambda: (None, size), step, "granted", T.BooleanType()).select("user_id", "event_id", "granted")
+    run = lambda state, part: grants(part["us"].to_numpy(), part["cost"].to_numpy(), state, size, seconds * 1_000_000)
+    return carried(calls, "user_id", ["us", "event_id"], run, "granted", T.BooleanType()).select("user_id", "event_id", "granted")
 
 
 def _costs(spark, d):

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from quire.operators.intake import normalize_email
 from quire.operators.usage import DEFAULT_PRICE, HOURLY_BUCKET, PRICES
 from quire.plans.registry import query
 from quire.session import new_folder
 from quire.sources.views import endpoints, table
+from quire.streaming.state import HourlyCredits, LastSeen, MonthlyUse
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +26,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def keyed(rows: DataFrame, processor: StatefulProcessor, schema: str, time: str = "None") -> DataFrame:
+    """processor over the rows of each user. Its state is kept in RocksDB, whatever the session's default."""
+    return rows.groupBy("user_id").transformWithStateInPandas(processor, schema, "append", time)
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
-    where = new_folder(spark, name)
-    q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start(f"{where}/out")
-    q.awaitTermination()
+    where, provider = new_folder(spark, name), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, ROCKSDB)  # a query takes it when it starts
+    try:
+        q = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start(f"{where}/out")
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     return spark.read.schema(stream.schema).parquet(f"{where}/out")
 
 
@@ -83,70 +94,21 @@ def stream_intake(spark, d):
     return spark.read.parquet(f"{where}/jobs").drop("batch")
 
 
-def _in_order(pdfs: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    """A key's rows of one trigger, sorted: they come in several chunks in any order. The source's rate bounds a trigger."""
-    return pd.concat(pdfs).sort_values([by, "event_id"])
-
-
-def _month(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Month-to-date cost and level of one user; starts anew with each month."""
-    month, used = state.get if state.exists else ("", 0.0)
-    out = []
-    for row in _in_order(pdfs, "ts").itertuples():
-        own = f"{row.ts:%Y-%m}"
-        used = row.cost + (used if own == month else 0.0)
-        month = own
-        share = used / 15 * 100
-        out.append((key[0], row.event_id, month, round(used, 9), 3 if share >= 100 else 2 if share >= 90 else 1 if share >= 70 else 0))
-    state.update((month, used))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "month", "used", "level"])
-
-
 @query("stream_quota_state", f"""SELECT user_id, event_id, month, round(used, 9) AS used, (CASE WHEN used / 15 * 100 >= 100 THEN 3 WHEN used / 15 * 100 >= 90 THEN 2 WHEN used / 15 * 100 >= 70 THEN 1 ELSE 0 END)::INTEGER AS level
     FROM (SELECT user_id, event_id, strftime(ts, '%Y-%m') AS month, sum(cost) OVER (PARTITION BY user_id, strftime(ts, '%Y-%m') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS used FROM {_PRICED})""")
 def stream_quota_state(spark, d):
     rows = events(spark, d).select("user_id", "event_id", "ts", cost().alias("cost"))
-    out = rows.groupBy("user_id").applyInPandasWithState(_month, "user_id long, event_id long, month string, used double, level int", "month string, used double", "append", GroupStateTimeout.NoTimeout)
-    return drained(out, "stream-quota")
-
-
-def _bucket(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """100 credits an hour from first use; a refused call costs nothing."""
-    since, left = state.get if state.exists else (0, 100)
-    out = []
-    for row in _in_order(pdfs, "us").itertuples():
-        if not since or row.us - since > 3_600_000_000:
-            since, left = row.us, 100
-        ok = left >= row.cost
-        left -= row.cost if ok else 0
-        out.append((key[0], row.event_id, bool(ok)))
-    state.update((int(since), int(left)))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "granted"])
+    return drained(keyed(rows, MonthlyUse(15.0), "user_id long, event_id long, month string, used double, level int"), "stream-quota")
 
 
 @query("stream_credit_bucket", HOURLY_BUCKET)
 def stream_credit_bucket(spark, d):
     rows = events(spark, d).select("user_id", "event_id", F.unix_micros("ts").alias("us"), (F.col("event_id") % 60).alias("cost"))
-    out = rows.groupBy("user_id").applyInPandasWithState(_bucket, "user_id long, event_id long, granted boolean", "since long, left long", "append", GroupStateTimeout.NoTimeout)
-    return drained(out, "stream-bucket")
-
-
-def _ttl(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The last event of a key; after two hours of event time without a further one the key expires."""
-    if state.hasTimedOut:
-        last, n = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], pd.Timestamp(last, unit="us"), n)], columns=["user_id", "last_seen", "n"])
-        return
-    last, n = state.get if state.exists else (0, 0)
-    for pdf in pdfs:
-        last, n = max(last, int(pdf.us.max())), n + len(pdf)
-    state.update((last, n))
-    state.setTimeoutTimestamp(max(last // 1000 + 7_200_000, state.getCurrentWatermarkMs() + 1))
+    return drained(keyed(rows, HourlyCredits(), "user_id long, event_id long, granted boolean"), "stream-bucket")
 
 
 @query("stream_ttl")
 def stream_ttl(spark, d):
+    """Users without an event for two hours of event time, with their last one and the number of their events."""
     rows = events(spark, d).withWatermark("ts", "10 minutes").select("user_id", "ts", F.unix_micros("ts").alias("us"))
-    out = rows.groupBy("user_id").applyInPandasWithState(_ttl, "user_id long, last_seen timestamp, n long", "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return drained(out, "stream-ttl")
+    return drained(keyed(rows, LastSeen(), "user_id long, last_seen timestamp, n long", "EventTime"), "stream-ttl")

@@ -1,9 +1,12 @@
 """Exact rows for queries that DuckDB SQL can't express, and for streams whose groups come in several chunks."""
 
 import datetime as dt
+import os
 import random
+import time
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -248,6 +251,110 @@ def test_stream_windows(spark):
     assert set(unique.message_id) == set(rows.event_id % 9000) and unique.message_id.is_unique
 
 
+@pytest.mark.parametrize("name", ["stream_credit_bucket", "stream_quota_state"])
+def test_streams_over_several_triggers(spark, small_chunks, tmp_path, name):
+    """Files in the order of time, one a trigger: the rows of one pass."""
+    rows = table(spark, DATA, "events").orderBy("ts", "event_id").toPandas()
+    schema = table(spark, DATA, "events").schema
+    folder = tmp_path / "events.parquet"
+    for i in range(4):
+        spark.createDataFrame(rows.iloc[len(rows) * i // 4 : len(rows) * (i + 1) // 4], schema).coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        os.makedirs(folder, exist_ok=True)
+        part = next(p for p in (tmp_path / f"part{i}").iterdir() if p.suffix == ".parquet")
+        os.rename(part, folder / f"{i}.parquet")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i * 100,) * 2)
+    source = streams.events
+    try:
+        streams.events = lambda spark, d: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)).withColumn("ts", F.col("ts").cast("timestamp"))
+        got = queries()[name](spark, DATA)
+    finally:
+        streams.events = source
+    want = queries()[name](spark, DATA)
+    key = [c for c in want.columns if c != "used"]
+    assert got.select(key).exceptAll(want.select(key)).isEmpty() and got.count() == want.count() > 0
+    if "used" in want.columns:
+        both = got.join(want.select("event_id", F.col("used").alias("w")), "event_id")
+        assert both.where(F.abs(F.col("used") - F.col("w")) > 2e-9).isEmpty()
+
+
+def test_late_rows_are_charged_to_their_month(spark, tmp_path):
+    from quire.streaming.state import MonthlyUse
+
+    schema = "user_id long, event_id long, ts timestamp, cost double"
+    t = lambda m, day: dt.datetime(2024, m, day)
+    triggers = [[(1, 1, t(1, 5), 8.0), (1, 2, t(1, 9), 3.0)], [(1, 3, t(2, 1), 1.0)], [(1, 5, t(1, 20), 4.0), (1, 4, t(1, 7), 1.0), (2, 6, t(2, 2), 20.0)]]
+    for i, rows in enumerate(triggers):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"t{i}"))
+        part = next(p for p in (tmp_path / f"t{i}").iterdir() if p.suffix == ".parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        os.rename(part, tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1_700_000_000 + i * 100,) * 2)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = streams.drained(streams.keyed(rows, MonthlyUse(15.0), "user_id long, event_id long, month string, used double, level int"), "late")
+    assert {r.event_id: (r.month, r.used, r.level) for r in out.collect()} == {1: ("2024-01", 8.0, 0), 2: ("2024-01", 11.0, 1), 3: ("2024-02", 1.0, 0), 4: ("2024-01", 12.0, 1), 5: ("2024-01", 16.0, 3), 6: ("2024-02", 20.0, 3)}
+
+
+def test_state_expires_by_the_clock(spark, tmp_path):
+    """A key without rows for longer than the TTL starts anew; one that has some goes on."""
+    from quire.streaming.state import Recent
+
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def arrives(name: str, *users: int) -> None:
+        (tmp_path / name).write_text("\n".join(f'{{"user_id": {u}}}' for u in users))
+        os.rename(tmp_path / name, source / name)
+
+    def until(*wanted: tuple) -> None:
+        end = time.time() + 60
+        while not set(wanted) <= set(seen) and time.time() < end:
+            time.sleep(0.2)
+        assert set(wanted) <= set(seen)
+
+    name, seen = "spark.sql.streaming.stateStore.providerClass", []
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, streams.ROCKSDB)
+    rows = spark.readStream.schema("user_id long").json(str(source))
+    out = streams.keyed(rows, Recent(8000), "user_id long, n long", "ProcessingTime")
+    q = out.writeStream.foreachBatch(lambda b, _: seen.extend((r.user_id, r.n) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    try:
+        arrives("a.json", 1, 1, 2)
+        until((1, 2), (2, 1))
+        arrives("b.json", 2)
+        until((2, 2))  # user 2 goes on
+        time.sleep(9)
+        arrives("c.json", 1)
+        until((1, 1))  # user 1 starts anew
+        assert (1, 3) not in seen
+    finally:
+        q.stop()
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_grants_by_bisection():
+    rng = random.Random(12)
+    for size in (1, 10, 100):
+        us = np.sort(np.array([rng.randrange(200) for _ in range(400)]))
+        cost = np.array([rng.choice([0, 0, 1, 2, 5, 30]) for _ in us])
+        since, left, want = None, size, []
+        for u, c in zip(us, cost, strict=True):
+            if since is None or u - since > 40:
+                since, left = u, size
+            want.append(left >= c)
+            left -= c if want[-1] else 0
+        for cut in (0, 1, 133, 400):
+            a, state = fold.grants(us[:cut], cost[:cut], None, size, 40)
+            b, state = fold.grants(us[cut:], cost[cut:], state, size, 40)
+            assert [*a, *b] == want and state == (since, left)
+
+
+def test_a_million_calls_of_one_user(spark):
+    calls = spark.range(1_000_000).select(F.lit(1).cast("long").alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 3).alias("ts"))
+    began = time.time()
+    n = usage.hourly_bucket(calls, F.lit(1)).where("granted").count()
+    assert n == 100 * -(-1_000_000 // 1201) and time.time() - began < 60
+
+
 def test_stream_schema_names(spark):
     assert streams.events(spark, DATA).isStreaming
 
