@@ -187,27 +187,6 @@ def q_table_reformat(spark, d):
     return blocks(doc_lines(spark, d), table_line(F.col("line"))).select("doc_id", "page_no", "start_line", table_reformat(F.col("content")).alias("content"))
 
 
-#: Elements and attributes that a template may keep.
-SAFE_TAGS = "a|b|body|br|div|em|h[1-6]|head|html|i|img|li|ol|p|span|strong|table|tbody|td|th|thead|title|tr|u|ul"
-SAFE_ATTRIBUTES = "class|colspan|href|id|rowspan|src|style|title"
-
-
-def sanitize_html(html: Column) -> Column:
-    """Active elements go with their content, other elements and attributes unless allowed; comments go but for page breaks."""
-    out = F.regexp_replace(html, r"(?is)<(script|iframe|object|embed|form|svg)\b[^>]*>.*?</\1\s*>", "")
-    out = F.regexp_replace(out, r"(?is)<!--(?!\s*pagebreak\s*-->).*?-->", "")
-    out = F.regexp_replace(out, rf"(?i)</?(?!(?:{SAFE_TAGS})\b)[a-z][^>]*>", "")
-    out = F.regexp_replace(out, rf"(?i)\s(?!(?:{SAFE_ATTRIBUTES})\b)[a-z-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')(?=[^<]*>)", "")
-    return F.regexp_replace(out, r"(?i)javascript:", "")
-
-
-@query("template_sanitize_html")
-def template_sanitize_html(spark, d, most: int = 2_000_000):
-    rows = table(spark, d, "pages").select("page_id", sanitize_html(F.col("html")).alias("html"), F.length("html").between(1, most).alias("valid"))
-    left = F.array_distinct(F.regexp_extract_all(F.lower("html"), F.lit(r"<([a-z][a-z0-9]*)"), F.lit(1)))
-    return rows.withColumn("tags", F.array_sort(left))
-
-
 def _text_pages(content: str) -> list[str]:
     lines = content.split("\n")
     return ["\n".join(lines[i : i + 40]) for i in range(0, len(lines), 40)]

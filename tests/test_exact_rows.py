@@ -315,14 +315,14 @@ def test_state_expires_by_the_clock(spark, tmp_path):
     before = spark.conf.get(name, None)
     spark.conf.set(name, streams.ROCKSDB)
     rows = spark.readStream.schema("user_id long").json(str(source))
-    out = streams.keyed(rows, Recent(8000), "user_id long, n long", "ProcessingTime")
+    out = streams.keyed(rows, Recent(20_000), "user_id long, n long", "ProcessingTime")
     q = out.writeStream.foreachBatch(lambda b, _: seen.extend((r.user_id, r.n) for r in b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
     try:
         arrives("a.json", 1, 1, 2)
         until((1, 2), (2, 1))
         arrives("b.json", 2)
         until((2, 2))  # user 2 goes on
-        time.sleep(9)
+        time.sleep(21)
         arrives("c.json", 1)
         until((1, 1))  # user 1 starts anew
         assert (1, 3) not in seen
@@ -359,12 +359,6 @@ def test_stream_schema_names(spark):
     assert streams.events(spark, DATA).isStreaming
 
 
-def test_template_sanitize_html(spark):
-    html = """<div onclick="x()" class="a"><script>alert(1)</script><p style='b'>ok</p><!-- note --><!-- pagebreak --><iframe src="u"></iframe><blink>t</blink><a href="javascript:go()">l</a></div>"""
-    got = spark.range(1).select(more.sanitize_html(F.lit(html))).first()[0]
-    assert got == """<div class="a"><p style='b'>ok</p><!-- pagebreak -->t<a href="go()">l</a></div>"""
-
-
 def test_bbox_document(spark):
     got = {r.doc_id: r for r in queries()["bbox_document"](spark, DATA).collect()}
     words = defaultdict(int)
