@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.plans.registry import query
+from quire.session import staged
 from quire.sources.views import STEPS, sessions, steps, timings
 
 #: Seconds above which a step counts as slow; chunking is the slower of its two levels.
@@ -47,11 +48,43 @@ def session_summary(spark, d, n: int = 1000):
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("success").alias("successful"), F.count_if(~F.col("success")).alias("failed"), F.round(F.count_if("success") / F.count(F.lit(1)) * 100, 6).alias("success_rate"), F.round(F.avg(ok(F.col("total"))), 6).alias("avg_seconds"), F.round(F.avg("mb"), 6).alias("avg_mb"), F.round(F.avg(ok(rate)), 6).alias("avg_rate"))
 
 
+def quantile(rows: DataFrame, key: str, value: str, q: float, bins: int = 4096, most: int = 100_000) -> DataFrame:
+    """key, quantile: exact, between two values in proportion, as percentile gives it. No task holds all values of a key.
+
+    A value's place is narrowed by histograms: each pass counts the rows in `bins` equal parts of the range that is left, and keeps the part with the
+    wanted place, until at most `most` rows are in it or they are all equal. Nulls (and NaN) don't count; keys without values have no row.
+    """
+    v = F.col("__v")
+    rows = rows.select(F.col(key).alias("__k"), F.col(value).cast("double").alias("__v")).where(v.isNotNull() & ~F.isnan(v))
+    all_ = rows.groupBy("__k").agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    at = F.lit(q) * (F.col("n") - 1)
+    places = F.array_distinct(F.array(F.floor(at), F.ceil(at)))
+    left = staged(all_.select("__k", at.alias("at"), F.explode(places).alias("place"), "lo", "hi", F.lit(0).cast("bigint").alias("below"), "n"), "places")
+    while not left.where((F.col("n") > most) & (F.col("lo") < F.col("hi"))).isEmpty():
+        own = left.withColumnRenamed("__k", "__own").withColumnRenamed("n", "__n")
+        met = rows.join(own.hint("merge"), F.col("__k").eqNullSafe(F.col("__own")) & v.between(F.col("lo"), F.col("hi")))
+        part = F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((v / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins)))
+        counts = met.groupBy("__k", "at", "place", "below", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+        upto = F.sum("n").over(W.partitionBy("__k", "place").orderBy("part"))  # `bins` rows at most
+        counts = counts.withColumn("upto", F.col("below") + upto).where((F.col("upto") - F.col("n") <= F.col("place")) & (F.col("place") < F.col("upto")))
+        left = staged(counts.select("__k", "at", "place", "lo", "hi", (F.col("upto") - F.col("n")).alias("below"), "n"), "places")
+    own = left.withColumnRenamed("__k", "__own")
+    met = rows.join(own.hint("merge"), F.col("__k").eqNullSafe(F.col("__own")) & (F.col("lo") < F.col("hi")) & v.between(F.col("lo"), F.col("hi")))
+    few = met.groupBy("__k", "at", "place", "below").agg(F.sort_array(F.collect_list(v)).alias("all"))  # `most` values at most
+    exact = few.select("__k", "at", "place", F.get("all", (F.col("place") - F.col("below")).cast("int")).alias("x"))
+    exact = exact.unionByName(left.where("lo = hi").select("__k", "at", "place", F.col("lo").alias("x")))
+    ends = exact.groupBy("__k", "at").agg(F.min_by("x", "place").alias("a"), F.max_by("x", "place").alias("b"))
+    return ends.select(F.col("__k").alias(key), (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("quantile"))
+
+
 @query("operation_stats", """SELECT operation, count(*) AS n, round(avg(duration_s) * 1000, 6) AS mean_ms, round(median(duration_s) * 1000, 6) AS median_ms, round(min(duration_s) * 1000, 6) AS min_ms, round(max(duration_s) * 1000, 6) AS max_ms, round(coalesce(stddev_samp(duration_s), 0) * 1000, 6) AS std_ms FROM timings GROUP BY 1""")
 def operation_stats(spark, d):
+    rows = staged(timings(spark, d).select("operation", "duration_s"), "timings")
     x = F.col("duration_s")
     ms = lambda c, name: F.round(c * 1000, 6).alias(name)
-    return timings(spark, d).groupBy("operation").agg(F.count(F.lit(1)).alias("n"), ms(F.avg(x), "mean_ms"), ms(F.percentile(x, F.lit(0.5)), "median_ms"), ms(F.min(x), "min_ms"), ms(F.max(x), "max_ms"), ms(F.coalesce(F.stddev_samp(x), F.lit(0.0)), "std_ms"))
+    one = rows.groupBy("operation").agg(F.count(F.lit(1)).alias("n"), ms(F.avg(x), "mean_ms"), ms(F.min(x), "min_ms"), ms(F.max(x), "max_ms"), ms(F.coalesce(F.stddev_samp(x), F.lit(0.0)), "std_ms"))
+    median = quantile(rows, "operation", "duration_s", 0.5)
+    return one.join(median.hint("merge"), "operation").select("operation", "n", "mean_ms", ms(F.col("quantile"), "median_ms"), "min_ms", "max_ms", "std_ms")
 
 
 @query("bottleneck", f"SELECT session_id, step, round(secs, 6) AS secs, round(share, 6) AS share FROM {_TOP} WHERE r = 1")

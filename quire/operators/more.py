@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from quire.operators.audit import _P, _REPORTS, _S, change_span, reports
 from quire.operators.metrics import LIMITS, last_sessions
-from quire.operators.fold import folded
+from quire.operators.fold import carried, covered, visual_rows
 from quire.operators.quotes import _BOXES, MAX_QUOTE, normalize_tokens, token_similarity, word_boxes
 from quire.operators.text import blocks, paginate, table_line
 from quire.plans.registry import query
@@ -38,11 +38,11 @@ def agent_faults(questions: DataFrame) -> DataFrame:
 def prune_near_duplicates(segments: DataFrame, key: str, within: float = 0.4, overlap: float = 0.9) -> DataFrame:
     """segments (key, y, n, lo, hi) plus kept: false where the segment kept last covers it. One pass a key, by y and n."""
 
-    def step(last: tuple | None, key: int, y: float, n: int, lo: float, hi: float) -> tuple:
-        covered = last is not None and abs(last[0] - y) <= within and min(last[2], hi) - max(last[1], lo) > overlap * (hi - lo)
-        return (last if covered else (y, lo, hi)), not covered
+    def run(last: tuple | None, part: pa.Table) -> tuple:
+        y, lo, hi = (part[c].to_numpy() for c in ("y", "lo", "hi"))
+        return covered(y, lo, hi, last, within, overlap)
 
-    return folded(segments, key, ["y", "n"], lambda: None, step, "kept", T.BooleanType())
+    return carried(segments, key, ["y", "n"], run, "kept", T.BooleanType())
 
 
 @query("scan_agents_json", "SELECT 'agent-' || item_id % 4 AS slug, 'Agent-' || item_id % 4 AS name, item_id AS id, 'q' || item_id AS placeholder, text AS prompt, CASE item_id % 3 WHEN 0 THEN 'string' WHEN 1 THEN 'list' ELSE 'table' END AS answer_type FROM benchmark")
@@ -152,14 +152,8 @@ def ocr_pages(spark, d):
 def group_rows_by_y(spark, d):
     """Words of a page to visual rows: a word joins a row if it lies within 1.0 of the row's y, which moves half way to it."""
 
-    def step(state: tuple, key: int, event_id: int, y: float) -> tuple:
-        mean, row = state
-        if mean is not None and abs(y - mean) <= 1.0:
-            return ((mean + y) / 2, row), row
-        return (y, row + 1), row + 1
-
     words = table(spark, d, "events").select("user_id", "event_id", F.col("value").alias("y"))
-    return folded(words, "user_id", ["y", "event_id"], lambda: (None, 0), step, "row", T.IntegerType()).select("user_id", "event_id", "row")
+    return carried(words, "user_id", ["y", "event_id"], lambda state, part: visual_rows(part["y"].to_numpy(), state, 1.0), "row", T.IntegerType()).select("user_id", "event_id", "row")
 
 
 @query("parse_quotes_batch", "SELECT doc_id, 'p' || n AS item, CASE WHEN n < 2 THEN trim(t) ELSE '' END AS quote FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\"\\\\\\n\\r\\t]', ' ', 'g') AS t FROM documents), range(3) r(n)")
@@ -187,34 +181,3 @@ def q_table_reformat(spark, d):
     return blocks(doc_lines(spark, d), table_line(F.col("line"))).select("doc_id", "page_no", "start_line", table_reformat(F.col("content")).alias("content"))
 
 
-def _text_pages(content: str) -> list[str]:
-    lines = content.split("\n")
-    return ["\n".join(lines[i : i + 40]) for i in range(0, len(lines), 40)]
-
-
-PROCESSORS: dict[str, Callable[[str], list[str]]] = {"txt": _text_pages, "doc": _text_pages}
-
-
-def process_files(rows: DataFrame, processors: dict[str, Callable[[str], list[str]]] = PROCESSORS) -> DataFrame:
-    """file_id, page_no, page, error: each file by the processor of its extension; a failure or an unknown extension is a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for file_id, ext, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                try:
-                    if ext not in processors:
-                        raise ValueError(f"no processor for {ext}")
-                    out += [(file_id, i, page, None) for i, page in enumerate(processors[ext](content), 1)]
-                except Exception as e:  # a plug-in may fail in any way
-                    out.append((file_id, 0, None, str(e)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["file_id", "page_no", "page", "error"])
-
-    return rows.mapInArrow(run, "file_id long, page_no int, page string, error string")
-
-
-@query("udtf_processor")
-def udtf_processor(spark, d):
-    ext = F.lower(F.element_at(F.split("name", r"\."), -1))
-    return process_files(files(spark, d).select("file_id", ext.alias("ext"), "content"))

@@ -28,9 +28,9 @@ VOID = "br col embed hr img input source track".split()
 MAX_CHARS = 2_000_000
 
 _ATTRIBUTE_RUN = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+"""
-_TOKEN = rf"""(?s)<!--.*?(?:-->|\z)|<[!?][^>]*+(?:>|\z)|</?[A-Za-z][^\s/>]*+{_ATTRIBUTE_RUN}(?:>|\z)|[^<]++|<"""
+_RAW = rf"<({'|'.join(RAW)})(?=[\s/>]){_ATTRIBUTE_RUN}>.*?(?:</\1(?=[\s/>])[^>]*+>|\z)"
+_TOKEN = rf"(?is){_RAW}|<!--.*?(?:-->|\z)|<[!?][^>]*+(?:>|\z)|</?[A-Z][^\s/>]*+{_ATTRIBUTE_RUN}(?:>|\z)|[^<]++|<"
 _ATTRIBUTE = r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+"""
-_RAW = rf"(?is)<({'|'.join(RAW)})(?=[\s/>]){_ATTRIBUTE_RUN}>.*?(?:</\1(?=[\s/>])[^>]*+>|\z)"
 _BREAK, _MARK = r"(?i)<!--\s*+pagebreak\s*+-->", "\ue000"
 PAGE_BREAK = "<!-- pagebreak -->"
 
@@ -71,10 +71,10 @@ def sanitized(templates: DataFrame, html: str = "html") -> DataFrame:
     n = "__row"
     rows = templates.withColumn(n, F.monotonically_increasing_id())
     text = F.regexp_replace(F.replace(F.col(html), F.lit(_MARK), F.lit("")), _BREAK, _MARK)
-    tokens = rows.select(n, F.posexplode(F.regexp_extract_all(F.regexp_replace(text, _RAW, "<!---->"), F.lit(_TOKEN), F.lit(0))).alias("i", "t"))
+    tokens = rows.select(n, F.posexplode(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))).alias("i", "t"))
     name = F.lower(F.regexp_extract("t", r"^</?([A-Za-z][^\s/>]*+)", 1))
     tokens = tokens.withColumns({"name": name, "closing": F.col("t").startswith("</")})
-    opens = F.col("name").isin(DROPPED) & ~F.col("t").endswith("/>")
+    opens = F.col("name").isin([x for x in DROPPED if x not in RAW]) & ~F.col("t").endswith("/>")  # raw elements are one token
     order = W.partitionBy(n).orderBy("i")
     tokens = tokens.withColumn("sum", F.sum(F.when(opens & F.col("closing"), -1).when(opens, 1).otherwise(0)).over(order))
     # An end tag without its start doesn't count: the depth is the running sum over its least value so far.

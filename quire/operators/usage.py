@@ -34,9 +34,22 @@ def to_credits(cad: Column) -> Column:
 
 
 def running_cost(costs: DataFrame) -> DataFrame:
-    """Adds month and used: the user's cost so far in the calendar month."""
-    order = W.partitionBy("user_id", "month").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return costs.withColumn("month", F.date_trunc("month", "ts").cast("date")).withColumn("used", F.sum("cost").over(order))
+    """Adds month and used: the user's cost so far in the calendar month.
+
+    Two levels: a running sum within each hour, and the sums of the hours before it, of which a month has 744 at most. A user's
+    month thus splits over many tasks, however many calls it has.
+    """
+    key = ["user_id", "month", "__hour"]
+    rows = costs.withColumns({"month": F.date_trunc("month", "ts").cast("date"), "__hour": F.date_trunc("hour", "ts")})
+    within = F.sum("cost").over(W.partitionBy(*key).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
+    hours = rows.groupBy(*key).agg(F.sum("cost").alias("__sum"))
+    before = F.sum("__sum").over(W.partitionBy("user_id", "month").orderBy("__hour").rowsBetween(W.unboundedPreceding, -1))
+    hours = hours.select(*[F.col(c).alias(f"__{c}") for c in key], before.alias("__before"))
+    local = rows.withColumn("used", within)
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    kind = local.schema["used"].dataType
+    both = local.join(hours.hint("merge"), same)
+    return both.withColumn("used", F.coalesce(F.col("used") + F.col("__before"), "used").cast(kind)).drop("__hour", "__before", *[f"__{c}" for c in key])
 
 
 def charges(costs: DataFrame, limits: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from quire.plans.oracle_views import with_views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("text", "chunk", "usage", "metrics", "files", "intake", "tenancy", "vectors", "answers", "quotes", "quote_search", "report", "templates", "audit", "more")
+MODULES = ("text", "chunk", "usage", "metrics", "files", "intake", "tenancy", "vectors", "answers", "quotes", "quote_search", "report", "templates", "processors", "audit", "more")
 
 
 def query(name: str, oracle: str | None = None) -> Callable:

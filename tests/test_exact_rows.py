@@ -10,8 +10,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.operators import answers, fold, more, quote_search, quotes, tenancy, usage, vectors
+from quire.operators import answers, fold, metrics, processors, quote_search, quotes, tenancy, usage, vectors
 from quire.plans.registry import queries
 from quire.sources.views import doc_lines, table
 from quire.streaming import queries as streams
@@ -195,9 +196,12 @@ def test_folds_are_linear_and_ordered(spark):
         assert got[i] == (left >= cost)
         state[user] = since, left - cost if left >= cost else left
     big = spark.range(200_000).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("n"))
-    from pyspark.sql import types as T
 
-    out = fold.folded(big, "k", ["n"], lambda: 0, lambda s, k, n: (s + 1, s % 2 == 0), "even", T.BooleanType())
+    def parity(state, part):
+        n = state or 0
+        return np.arange(n, n + len(part)) % 2 == 0, n + len(part)
+
+    out = fold.carried(big, "k", ["n"], parity, "even", T.BooleanType())
     assert out.where(F.col("even") == (F.col("n") % 2 == 0)).count() == 200_000
 
 
@@ -380,9 +384,70 @@ def test_sinks(spark):
 
 
 def test_files_by_extension(spark):
-    rows = spark.createDataFrame([(1, "txt", "\n".join(map(str, range(90)))), (2, "exe", "x"), (3, "doc", None)], "file_id long, ext string, content string")
-    got = sorted((r.file_id, r.page_no, r.error is None) for r in more.process_files(rows).collect())
-    assert got == [(1, 1, True), (1, 2, True), (1, 3, True), (2, 0, False), (3, 0, False)]
+    """Processors from bytes, HTML without one, a failing one, and files that none is for."""
+
+    def halves(content):
+        yield content[:1].decode()
+        raise RuntimeError("half way")
+
+    files_ = [(1, "a.TXT", "\n".join(map(str, range(90))).encode()), (2, "b.exe", b"x"), (3, "c.doc", None), (4, "d.html", b"<p>x</p>&amp;"), (5, "e.txt", b"\xff\xfe"), (6, "f.half", b"ab"), (7, "none", b"x"), (8, None, b"x")]
+    rows = spark.createDataFrame(files_, "file_id long, name string, content binary")
+    out = processors.process_files(rows, processors.PLAIN.register(".half", halves))
+    got = sorted(((r.file_id, r.page_no, r.page and r.page[:3], r.error and r.error.split(":")[0]) for r in out.collect()), key=repr)
+    want = [(1, 1, "0\n1", None), (1, 2, "40\n", None), (1, 3, "80\n", None), (2, 0, None, "LookupError"), (3, 1, "", None), (4, 1, "x&", None), (5, 0, None, "UnicodeDecodeError")]
+    want += [(6, 0, None, "RuntimeError"), (6, 1, "a", None), (7, 0, None, "LookupError"), (8, 0, None, "LookupError")]
+    assert got == sorted(want, key=repr)
+    assert processors.process_files(rows.where("file_id < 0")).collect() == []
+
+
+def test_quantiles_by_histograms(spark):
+    """Against NumPy, with few bins and small groups so that turns go on; equal values, one value, nulls, huge and negative ones."""
+    rng = random.Random(14)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(999)] + [("b", float(rng.randrange(3))) for _ in range(400)] + [("c", 5.0)] + [("d", None)] + [(None, float(i)) for i in range(10)]
+    rows += [("e", x) for x in (-1.7e308, 1.7e308, 0.0, 3.0)] + [("f", 1e-300 * i) for i in range(50)] + [("g", 7.0)] * 60
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    for q in (0.0, 0.5, 0.9, 1.0):
+        for bins, most in ((4, 3), (4096, 100_000)):
+            got = {r.k: r.quantile for r in metrics.quantile(df, "k", "x", q, bins, most).collect()}
+            own = defaultdict(list)
+            for k, x in rows:
+                if x is not None:
+                    own[k].append(x)
+            assert got.keys() == own.keys()
+            for k, xs in own.items():
+                xs.sort()
+                at = q * (len(xs) - 1)
+                a, b = xs[int(at)], xs[int(np.ceil(at))]
+                assert got[k] == pytest.approx(a + (b - a) * (at - int(at)), rel=1e-12, abs=0)
+
+
+def test_running_cost_splits_a_month(spark):
+    """The window's key holds the hour, so that no task has a whole month; sums are those of one pass, null users and times included."""
+    rng = random.Random(15)
+    t = lambda: dt.datetime(2024, rng.choice((1, 2)), rng.randint(1, 3), rng.randrange(3), rng.randrange(60))
+    rows = [(i, rng.choice((1, 2, None)), t() if i % 50 else None, i / 7) for i in range(600)]
+    costs = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, c double").withColumn("cost", F.col("c").cast("decimal(18,6)")).drop("c")
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id", "month").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    want = costs.withColumn("month", F.date_trunc("month", "ts").cast("date")).withColumn("used", F.sum("cost").over(order))
+    got = usage.running_cost(costs).select(want.columns)
+    assert got.schema == want.schema and got.count() == 600 and got.exceptAll(want).isEmpty()
+
+
+def test_covering_segments():
+    rng = random.Random(16)
+    rows = sorted((rng.choice((0.0, 0.1, 0.5, 1.0, 1.2)) + rng.randrange(3), float(rng.randrange(5)), rng.uniform(5, 9)) for _ in range(500))
+    y, lo, hi = (np.array(c) for c in zip(*rows, strict=True))
+    last, want = None, []
+    for a, b, c in rows:
+        over = last is not None and abs(last[0] - a) <= 0.4 and min(last[2], c) - max(last[1], b) > 0.9 * (c - b)
+        want.append(not over)
+        last = last if over else (a, b, c)
+    for cut in (0, 1, 250, 500):
+        first, state = fold.covered(y[:cut], lo[:cut], hi[:cut], None, 0.4, 0.9)
+        rest, state = fold.covered(y[cut:], lo[cut:], hi[cut:], state, 0.4, 0.9)
+        assert [*first, *rest] == want and state == last
 
 
 def test_who_sees_an_agent(spark):

@@ -31,9 +31,9 @@ CASES = [
     ("<p onclick = alert(1)>a</p>", "<p>a</p>"),
     ('<a href="jajavascript:vascript:x">a</a>', "<a>a</a>"),
     ("<script>alert(1)</script><iframe src='https://e.example'></iframe>", ""),
-    ("<scr<script>ipt>alert(1)</scr</script>ipt>", "ipt&gt;"),
+    ("<scr<script>ipt>alert(1)</scr</script>ipt>", "ipt&gt;alert(1)ipt&gt;"),
     ("<p title='a > b' class=x id = \"y\" lang>z", '<p title="a &gt; b" class="x" id="y" lang="">z'),
-    ('<p title=\'"><script>x</script>\'>a', '<p title="&quot;&gt;">a'),
+    ('<p title=\'"><script>x</script>\'>a', '<p title="&quot;&gt;&lt;script&gt;x&lt;/script&gt;">a'),
     ("<SCRIPT\n>alert(1)</SCRIPT\n>b", "b"),
     ("<script>never closed <p>b</p>", ""),
     ("<svg><a onload=x>t</a></svg>b<svg/>c", "bc"),
