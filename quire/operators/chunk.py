@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.operators.text import paginate, token_count
 from quire.plans.registry import query
+from quire.session import new_folder, staged
 from quire.sources.views import doc_lines
 
 L1_TARGET, L1_MAX, WINDOW, OVERLAP = 1200, 2000, 512, 80
@@ -19,23 +22,33 @@ def ends_cleanly(last_line: Column) -> Column:
 
 
 def chunk_l1(pages: DataFrame, target: int = L1_TARGET, most: int = L1_MAX) -> DataFrame:
-    """doc_id, chunk, start_page, end_page, token_count, text. A fold over the pages of one document, in order."""
+    """doc_id, chunk, start_page, end_page, token_count, text. A fold over the pages of one document, in order.
+
+    The fold keeps the tokens of the open section, and a list that grows only where a section ends, so that its time is in proportion to the pages.
+    """
     last = F.regexp_replace(F.element_at("lines", -1), r"^[ \t\r]+|[ \t\r]+$", "")
     page = F.struct("page_no", token_count(F.col("markdown")).alias("tokens"), ends_cleanly(last).alias("clean"), "markdown")
     docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("tokens"), F.array().cast("array<int>").alias("out"))
+    zero, none = F.lit(0), F.array().cast("array<int>")
+    start = F.struct(zero.alias("i"), zero.alias("begin"), zero.cast("long").alias("tokens"), none.alias("ends"))
 
     def step(s: Column, p: Column) -> Column:
-        over = (s["tokens"] + p["tokens"] > most) & (F.try_element_at(s["out"], F.lit(-1)).eqNullSafe(s["chunk"]))
-        chunk, tokens = s["chunk"] + over.cast("int"), F.when(over, p["tokens"]).otherwise(s["tokens"] + p["tokens"])
+        over = (s["tokens"] + p["tokens"] > most) & (s["i"] > s["begin"])
+        tokens = F.when(over, p["tokens"]).otherwise(s["tokens"] + p["tokens"])
         close = (tokens >= target) & p["clean"]
-        return F.struct((chunk + close.cast("int")).alias("chunk"), F.when(close, F.lit(0).cast("long")).otherwise(tokens).alias("tokens"), F.concat(s["out"], F.array(chunk)).alias("out"))
+        new = F.concat(F.when(over, F.array(s["i"])).otherwise(none), F.when(close, F.array(s["i"] + 1)).otherwise(none))
+        begin = F.when(close, s["i"] + 1).when(over, s["i"]).otherwise(s["begin"])
+        ends = F.when(over | close, F.concat(s["ends"], new)).otherwise(s["ends"])
+        return F.struct((s["i"] + 1).alias("i"), begin.alias("begin"), F.when(close, F.lit(0).cast("long")).otherwise(tokens).alias("tokens"), ends.alias("ends"))
 
-    numbers = F.aggregate("pages", start, step, lambda s: s["out"])
-    rows = docs.select("doc_id", F.explode(F.arrays_zip(F.col("pages").alias("p"), numbers.alias("c"))).alias("x")).select("doc_id", F.col("x.c").cast("long").alias("chunk"), "x.p.*")
-    body = F.concat(F.lit("\n--- PAGE "), F.col("page_no").cast("string"), F.lit(" ---\n"), F.col("markdown"), F.lit("\n"))
-    out = rows.groupBy("doc_id", "chunk").agg(F.min("page_no").alias("start_page"), F.max("page_no").alias("end_page"), F.sum("tokens").alias("token_count"), F.array_sort(F.collect_list(F.struct("page_no", body.alias("b")))).alias("b"))
-    return out.withColumn("text", F.array_join(F.transform("b", lambda x: x["b"]), "")).drop("b")
+    ends = F.aggregate("pages", start, step, lambda s: F.when(s["begin"] < s["i"], F.concat(s["ends"], F.array(s["i"]))).otherwise(s["ends"]))
+    rows = docs.withColumn("ends", ends).select("doc_id", "pages", "ends", F.posexplode("ends").alias("chunk", "end"))
+    first = F.when(F.col("chunk") == 0, 0).otherwise(F.get("ends", F.col("chunk") - 1))
+    rows = rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.slice("pages", first + 1, F.col("end") - first).alias("p"))
+    body = lambda x: F.concat(F.lit("\n--- PAGE "), x["page_no"].cast("string"), F.lit(" ---\n"), x["markdown"], F.lit("\n"))
+    number = lambda i: F.element_at("p", i)["page_no"]
+    total = F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + x["tokens"])
+    return rows.select("doc_id", "chunk", number(1).alias("start_page"), number(-1).alias("end_page"), total.alias("token_count"), F.array_join(F.transform("p", body), "").alias("text"))
 
 
 def chunk_l2(l1: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
@@ -123,22 +136,68 @@ def collection_statistics(spark, d):
     return chunk_l2(_l1(spark, d)).groupBy((F.col("doc_id") % 20).alias("user_id")).agg(F.count(F.lit(1)).alias("total_chunks"), F.countDistinct("doc_id").alias("documents"), F.round(F.avg(t), 6).alias("avg_tokens"), F.sum(t).alias("total_tokens"), F.min("start_page").alias("min_page"), F.max("end_page").alias("max_page"))
 
 
+def replace_documents(rows: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> None:
+    """Write rows of some documents to the table at path, instead of what it has of these documents; the others stay.
+
+    The table is partitioned by a bucket of the key. Only the buckets of the given documents are read and written again, in one job, by dynamic partition overwrite:
+    readers see the old files of a bucket or the new ones. The same rows again change nothing. A path that doesn't exist is made.
+    """
+    spark, bucket = rows.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows = staged(rows.withColumn("bucket", bucket), "replacing")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # `buckets` at most
+        old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
+        gone = rows.select(F.col(key).alias("__key")).distinct()
+        kept = old.join(gone.hint("merge"), F.col(key).eqNullSafe(F.col("__key")), "left_anti")
+        rows = rows.unionByName(staged(kept.select(rows.columns), "kept"))  # a table isn't overwritten while it is read
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of such a table, without the bucket."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path).drop("bucket")
+
+
 @query("reprocess_document", "SELECT doc_id, chunk::BIGINT AS chunk, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE 'old' END AS version FROM l1_chunks")
 def reprocess_document(spark, d):
-    """Chunks of the documents that are processed again give way to new ones."""
-    old = _l1(spark, d).select("doc_id", "chunk")
-    new = old.where("doc_id % 10 = 0")
-    kept = old.join(new.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
-    return kept.withColumn("version", F.lit("old")).unionByName(new.withColumn("version", F.lit("new")))
-
-
-@query("pack_context", """SELECT doc_id, count(*) AS sections, sum(t)::BIGINT AS tokens FROM (SELECT doc_id, t, sum(t) OVER (PARTITION BY doc_id ORDER BY chunk, window_index) AS upto FROM (
-    SELECT doc_id, chunk, window_index, length('[Section ' || chunk || '.' || window_index || ']' || chr(10) || text || chr(10)) // 4 AS t FROM l2_chunks)) WHERE upto <= 4000 GROUP BY doc_id""")
-def pack_context(spark, d, budget: int = 4000):
-    """Sections in order until one would pass the budget; all costs are positive, so the running sum decides."""
-    from pyspark.sql import Window as W
-
-    section = F.concat(F.lit("[Section "), F.col("chunk").cast("string"), F.lit("."), F.col("window_index").cast("string"), F.lit("]\n"), F.col("text"), F.lit("\n"))
-    rows = chunk_l2(_l1(spark, d)).withColumn("t", token_count(section))
-    rows = rows.withColumn("upto", F.sum("t").over(W.partitionBy("doc_id").orderBy("chunk", "window_index"))).where(F.col("upto") <= budget)
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.sum("t").alias("tokens"))
+    """All chunks are written as a table; documents that are processed again replace their own there."""
+    chunks = _l1(spark, d).select("doc_id", "chunk")
+    path = new_folder(spark, "chunks")
+    replace_documents(chunks.withColumn("version", F.lit("old")), path)
+    new = chunks.where("doc_id % 10 = 0").withColumn("version", F.lit("new"))
+    replace_documents(new, path)
+    return read_documents(spark, path, new.schema)
+
+
+def pack_context(sections: DataFrame, key: str, budget: int = 4000) -> DataFrame:
+    """key, sections, tokens, context: of each key the nearest sections, with header and footer, until one would pass the budget.
+
+    sections: key, distance, place (decides between equal distances), source, start_page, end_page, text. A section costs its characters divided by four. A
+    null distance comes last, null pages are called N/A. A key whose first section is over the budget has no row.
+    """
+    nearest = W.partitionBy(key).orderBy(F.asc_nulls_last("distance"), "place")
+    page = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    i = F.col("i").cast("string")
+    head = F.concat(F.lit("=== DOCUMENT SECTION "), i, F.lit(" ===\nSource: "), F.coalesce("source", F.lit("Document")), F.lit(" (Pages "), page("start_page"), F.lit("-"), page("end_page"), F.lit(")\n"))
+    whole = F.concat(head, F.coalesce("text", F.lit("")), F.lit("\n=== END SECTION "), i, F.lit(" ===\n\n"))
+    rows = sections.withColumn("i", F.row_number().over(nearest)).withColumn("section", whole).withColumn("t", token_count(F.col("section")))
+    rows = rows.withColumn("upto", F.sum("t").over(nearest.rowsBetween(W.unboundedPreceding, 0))).where(F.col("upto") <= budget)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "section"))), lambda x: x["section"]), "")  # within the budget
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("sections"), F.sum("t").alias("tokens"), text.alias("context"))
+
+
+@query(
+    "pack_context",
+    """WITH s AS (SELECT doc_id, chunk, window_index, ((chunk * 7 + window_index * 3) % 11) / 10.0 AS distance, start_page, end_page, text FROM l2_chunks),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, chunk, window_index) AS i FROM s),
+    w AS (SELECT doc_id, i, '=== DOCUMENT SECTION ' || i || ' ===' || chr(10) || 'Source: doc_' || doc_id || ' (Pages ' || start_page || '-' || end_page || ')' || chr(10) || text || chr(10) || '=== END SECTION ' || i || ' ===' || chr(10) || chr(10) AS section FROM n),
+    u AS (SELECT *, length(section) // 4 AS t, sum(length(section) // 4) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w)
+    SELECT doc_id, count(*) AS sections, sum(t)::BIGINT AS tokens, md5(string_agg(section, '' ORDER BY i)) AS context FROM u WHERE upto <= 4000 GROUP BY doc_id""",
+)
+def q_pack_context(spark, d):
+    """Windows of each document by a distance made from their numbers."""
+    far = (F.col("chunk") * 7 + F.col("window_index") * 3) % 11 / 10
+    place = F.struct("chunk", "window_index")
+    rows = chunk_l2(_l1(spark, d)).select("doc_id", far.alias("distance"), place.alias("place"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source"), "start_page", "end_page", "text")
+    return pack_context(rows, "doc_id").withColumn("context", F.md5("context"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.plans.registry import query
-from quire.sources.views import EVENTS_ASOF, email_jobs, files, table
+from quire.sources.views import EVENTS_ASOF, LINES_PER_PAGE, email_jobs, files, table
 
 ALLOWED = ("pdf", "docx", "doc", "txt")
 
@@ -106,18 +106,24 @@ def classify_file_type(spark, d):
     return files(spark, d).select("file_id", F.when((kind == "pdf") & (F.col("file_id") % 4 == 0), "unknown").otherwise(kind).alias("file_type"))
 
 
-_WORDS = "len(list_filter(string_split_regex(content, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))"
-_CLASS = f"(SELECT file_id, name, w, images, density, CASE WHEN w < 50 THEN CASE WHEN images > 0 THEN 'image_based' ELSE 'empty' END WHEN density < 0.005 AND images > 5 THEN 'image_based' ELSE 'text_based' END AS content_type FROM (SELECT file_id, name, {_WORDS} AS w, file_id % 8 AS images, least(1.0, length(content) / 5000.0) AS density FROM files))"
+#: Of the first five pages, of five lines each.
+_HEAD = "(SELECT *, array_to_string(string_split(content, chr(10))[:25], chr(10)) AS head, least(5, ceil(len(string_split(content, chr(10))) / 5))::BIGINT AS p FROM files)"
+_WORDS = "len(list_filter(string_split_regex(head, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> ''))"
+_CLASS = f"""(SELECT file_id, name, w, images, density, CASE WHEN w < 50 THEN CASE WHEN images > 0 THEN 'image_based' ELSE 'empty' END WHEN density < 0.005 AND images > p THEN 'image_based' ELSE 'text_based' END AS content_type
+    FROM (SELECT file_id, name, p, {_WORDS} AS w, file_id % 8 AS images, least(1.0, (length(head) - (p - 1)) / (p * 1000.0)) AS density FROM {_HEAD}))"""
 
 
-def classify_content(rows: DataFrame, pages: int = 5) -> DataFrame:
-    """Adds words, density, content_type and confidence; images counts pictures on the first pages."""
-    words = F.size(F.filter(F.split("content", r"[ \t\n\r\f\x0B]+"), lambda x: x != ""))
-    out = rows.withColumn("words", words).withColumn("density", F.least(F.lit(1.0), F.length("content") / (pages * 1000)))
-    few, sparse = F.col("words") < 50, (F.col("density") < 0.005) & (F.col("images") > pages)
+def classify_content(rows: DataFrame, pages: int = 5, lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
+    """Adds words, density, content_type and confidence, by the first pages only; images counts pictures on these pages."""
+    lines = F.split("content", "\n")
+    n = F.least(F.lit(pages), F.ceil(F.size(lines) / lines_per_page))
+    out = rows.withColumns({"__head": F.array_join(F.slice(lines, 1, pages * lines_per_page), "\n"), "__n": n})
+    words = F.size(F.filter(F.split("__head", r"[ \t\n\r\f\x0B]+"), lambda x: x != ""))
+    out = out.withColumn("words", words).withColumn("density", F.least(F.lit(1.0), (F.length("__head") - (F.col("__n") - 1)) / (F.col("__n") * 1000)))
+    few, sparse = F.col("words") < 50, (F.col("density") < 0.005) & (F.col("images") > F.col("__n"))
     kind = F.when(few & (F.col("images") > 0), "image_based").when(few, "empty").when(sparse, "image_based").otherwise("text_based")
     sure = F.when(few & (F.col("images") > 0), 0.9).when(few, 0.8).when(sparse, 0.7).otherwise(0.9)
-    return out.withColumn("content_type", kind).withColumn("confidence", sure)
+    return out.withColumn("content_type", kind).withColumn("confidence", sure).drop("__head", "__n")
 
 
 def _classified(spark, d):

@@ -39,11 +39,34 @@ def list_items(answer: Column) -> Column:
 
 
 def render_table(rows: Column, keys: list[str]) -> Column:
-    """rows: array of maps. Keys give the columns; a missing value is blank."""
+    """rows: array of maps. Keys give the columns; a missing value is blank. Without rows there is one that says so."""
     head = "<thead>\n      <tr>\n        " + "".join(f"<th>{k}</th>" for k in keys) + "\n      </tr>\n    </thead>"
     cell = lambda r, k: F.concat(F.lit("<td>"), escape_html(F.coalesce(F.try_element_at(r, F.lit(k)), F.lit(""))), F.lit("</td>"))
     body = F.transform(rows, lambda r: F.concat(F.lit("<tr>\n        "), *[cell(r, k) for k in keys], F.lit("\n      </tr>")))
-    return F.concat(F.lit(head + "\n    <tbody>\n      "), F.array_join(body, "\n      "), F.lit("\n    </tbody>"))
+    none = F.lit(f'<tr><td colspan="{len(keys)}">No data</td></tr>')
+    return F.concat(F.lit(head + "\n    <tbody>\n      "), F.when(F.size(rows) > 0, F.array_join(body, "\n      ")).otherwise(none), F.lit("\n    </tbody>"))
+
+
+def table_error(message: str) -> str:
+    return f"<thead><tr><th>Error</th></tr></thead><tbody><tr><td>{message}</td></tr></tbody>"
+
+
+def render_table_text(answer: Column, keys: list[str]) -> Column:
+    """A table answer that came as text: a JSON list of objects as render_table, else the error's form. What isn't an object in the list is passed over."""
+    if not keys:
+        return F.lit(table_error("Table columns not defined"))
+    listed, named = F.concat(F.lit("["), answer, F.lit("]")), F.concat(F.lit('{"a": '), answer, F.lit("}"))
+    # Spark's parsers pass over what follows a value; within a list and an object that is an error.
+    whole = F.try_parse_json(listed).isNotNull() & F.try_parse_json(named).isNotNull() & (F.size(F.from_json(listed, "array<string>")) == 1)
+    kind = F.schema_of_variant(F.try_parse_json(answer))
+    items = F.filter(F.from_json(answer, "array<string>"), lambda x: x.startswith("{"))
+    rows = F.transform(items, lambda x: F.from_json(x, "map<string,string>"))
+    return (
+        F.when(~F.coalesce(whole, F.lit(False)), table_error("Failed to parse table data"))
+        .when(~kind.startswith("ARRAY"), table_error("Invalid table data format"))
+        .when(F.size(F.from_json(answer, "array<string>")) == 0, table_error("No table data found"))
+        .otherwise(render_table(rows, keys))
+    )
 
 
 def placeholder_name(question: Column) -> Column:
@@ -133,11 +156,24 @@ def q_render_list(spark, d):
     return table(spark, d, "documents").select("doc_id", render_list(items).alias("html"))
 
 
-@query("render_table", f"""SELECT conv_id, '<thead>' || chr(10) || '      <tr>' || chr(10) || '        <th>role</th><th>text</th>' || chr(10) || '      </tr>' || chr(10) || '    </thead>' || chr(10) || '    <tbody>' || chr(10) || '      ' || string_agg('<tr>' || chr(10) || '        <td>' || role || '</td><td>' || {_ESC.format('text')} || '</td>' || chr(10) || '      </tr>', chr(10) || '      ' ORDER BY turn) || chr(10) || '    </tbody>' AS html FROM conversations GROUP BY 1""")
+_ERROR = "'<thead><tr><th>Error</th></tr></thead><tbody><tr><td>{}</td></tr></tbody>'"
+_HEAD = "'<thead>' || chr(10) || '      <tr>' || chr(10) || '        <th>role</th><th>text</th>' || chr(10) || '      </tr>' || chr(10) || '    </thead>' || chr(10) || '    <tbody>' || chr(10) || '      ' || "
+_ROW = f"'<tr>' || chr(10) || '        <td>' || role || '</td><td>' || {_ESC.format('text')} || '</td>' || chr(10) || '      </tr>'"
+
+
+@query(
+    "render_table",
+    f"""SELECT conv_id, CASE conv_id % 8 WHEN 1 THEN {_ERROR.format('Failed to parse table data')} WHEN 2 THEN {_ERROR.format('Invalid table data format')} WHEN 3 THEN {_ERROR.format('No table data found')}
+      WHEN 4 THEN {_HEAD} '<tr><td colspan="2">No data</td></tr>' || chr(10) || '    </tbody>'
+      ELSE {_HEAD} string_agg({_ROW}, chr(10) || '      ' ORDER BY turn) || chr(10) || '    </tbody>' END AS html FROM conversations GROUP BY conv_id""",
+)
 def q_render_table(spark, d):
+    """Turns of a conversation as a table answer in JSON; of eight conversations one is broken, one an object, one empty, and one a list of texts."""
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("r"))
-    maps = F.transform("r", lambda x: F.create_map(F.lit("role"), x["role"], F.lit("text"), x["text"]))
-    return rows.select("conv_id", render_table(maps, ["role", "text"]).alias("html"))
+    whole = F.to_json(F.transform("r", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
+    kind = F.col("conv_id") % 8
+    answer = F.when(kind == 1, F.concat(whole, F.lit(", and"))).when(kind == 2, '{"role": "user"}').when(kind == 3, "[]").when(kind == 4, '["user", 1]').otherwise(whole)
+    return rows.select("conv_id", render_table_text(answer, ["role", "text"]).alias("html"))
 
 
 _SAFE = f"replace({_ESC.format('text')}, chr(10), '<br>')"

@@ -80,7 +80,7 @@ def sanitized(templates: DataFrame, html: str = "html") -> DataFrame:
     # An end tag without its start doesn't count: the depth is the running sum over its least value so far.
     tokens = tokens.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
     tag = F.when(F.col("closing"), F.when(~F.col("name").isin(VOID), F.concat(F.lit("</"), "name", F.lit(">")))).otherwise(F.concat(F.lit("<"), "name", _attributes(F.col("t"), F.col("name")), F.lit(">")))
-    out = F.when(F.col("depth") > 0, "").when(F.col("name").isin(TAGS), tag).when((F.col("name") != "") | F.col("t").rlike("^<[!?]"), "").otherwise(_plain(F.col("t")))
+    out = F.when(F.col("depth") > 0, "").when(F.col("name").isin(TAGS) & F.col("t").endswith(">"), tag).when((F.col("name") != "") | F.col("t").rlike("^<[!?]"), "").otherwise(_plain(F.col("t")))
     whole = tokens.select(n, "i", F.coalesce(out, F.lit("")).alias("o")).groupBy(n).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "o"))), lambda x: x["o"]), "").alias("__html"))
     clean = F.trim(F.replace(F.coalesce("__html", F.lit("")), F.lit(_MARK), F.lit(PAGE_BREAK)))
     both = rows.join(whole.hint("merge"), n, "left")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.operators import answers, fold, metrics, processors, quote_search, quotes, tenancy, usage, vectors
+from quire.operators import answers, chunk, fold, metrics, processors, quote_search, quotes, report, tenancy, usage, vectors
 from quire.plans.registry import queries
 from quire.sources.views import doc_lines, table
 from quire.streaming import queries as streams
@@ -450,6 +450,65 @@ def test_covering_segments():
         assert [*first, *rest] == want and state == last
 
 
+def test_table_answers_as_text(spark):
+    cases = [('[{"a": "x<", "b": null}, 3, "t", {"b": "2"}]', "x&lt;"), ("[]", "No table data found"), ('{"a": 1}', "Invalid table data format"), ("3", "Invalid table data format"), ('[{"a": 1}] and more', "Failed"), ('[1],[2]', "Failed"), ('[1]],[[2]', "Failed"), ("1} {", "Failed"), ('1, "b": 2', "Failed"), ("", "Failed"), (None, "Failed"), ('["t"]', "No data")]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string")
+    got = [r.h for r in df.select("i", report.render_table_text(F.col("a"), ["a", "b"]).alias("h")).orderBy("i").collect()]
+    for html, (answer, part) in zip(got, cases, strict=True):
+        assert part in html, answer
+    assert got[0].count("<tr>") == 3 and "<td></td><td>2</td>" in got[0] and 'colspan="2"' in got[-1]
+    assert "Table columns not defined" in spark.range(1).select(report.render_table_text(F.lit("[]"), []).alias("h")).first().h
+
+
+def test_context_by_distance(spark):
+    """Ascending distance, null last; numbered headers and footers; it ends before the first section that is too large, even if a later one would fit."""
+    rows = [(1, 0.5, 1, None, 1, 2, "far"), (1, 0.1, 2, "f.pdf", None, None, "near"), (1, None, 0, "f.pdf", 3, 3, "last"), (2, 0.1, 1, "g", 1, 1, "x" * 20_000), (2, 0.2, 2, "g", 1, 1, "small")]
+    df = spark.createDataFrame(rows, "doc_id long, distance double, place int, source string, start_page int, end_page int, text string")
+    got = {r.doc_id: (r.sections, r.context) for r in chunk.pack_context(df, "doc_id").collect()}
+    section = "=== DOCUMENT SECTION {0} ===\nSource: {1} (Pages {2})\n{3}\n=== END SECTION {0} ===\n\n".format
+    assert got == {1: (3, section(1, "f.pdf", "N/A-N/A", "near") + section(2, "Document", "1-2", "far") + section(3, "f.pdf", "3-3", "last"))}
+
+
+def test_replaced_documents(spark, tmp_path):
+    """Other documents stay, buckets without a changed document keep their files, and a second run changes nothing."""
+    path = str(tmp_path / "table")
+    old = spark.range(300).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("chunk"), F.lit("old").alias("version"))
+    chunk.replace_documents(old, path)
+    new = old.where("doc_id in (7, 8) and chunk = 1").withColumn("version", F.lit("new")).unionByName(old.where("doc_id < 1").withColumn("doc_id", F.lit(999).cast("long")))
+    names = lambda: {os.path.join(a, f) for a, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    first = names()
+    want = old.where("doc_id not in (7, 8)").unionByName(new)
+    for _ in range(2):
+        chunk.replace_documents(new, path)
+        got = chunk.read_documents(spark, path, old.schema)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert len(first & names()) >= len(first) - 3
+    chunk.replace_documents(new.where("doc_id < 0"), path)  # nothing to replace
+    assert chunk.read_documents(spark, path, old.schema).count() == want.count()
+
+
+def test_sections_of_very_many_pages(spark):
+    """One document of 30,000 pages in one pass; sections are those of a plain loop."""
+    pages = spark.range(30_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("page_no"), F.repeat(F.lit("abcd"), (F.col("id") * 37 % 900).cast("int")).alias("markdown"), F.array(F.when(F.col("id") % 3 == 0, "a,").otherwise("a.")).alias("lines"))
+    began = time.time()
+    got = [(r.chunk, r.start_page, r.end_page, r.token_count) for r in chunk.chunk_l1(pages).select("chunk", "start_page", "end_page", "token_count").orderBy("chunk").collect()]
+    assert time.time() - began < 60
+    want, own, n = [], [], 0
+    for i in range(30_000):
+        size = i * 37 % 900
+        if own and n + size > 2000:
+            want.append((len(want), own[0], own[-1], n))
+            own, n = [], 0
+        own.append(i)
+        n += size
+        if n >= 1200 and i % 3:
+            want.append((len(want), own[0], own[-1], n))
+            own, n = [], 0
+    if own:
+        want.append((len(want), own[0], own[-1], n))
+    assert got == want
+
+
 def test_who_sees_an_agent(spark):
     visible = spark.createDataFrame([(1, "everyone", None), (2, "user", 7), (2, "organisation", 3), (3, "user", 8), (3, "organisation", 4), (4, "user", 7)], "agent_id long, audience string, audience_id long")
     member = spark.createDataFrame([(3, 7), (4, 9)], "org_id long, user_id long")
