@@ -4,7 +4,8 @@ Hashes are cut into slices by their leading bits, so that the filter of a slice
 whatever the number of rows. Pass one counts, for each row's two slots, how many rows set the slot (summed
 within tasks first), and keeps the slots set twice or more as a bitmap in blocks of 32,768 bits. Pass two
 broadcasts the blocks and tests each row's slots. Rows of which a slot was set once are surely unique and
-pass straight through; of the others, only the hash and the id shuffle, never a text.
+pass straight through; of the others, only the hash and the id shuffle, never a text. Slices are done one after the
+other, each written before the next one's filter is made.
 
 Hashes are written sorted within each task, so a slice reads its own pages of the written files.
 """
@@ -73,8 +74,9 @@ def _both(docs: DataFrame, max_filter_mb: float) -> tuple[DataFrame, DataFrame]:
     for i in range(n_slices):
         low, high = ((k << HASH_BITS) // n_slices for k in (i, i + 1))
         own = keys if n_slices == 1 else keys.where((F.col("h") >= low) & (F.col("h") < high))
-        marked.append(with_maybe(own, bloom(own, n_bits, 2), n_bits))
-    marked = reduce(DataFrame.unionAll, marked).drop("h")
+        # Written before the next slice begins, so that one slice's filter is in memory at a time.
+        marked.append(staged(with_maybe(own, bloom(own, n_bits, 2), n_bits).drop("h"), "slice"))
+    marked = reduce(DataFrame.unionAll, marked)
     return marked.where(~F.col("maybe")).drop("maybe"), staged(marked.where("maybe").drop("maybe"), "maybe-repeated")
 
 

@@ -53,6 +53,8 @@ def test_exact_dedup_in_slices(spark):
     once, more = exact_dedup._both(docs, 0)
     alone = sum(len(ids) == 1 for ids in groups.values())
     assert once.count() >= 0.9 * alone and once.count() + more.count() == 9000
+    plan = once.unionByName(more)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan  # each slice's filter was broadcast for its own job
 
 
 def luhn(s):
