@@ -57,30 +57,32 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last + 1, score) of a sequence, in linear time.
 
-    A segment that no held one starts lower than makes all held ones final: they leave the list that is searched.
+    A segment that no held one starts lower than makes all held ones final: they leave the list that is searched. Each held segment
+    links to the last one before it that starts lower, so that a search passes over those between for good.
     """
     out: list[tuple[int, int, float]] = []
-    held: list[tuple[int, int, float, float]] = []  # first, last + 1, sum before, sum at its end
+    held: list[tuple[int, int, float, float, int]] = []  # first, last + 1, sum before, sum at its end, link
     total = 0.0
     for i, s in enumerate(scores.tolist()):
         before, total = total, total + s
         if s <= 0:
             continue
-        new = (i, i + 1, before, total)
+        new, j = (i, i + 1, before, total), -1
         while held:
             j = len(held) - 1
             while j >= 0 and held[j][2] >= new[2]:
-                j -= 1
+                j = held[j][4]
             if j < 0:
-                out += [(a, b, r - x) for a, b, x, r in held]
+                out += [(a, b, r - x) for a, b, x, r, _ in held]
                 held = []
                 break
             if held[j][3] >= new[3]:
                 break
             new = (held[j][0], new[1], held[j][2], new[3])
             del held[j:]
-        held.append(new)
-    return out + [(a, b, r - x) for a, b, x, r in held]
+            j = -1
+        held.append((*new, j))
+    return out + [(a, b, r - x) for a, b, x, r, _ in held]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:

@@ -379,6 +379,40 @@ def test_segments_are_linear():
         began = time.perf_counter()
         toxicity.segments(s)
         assert time.perf_counter() - began < 0.5
+    descending = np.array([1e6] + [1.0, -2.0] * 16_000)  # one high lead, and then ever lower ones
+    sinking = np.concatenate([[3.0 * 2000], np.tile([2.0, *[-0.2] * 12], 8000)])
+    for s in (descending, sinking):
+        began = time.perf_counter()
+        toxicity.segments(s)
+        assert time.perf_counter() - began < 1.0
+
+
+def test_links_change_no_segment():
+    """Against the definition's own search, one held segment after the other."""
+
+    def plain(scores):
+        out, held, total = [], [], 0.0
+        for i, s in enumerate(scores.tolist()):
+            before, total = total, total + s
+            if s <= 0:
+                continue
+            new = (i, i + 1, before, total)
+            while held:
+                j = len(held) - 1
+                while j >= 0 and held[j][2] >= new[2]:
+                    j -= 1
+                if j < 0 or held[j][3] >= new[3]:
+                    break
+                new = (held[j][0], new[1], held[j][2], new[3])
+                del held[j:]
+            held.append(new)
+        return [(a, b, r - x) for a, b, x, r in held]
+
+    rng = np.random.default_rng(11)
+    for n in (1, 5, 60, 900):
+        for _ in range(60):
+            s = rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.5], n) if n % 2 else rng.normal(-0.1, 1, n)
+            assert sorted(toxicity.segments(s)) == plain(s)
 
 
 def test_document_e():
