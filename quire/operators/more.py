@@ -136,14 +136,28 @@ def scan_pdf_content(spark, d):
     return table(spark, d, "pages").select("page_id", body.startswith("%PDF-").alias("header"), F.right(body, F.lit(1024)).contains("%%EOF").alias("end_mark"), F.array_join(keys, ",").alias("dangerous"))
 
 
-@query("ocr_pages", f"""SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY line_index) AS markdown, greatest(1, length(string_agg(line, chr(10) ORDER BY line_index)) // 4) AS token_count
+def page_records(words: DataFrame) -> DataFrame:
+    """doc_id, page_no, lines, markdown, token_count, paragraphs of pages from rows of word_boxes.
+
+    A line's words are joined by blanks; lines without text are left out. A page with lines is one paragraph: its first and last line (from 0), text,
+    kind and tokens. A page counts one token at least.
+    """
+    lines = words.groupBy("doc_id", "page_no", "line_index").agg(F.sort_array(F.collect_list(F.struct("word_index", "text"))).alias("w"))
+    lines = lines.withColumn("line", F.trim(F.array_join(F.transform("w", lambda x: F.coalesce(x["text"], F.lit(""))), " ")))
+    own = F.sort_array(F.collect_list(F.when(F.col("line") != "", F.struct("line_index", "line"))))
+    pages = lines.groupBy("doc_id", "page_no").agg(F.transform(own, lambda x: x["line"]).alias("lines"))
+    pages = pages.withColumn("markdown", F.array_join("lines", "\n"))
+    pages = pages.withColumn("token_count", F.greatest(F.lit(1), F.floor(F.length("markdown") / 4)).cast("long"))
+    one = F.struct(F.lit(0).alias("start_line"), (F.size("lines") - 1).alias("end_line"), F.col("markdown").alias("content"), F.lit("paragraph").alias("type"), F.col("token_count"))
+    return pages.withColumn("paragraphs", F.filter(F.array(one), lambda x: x["end_line"] >= 0))
+
+
+@query("ocr_pages", f"""SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY line_index) AS markdown, greatest(1, length(string_agg(line, chr(10) ORDER BY line_index)) // 4) AS token_count, 0 AS start_line, count(*)::INTEGER - 1 AS end_line
     FROM (SELECT doc_id, page_no, line_index, string_agg(text, ' ' ORDER BY word_index) AS line FROM {_BOXES} GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def ocr_pages(spark, d):
-    """Words to page records: lines in order, their text and its tokens."""
-    words = word_boxes(doc_lines(spark, d))
-    lines = words.groupBy("doc_id", "page_no", "line_index").agg(F.sort_array(F.collect_list(F.struct("word_index", "text"))).alias("w")).withColumn("line", F.array_join(F.transform("w", lambda x: x["text"]), " "))
-    pages = lines.groupBy("doc_id", "page_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_index", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
-    return pages.withColumn("token_count", F.greatest(F.lit(1), F.floor(F.length("markdown") / 4)).cast("long"))
+    """Words to page records, with the lines of their paragraph."""
+    pages = page_records(word_boxes(doc_lines(spark, d)))
+    return pages.select("doc_id", "page_no", "markdown", "token_count", F.explode("paragraphs").alias("p")).select("doc_id", "page_no", "markdown", "token_count", "p.start_line", "p.end_line")
 
 
 @query("group_rows_by_y", """WITH RECURSIVE s AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i FROM events),
