@@ -1,10 +1,11 @@
 """Exact dedup, personal data and mixing: edge cases and brute force."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,16 +87,21 @@ def test_personal_data(spark, docs, rows, empty):
 
 
 BLANK = " \t\n\x0b\x0c\r"
-MARK = lambda c: unicodedata.category(c)[0] in "PS" and c not in "#@_$"
+MARK = lambda c: unicodedata.category(c)[0] in "PS" and c not in "@_$"
 
 
-def brute_spans(texts, rounds=10, support=3, confidence=0.7):
+def brute_spans(texts, support=3, confidence=0.7, share=0.1, contexts=0.5):
     """Added spans of each text, by plain loops."""
-    instances = []
+    norm = lambda w: re.sub("[0-9]", "0", w.lower())
+    instances, seen = [], Counter()
     for row, text in enumerate(texts):
-        base = [(m.start(), m.end()) for _, p, ok in BASE for m in re.finditer(p, text) if ok(m.group())]
+        found = [(m.start(), m.end(), ok(m.group()), k, m.group()) for k, p, ok in BASE for m in re.finditer(p, text)]
+        base = [x[:2] for x in found if x[2]]
+        failed = [x[:2] for x in found if not x[2] and (x[3] != "card" or 12 <= len(re.sub("[^0-9]", "", x[4])) <= 19)]
         words = [(m.start(), m.group()) for m in re.finditer(rf"[^{BLANK}]+", text)]
-        norm = lambda w: re.sub("[0-9]", "0", w.lower())
+        low = [norm(w) for _, w in words]
+        seen.update(("", w) for w in low)
+        seen.update(zip(low, low[1:], strict=False))
         for i, (at, w) in enumerate(words):
             labelled = i and words[i - 1][1][-1] in "=:" and at == words[i - 1][0] + len(words[i - 1][1]) + 1
             if not re.search("[0-9]", w) and not labelled:
@@ -109,29 +115,43 @@ def brute_spans(texts, rounds=10, support=3, confidence=0.7):
             while tail and MARK(w[tail - 1]):
                 tail -= 1
             core = w[head : max(tail, head + 1)]
-            seed = any(a < at + len(w) and b > at for a, b in base)
+            is_base, is_failed = (any(a < at + len(w) and b > at for a, b in spans) for spans in (base, failed))
             key = bool(re.fullmatch(r"[0-9A-Za-z+/_=-]{20,}", core)) and len(re.findall("[0-9]", core)) >= 6 and len(re.findall("[A-Za-z]", core)) >= 4
-            p = [f"left {norm(words[i - 1][1])}"] if i else []
-            p += [f"left2 {norm(words[i - 2][1])} {norm(words[i - 1][1])}"] if i > 1 else []
-            p += [f"right {norm(words[i + 1][1])}"] if i + 1 < len(words) else []
-            p += [f"label {label}"] if label else []
-            instances.append((row, at + head, at + head + len(core), core.lower(), seed, seed or key, p))
-    edges = defaultdict(dict)
-    for *_, value, _, seed, patterns in instances:
+            seed = is_base or key
+            bad = not seed and (is_failed or bool(re.fullmatch(r"\$?[0-9]{1,4}([.,][0-9]+)?", core)))
+            p = [("left", "", low[i - 1])] if i else []
+            p += [("left2", low[i - 2], low[i - 1])] if i > 1 else []
+            p += [("right", "", low[i + 1])] if i + 1 < len(words) else []
+            p += [("label", "", label)] if label else []
+            instances.append((row, at + head, at + head + len(core), core.lower(), is_base, seed, bad, p))
+    edges, n, spoken = defaultdict(dict), Counter(), Counter(x[3] for x in instances if not re.search("[0-9]", x[3]))
+    for *_, value, _, seed, bad, patterns in instances:
         for p in patterns:
-            edges[p][value] = max(edges[p].get(value, 0), int(seed))
+            old = edges[p].get(value, (False, False))
+            edges[p][value] = (old[0] or seed, old[1] or bad)
+            n[p] += not bad
+    edges = {p: own for p, own in edges.items() if sum(seed or not bad for seed, bad in own.values()) >= support}
+    elsewhere = {w for w, k in spoken.items() if seen["", w] > 2 * k and any(w in own for own in edges.values())}
+    edges = {p: own for p, own in edges.items() if p[0] == "label" or n[p] >= contexts * seen[p[1:]]}
+    edges = {p: {v: (seed, not seed and (bad or v in elsewhere)) for v, (seed, bad) in own.items()} for p, own in edges.items()}
     score, good = {}, None
-    for _ in range(rounds):
-        s = {p: [max(float(seed), score.get(v, 0.0)) for v, seed in own.items()] for p, own in edges.items() if len(own) >= support}
-        now = {p: sum(x) / (len(x) + 1) for p, x in s.items() if sum(x) / (len(x) + 1) >= confidence and sum(y >= confidence for y in x) >= support}
-        if good is not None and set(now) == set(good):
-            good = now
+    while True:
+        now = {}
+        for p, own in edges.items():
+            s = [0.0 if bad else max(float(seed), score.get(v, 0.0)) for v, (seed, bad) in own.items()]
+            high = sum(x >= confidence for x in s)
+            q = math.floor(round(1000 * sum(s) / (sum(s) + sum(bad for _, bad in own.values()) + 1), 6)) / 1000
+            if high >= support and high >= share * len(own) and q >= confidence:
+                now[p] = q
+        if now == good:
             break
         good, score = now, {}
-        for p, x in good.items():
-            for v in edges[p]:
-                score[v] = max(score.get(v, 0), x)
-    return {(row, a, b) for row, a, b, _, base, _, p in instances if not base and set(p) & set(good)}, good
+        for p, q in good.items():
+            for v, (_, bad) in edges[p].items():
+                if not bad:
+                    score[v] = max(score.get(v, 0), q)
+    added = {(row, a, b) for row, a, b, v, base, _, bad, p in instances if not base and not bad and v not in elsewhere and set(p) & set(good)}
+    return added, {" ".join(filter(None, p)) for p in good}
 
 
 def test_patterns_discover_identifiers(spark):
@@ -151,6 +171,26 @@ def test_patterns_discover_identifiers(spark):
     assert {r.doc_id: r.spans for r in far.collect()} == {i: r.spans for i, r in got.items()}
 
 
+def test_few_seeds_find_names_and_stop_words_find_nothing(spark):
+    """Identifiers without digits, 30 seeds among 230; numbers after stop words, failed cards and words of prose aren't added."""
+    rng = random.Random(5)
+    name = lambda: "user" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    names = sorted({name() for _ in range(200)})
+    texts = [f"{prose(rng, 12)} login: {x} {prose(rng, 9)}" for x in [*names, *[f"{n}@example.com" for n in names[:30]]]]
+    planted = range(len(names))
+    texts += [f"{prose(rng, 6)} the {rng.randrange(10**5, 10**7)} {prose(rng, 6)}" for _ in range(60)]
+    texts += [f"the 4111 1111 1111 111{i} of" for i in (2, 3, 4, 5, 6, 7)] + [f"paid the {x}@example.org" for x in names[:40]]
+    texts += [f"login: {w} it" for w in ("the", "with", "after", "there")] + [f'token = "{rng.randrange(16**40):040x}"###' for _ in range(9)] + ['token = "s3cret"###']
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want, good = brute_spans(texts)
+    got = {r.doc_id: r for r in pii.personal_data(frame).collect()}
+    added = {(i, *map(int, x.split(":")[1:])) for i, r in got.items() for x in r.spans.split(",") if x.startswith("id:")}
+    assert added == want and "left the" not in good
+    found = {texts[i][a:b] for i, a, b in added}
+    assert set(names) <= found and all(x in names or re.fullmatch("[0-9a-f]{40}|s3cret", x) for x in found)
+    assert all(got[i].n_id == 1 for i in planted)
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
