@@ -60,6 +60,22 @@ def _names(sets: list[np.ndarray]) -> np.ndarray:
     return mix64(total + np.fromiter(map(len, sets), np.uint64, len(sets))).view(np.int64)
 
 
+def _packed(part: np.ndarray) -> bytes:
+    """The counts of a chunk; where few are not 0, the places of those as 16 bits each and then their counts."""
+    at = np.flatnonzero(part)
+    if 6 * len(at) >= 4 * len(part):
+        return part.astype("<u4").tobytes()
+    return at.astype("<u2").tobytes() + part[at].astype("<u4").tobytes()
+
+
+def _add_packed(raw: bytes | memoryview, sums: np.ndarray) -> None:
+    if len(raw) == 4 * len(sums):
+        sums += np.frombuffer(raw, "<u4")
+    else:
+        n = len(raw) // 6
+        sums[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u4", n, 2 * n)
+
+
 def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     """Rows of two kinds: per text its class (node) and set size; per task and chunk its counts of shingles."""
 
@@ -88,7 +104,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
             part = sketch[c * step : (c + 1) * step]
             if part.any():
                 no = pa.nulls(1, pa.int64())
-                yield _first(no, no, no, no, pa.array([c], pa.int32()), pa.array([part.astype("<u4").tobytes()]))
+                yield _first(no, no, no, no, pa.array([c], pa.int32()), pa.array([_packed(part)]))
 
     def _first(*columns: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(columns), names=["doc_id", "hash", "n_shingles", "node", "chunk", "counts"])
@@ -104,8 +120,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for c, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), "<u4")
-                sums[c] = sums[c] + part if c in sums else part.astype(np.uint64)
+                _add_packed(raw.as_py(), sums.setdefault(c, np.zeros(1 << CHUNK_BITS, np.uint64)))
         for c, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(total, U(0xFFFFFFFF)).astype("<u4").tobytes()])], names=["chunk", "counts"])
 

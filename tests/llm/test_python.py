@@ -534,3 +534,14 @@ def test_scratch_removes_its_folders(spark):
         assert df.count() == 5 and not os.path.exists(gone.removeprefix("file:")) and os.path.exists(df.folder.removeprefix("file:"))
     assert not os.path.exists(df.folder.removeprefix("file:"))
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+@pytest.mark.parametrize("filled", [0.0, 0.001, 0.3, 0.66, 0.67, 0.9, 1.0])
+def test_packed_counts(filled):
+    rng = np.random.default_rng(int(filled * 1000))
+    part = np.where(rng.random(1 << ngram_join.CHUNK_BITS) < filled, rng.integers(1, 1 << 32, 1 << ngram_join.CHUNK_BITS), 0).astype(np.uint32)
+    sums = np.full(len(part), 5, np.uint64)
+    raw = ngram_join._packed(part)
+    assert len(raw) <= 4 * len(part)
+    ngram_join._add_packed(raw, sums)
+    assert (sums == part.astype(np.uint64) + 5).all()
