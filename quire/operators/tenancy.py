@@ -63,7 +63,8 @@ def session_state(spark, d, asof: str = ORDERS_ASOF):
     requests = email_jobs(spark, d).select(F.col("job_id").alias("request_id"), (F.col("user_id") * 2).alias("session_id"))
     known = logins(spark, d).withColumn("known", F.lit(True))
     access = active_access(users(spark, d), members(spark, d), orgs(spark, d)).select("user_id", "allowed")
-    rows = requests.join(known, "session_id", "left").join(access, "user_id", "left")
+    # Sessions meet their users' access first: requests without a session would all meet it under null, in one task.
+    rows = requests.join(known.join(access, "user_id", "left").drop("user_id"), "session_id", "left")
     state = F.when(F.col("known").isNull(), "unknown").when(F.col("revoked_at").isNotNull(), "revoked").when(F.col("expires_at") <= F.to_date(F.lit(asof)), "expired").when(~F.col("allowed"), "access_blocked").otherwise("active")
     return rows.select("request_id", state.alias("state"))
 
