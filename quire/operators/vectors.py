@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quire.plans.registry import query
-from quire.session import staged
+from quire.session import small_batches, staged
 from quire.sources.views import table
 
 MOST = 100  # hits of a query
 SAMPLE = 20_000  # vectors that cells are learnt from, at most about
 CELLS = 1024  # at most: their centres go to all tasks
 ROWS = 1024  # of a block
-PACK = 512  # queries that meet a block at once, at most
+PACK = 512  # queries that meet a block at once, and rows that meet all centres, at most
+BYTES = 4 << 20  # of queries in a batch, at most
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -67,8 +68,8 @@ class VectorIndex:
         c = self.centres
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
+            for whole in batches:
+                for b in (whole.slice(i, PACK) for i in range(0, whole.num_rows, PACK)):
                     d = _squares(_matrix(b.column(1)), c)
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1), pa.int32()), pa.array(np.sqrt(d.min(1)))], names=["vec_id", "embedding", "document_id", "cell", "away"])
 
@@ -101,7 +102,9 @@ class VectorIndex:
 
         placed = rows.mapInArrow(assign, "vec_id long, embedding array<double>, document_id long, cell int, away double") if len(c) else rows.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("away"))
         order = ["cell", "away", "vec_id"]
-        ranged = staged(placed, "placed").repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        with small_batches(self.spark):
+            placed = staged(placed, "placed")
+        ranged = placed.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
         self.blocks = staged(ranged.mapInArrow(pack, "cell int, least double, most double, ids array<bigint>, documents array<bigint>, matrix binary"), "blocks")
         found = self.blocks.groupBy("cell").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum(F.size("ids")).alias("n")).collect()  # CELLS rows at most
         k = max(len(c), 1)
@@ -130,9 +133,12 @@ class VectorIndex:
                     reads &= size > 0
                     ids = b.column(0).to_numpy()
                     cells = np.flatnonzero(reads.any(0))
-                    lists = [np.flatnonzero(reads[:, j]) for j in cells]
-                    columns = [pa.array(cells, pa.int32()), pa.array([ids[x] for x in lists], pa.list_(pa.int64())), pa.array([reach[x] for x in lists], pa.list_(pa.float64())), pa.array([q[x].astype("<f8").tobytes() for x in lists], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "query_ids", "reach", "queries"])
+                    some = max(1, BYTES // max(q.nbytes, 1))  # cells of a batch: each holds a copy of its queries
+                    for i in range(0, len(cells), some):
+                        own = cells[i : i + some]
+                        lists = [np.flatnonzero(reads[:, j]) for j in own]
+                        columns = [pa.array(own, pa.int32()), pa.array([ids[x] for x in lists], pa.list_(pa.int64())), pa.array([reach[x] for x in lists], pa.list_(pa.float64())), pa.array([q[x].astype("<f8").tobytes() for x in lists], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["cell", "query_ids", "reach", "queries"])
 
         return queries.mapInArrow(run, "cell int, query_ids array<bigint>, reach array<double>, queries binary")
 
@@ -142,8 +148,8 @@ class VectorIndex:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out: list[list] = [[], [], []]
                 for i in range(b.num_rows):
+                    out: list[list] = [[], [], []]
                     ids, asked, reach = (b.column(j)[i].values.to_numpy(zero_copy_only=False) for j in (0, 3, 4))
                     x = np.frombuffer(b.column(2)[i].as_py(), "<f8").reshape(len(ids), -1)
                     q = np.frombuffer(b.column(5)[i].as_py(), "<f8").reshape(len(asked), -1)
@@ -156,7 +162,7 @@ class VectorIndex:
                         near = near[np.lexsort((ids[near], row[near]))[:k]]
                         for column, v in zip(out, ([query_id] * len(near), ids[near], row[near]), strict=True):
                             column.extend(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "distance"])
 
         both = probes.join(self.blocks.hint("merge"), "cell").select("ids", "documents", "matrix", "query_ids", "reach", "queries")
         found = both.mapInArrow(run, "query_id long, vec_id long, distance double")
@@ -175,9 +181,11 @@ class VectorIndex:
             return queries.where(F.lit(False)).select("query_id", *none)
         asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(float("inf")).alias("reach"))
         first = self._read(self._probes(asked, k, None), k, document_ids).where(F.col("rank") == k)
-        first = staged(first.select("query_id", F.col("distance").alias("known")), "reach")
+        with small_batches(self.spark):  # a row of a block or probe has up to a megabyte
+            first = staged(first.select("query_id", F.col("distance").alias("known")), "reach")
         asked = asked.join(first.hint("merge"), "query_id", "left").select("query_id", "embedding", F.coalesce("known", "reach").alias("reach"))
-        return self._read(self._probes(asked, k, share), k, document_ids)
+        with small_batches(self.spark):
+            return staged(self._read(self._probes(asked, k, share), k, document_ids), "nearest")  # k rows a query
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, document_ids: list | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 """What queries shuffle and hold: figures that must not grow with a document's words, copies or neighbours."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import quotes
+from quire.operators import quotes, vectors
 from quire.plans.registry import queries
 from quire.sources.views import table
 
@@ -52,3 +53,21 @@ def test_requests_without_session(spark):
     finally:
         spark.conf.set(key, before)
     assert n <= rows < 2 * n
+
+
+def test_probes_come_in_small_batches(spark):
+    """Queries that read many cells: a batch of probes holds few copies of them, whatever the number of cells."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=64)], i) for i in range(6000)]
+    index = vectors.VectorIndex(spark.createDataFrame(rows, "vec_id long, embedding array<float>, document_id long"))
+    asked = spark.createDataFrame([(i, rows[i][1], 1e9) for i in range(600)], "query_id long, embedding array<double>, reach double").coalesce(1)
+    sizes, run = [], []
+
+    class Caught:
+        def mapInArrow(self, f, schema):
+            run.append(f)
+
+    index._probes(Caught(), 10, 1.0)
+    for b in run[0](iter(asked.toArrow().combine_chunks().to_batches())):
+        sizes.append(b.nbytes)
+    assert len(index.centres) > 50 and max(sizes) < 3 * vectors.BYTES
