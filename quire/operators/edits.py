@@ -99,6 +99,9 @@ def _together(codes: np.ndarray, p: np.ndarray, m: np.ndarray, t: np.ndarray, n:
 
 
 def _table(pattern: list[int]) -> dict[int, int]:
+    if len(pattern) > 2000:  # each shift would be as long as the pattern
+        own = np.array(pattern)
+        return {int(c): int.from_bytes(np.packbits(own == c, bitorder="little").tobytes(), "little") for c in np.unique(own)}
     table: dict[int, int] = {}
     for j, c in enumerate(pattern):
         table[c] = table.get(c, 0) | 1 << j

@@ -5,7 +5,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quire.operators import edits, quote_search
+from quire.plans.registry import queries
 
 
 def columns(a, b, free=False):
@@ -46,3 +49,12 @@ def test_few_windows_are_measured(monkeypatch):
     best = quote_search.Pairs(pairs).best()
     assert all(r > 0.9 and p[s : s + 20].replace("eta", "xta")[:17] == x[:17] for (r, s), (p, x) in zip(best, pairs, strict=True))
     assert sum(measured) < 15 * len(pairs)
+
+
+def test_lines_are_not_compared_one_by_one(spark):
+    """Neighbouring lines go to the numpy kernel, in the order of their lengths, and keep their rows; texts that are missing or empty count."""
+    plan = queries()["levenshtein_ratio"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "levenshtein(" not in plan and "ArrowEvalPython" in plan
+    rows = [("kitten", "sitting", 3), ("", "abc", 3), ("", "", 0), ("same", "same", 0), (None, "a", None)]
+    got = spark.createDataFrame(rows, "a string, b string, n int").withColumn("d", edits.edit_distance(F.col("a"), F.col("b"))).collect()
+    assert [r.d for r in got] == [r.n for r in got]
