@@ -11,7 +11,7 @@ from quire.operators.usage import DEFAULT_PRICE, HOURLY_BUCKET, PRICES
 from quire.plans.registry import query
 from quire.session import new_folder
 from quire.sources.views import endpoints, table
-from quire.streaming.state import HourlyCredits, LastSeen, MonthlyUse
+from quire.streaming.state import HourlyCredits, LastSeen, MonthlyUse, TrailingCalls
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,8 +65,11 @@ def stream_usage(spark, d):
 @query("stream_rate_limit")
 def stream_rate_limit(spark, d):
     """Calls of the trailing 24 hours, hour by hour."""
-    rows = events(spark, d).withWatermark("ts", "1 hour").groupBy(F.window("ts", "24 hours", "1 hour"), "user_id").agg(F.count_if(F.col("event_type") != "error").alias("n"))
-    return drained(rows.select(F.col("window.end").alias("until"), "user_id", "n", (F.col("n") < 20).alias("allowed")), "stream-rate")
+    rows = events(spark, d).where("ts is not null").withColumn("last", F.col("ts") + F.expr("INTERVAL 24 HOURS"))
+    rows = rows.withWatermark("last", "25 hours")  # an hour behind the latest event; a row is late when its last window has ended
+    rows = rows.select("user_id", "last", F.unix_micros("ts").alias("us"), F.coalesce(F.col("event_type") != "error", F.lit(False)).alias("counts"))
+    out = keyed(rows, TrailingCalls(24), "user_id long, until long, n long", "EventTime")
+    return drained(out.select(F.timestamp_micros("until").alias("until"), "user_id", "n", (F.col("n") < 20).alias("allowed")), "stream-rate")
 
 
 @query("stream_dedup")

@@ -71,6 +71,67 @@ class HourlyCredits(StatefulProcessor):
         pass
 
 
+class TrailingCalls(StatefulProcessor):
+    """Calls of a user in each trailing `width` hours that hold one, hour by hour: user_id, until (microseconds), n (those that count).
+
+    The state holds a number for each hour with a call instead of one for each window, `width` of which hold a call. A window is put out
+    when the watermark has passed its end, and once only; a row counts for those that are still to come.
+    """
+
+    def __init__(self, width: int = 24):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hours = handle.getValueState("hours", "done long, hour binary, n binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        done, hour, n = self._state(timerValues)
+        due = self._due(done, hour)
+        for pdf in rows:
+            hour, at = np.unique(np.concatenate([hour, pdf["us"].to_numpy(np.int64) // HOUR]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, pdf["counts"].to_numpy(np.int64)])).astype(np.int64)  # whole numbers under 2^53
+        self._keep(done, hour, n, due)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done, hour, n = self._state(timerValues)
+        now = max(done, timerValues.getCurrentWatermarkInMs() * 1000 // HOUR)
+        until = np.unique(np.concatenate([own[(own > done) & (own <= now)] for own in (hour + k for k in range(1, self.width + 1))]))
+        total = np.concatenate([[0], np.cumsum(n)])
+        calls = total[np.searchsorted(hour, until)] - total[np.searchsorted(hour, until - self.width)]
+        left = hour > now - self.width
+        self._keep(now, hour[left], n[left], None)
+        yield pd.DataFrame({"user_id": key[0], "until": until * HOUR, "n": calls})
+
+    def _state(self, timerValues) -> tuple[int, np.ndarray, np.ndarray]:
+        """Hour up to which windows are done, hours and their numbers. A user without state starts at the watermark."""
+        state = self.hours.get()
+        if state:
+            return state[0], np.frombuffer(state[1], np.int64), np.frombuffer(state[2], np.int64)
+        return timerValues.getCurrentWatermarkInMs() * 1000 // HOUR, np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _due(self, done: int, hour: np.ndarray) -> int | None:
+        """When the first window that is not done ends."""
+        return (max(int(hour[0]), done) + 1) * (HOUR // 1000) if len(hour) else None
+
+    def _keep(self, done: int, hour: np.ndarray, n: np.ndarray, before: int | None) -> None:
+        own = hour > done - self.width
+        hour, n = hour[own], n[own]
+        due = self._due(done, hour)
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+        if due is None:
+            self.hours.clear()
+            return
+        self.hours.update((int(done), hour.tobytes(), n.tobytes()))
+        if before != due:
+            self.handle.registerTimer(due)
+
+    def close(self) -> None:
+        pass
+
+
 class LastSeen(StatefulProcessor):
     """Keys that had no row for `idle` ms of event time: user_id, last_seen, n (their rows). Such a key starts anew.
 
