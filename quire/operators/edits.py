@@ -28,13 +28,18 @@ def portions(a: list[str | None], b: list[str | None]) -> Iterator[tuple[int, li
         yield first, own
 
 
-def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(characters of all texts as numbers from 1, where each text begins, lengths)."""
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    length = np.fromiter(map(len, texts), np.int64, len(texts))
+def numbered(text: str) -> np.ndarray:
+    """Its characters as numbers from 1."""
+    flat = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     seen = np.zeros(int(flat.max(initial=0)) + 1, bool)
     seen[flat] = True
-    return np.cumsum(seen)[flat], np.cumsum(length) - length, length
+    return np.cumsum(seen)[flat]
+
+
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of all texts as numbers, where each text begins, lengths)."""
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    return numbered("".join(texts)), np.cumsum(length) - length, length
 
 
 def _together(codes: np.ndarray, p: np.ndarray, m: np.ndarray, t: np.ndarray, n: np.ndarray, free: bool, size: int) -> np.ndarray:

@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quire.operators import edits, quote_search
+from quire.operators import edits, quote_search, quotes
 from quire.plans.registry import queries
 
 
@@ -58,3 +58,21 @@ def test_lines_are_not_compared_one_by_one(spark):
     rows = [("kitten", "sitting", 3), ("", "abc", 3), ("", "", 0), ("same", "same", 0), (None, "a", None)]
     got = spark.createDataFrame(rows, "a string, b string, n int").withColumn("d", edits.edit_distance(F.col("a"), F.col("b"))).collect()
     assert [r.d for r in got] == [r.n for r in got]
+
+
+def test_similarity_of_neighbours(spark, monkeypatch):
+    """Sums over documents, and over runs of tokens that end within one, are those of token_similarity."""
+    monkeypatch.setattr(quotes, "TOKENS", 7)
+    rng = random.Random(5)
+    token = lambda: "".join(rng.choice("abcdé漢😀") for _ in range(rng.randint(1, 70)))
+    rows = [(i, [t for t in (token() for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(1, 2))]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, t array<string>")
+    score = F.round(1_000_000 * quotes.token_similarity(F.col("p.a"), F.col("p.b"))).cast("long")
+    pairs = df.select("doc_id", F.explode(F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"), F.slice("t", 2, F.size("t") - 1).alias("b"))).alias("p"))
+    want = {r.doc_id: (r.pairs, r.millionths) for r in pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(score).alias("millionths")).collect()}
+    got = {}
+    for b in quotes.neighbour_millionths(iter(df.toArrow().combine_chunks().to_batches())):
+        got |= {r["doc_id"]: (r["pairs"], r["millionths"]) for r in b.to_pylist()}
+    assert got == want
+    plan = queries()["token_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # no row for each token
